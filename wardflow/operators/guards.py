@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +10,31 @@ from pyspark.sql import functions as F
 REQUEST_ORDER = ("request_ts", "request_id")
 
 
-@dataclass
+class Tables(Mapping[str, DataFrame]):
+    """Tables by name; one given as a function is built when first asked for."""
+
+    def __init__(self, entries: dict[str, DataFrame | Callable[[], DataFrame]]):
+        self._entries = dict(entries)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        entry = self._entries[name]
+        if not isinstance(entry, DataFrame):
+            entry = self._entries[name] = entry()
+        return entry
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._entries)
+
+    def __len__(self) -> int:
+        return len(self._entries)
+
+
 class JobResult:
     """Outcome per request and the next state of the tables a job changes."""
 
-    outcomes: DataFrame
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    def __init__(self, outcomes: DataFrame, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None):
+        self.outcomes = outcomes
+        self.tables = Tables(tables or {})
 
 
 def first_failure(rules: Sequence[tuple[Column, str | Column]]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure, f
 from wardflow.operators.scan import running, with_next_ids
 from wardflow.operators.snapshots import append, upsert
 from wardflow.operators.text import report_lines
+from wardflow.session import materialize
 
 LOW_STOCK = 10
 PHARMACY_DEPARTMENT = 12
@@ -76,6 +79,7 @@ def prescription_sale(
         "sold_qty",
         F.least("stock", "asked_so_far") - F.least(F.col("stock"), F.col("asked_so_far") - F.col("req_qty")),
     ).withColumn("total_price", money(F.col("price") * F.col("sold_qty"), 19, 4))
+    served = materialize(served, "served")
     sales = served.filter("sold_qty > 0")
 
     taken = sales.groupBy("drug_id").agg(F.sum("sold_qty").alias("taken"))
@@ -90,7 +94,7 @@ def prescription_sale(
     billed = asked.join(firsts.select("request_id"), "request_id", "left_semi").join(
         per_request.filter("total > 0"), "request_id"
     )
-    headers = with_next_ids(billed, invoice, "invoice_id", REQUEST_ORDER)
+    headers = cache(lambda: with_next_ids(billed, invoice, "invoice_id", REQUEST_ORDER))
     left = served.withColumn("left", F.col("stock") - F.least("stock", "asked_so_far"))
     stock_text = report_lines(
         left,
@@ -132,16 +136,19 @@ def prescription_sale(
             money(F.when(F.col("served"), F.coalesce("first_total", F.lit(0).cast("decimal(19,4)"))), 19, 2).alias("total"),
         )
     )
-    details = sales.join(headers.select("request_id", "invoice_id"), "request_id").select(
-        "invoice_id",
-        F.col("prescription_id").alias("reservation_id"),
-        F.lit("Pharmacy").alias("reservation_type"),
-        F.col("drug_id").alias("process_id"),
-        F.col("price").alias("unit_price"),
-        F.col("sold_qty").alias("quantity"),
-        money("total_price", 12).alias("total"),
-        F.lit(PHARMACY_DEPARTMENT).alias("dept_id"),
-    )
+
+    def details() -> DataFrame:
+        return sales.join(headers().select("request_id", "invoice_id"), "request_id").select(
+            "invoice_id",
+            F.col("prescription_id").alias("reservation_id"),
+            F.lit("Pharmacy").alias("reservation_type"),
+            F.col("drug_id").alias("process_id"),
+            F.col("price").alias("unit_price"),
+            F.col("sold_qty").alias("quantity"),
+            money("total_price", 12).alias("total"),
+            F.lit(PHARMACY_DEPARTMENT).alias("dept_id"),
+        )
+
     return JobResult(
         outcomes,
         {
@@ -150,7 +157,7 @@ def prescription_sale(
             ),
             "pharmacy_drugs": stock,
             "low_stock_alerts": next_alerts,
-            "invoice": headers.select(
+            "invoice": lambda: headers().select(
                 "invoice_id",
                 as_of.cast("date").alias("date"),
                 "payment_method",
