@@ -1,3 +1,187 @@
-from wardflow.catalog.common import Registry
+"""Streaming jobs, run over the test tables as file streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wardflow.catalog.common import Registry, amount, day
+from wardflow.functions.clock import moment
+from wardflow.functions.money import money
+from wardflow.plans import pharmacy
+from wardflow.session import scratch_path
+from wardflow.sources.roles import Roles, with_roles
+from wardflow.streaming import attendance, operations
+from wardflow.streaming.state import VersionedTable, to_folder
+
 registry = Registry()
 QUERIES, SQL = registry.queries, registry.sql
+
+
+def stream(r: Roles, table: str) -> DataFrame:
+    """One test table as a file stream."""
+    schema = r.table(table).schema
+    return r.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(r.folder)
+
+
+def event_stream(r: Roles, *kinds: str) -> DataFrame:
+    rows = stream(r, "events").select(
+        F.col("event_id").alias("request_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        (F.col("user_id") * 12).alias("emp_id"),
+        "event_type",
+    )
+    return rows.filter(F.col("event_type").isin(*kinds)) if kinds else rows
+
+
+@registry.add(
+    "stream_first_checkin",
+    with_roles("ev", f"SELECT DISTINCT emp_id, {day('request_ts')} AS attend_date FROM ev"),
+)
+def stream_first_checkin(r: Roles) -> DataFrame:
+    out = scratch_path(r.spark, "checkins")
+    found = attendance.first_check_ins(event_stream(r)).select("emp_id", "attend_date")
+    to_folder(found, f"{out}/rows", f"{out}/state")
+    return r.spark.read.schema(found.schema).parquet(f"{out}/rows")
+
+
+SETTLED = "2024-01-26"
+
+
+@registry.add(
+    "stream_missing_checkout",
+    with_roles(
+        "ev weekly emp_shift dated",
+        f"""shifts AS (
+          SELECT w.emp_id, d.date AS attend_date, w.shift_start AS s, w.shift_end AS t FROM weekly w JOIN (SELECT DISTINCT date FROM dated) d ON dayname(d.date) = w.day
+          UNION ALL SELECT x.emp_id, d.date, d.start_time, d.end_time FROM emp_shift x JOIN dated d ON d.shift_id = x.shift_id),
+        ends AS (SELECT emp_id, attend_date, min(CAST(attend_date AS TIMESTAMP) + CASE WHEN t = 0 THEN to_seconds(86340) WHEN t < s THEN to_seconds(86400 + t)
+                   ELSE to_seconds(t) END) AS shift_end FROM shifts GROUP BY 1, 2),
+        ins AS (SELECT v.emp_id, CAST(v.request_ts AS DATE) AS attend_date, v.request_ts AS checkin, e.shift_end FROM ev v
+                JOIN ends e ON e.emp_id = v.emp_id AND e.attend_date = CAST(v.request_ts AS DATE) WHERE v.event_type IN ('signup', 'view')),
+        pairs AS (SELECT i.*, o.request_ts AS checkout FROM ins i LEFT JOIN ev o ON o.event_type IN ('click', 'error') AND o.emp_id = i.emp_id
+                  AND CAST(o.request_ts AS DATE) = i.attend_date AND o.request_ts >= i.checkin AND o.request_ts <= i.shift_end + INTERVAL 30 MINUTE)
+        SELECT emp_id, {day('attend_date')} AS attend_date, min(checkout) IS NULL AS missing FROM pairs
+        WHERE attend_date < DATE '{SETTLED}' GROUP BY emp_id, attend_date""",
+    ),
+)
+def stream_missing_checkout(r: Roles) -> DataFrame:
+    """Signups and views are arrivals, clicks and errors departures; days before the last ones are settled."""
+    out = scratch_path(r.spark, "pairs")
+    days = r.dated.select(F.col("date").alias("attend_date")).distinct()
+    ends = attendance.shift_ends(r.employee, r.weekly, r.dated, r.emp_shift, days)
+    pairs = attendance.pair_check_outs(event_stream(r, "signup", "view"), event_stream(r, "click", "error"), ends)
+    to_folder(pairs, f"{out}/rows", f"{out}/state")
+    settled = attendance.settled_days(r.spark.read.schema(pairs.schema).parquet(f"{out}/rows"))
+    return settled.filter(F.col("attend_date") < F.lit(SETTLED).cast("date")).select("emp_id", "attend_date", "missing")
+
+
+NOW = "2001-09-01 12:00:00"
+
+
+@registry.add(
+    "stream_stock",
+    with_roles(
+        "drugs",
+        """lines AS (SELECT l_orderkey AS p, min(l_shipdate) OVER (PARTITION BY l_orderkey) AS ts, l_partkey % 1500 AS drug_id, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
+        line AS (SELECT drug_id, p, ts, sum(q) AS q FROM lines GROUP BY ALL),
+        sold AS (SELECT drug_id, sum(q) AS q FROM line GROUP BY 1)
+        SELECT d.drug_id, CAST(d.quantity * 10 - least(d.quantity * 10, coalesce(s.q, 0)) AS BIGINT) AS quantity
+        FROM drugs d LEFT JOIN sold s ON s.drug_id = d.drug_id""",
+    ),
+)
+def stream_stock(r: Roles) -> DataFrame:
+    """Order lines sold from stock as they arrive: what is left of each drug."""
+    out = scratch_path(r.spark, "stock")
+    lines = stream(r, "lineitem").select(
+        F.col("l_orderkey").alias("request_id"),
+        # One moment per request: its lines are served together.
+        F.lit(NOW).cast("timestamp_ntz").alias("request_ts"),
+        F.col("l_orderkey").alias("prescription_id"),
+        F.concat(F.lit("drug "), (F.col("l_partkey") % 1500).cast("string")).alias("drug_name"),
+        F.col("l_quantity").cast("int").alias("req_qty"),
+    )
+    drugs = r.drugs.withColumn("quantity", F.col("quantity") * 10)
+    first_alerts = pharmacy.low_stock(drugs.filter(F.lit(False)), moment(NOW))
+    nothing_sold = r.table("orders").filter(F.lit(False)).select(
+        F.col("o_orderkey").alias("prescription_id"),
+        F.col("o_custkey").alias("drug_id"),
+        F.lit(0).cast("long").alias("quantity"),
+        money("o_totalprice").alias("total_price"),
+    )
+    stock = VersionedTable(drugs, f"{out}/stock")
+    prescriptions = r.table("orders").select(F.col("o_orderkey").alias("prescription_id"), F.col("o_custkey").alias("p_id"))
+    last = operations.sell_from_stream(
+        lines,
+        prescriptions,
+        stock,
+        VersionedTable(nothing_sold, f"{out}/sold"),
+        VersionedTable(first_alerts, f"{out}/alerts"),
+        r.invoice,
+        moment(NOW),
+        f"{out}/state",
+    )
+    return stock.after(r.spark, last).select("drug_id", "quantity")
+
+
+@registry.add(
+    "stream_booking_cap",
+    with_roles(
+        "ev",
+        f"""line AS (SELECT request_id, emp_id // 12 % 10 AS doctor_id, CAST(request_ts AS DATE) AS d,
+                 row_number() OVER (PARTITION BY emp_id // 12 % 10, CAST(request_ts AS DATE) ORDER BY request_ts, request_id) AS place FROM ev)
+        SELECT request_id, doctor_id, {day('d')} AS day FROM line WHERE place <= 20""",
+    ),
+)
+def stream_booking_cap(r: Roles) -> DataFrame:
+    """Events as bookings with ten doctors, at most 20 a day each."""
+    out = scratch_path(r.spark, "bookings")
+    requests = event_stream(r).select(
+        "request_id",
+        F.col("ts").cast("timestamp_ntz").alias("request_ts"),
+        (F.col("emp_id") / 12 % 10).cast("long").alias("doctor_id"),
+    )
+    none = requests_like(r)
+    operations.book_from_stream(requests, VersionedTable(none, f"{out}/counts"), f"{out}/accepted", f"{out}/state")
+    return r.spark.read.parquet(f"{out}/accepted").select("request_id", "doctor_id", "day")
+
+
+def requests_like(r: Roles) -> DataFrame:
+    """An empty table of bookings per doctor and day."""
+    return r.events.filter(F.lit(False)).select(
+        F.col("request_id").alias("doctor_id"), F.to_date("request_ts").alias("day"), F.col("request_id").alias("booked")
+    )
+
+
+@registry.add(
+    "stream_revenue",
+    with_roles(
+        "inv emp dept",
+        f"""SELECT d.dept_name, {amount('sum(i.cents)')} AS total_revenue
+        FROM inv i JOIN emp e ON i.emp_id = e.emp_id JOIN dept d ON e.dept_id = d.dept_id GROUP BY d.dept_name""",
+    ),
+)
+def stream_revenue(r: Roles) -> DataFrame:
+    out = scratch_path(r.spark, "revenue")
+    invoices = stream(r, "orders").select(
+        F.col("o_custkey").alias("emp_id"), money("o_totalprice", 12).alias("paid_money")
+    )
+    empty = r.department.filter(F.lit(False)).select("dept_name", F.lit(0).cast("decimal(28,2)").alias("total_revenue"))
+    totals = VersionedTable(empty, f"{out}/totals")
+    last = operations.refresh_revenue(invoices, r.employee, r.department, totals, f"{out}/state")
+    return totals.after(r.spark, last)
+
+
+@registry.add(
+    "stream_patient_months",
+    with_roles("resv", "SELECT strftime(date_time, '%Y-%m') AS month, count(DISTINCT p_id) AS new_patients FROM resv GROUP BY 1"),
+)
+def stream_patient_months(r: Roles) -> DataFrame:
+    out = scratch_path(r.spark, "months")
+    reservations = stream(r, "orders").select(F.col("o_custkey").alias("p_id"), F.col("o_orderdate").alias("date_time"))
+    empty = r.reservation.filter(F.lit(False)).select(
+        F.date_format("date_time", "yyyy-MM").alias("month"), "p_id", F.col("date_time").alias("first_seen")
+    )
+    pairs = VersionedTable(empty, f"{out}/pairs")
+    last = operations.refresh_patient_months(reservations, pairs, f"{out}/state")
+    return pairs.after(r.spark, last).groupBy("month").agg(F.count("*").alias("new_patients"))
