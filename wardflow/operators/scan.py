@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from wardflow.session import materialize
 
+_POSITION_BITS = 33
 _AGGREGATE = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
@@ -102,7 +103,21 @@ def _carried(chunks: DataFrame, keys: list[str], values: dict, following: dict)
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "rn", keys: Sequence[str] = ()) -> DataFrame:
     """Row numbers 1, 2, 3 … along ``order`` (per ``keys``), without one big task."""
-    return running(df, keys, order, {name: ("count", F.lit(1))})
+    if keys:
+        return running(df, keys, order, {name: ("count", F.lit(1))})
+    # The id of a sorted range is (range << 33) + position, so no window is needed:
+    # the sizes of the ranges before, one row per range, give the rest.
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    chunks = materialize(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    chunk = F.shiftright("_at", _POSITION_BITS)
+    position = F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)) + 1
+    sizes = chunks.groupBy(chunk.alias("_chunk")).agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    located = chunks.withColumns({"_chunk": chunk, "_position": position})
+    return located.join(F.broadcast(offsets), "_chunk").select(
+        *df.columns, (F.col("_position") + F.col("_offset")).alias(name)
+    )
 
 
 def highest_id(state: DataFrame, id_column: str) -> Column:
@@ -114,13 +129,13 @@ def with_next_ids(
     rows: DataFrame, state: DataFrame, id_column: str, order: Sequence[str], state_id: str | None = None
 ) -> DataFrame:
     """Give ``rows`` the ids after the highest in ``state``, in the given order."""
-    numbered = number_rows(rows, order, "_position")
+    numbered = number_rows(rows, order, "_place")
     base = highest_id(state, state_id or id_column)
-    return numbered.withColumn(id_column, F.col("_position") + base).drop("_position")
+    return numbered.withColumn(id_column, F.col("_place") + base).drop("_place")
 
 
 def spread_dates(df: DataFrame, order: Sequence[str], as_of: Column, column: str, days: int = 10) -> DataFrame:
     """Set ``column`` to ``as_of`` minus 0 … days-1 days, in turn along ``order``."""
-    numbered = number_rows(df, order, "_position")
-    back = ((F.col("_position") - 1) % days).cast("int")
-    return numbered.withColumn(column, F.date_sub(as_of.cast("date"), back)).drop("_position")
+    numbered = number_rows(df, order, "_place")
+    back = ((F.col("_place") - 1) % days).cast("int")
+    return numbered.withColumn(column, F.date_sub(as_of.cast("date"), back)).drop("_place")

@@ -12,6 +12,7 @@ from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure, f
 from wardflow.operators.scan import with_next_ids
 from wardflow.operators.snapshots import append
 from wardflow.plans.duty import with_doctor, with_receptionist
+from wardflow.session import materialize
 
 DAILY_CAP = 20
 
@@ -115,6 +116,7 @@ def book_doctor(
             ]
         ),
     )
+    asked = materialize(asked.drop("duty_doctor"), "asked")
     # The row limit goes ahead of the shuffle, so a crowded doctor-day sends at most
     # `cap` rows per task.
     line = Window.partitionBy("doctor_id", "day").orderBy(*REQUEST_ORDER)

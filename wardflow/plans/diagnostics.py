@@ -12,6 +12,7 @@ from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure, f
 from wardflow.operators.scan import highest_id, with_next_ids
 from wardflow.operators.text import concat_by
 from wardflow.plans.duty import department_doctor, with_receptionist
+from wardflow.session import materialize
 
 LAB_DEPARTMENT = 13
 RADIOLOGY_DEPARTMENT = 14
@@ -67,36 +68,37 @@ def radiology_changes(changes: DataFrame, radiology: DataFrame) -> JobResult:
     )
 
 
-def _priced_lines(lines: DataFrame, catalogue: DataFrame, name: str, item_id: str) -> DataFrame:
-    """Order lines with the catalogue's id and price; unknown names have no id."""
+def _order_items(lines: DataFrame, catalogue: DataFrame, name: str, item_id: str) -> DataFrame:
+    """Ordered names, one row per request and name, with the catalogue's id and price.
+
+    Lines are combined before the catalogue is joined; ``n`` says how often the name
+    was listed, an unknown name has no id.
+    """
     items = catalogue.groupBy(folded(name).alias("_name")).agg(
         F.min(F.struct(F.col(item_id).alias("item_id"), "price")).alias("_item")
     )
-    return (
-        lines.withColumn("_name", folded("name"))
-        .join(items, "_name", "left")
-        .select("request_id", "name", "_name", "_item.item_id", "_item.price")
+    named = lines.groupBy("request_id", folded("name").alias("_name")).agg(
+        F.count("*").alias("n"), F.min("name").alias("name")
     )
-
-
-def _order_totals(priced: DataFrame) -> DataFrame:
-    return priced.groupBy("request_id").agg(
-        F.count("*").alias("line_count"),
-        F.count("item_id").alias("known_count"),
-        F.sum("price").alias("total"),
+    found = named.join(items, "_name", "left").select(
+        "request_id", "name", "_name", "n", "_item.item_id", "_item.price"
     )
+    return materialize(found, "items")
 
 
-def _listed_twice(priced: DataFrame) -> DataFrame:
-    """Requests with one name on several lines; counted per name first, so long orders combine early."""
-    repeats = priced.groupBy("request_id", "_name").agg(F.count("*").alias("n"))
-    return repeats.filter("n > 1").select("request_id").distinct().withColumn("repeated", F.lit(True))
+def _order_totals(items: DataFrame) -> DataFrame:
+    return items.groupBy("request_id").agg(
+        F.sum("n").alias("line_count"),
+        F.sum(F.when(F.col("item_id").isNotNull(), F.col("n")).otherwise(0)).alias("known_count"),
+        F.sum(F.col("n") * F.col("price")).alias("total"),
+        (F.max("n") > 1).alias("repeated"),
+    )
 
 
 def _booking_rows(
-    made: DataFrame, priced: DataFrame, names: DataFrame, kind: str, dept_id: int, item_column: str
+    made: DataFrame, items: DataFrame, names: DataFrame, kind: str, dept_id: int, item_column: str
 ) -> dict[str, DataFrame]:
-    lines = priced.join(made.select("request_id", "reservation_id", "invoice_id"), "request_id")
+    lines = items.join(made.select("request_id", "reservation_id", "invoice_id"), "request_id")
     return {
         "reserve": lines.select(
             F.col("item_id").alias(item_column), "reservation_id", F.lit(None).cast("string").alias("test_result")
@@ -132,10 +134,8 @@ def book_lab(
     and the receptionist may stay empty. An order without lines, or with one test
     listed twice, is refused.
     """
-    priced = _priced_lines(lines, lab_tests, "test_name", "test_id")
-    asked = requests.join(_order_totals(priced), "request_id", "left").join(
-        _listed_twice(priced), "request_id", "left"
-    )
+    items = _order_items(lines, lab_tests, "test_name", "test_id")
+    asked = requests.join(_order_totals(items), "request_id", "left")
     asked = asked.withColumn("total", money("total")).withColumn(
         "refused",
         first_failure(
@@ -150,15 +150,15 @@ def book_lab(
             ]
         ),
     )
-    staffed = department_doctor(asked, employee, weekly, LAB_DEPARTMENT, "lab_doctor_id")
-    staffed = with_receptionist(staffed, employee, emp_shift, dated, today_only=False)
-    accepted = staffed.filter("refused is null")
-    made = with_next_ids(accepted, lab_reservation, "reservation_id", REQUEST_ORDER)
+    asked = department_doctor(asked, employee, weekly, LAB_DEPARTMENT, "lab_doctor_id")
+    asked = with_receptionist(asked, employee, emp_shift, dated, today_only=False)
+    asked = materialize(asked, "asked")
+    made = with_next_ids(asked.filter("refused is null"), lab_reservation, "reservation_id", REQUEST_ORDER)
     made = made.withColumn(
         "invoice_id",
         F.col("reservation_id") - highest_id(lab_reservation, "reservation_id") + highest_id(invoice, "invoice_id"),
     )
-    chosen = priced.join(made.select("request_id"), "request_id", "left_semi")
+    chosen = items.join(made.select("request_id"), "request_id", "left_semi")
     names = concat_by(chosen, ["request_id"], F.col("name"), " , ", ["name"], "names")
     reservations = made.join(names, "request_id").select(
         "reservation_id",
@@ -213,9 +213,8 @@ def book_radiology(
     recognised; otherwise the stored list is split. Bookings accepted earlier in the
     batch count as stored.
     """
-    priced = _priced_lines(lines, radiology, "rad_name", "rad_id")
-    totals = _order_totals(priced)
-    asked = requests.join(totals, "request_id", "left").join(_listed_twice(priced), "request_id", "left")
+    items = _order_items(lines, radiology, "rad_name", "rad_id")
+    asked = requests.join(_order_totals(items), "request_id", "left")
     asked = flagged(asked, patient.select("p_id").distinct(), ["p_id"], "patient_known")
     asked = department_doctor(asked, employee, weekly, RADIOLOGY_DEPARTMENT, "radio_doctor_id")
     asked = with_receptionist(asked, employee, emp_shift, dated, today_only=False, wrap=True)
@@ -223,7 +222,7 @@ def book_radiology(
     if not compat:
         stored = stored.withColumn("stored", F.explode(F.split("stored", ", ")))
     stored = stored.select("p_id", "day", folded("stored").alias("_name")).distinct()
-    wanted = priced.select("request_id", "_name").join(
+    wanted = items.select("request_id", "_name").join(
         requests.select("request_id", "request_ts", "p_id", F.to_date("request_ts").alias("day")), "request_id"
     )
     repeat_text = "Patient already booked one or more of these tests today."
@@ -242,6 +241,7 @@ def book_radiology(
             ]
         ),
     )
+    asked = materialize(asked, "asked")
     free = asked.filter("refused is null").select("request_id", "line_count")
     candidates = wanted.join(free, "request_id")
     if compat:
@@ -267,7 +267,7 @@ def book_radiology(
         "invoice_id",
         F.col("reservation_id") - highest_id(radio_reservation, "reservation_id") + highest_id(invoice, "invoice_id"),
     ).withColumn("total", money("total"))
-    chosen = priced.join(made.select("request_id"), "request_id", "left_semi")
+    chosen = items.join(made.select("request_id"), "request_id", "left_semi")
     names = concat_by(chosen, ["request_id"], F.col("name"), ", ", ["name"], "names")
     reservations = made.join(names, "request_id").select(
         "reservation_id",
@@ -313,8 +313,6 @@ def book_radiology(
 def _blocked_by_any(candidates: DataFrame) -> DataFrame:
     """Requests refused because an accepted earlier request of that patient and day
     holds one of their names; settled in rounds like other uniqueness rules."""
-    from wardflow.session import materialize
-
     keys = ["p_id", "day", "_name"]
     waiting = candidates.select(*REQUEST_ORDER, *keys).distinct()
     blocked = None

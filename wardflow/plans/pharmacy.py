@@ -50,7 +50,13 @@ def prescription_sale(
     lookup = drug_lookup(drugs).select("_name", "_drug.drug_id", "_drug.price")
     known = prescriptions.select("prescription_id", F.col("p_id"))
     done = sold.select("prescription_id").distinct()
-    named = lines.withColumn("_name", normalised_name("drug_name")).join(lookup, "_name", "left")
+    # One row per request and drug, so that a drug listed twice is taken as one line.
+    named = (
+        lines.groupBy("request_id", normalised_name("drug_name").alias("_name"))
+        .agg(F.sum("req_qty").cast("long").alias("req_qty"), F.min("drug_name").alias("drug_name"))
+        .join(lookup, "_name", "left")
+    )
+    named = materialize(named, "named")
     unmatched = named.groupBy("request_id").agg(F.count(F.when(F.col("drug_id").isNull(), 1)).alias("unmatched"))
     asked = flagged(requests.join(known.withColumn("known", F.lit(True)), "prescription_id", "left"), done, ["prescription_id"], "processed")
     asked = asked.join(unmatched, "request_id", "left").withColumn(
@@ -63,15 +69,11 @@ def prescription_sale(
             ]
         ),
     )
+    asked = materialize(asked, "asked")
     firsts = first_per(asked.filter("refused is null"), ["prescription_id"])
     serving = firsts.select("request_id", "request_ts", "prescription_id")
 
-    # One row per request and drug, so that a drug listed twice is taken as one line.
-    wanted = (
-        named.join(serving, "request_id")
-        .groupBy("drug_id", "price", *REQUEST_ORDER, "prescription_id")
-        .agg(F.sum("req_qty").cast("long").alias("req_qty"), F.min("drug_name").alias("drug_name"))
-    )
+    wanted = named.join(serving, "request_id").drop("_name")
     in_line = running(
         wanted, ["drug_id"], list(REQUEST_ORDER), {"asked_so_far": ("sum", F.col("req_qty"))}
     ).join(drugs.select("drug_id", F.col("quantity").cast("long").alias("stock")), "drug_id")

@@ -135,7 +135,7 @@ def reserve_room(
     asked = flagged(requests, patient.select("p_id").distinct(), ["p_id"], "patient_known")
     asked = flagged(asked, open_stays, ["p_id"], "staying")
     asked = with_receptionist(asked, employee, emp_shift, dated, today_only=False)
-    asked = asked.withColumn("_type", F.lower("room_type"))
+    asked = materialize(asked.withColumn("_type", F.lower("room_type")), "asked")
     free = room.join(
         room_status.filter(F.lower("status") == "available").select("room_id"), "room_id", "left_semi"
     ).select("room_id", F.lower("room_type").alias("_type"))
@@ -160,15 +160,18 @@ def reserve_room(
         line = reachable.groupBy("p_id").agg(F.min(F.struct("at", "_type", "supply")).alias("wish"))
         line = line.select("p_id", "wish.*").select("*", "at.*")
         placed = number_rows(line, list(REQUEST_ORDER), "place", keys=["_type"])
-        placed = materialize(placed, "line")
-        if placed.filter("place > supply").isEmpty():
+        full = (
+            placed.groupBy("_type", "supply")
+            .agg(F.max("place").alias("waiting"), F.max(F.when(F.col("place") == F.col("supply"), F.col("at"))).alias("last"))
+            .filter("waiting > supply")
+            .select("_type", "last")
+        )
+        full = materialize(full, "full")
+        if full.isEmpty():
             break
-        full = placed.filter("place = supply").join(
-            placed.filter("place > supply").select("_type").distinct(), "_type", "left_semi"
-        ).select("_type", F.col("at").alias("last"))
         if closed is not None:
             full = full.unionByName(closed).groupBy("_type").agg(F.min("last").alias("last"))
-        closed = materialize(full, "closed")
+        closed = full
 
     won = placed.join(free, ["_type", "place"]).select("request_id", "request_ts", "p_id", "room_id")
     made = with_next_ids(won, stays, "reservation_id", REQUEST_ORDER)
@@ -251,6 +254,7 @@ def room_checkout(
             ]
         ),
     )
+    asked = materialize(asked, "asked")
     billed = asked.filter("refused is null").withColumns(
         {
             "days": stay_days("checkin", "checkout"),

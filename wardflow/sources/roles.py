@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardflow.functions.money import money
+from wardflow.session import materialize
 
 # English weekday names, Monday first.
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -294,7 +295,7 @@ class Roles:
             *[F.min(c).alias(c) for c in ("l_shipdate", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")]
         )
         start = F.col("l_linenumber") * 1800 + 25200
-        return lines.select(
+        rows = lines.select(
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("reservation_id"),
             F.to_date("l_shipdate").alias("surgery_date"),
             start.cast("int").alias("start_time"),
@@ -306,6 +307,7 @@ class Roles:
             (F.col("l_partkey") % 6).alias("stuff_id"),
             F.lit("scheduled").alias("status"),
         )
+        return materialize(rows, "surgeries")
 
     @cached_property
     def stays(self) -> DataFrame:
