@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardflow.functions.clock import clock_seconds
-from wardflow.schemas import TABLES
+from wardflow.schemas import table_schema
 
 # Expense types and surgical teams every installation starts with.
 EXPENSE_TYPES = ("gas", "water", "electricity", "internet", "lab_tools", "rad_tools", "room_tools", "Pharmacy")
@@ -71,7 +71,7 @@ def read_table(spark: SparkSession, path: str, layout: str, duration_unit: str =
     ``duration_unit="hours"`` turns the surgery durations of a file into minutes.
     """
     table, columns = LAYOUTS[layout]
-    schema = TABLES[table]
+    schema = table_schema(table)
     rows = _text_rows(spark, path, columns)
     typed = rows.select(*[_typed(c, schema[c].dataType, "yyyy-M-d") for c in columns])
     if layout == "surgery" and duration_unit == "hours":
@@ -82,7 +82,7 @@ def read_table(spark: SparkSession, path: str, layout: str, duration_unit: str =
 def read_employees(spark: SparkSession, path: str, layout: str = "plain") -> DataFrame:
     """Employees with dd/MM/yyyy dates; lines without a numeric id are dropped."""
     columns = EMPLOYEE_LAYOUTS[layout]
-    schema = TABLES["employee"]
+    schema = table_schema("employee")
     rows = _text_rows(spark, path, columns).filter(F.col("emp_id").rlike(r"^\s*\d+\s*$") & F.col("fname").isNotNull())
     typed = rows.select(*[_typed(c, schema[c].dataType, "d/M/yyyy") for c in columns])
     return typed.withColumn("end_job", F.lit(None).cast("date")).select(*[f.name for f in schema])
@@ -95,7 +95,7 @@ def read_codes(spark: SparkSession, path: str, layout: str) -> DataFrame:
 
 def inline_rows(spark: SparkSession, rows: Sequence[tuple], table: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A handful of literal rows in the layout of a table."""
-    schema = TABLES[table]
+    schema = table_schema(table)
     names = list(columns or [f.name for f in schema])
     fields = T.StructType([schema[name] for name in names])
     return spark.createDataFrame(list(rows), fields)
@@ -110,7 +110,7 @@ def surgery_teams(spark: SparkSession) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}")
+    return spark.read.schema(table_schema(table)).parquet(f"{folder}/{table}")
 
 
 def write_snapshot(df: DataFrame, folder: str, table: str, partition_by: str | None = None) -> None:
