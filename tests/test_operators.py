@@ -203,7 +203,7 @@ def test_snapshots(spark):
 def test_text_lists(spark):
     df = frame(spark, [(1, 2, "b"), (1, 1, "a"), (2, 1, None)], "k int, o int, v string")
     assert rows(concat_by(df, ["k"], F.col("v"), " , ", ["o"], "x")) == [(1, "a , b"), (2, "")]
-    assert rows(report_lines(df.filter("k = 1"), ["k"], F.col("v"), ["o"], "x")) == [(1, "a\rb\r")]
+    assert rows(report_lines(df.filter("k = 1"), ["k"], F.col("v"), ["o"], "x", 5)) == [(1, "a\rb\r")]
 
 
 def test_quality(spark):

@@ -85,10 +85,10 @@ SALE = with_roles(
     SALE
     + f"""
     SELECT t.request_id, coalesce(s.request_id = t.request_id, false) AS accepted,
-           CASE WHEN s.request_id = t.request_id THEN 'Sale completed successfully.' || chr(13) || 'Total Invoice Amount: ' || {amount_text('coalesce(f.total, 0)')}
+           substr(CASE WHEN s.request_id = t.request_id THEN 'Sale completed successfully.' || chr(13) || 'Total Invoice Amount: ' || {amount_text('coalesce(f.total, 0)')}
                      || chr(13) || 'Remaining Stock:' || chr(13) || coalesce(f.stock_text, '')
                 WHEN t.refused IS NOT NULL THEN t.refused WHEN f.total > 0 THEN 'This prescription has already been processed.'
-                ELSE 'Deferred to the next batch.' END AS message,
+                ELSE 'Deferred to the next batch.' END, 1, 2000) AS message,
            {amount('CASE WHEN s.request_id = t.request_id THEN coalesce(f.total, 0) ELSE 0 END')} AS total
     FROM t LEFT JOIN serving s ON s.prescription_id = t.prescription_id LEFT JOIN per_request f ON f.request_id = s.request_id""",
 )

@@ -704,9 +704,46 @@ def department_adds(r: Roles) -> DataFrame:
     )
 
 
-@registry.add("department_add")
+def rounds_sql(source: str, claims: tuple[str, ...]) -> str:
+    """SQL for serving (k, claims…) rows in order: definitions ``tries`` and ``won``.
+
+    Each round accepts the rows that are first for all their claims and drops the
+    rows that share a claim with them.
+    """
+    names = ", ".join(claims)
+    first = " AND ".join(f"({c} IS NULL OR k = min(CASE WHEN state = 0 THEN k END) OVER (PARTITION BY {c}))" for c in claims)
+    clash = " OR ".join(f"({c} IS NOT NULL AND bool_or(wins) OVER (PARTITION BY {c}))" for c in claims)
+    return f"""tries AS (
+      SELECT 0 AS round, k, {names}, 0 AS state FROM {source}
+      UNION ALL
+      SELECT round + 1, k, {names}, CASE WHEN state <> 0 THEN state WHEN wins THEN 1 WHEN {clash} THEN 2 ELSE 0 END
+      FROM (SELECT *, state = 0 AND {first} AS wins, bool_or(state = 0) OVER () AS going FROM tries) WHERE going),
+    won AS (SELECT DISTINCT k, {names} FROM tries WHERE state = 1)"""
+
+
+@registry.add(
+    "department_add",
+    with_roles(
+        "ev emp dept",
+        f"""asked AS (SELECT request_id, (request_ts, request_id) AS k, 'nation_' || (emp_id // 12 % 60 + 10) AS n,
+                  CASE WHEN cents > 200 THEN request_id % 1700 END AS m FROM ev WHERE event_type = 'signup'),
+        tested AS (SELECT a.*, CASE WHEN d.dept_id IS NOT NULL THEN 'This department name already exists'
+                 WHEN a.m IS NOT NULL AND e.emp_id IS NULL THEN 'Manager ID not found in Employee table'
+                 WHEN e.status IS NULL OR e.status <> 'active' THEN 'This manager is inactive can not be a manager'
+                 WHEN b.dept_id IS NOT NULL THEN 'This manager is already assigned to another department' END AS refused
+               FROM asked a LEFT JOIN dept d ON lower(d.dept_name) = a.n LEFT JOIN emp e ON e.emp_id = a.m LEFT JOIN dept b ON b.manager_id = a.m),
+        open AS (SELECT * FROM tested WHERE refused IS NULL),
+        {rounds_sql('open', ('n', 'm'))},
+        made AS (SELECT k, n, row_number() OVER (ORDER BY k) + (SELECT max(dept_id) FROM dept) AS dept_id FROM won)
+        SELECT t.request_id, i.dept_id IS NOT NULL AS accepted, coalesce(i.dept_id, -1) AS dept_id,
+               CASE WHEN i.dept_id IS NOT NULL THEN 'Department added successfully' WHEN x.k < t.k THEN 'This department name already exists'
+                    ELSE coalesce(refused, 'This manager is already assigned to another department') END AS message
+        FROM tested t LEFT JOIN made i ON i.k = t.k LEFT JOIN won x ON x.n = t.n""",
+        recursive=True,
+    ),
+)
 def department_add(r: Roles) -> DataFrame:
-    """Two rules at once, served in order: checked against a plain loop in the tests."""
+    """Two rules at once, served in order; the tests compare it with a plain loop as well."""
     return staffing.add_departments(department_adds(r), r.department, r.employee).outcomes.withColumns(
         or_minus_one("dept_id")
     )
@@ -789,9 +826,31 @@ def applicants(r: Roles) -> DataFrame:
     )
 
 
-@registry.add("employee_hire")
+@registry.add(
+    "employee_hire",
+    with_roles(
+        "ev emp dept",
+        f"""asked AS (SELECT request_id, (request_ts, request_id) AS k, 's' || (request_id % 4000) AS s, '010' || (request_id * 7 % 5003) AS p,
+                 'mail' || (request_id * 3 % 4001 + emp_id // 12) || '@ward.test' AS m, request_id % 27 AS dept_id FROM ev),
+        flags AS (SELECT a.*, e.status AS status, ep.emp_id IS NOT NULL AS p_used, em.emp_id IS NOT NULL AS m_used, d.dept_id IS NULL AS no_dept
+               FROM asked a LEFT JOIN emp e ON lower(e.ssn) = a.s LEFT JOIN emp ep ON ep.phone = a.p LEFT JOIN emp em ON em.email = a.m
+               LEFT JOIN dept d ON d.dept_id = a.dept_id),
+        open AS (SELECT * FROM flags WHERE status IS NULL AND NOT p_used AND NOT m_used AND NOT no_dept),
+        {rounds_sql('open', ('s', 'p', 'm'))},
+        made AS (SELECT k, row_number() OVER (ORDER BY k) + (SELECT max(emp_id) FROM emp) AS emp_id FROM won)
+        SELECT f.request_id, i.emp_id IS NOT NULL AS accepted, coalesce(i.emp_id, -1) AS emp_id,
+               CASE WHEN i.emp_id IS NOT NULL THEN 'Employee Added Successfully'
+                    WHEN status = 'Inactive' THEN 'This Employee cannot be re-hired because he/she is inactive'
+                    WHEN status = 'active' OR ws.k < f.k THEN 'This Employee is already working with us'
+                    WHEN p_used OR wp.k < f.k THEN 'This phone number is already used by another employee'
+                    WHEN m_used OR wm.k < f.k THEN 'This email address is already used by another employee'
+                    ELSE 'This department does not exist' END AS message
+        FROM flags f LEFT JOIN made i ON i.k = f.k LEFT JOIN won ws ON ws.s = f.s LEFT JOIN won wp ON wp.p = f.p LEFT JOIN won wm ON wm.m = f.m""",
+        recursive=True,
+    ),
+)
 def employee_hire(r: Roles) -> DataFrame:
-    """Three rules at once, served in order: checked against a plain loop in the tests."""
+    """Three rules at once, served in order; the tests compare it with a plain loop as well."""
     return staffing.hire(applicants(r), r.employee, r.department, moment(TODAY)).outcomes.withColumns(
         or_minus_one("emp_id")
     )

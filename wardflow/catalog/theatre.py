@@ -99,7 +99,7 @@ def recovery_load_by_date(r: Roles) -> DataFrame:
 def surgery_requests(r: Roles, manual: bool = False) -> DataFrame:
     """Orders as surgery requests, five dates a month, asked for more than a year ahead.
 
-    Urgent orders name a team; orders of status P come too late.
+    Urgent orders (manual: all) name a team; orders of status P come too late.
     """
     month = F.trunc(F.col("order_date"), "MM")
     wanted = F.date_add(month, (F.col("request_id") % 5 * 3).cast("int"))
@@ -113,7 +113,7 @@ def surgery_requests(r: Roles, manual: bool = False) -> DataFrame:
         F.concat(F.lit("nation_"), (F.col("request_id") % 26).cast("string")).alias("surgery_name"),
         wanted.alias("surgery_date"),
         "payment_method",
-        F.when(F.col("payment_method") == "1-URGENT", F.col("request_id") % 6 + 1).alias("stuff_id"),
+        F.when(F.lit(manual) | (F.col("payment_method") == "1-URGENT"), F.col("request_id") % 6 + 1).alias("stuff_id"),
     )
     if not manual:
         return asked
@@ -138,16 +138,85 @@ def schedule(r: Roles, mode: str):
     )
 
 
-@registry.add("surgery_schedule_auto")
+def schedule_sql(mode: str) -> str:
+    """SQL that serves the n-th open request of every date in the n-th round.
+
+    ``slots`` and ``loads`` carry what is taken on the date so far.
+    """
+    auto = mode == "auto"
+    past = "CAST(surgery_date AS TIMESTAMP) < request_ts" if auto else "surgery_date < CAST(request_ts AS DATE)"
+    friday = "WHEN dayname(surgery_date) = 'Friday' THEN '? Cannot schedule surgery on Friday. Staff is unavailable.'" if auto else ""
+    team = "CASE WHEN o.payment_method = '1-URGENT' THEN o.request_id % 6 + 1 END" if auto else "o.request_id % 6 + 1"
+    start = "CAST(NULL AS BIGINT)" if auto else "CASE WHEN o.payment_method <> '5-LOW' THEN o.request_id % 12 * 3600 + 25200 END"
+    touching = "x.s <= e AND s <= x.e"
+    if auto:
+        team_test = ""
+        team_pick = f"coalesce(team, list_min(list_filter([1, 2, 3, 4, 5, 6], lambda t: len(list_filter(slots, lambda x: x.team = t AND {touching})) = 0)))"
+    else:
+        team_test = f"WHEN len(list_filter(slots, lambda x: x.team = team AND {touching})) > 0 THEN '{surgery.TEAM_BUSY}'"
+        team_pick = "team"
+    return with_roles(
+        "ord emp emp_shift order_shifts theatre surgeries stays",
+        f"""desk AS (SELECT DISTINCT s.start_time AS b, s.end_time AS e FROM order_shifts s JOIN emp_shift x ON x.shift_id = s.shift_id
+                JOIN emp m ON m.emp_id = x.emp_id AND m.type = 'Receptionist'),
+        asked AS (SELECT o.request_id, o.request_ts + CASE WHEN order_status = 'P' THEN INTERVAL 400 DAY ELSE INTERVAL (-400) DAY END AS request_ts,
+                  o.p_id, CAST(date_trunc('month', order_date) AS DATE) + CAST(o.request_id % 5 * 3 AS INTEGER) AS surgery_date,
+                  {team} AS team, {start} AS start, n.n_nationkey AS kind, n.n_nationkey * 10 + 30 AS minutes, d.emp_id IS NOT NULL AS consultant
+                FROM ord o LEFT JOIN nation n ON n.n_nationkey = o.request_id % 26 LEFT JOIN emp d ON d.emp_id = o.p_id AND d.type = 'consultant_doctor'),
+        tested AS (SELECT a.*, CASE WHEN NOT consultant THEN '? The selected doctor is either not found or not a consultant doctor.'
+                  WHEN {past} THEN '? Cannot schedule surgery in the past.' {friday}
+                  WHEN NOT EXISTS (SELECT 1 FROM desk WHERE hour(a.request_ts) * 3600 + minute(a.request_ts) * 60 + second(a.request_ts) BETWEEN b AND e)
+                    THEN '? No receptionist available now.'
+                  WHEN kind IS NULL THEN '? Surgery not found.' END AS guard FROM asked a),
+        open AS (SELECT *, row_number() OVER (PARTITION BY surgery_date ORDER BY request_ts, request_id) AS n FROM tested WHERE guard IS NULL),
+        days AS (SELECT DISTINCT surgery_date FROM open),
+        loads AS (SELECT d.surgery_date, list({{'n': (SELECT count(*) FROM stays y WHERE y.room_id = t.room_id AND y.checkin <= d.surgery_date AND y.checkout >= d.surgery_date),
+                          'room': CAST(t.room_id AS BIGINT)}}) AS loads FROM days d, theatre t WHERE lower(t.room_type) = 'recovery' GROUP BY 1),
+        slots AS (SELECT d.surgery_date, list({{'room': CAST(s.room_id AS BIGINT), 'doc': CAST(s.doctor_id AS BIGINT), 'pat': CAST(s.p_id AS BIGINT), 'team': CAST(s.stuff_id AS BIGINT),
+                          's': CAST(s.start_time AS BIGINT), 'e': CAST(s.end_time AS BIGINT)}}) FILTER (WHERE s.room_id IS NOT NULL) AS slots
+                  FROM days d LEFT JOIN surgeries s ON s.surgery_date = d.surgery_date GROUP BY 1),
+        served AS (
+          SELECT surgery_date, CAST(0 AS BIGINT) AS n, coalesce(slots, []) AS slots, loads, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS refused,
+                 CAST(NULL AS BIGINT) AS room, CAST(NULL AS BIGINT) AS rest, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e
+          FROM slots JOIN loads USING (surgery_date)
+          UNION ALL
+          SELECT surgery_date, n, CASE WHEN refused IS NULL THEN list_append(slots, {{'room': room, 'doc': p_id, 'pat': p_id, 'team': picked, 's': s, 'e': e}}) ELSE slots END,
+                 CASE WHEN refused IS NULL THEN list_transform(loads, lambda x: CASE WHEN x.room = rest THEN {{'n': x.n + 1, 'room': x.room}} ELSE x END) ELSE loads END,
+                 request_id, refused, room, rest, s, e
+          FROM (
+            SELECT *, CASE WHEN room IS NULL OR e > 86400 THEN '{surgery.NO_ROOM}'
+                      WHEN len(list_filter(slots, lambda x: (x.doc = p_id OR x.pat = p_id) AND {touching})) > 0 THEN '{surgery.BUSY[mode]}'
+                      {team_test} WHEN picked IS NULL THEN '{surgery.NO_TEAM}' END AS refused
+            FROM (
+              SELECT *, CAST({team_pick} AS BIGINT) AS picked, list_min(loads).room AS rest FROM (
+                SELECT *, s + minutes * 60 AS e FROM (
+                  SELECT v.surgery_date, o.n, v.slots, v.loads, o.request_id, o.p_id, o.team, o.minutes,
+                         CASE WHEN o.start IS NULL THEN v.pick.t ELSE o.start END AS s,
+                         CASE WHEN o.start IS NULL THEN v.pick.r ELSE list_min(list_filter(range(0, 8), lambda r: len(list_filter(v.slots, lambda x: x.room = r AND x.s <= o.start AND o.start <= x.e)) = 0)) END AS room
+                  FROM (SELECT *, list_min(list_transform(range(0, 8), lambda r: {{'t': coalesce(list_max(list_transform(list_filter(slots, lambda x: x.room = r), lambda x: x.e)) + 3600, 25200), 'r': r}})) AS pick
+                        FROM served) v
+                  JOIN open o ON o.surgery_date = v.surgery_date AND o.n = v.n + 1))))),
+        made AS (SELECT v.*, row_number() OVER (ORDER BY o.request_ts, o.request_id) + (SELECT max(reservation_id) FROM surgeries) AS reservation_id
+                 FROM served v JOIN open o ON o.request_id = v.request_id WHERE v.refused IS NULL)
+        SELECT t.request_id, m.reservation_id IS NOT NULL AS accepted, coalesce(m.reservation_id, -1) AS reservation_id,
+               coalesce(t.guard, v.refused, '? Surgery scheduled: ' || strftime(t.surgery_date, '%Y-%m-%d') || ' from ' || lpad(CAST(m.s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(m.s // 60 % 60 AS VARCHAR), 2, '0')
+                 || ' to ' || lpad(CAST(m.e // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(m.e // 60 % 60 AS VARCHAR), 2, '0') || '. OR Room: ' || m.room || ', Recovery Room: ' || m.rest
+                 || '. Reservation ID: ' || m.reservation_id) AS message
+        FROM tested t LEFT JOIN served v ON v.request_id = t.request_id LEFT JOIN made m ON m.request_id = t.request_id""",
+        recursive=True,
+    )
+
+
+@registry.add("surgery_schedule_auto", schedule_sql("auto"))
 def surgery_schedule_auto(r: Roles) -> DataFrame:
-    """Served one after the other per date: checked against a plain loop in the tests."""
+    """Served one after the other per date; the tests compare it with a plain loop as well."""
     out = schedule(r, "auto").outcomes
     return out.withColumn("reservation_id", F.coalesce("reservation_id", F.lit(-1)))
 
 
-@registry.add("surgery_schedule_manual")
+@registry.add("surgery_schedule_manual", schedule_sql("manual"))
 def surgery_schedule_manual(r: Roles) -> DataFrame:
-    """Served one after the other per date: checked against a plain loop in the tests."""
+    """Served one after the other per date; the tests compare it with a plain loop as well."""
     out = schedule(r, "manual").outcomes
     return out.withColumn("reservation_id", F.coalesce("reservation_id", F.lit(-1)))
 

@@ -16,9 +16,9 @@ def accept_in_order(requests: DataFrame, claims: Sequence[str]) -> DataFrame:
 
     Same result as a loop over the requests, reached in rounds: whoever is first in
     line for all its values is accepted, whoever shares a value with an accepted
-    request is out, the rest goes to the next round. Rounds are few because a chain
-    of refusals halves fast; one claim column needs a single pass. NULL claims
-    never collide.
+    request is out, the rest goes to the next round. One claim column needs a single
+    pass; with several, the number of rounds is half the longest chain of requests
+    that each clash with the one before, in order. NULL claims never collide.
     """
     claims = list(claims)
     waiting = requests.select(*REQUEST_ORDER, *claims)

@@ -170,8 +170,10 @@ def _placer(mode: str, rooms: list[int], teams: list[int], wrap: bool) -> Callab
                     team = int(r.stuff_id)
                     if mode == "manual" and is_busy("team", team, start, end):
                         refused = TEAM_BUSY
-                elif mode == "auto":
-                    team = next((t for t in teams if not is_busy("team", t, start, end)), None)
+                else:
+                    # A manual request has to name its team.
+                    if mode == "auto":
+                        team = next((t for t in teams if not is_busy("team", t, start, end)), None)
                     refused = NO_TEAM if team is None else None
             if refused is None:
                 if load:
@@ -184,8 +186,7 @@ def _placer(mode: str, rooms: list[int], teams: list[int], wrap: bool) -> Callab
                 free[room] = free_at(room)
                 taken["doctor"][int(r.doc_id)].append((start, end))
                 taken["patient"][int(r.p_id)].append((start, end))
-                if team is not None:
-                    taken["team"][team].append((start, end))
+                taken["team"][team].append((start, end))
                 rows.append((r.request_id, r.surgery_date, None, room, recovery, team, start, end))
             else:
                 rows.append((r.request_id, r.surgery_date, refused, None, None, None, None, None))
