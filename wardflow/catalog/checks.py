@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.catalog.common import Registry, amount, day
+from wardflow.functions.clock import clock_text, day_first_text
 from wardflow.functions.money import money
 from wardflow.operators import quality
 from wardflow.operators.snapshots import append, replace_keys, update_from, upsert
+from wardflow.session import scratch_path
+from wardflow.sources import loaders
 from wardflow.sources.roles import Roles, with_roles
 
 registry = Registry()
@@ -181,3 +184,71 @@ def snapshot_upsert(r: Roles) -> DataFrame:
         F.max("o_orderpriority").alias("name"), F.max(money("o_totalprice", 12)).alias("amount")
     )
     return upsert(state, source, ["id"], keep=["name"])
+
+
+# ---------------------------------------------------------------- seed files
+
+
+def as_csv(r: Roles, df: DataFrame, name: str) -> str:
+    """Write rows as the headerless CSV files the readers expect."""
+    path = scratch_path(r.spark, name)
+    df.write.option("header", False).csv(path)
+    return path
+
+
+@registry.add(
+    "csv_patients",
+    with_roles("pat", "SELECT p_id, fname, lname, email, '1980-01-01' AS birth_date, 'Female' AS gender, phone, ssn FROM pat"),
+)
+def csv_patients(r: Roles) -> DataFrame:
+    columns = ["p_id", "fname", "lname", "email", "birth_date", "gender", "phone", "ssn"]
+    return loaders.read_table(r.spark, as_csv(r, r.patient.select(*columns), "patients"), "patient")
+
+
+@registry.add(
+    "csv_employees",
+    with_roles(
+        "emp",
+        f"""SELECT emp_id, fname, phone, ssn, {amount('cents')} AS salary, type, dept_id, '1980-01-01' AS birth_date, '2020-01-01' AS start_job, status FROM emp""",
+    ),
+)
+def csv_employees(r: Roles) -> DataFrame:
+    dates = {c: day_first_text(c) for c in ("birth_date", "start_job")}
+    rows = r.employee.withColumns(dates).select(*loaders.EMPLOYEE_LAYOUTS["plain"])
+    read = loaders.read_employees(r.spark, as_csv(r, rows, "employees"))
+    return read.select("emp_id", "fname", "phone", "ssn", "salary", "type", "dept_id", "birth_date", "start_job", "status")
+
+
+@registry.add(
+    "csv_schedule",
+    with_roles("weekly", "SELECT id, examination_price, day, shift_start, shift_end, emp_id, dept_id FROM weekly"),
+)
+def csv_schedule(r: Roles) -> DataFrame:
+    times = {
+        c: F.concat(F.floor(F.col(c) / 3600).cast("string"), F.lit(":00")) for c in ("shift_start", "shift_end")
+    }
+    columns = ["id", "examination_price", "day", "shift_start", "shift_end", "emp_id", "dept_id"]
+    path = as_csv(r, r.weekly.withColumns(times).select(*columns), "schedule")
+    return loaders.read_table(r.spark, path, "doctor_appointments")
+
+
+@registry.add(
+    "csv_dated_shifts",
+    with_roles("order_shifts", f"SELECT shift_id, shift_type, {day('date')} AS date, start_time, end_time FROM order_shifts"),
+)
+def csv_dated_shifts(r: Roles) -> DataFrame:
+    short = {
+        "date": F.date_format("date", "yyyy-M-d"),
+        "start_time": clock_text("start_time"),
+        "end_time": clock_text("end_time"),
+    }
+    rows = r.order_shifts.withColumns(short).select("shift_id", "shift_type", "date", "start_time", "end_time")
+    return loaders.read_table(r.spark, as_csv(r, rows, "shifts"), "shift_appointment")
+
+
+@registry.add(
+    "csv_rooms",
+    with_roles("room", f"SELECT room_id, room_type, {amount('cents')} AS price_per_day FROM room"),
+)
+def csv_rooms(r: Roles) -> DataFrame:
+    return loaders.read_codes(r.spark, as_csv(r, r.room, "rooms"), "room")

@@ -24,35 +24,46 @@ def monthly_salary(
     Active employees without a row at exactly that date get one; every row of that
     date then becomes base pay plus the month's rewards minus its deductions. Running
     it again changes nothing.
+
+    All four inputs are stacked and summed up per employee: one shuffle, combined
+    before it, instead of a join each. Employees are unique, as are (emp_id, date).
     """
     day = month_date.cast("date")
     columns = ["emp_id", "date", "salary", "total_reward", "total_deduction"]
-    current = salary.filter(F.col("date") == day).select(*columns)
     others = salary.filter(F.col("date") != day).select(*columns)
-    zero = F.lit(0).cast("decimal(18,2)")
-    fresh = (
-        employee.filter(same_text("status", "active"))
-        .join(current, "emp_id", "left_anti")
-        .select("emp_id", day.alias("date"), money("salary", 18).alias("salary"), zero, zero)
-        .toDF(*columns)
+
+    def part(df: DataFrame, **values: Column) -> DataFrame:
+        return df.select("emp_id", *[value.alias(name) for name, value in values.items()])
+
+    stacked = part(
+        employee, base=money("salary", 18), active=same_text("status", "active")
     )
-    rewards = reward.filter(within_month("date", day)).groupBy("emp_id").agg(F.sum("amount").alias("rewarded"))
-    deducted = deduction.filter(within_month("date", day)).groupBy("emp_id").agg(F.sum("amount").alias("deducted"))
-    base = employee.select("emp_id", F.col("salary").alias("base"))
-    totals = (
-        current.unionByName(fresh)
-        .join(base, "emp_id", "left")
-        .join(rewards, "emp_id", "left")
-        .join(deducted, "emp_id", "left")
+    for other in (
+        part(
+            salary.filter(F.col("date") == day),
+            on_file=F.lit(True),
+            old_salary=F.col("salary"),
+            old_reward=F.col("total_reward"),
+            old_deduction=F.col("total_deduction"),
+        ),
+        part(reward.filter(within_month("date", day)), rewarded=money("amount", 18)),
+        part(deduction.filter(within_month("date", day)), deducted=money("amount", 18)),
+    ):
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    sums = ("rewarded", "deducted")
+    per_employee = stacked.groupBy("emp_id").agg(
+        *[F.max(c).alias(c) for c in stacked.columns if c != "emp_id" and c not in sums],
+        *[F.sum(c).alias(c) for c in sums],
     )
+    zero = F.lit(0).cast("decimal(18,2)")
     known = F.col("base").isNotNull()
     plus, minus = F.coalesce("rewarded", zero), F.coalesce("deducted", zero)
-    paid = totals.select(
+    paid = per_employee.filter("on_file or active").select(
         "emp_id",
-        "date",
-        money(F.when(known, F.col("base") + plus - minus).otherwise(F.col("salary")), 18).alias("salary"),
-        money(F.when(known, plus).otherwise(F.col("total_reward")), 18).alias("total_reward"),
-        money(F.when(known, minus).otherwise(F.col("total_deduction")), 18).alias("total_deduction"),
+        day.alias("date"),
+        money(F.when(known, F.col("base") + plus - minus).otherwise(F.col("old_salary")), 18).alias("salary"),
+        money(F.when(known, plus).otherwise(F.col("old_reward")), 18).alias("total_reward"),
+        money(F.when(known, minus).otherwise(F.col("old_deduction")), 18).alias("total_deduction"),
     )
     return others.unionByName(paid)
 

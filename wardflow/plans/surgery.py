@@ -245,7 +245,8 @@ def _place_all(
     surgeries = surgeries.select(*slot_columns)
     operating = room.filter(same_text("room_type", "surgery"))
     loads = materialize(recovery_loads(requests.select("surgery_date").distinct(), room, stays), "loads")
-    waiting = materialize(requests, "requests")
+    waiting = requests
+    tasks = requests.sparkSession.sparkContext.defaultParallelism
     line = Window.partitionBy("surgery_date").orderBy(*REQUEST_ORDER)
     done = None
     while True:
@@ -266,9 +267,11 @@ def _place_all(
         most = (used.agg(F.max("n")).first()[0] or 0) + REQUESTS_PER_ROUND
         room_ids = _lowest(operating, "room_id", most)
         team_ids = _lowest(teams, "stuff_id", most)
+        # Placing costs time, not bytes: spread the dates over all cores, however small the rows.
         placed = (
-            turn_rows.groupBy("surgery_date")
-            .cogroup(busy.groupBy("surgery_date"))
+            turn_rows.repartition(tasks, "surgery_date")
+            .groupBy("surgery_date")
+            .cogroup(busy.repartition(tasks, "surgery_date").groupBy("surgery_date"))
             .applyInPandas(_placer(mode, room_ids, team_ids, wrap), PLACED)
         )
         placed = materialize(placed, "placed")
