@@ -89,7 +89,12 @@ def slot_menu(slots: DataFrame, keys: Sequence[str], start: str, end: str, pick:
     return shapes.groupBy(*keys).agg(F.collect_list(entry).alias(name))
 
 
-def pick_on_duty(menu: Column, clock: Column, wrap: bool = False) -> Column:
-    """Lowest pick among the menu's shapes that cover the time of day."""
-    covering = F.filter(menu, lambda s: on_duty(clock, s["start"], s["end"], wrap))
-    return F.array_min(F.transform(covering, lambda s: s["pick"]))
+def pick_on_duty(menu: str, clock: str, wrap: bool = False) -> Column:
+    """Lowest pick among the menu's shapes that cover the time of day.
+
+    Both are column names: the clock is looked at once per shape, so it must not be
+    an expression that is worked out again each time.
+    """
+    return F.array_min(
+        F.transform(menu, lambda s: F.when(on_duty(clock, s["start"], s["end"], wrap), s["pick"]))
+    )

@@ -69,7 +69,7 @@ def radiology_changes(changes: DataFrame, radiology: DataFrame) -> JobResult:
 
 
 def _order_items(lines: DataFrame, catalogue: DataFrame, name: str, item_id: str) -> DataFrame:
-    """Ordered names, one row per request and name, with the catalogue's id and price.
+    """Ordered names, one row per request and spelling, with the catalogue's id and price.
 
     Lines are combined before the catalogue is joined; ``n`` says how often the name
     was listed, an unknown name has no id.
@@ -77,9 +77,7 @@ def _order_items(lines: DataFrame, catalogue: DataFrame, name: str, item_id: str
     items = catalogue.groupBy(folded(name).alias("_name")).agg(
         F.min(F.struct(F.col(item_id).alias("item_id"), "price")).alias("_item")
     )
-    named = lines.groupBy("request_id", folded("name").alias("_name")).agg(
-        F.count("*").alias("n"), F.min("name").alias("name")
-    )
+    named = lines.groupBy("request_id", folded("name").alias("_name"), "name").agg(F.count("*").alias("n"))
     found = named.join(items, "_name", "left").select(
         "request_id", "name", "_name", "n", "_item.item_id", "_item.price"
     )
@@ -87,11 +85,14 @@ def _order_items(lines: DataFrame, catalogue: DataFrame, name: str, item_id: str
 
 
 def _order_totals(items: DataFrame) -> DataFrame:
-    return items.groupBy("request_id").agg(
+    """Per request: lines, known lines, their price, and whether an examination is listed twice."""
+    per_item = items.groupBy("request_id", "item_id").agg(F.sum("n").alias("n"), F.max("price").alias("price"))
+    known = F.col("item_id").isNotNull()
+    return per_item.groupBy("request_id").agg(
         F.sum("n").alias("line_count"),
-        F.sum(F.when(F.col("item_id").isNotNull(), F.col("n")).otherwise(0)).alias("known_count"),
+        F.sum(F.when(known, F.col("n")).otherwise(0)).alias("known_count"),
         F.sum(F.col("n") * F.col("price")).alias("total"),
-        (F.max("n") > 1).alias("repeated"),
+        (F.max(F.when(known, F.col("n"))) > 1).alias("repeated"),
     )
 
 

@@ -22,12 +22,11 @@ def with_doctor(
         ["emp_id", price],
         "_doctors",
     )
-    clock = seconds_of_day("request_ts")
     return (
-        requests.withColumn("_weekday", weekday("request_ts"))
+        requests.withColumns({"_weekday": weekday("request_ts"), "_clock": seconds_of_day("request_ts")})
         .join(menu, ["dept_id", "_weekday"], "left")
-        .withColumn("duty_doctor", pick_on_duty(F.col("_doctors"), clock, wrap))
-        .drop("_weekday", "_doctors")
+        .withColumn("duty_doctor", pick_on_duty("_doctors", "_clock", wrap))
+        .drop("_weekday", "_doctors", "_clock")
     )
 
 
@@ -56,14 +55,15 @@ def with_receptionist(
     clock alone, whatever the date.
     """
     slots = receptionist_slots(employee, emp_shift, dated)
-    clock = seconds_of_day("request_ts")
+    requests = requests.withColumn("_clock", seconds_of_day("request_ts"))
     if today_only:
         menu = slot_menu(slots, ["_date"], "start_time", "end_time", ["emp_id"], "_desk")
         joined = requests.withColumn("_date", F.to_date("request_ts")).join(menu, "_date", "left").drop("_date")
     else:
         menu = slot_menu(slots, [], "start_time", "end_time", ["emp_id"], "_desk")
         joined = requests.withColumn("_desk", menu.scalar())
-    return joined.withColumn("receptionist_id", pick_on_duty(F.col("_desk"), clock, wrap)["emp_id"]).drop("_desk")
+    found = pick_on_duty("_desk", "_clock", wrap)["emp_id"]
+    return joined.withColumn("receptionist_id", found).drop("_desk", "_clock")
 
 
 def department_doctor(requests: DataFrame, employee: DataFrame, weekly: DataFrame, dept_id: int, name: str) -> DataFrame:

@@ -7,9 +7,11 @@ definitions as common table expressions for the SQL checks.
 from __future__ import annotations
 
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wardflow.functions.money import money
 from wardflow.session import materialize
@@ -24,11 +26,17 @@ SHIFTS = ((1, "morning", 43200, 0), (2, "evening", 0, 43200), (3, "day", 28800,
 class Roles:
     """Hospital tables over one folder of Parquet test tables."""
 
+    # Layouts already read from a file's footer, by path.
+    _layouts: ClassVar[dict[str, StructType]] = {}
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in self._layouts:
+            self._layouts[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._layouts[path]).parquet(path)
 
     @cached_property
     def events(self) -> DataFrame:
