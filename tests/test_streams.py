@@ -31,12 +31,15 @@ def test_first_check_in_per_day_across_batches(spark, tmp_path):
 
 
 def test_missing_check_outs_appear_after_the_deadline(spark, tmp_path):
-    ends = frame(spark, [(e, D(2024, 1, 10), TS(2024, 1, 10, 16)) for e in (1, 2, 3)], "emp_id int, attend_date date, shift_end timestamp")
+    people = frame(spark, [(1, "Doctor"), (2, "nurse"), (3, "nurse"), (4, "nurse")], "emp_id int, type string")
+    weekly = table(spark, "doctor_appointments", [dict(id=1, examination_price=1, day="Wednesday", shift_start=28800, shift_end=57600, emp_id=1, dept_id=1)])
+    dated = table(spark, "shift_appointment", [dict(shift_id=1, shift_type="x", date=D(2024, 1, 10), start_time=28800, end_time=57600)])
+    emp_shift = table(spark, "emp_shift", [dict(emp_id=e, shift_id=1) for e in (2, 3)])
     ins = [[(e, TS(2024, 1, 10, 9)) for e in (1, 2, 3, 4)], [(9, TS(2024, 1, 14, 9))]]
     outs = [[(1, TS(2024, 1, 10, 15)), (2, TS(2024, 1, 10, 16, 31))], [(9, TS(2024, 1, 14, 9))]]
     ddl = "emp_id int, ts timestamp"
     (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
-    pairs = attendance.pair_check_outs(files(spark, tmp_path / "a", ins, ddl), files(spark, tmp_path / "b", outs, ddl), ends)
+    pairs = attendance.pair_check_outs(files(spark, tmp_path / "a", ins, ddl), files(spark, tmp_path / "b", outs, ddl), people, weekly, dated, emp_shift)
     to_folder(pairs, f"{tmp_path}/out", f"{tmp_path}/state")
     settled = attendance.settled_days(spark.read.schema(pairs.schema).parquet(f"{tmp_path}/out"))
     assert rows(settled, "emp_id", "checkout", "missing") == [(1, TS(2024, 1, 10, 15), False), (2, None, True), (3, None, True)]

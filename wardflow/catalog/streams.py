@@ -68,9 +68,9 @@ SETTLED = "2024-01-26"
 def stream_missing_checkout(r: Roles) -> DataFrame:
     """Signups and views are arrivals, clicks and errors departures; days before the last ones are settled."""
     out = scratch_path(r.spark, "pairs")
-    days = r.dated.select(F.col("date").alias("attend_date")).distinct()
-    ends = attendance.shift_ends(r.employee, r.weekly, r.dated, r.emp_shift, days)
-    pairs = attendance.pair_check_outs(event_stream(r, "signup", "view"), event_stream(r, "click", "error"), ends)
+    pairs = attendance.pair_check_outs(
+        event_stream(r, "signup", "view"), event_stream(r, "click", "error"), r.employee, r.weekly, r.dated, r.emp_shift
+    )
     to_folder(pairs, f"{out}/rows", f"{out}/state")
     settled = attendance.settled_days(r.spark.read.schema(pairs.schema).parquet(f"{out}/rows"))
     return settled.filter(F.col("attend_date") < F.lit(SETTLED).cast("date")).select("emp_id", "attend_date", "missing")

@@ -146,15 +146,19 @@ def apply_attendance_deduction(penalties: DataFrame, deduction: DataFrame) -> Da
     return replace_keys(deduction.select("emp_id", "type", "date", "amount"), rows, ["emp_id", "date"])
 
 
-def shift_end(day: str, start: str, end: str) -> Column:
-    """When a shift of that day ends: 00:00 means 23:59, an end before the start the next day."""
+def end_offset(start: str, end: str) -> Column:
+    """Seconds from a day's midnight to the end of its shift: 00:00 means 23:59, an end
+    before the start the next day."""
     return (
-        F.when(F.col(end) == 0, at_time(day, F.lit(86_340)))
-        .when(F.col(end) < F.col(start), at_time(F.date_add(day, 1), end))
-        .otherwise(at_time(day, end))
+        F.when(F.col(end) == 0, F.lit(86_340)).when(F.col(end) < F.col(start), F.col(end) + 86_400).otherwise(F.col(end))
     )
 
 
+def shift_end(day: str, start: str, end: str) -> Column:
+    """When a shift of that day ends."""
+    return at_time(day, end_offset(start, end))
+
+
 def missing_checkout(
     attendance: DataFrame,
     employee: DataFrame,
@@ -181,8 +185,9 @@ def missing_checkout(
     doctor_hours = weekly.select(
         "emp_id", F.col("day").alias("weekday"), F.col("shift_start").alias("start"), F.col("shift_end").alias("end")
     )
-    staff_hours = emp_shift.join(dated, "shift_id").select(
-        "emp_id",
+    # The day comes with the open row, so a person meets one date of their shift, not all.
+    dated_hours = dated.select(
+        "shift_id",
         F.col("date").alias("attend_date"),
         F.col("start_time").alias("start"),
         F.col("end_time").alias("end"),
@@ -191,7 +196,10 @@ def missing_checkout(
     timed = (
         open_days.filter("doctor").join(doctor_hours, ["emp_id", "weekday"]).select(*columns)
     ).unionByName(
-        open_days.filter("not doctor").join(staff_hours, ["emp_id", "attend_date"]).select(*columns)
+        open_days.filter("not doctor")
+        .join(emp_shift.select("emp_id", "shift_id"), "emp_id")
+        .join(dated_hours, ["shift_id", "attend_date"])
+        .select(*columns)
     )
     grace = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(grace_minutes))
     missed = timed.withColumn("shift_end", shift_end("attend_date", "start", "end")).filter(

@@ -31,13 +31,14 @@ def with_doctor(
 
 
 def receptionist_slots(employee: DataFrame, emp_shift: DataFrame, dated: DataFrame) -> DataFrame:
-    """Dated shifts of the receptionists."""
+    """Dated shifts with the lowest receptionist assigned to them.
+
+    People are reduced to one per shift before the dates come in; joining everybody
+    with every date of their shift would multiply the two.
+    """
     staff = employee.filter(same_text("type", "receptionist")).select("emp_id")
-    return (
-        emp_shift.join(staff, "emp_id")
-        .join(dated, "shift_id")
-        .select("emp_id", F.col("date").alias("_date"), "start_time", "end_time")
-    )
+    lowest = emp_shift.join(staff, "emp_id").groupBy("shift_id").agg(F.min("emp_id").alias("emp_id"))
+    return dated.join(lowest, "shift_id").select("emp_id", F.col("date").alias("_date"), "start_time", "end_time")
 
 
 def with_receptionist(

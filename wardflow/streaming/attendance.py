@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.functions.clock import weekday
+from wardflow.functions.clock import at_time, weekday
 from wardflow.functions.text import same_text
-from wardflow.plans.attendance import shift_end
+from wardflow.plans.attendance import end_offset
 
 SALTS = 16
 
@@ -30,25 +30,43 @@ def first_check_ins(events: DataFrame, delay: str = "24 hours") -> DataFrame:
     )
 
 
-def shift_ends(employee: DataFrame, weekly: DataFrame, dated: DataFrame, emp_shift: DataFrame, days: DataFrame) -> DataFrame:
-    """End of shift per employee and day: weekly slots for doctors, dated shifts for staff."""
-    staff = employee.select("emp_id", same_text("type", "doctor").alias("doctor"))
-    doctors = (
-        weekly.join(staff.filter("doctor"), "emp_id")
-        .join(days.select("attend_date", weekday("attend_date").alias("day")), "day")
-        .select("emp_id", "attend_date", F.col("shift_start").alias("start"), F.col("shift_end").alias("end"))
+def with_shift_end(
+    arrivals: DataFrame, employee: DataFrame, weekly: DataFrame, dated: DataFrame, emp_shift: DataFrame
+) -> DataFrame:
+    """Add the end of the day's shift: the first weekly slot to end for doctors, the
+    assigned dated shift for everybody else. Days without a shift are left out.
+
+    ``arrivals``: emp_id, attend_date. Every arrival meets the slots of its own day only.
+    """
+    doctor = same_text("type", "doctor")
+    slots = weekly.groupBy("emp_id", F.col("day").alias("_weekday")).agg(
+        F.min(end_offset("shift_start", "shift_end")).alias("_slot_end")
     )
-    others = (
-        emp_shift.join(staff.filter("not doctor"), "emp_id")
-        .join(dated, "shift_id")
-        .select("emp_id", F.col("date").alias("attend_date"), F.col("start_time").alias("start"), F.col("end_time").alias("end"))
+    shifts = dated.select(
+        "shift_id", F.col("date").alias("attend_date"), end_offset("start_time", "end_time").alias("_shift_end")
     )
-    timed = doctors.unionByName(others).withColumn("shift_end", shift_end("attend_date", "start", "end"))
-    return timed.groupBy("emp_id", "attend_date").agg(F.min("shift_end").cast("timestamp").alias("shift_end"))
+    timed = (
+        arrivals.withColumn("_weekday", weekday("attend_date"))
+        .join(employee.select("emp_id", doctor.alias("_doctor")), "emp_id")
+        .join(slots, ["emp_id", "_weekday"], "left")
+        .join(emp_shift.select("emp_id", "shift_id"), "emp_id", "left")
+        .join(shifts, ["shift_id", "attend_date"], "left")
+        .withColumn("_offset", F.when(F.col("_doctor"), F.col("_slot_end")).otherwise(F.col("_shift_end")))
+        .filter(F.col("_offset").isNotNull())
+    )
+    ends = at_time("attend_date", "_offset").cast("timestamp")
+    return timed.select(*arrivals.columns, ends.alias("shift_end"))
 
 
 def pair_check_outs(
-    check_ins: DataFrame, check_outs: DataFrame, ends: DataFrame, grace_minutes: int = 30, delay: str = "1 hour"
+    check_ins: DataFrame,
+    check_outs: DataFrame,
+    employee: DataFrame,
+    weekly: DataFrame,
+    dated: DataFrame,
+    emp_shift: DataFrame,
+    grace_minutes: int = 30,
+    delay: str = "1 hour",
 ) -> DataFrame:
     """Check-ins with the check-outs of the same day up to shift end plus grace.
 
@@ -57,13 +75,10 @@ def pair_check_outs(
     ``check_outs``: emp_id, ts; days without a shift are left out.
     """
     grace = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(grace_minutes))
-    arrivals = (
-        check_ins.withWatermark("ts", delay)
-        .withColumn("attend_date", F.to_date("ts"))
-        .join(ends, ["emp_id", "attend_date"])
-        .select("emp_id", "attend_date", F.col("ts").alias("checkin"), "shift_end")
-        .alias("a")
+    dated_ins = check_ins.withWatermark("ts", delay).select(
+        "emp_id", F.to_date("ts").alias("attend_date"), F.col("ts").alias("checkin")
     )
+    arrivals = with_shift_end(dated_ins, employee, weekly, dated, emp_shift).alias("a")
     departures = (
         check_outs.withWatermark("ts", delay)
         .select("emp_id", F.to_date("ts").alias("attend_date"), F.col("ts").alias("checkout"))
