@@ -7,7 +7,7 @@ import os
 import time
 
 from wardflow.catalog import index
-from wardflow.session import bench_cpus, build_session
+from wardflow.session import bench_cpus, build_session, clear_scratch
 
 HEADLINE = (
     "monthly_salary",
@@ -58,6 +58,7 @@ def main() -> None:
         start = time.perf_counter()
         registered[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        clear_scratch(spark)
     spark.stop()
     print(
         json.dumps(

@@ -225,3 +225,27 @@ def test_quality(spark):
     filled = quality.fill_defaults(df, {"n": F.lit(0)})
     assert filled.filter("n is null").count() == 0
     assert dt.date(2024, 1, 1) == D(2024, 1, 1)
+
+
+def test_scratch_tables_live_until_cleared(spark):
+    from wardflow.session import clear_scratch, materialize, scratch_dir
+
+    clear_scratch(spark)
+    kept = materialize(frame(spark, [(1,)], "id int"), "kept")
+    assert rows(kept) == [(1,)] and kept.inputFiles()[0].replace("file://", "").startswith(scratch_dir(spark))
+    assert clear_scratch(spark) == 1 and clear_scratch(spark) == 0
+    with pytest.raises(Exception):
+        kept.collect()
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from wardflow.session import scratch_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        scratch_dir(session)
+    session.conf.get = lambda key, default: "hdfs://shared/folder/"
+    assert scratch_dir(session) == "hdfs://shared/folder"

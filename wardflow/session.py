@@ -49,7 +49,28 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+# Scratch paths handed out, per application.
+_handed_out: dict[str, list[str]] = {}
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; returns how many.
+
+    To be called once the results of the jobs are stored: until then they may still
+    read from the scratch folder.
+    """
+    context = spark.sparkContext
+    paths = _handed_out.pop(context.applicationId, [])
+    hadoop = context._jvm.org.apache.hadoop.fs
+    for path in paths:
+        target = hadoop.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
