@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardflow.llm import op2_quality_rules, op6_byte_bpe, op9_token_files
+from wardflow.llm import op2_quality_rules, op5_best_fit_packing, op6_byte_bpe, op8_fingerprints, op9_token_files
 from wardflow.llm.tables import table
 
 
@@ -15,11 +15,20 @@ def op2_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_quality_rules.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op5_best_fit_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return op5_best_fit_packing.pack(table(spark, sf_dir, "documents"), path)
+
+
 def op6_byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return op6_byte_bpe.byte_bpe_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return op9_token_files.token_files(spark, table(spark, sf_dir, "documents"), path)
@@ -28,7 +37,9 @@ def op9_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules_query,
+        "op5_best_fit_packing": op5_best_fit_packing_query,
         "op6_byte_bpe": op6_byte_bpe_query,
+        "op8_fingerprints": op8_fingerprints_query,
         "op9_token_files": op9_token_files_query,
     }
 

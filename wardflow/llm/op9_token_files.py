@@ -123,10 +123,15 @@ def write_token_files(
     bases = np.concatenate([[0], np.cumsum([row["n_tokens"] for row in parts], dtype=np.int64)])
     manifest = [(*row, int(base), width) for row, base in zip(parts, bases)]
     manifest = spark.createDataFrame(manifest, f"{_MANIFEST}, base long, width int")
-    with_offsets = manifest.repartition("part").mapInArrow(_write_offsets(folder), manifest.schema)
+    with_offsets = _one_a_task(manifest, len(parts)).mapInArrow(_write_offsets(folder), manifest.schema)
     return materialize(with_offsets, "manifest")
 
 
+def _one_a_task(manifest: DataFrame, n_parts: int) -> DataFrame:
+    """The manifest with about one part a task; an explicit number keeps small partitions apart."""
+    return manifest.repartitionByRange(max(1, n_parts), "part")
+
+
 def _read_parts(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +159,7 @@ def _read_parts(folder: str):
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
-    return manifest.repartition("part").mapInArrow(
+    return _one_a_task(manifest, manifest.count()).mapInArrow(
         _read_parts(folder), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
