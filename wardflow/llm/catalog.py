@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from wardflow.llm import op2_quality_rules, op5_best_fit_packing, op6_byte_bpe, op8_fingerprints, op9_token_files
+from pyspark.sql import functions as F
+
+from wardflow.llm import (
+    op1_resharding,
+    op2_quality_rules,
+    op5_best_fit_packing,
+    op6_byte_bpe,
+    op8_fingerprints,
+    op9_token_files,
+)
 from wardflow.llm.tables import table
 
 
+def op1_resharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in shards by their source, which differ much in size; they go to 24 of equal bytes."""
+    old = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(24))
+    return op1_resharding.shard_documents(spark, table(spark, sf_dir, "documents"), old, 24)
+
+
 def op2_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_quality_rules.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -36,6 +50,7 @@ def op9_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_resharding": op1_resharding_query,
         "op2_quality_rules": op2_quality_rules_query,
         "op5_best_fit_packing": op5_best_fit_packing_query,
         "op6_byte_bpe": op6_byte_bpe_query,
