@@ -15,6 +15,7 @@ from wardflow.llm import (
     op6_byte_bpe,
     op8_fingerprints,
     op9_token_files,
+    op10_ngram_join,
 )
 from wardflow.llm.tables import table
 
@@ -48,6 +49,11 @@ def op9_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_token_files.token_files(spark, table(spark, sf_dir, "documents"), path)
 
 
+def op10_ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    similarity = op10_ngram_join.Similarity(n=3, num=90, den=100)
+    return op10_ngram_join.jaccard_components(table(spark, sf_dir, "documents"), similarity)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_resharding": op1_resharding_query,
@@ -56,8 +62,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe_query,
         "op8_fingerprints": op8_fingerprints_query,
         "op9_token_files": op9_token_files_query,
+        "op10_ngram_join": op10_ngram_join_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": op2_quality_rules.JUDGE_SQL}
+    return {
+        "op2_quality_rules": op2_quality_rules.JUDGE_SQL,
+        "op10_ngram_join": op10_ngram_join.COMPONENTS_SQL,
+    }
