@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardflow.llm import (
     op1_resharding,
     op2_quality_rules,
+    op3_sentence_spans,
     op5_best_fit_packing,
     op6_byte_bpe,
     op8_fingerprints,
@@ -30,6 +31,10 @@ def op2_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_quality_rules.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op3_sentence_spans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_sentence_spans.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return op5_best_fit_packing.pack(table(spark, sf_dir, "documents"), path)
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_resharding": op1_resharding_query,
         "op2_quality_rules": op2_quality_rules_query,
+        "op3_sentence_spans": op3_sentence_spans_query,
         "op5_best_fit_packing": op5_best_fit_packing_query,
         "op6_byte_bpe": op6_byte_bpe_query,
         "op8_fingerprints": op8_fingerprints_query,
