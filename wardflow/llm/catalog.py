@@ -14,6 +14,7 @@ from wardflow.llm import (
     op3_sentence_spans,
     op5_best_fit_packing,
     op6_byte_bpe,
+    op7_html_labeller,
     op8_fingerprints,
     op9_token_files,
     op10_ngram_join,
@@ -45,6 +46,11 @@ def op6_byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_byte_bpe.byte_bpe_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_html_labeller_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return op7_html_labeller.extract(pages, op7_html_labeller.fit(pages))
+
+
 def op8_fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentence_spans": op3_sentence_spans_query,
         "op5_best_fit_packing": op5_best_fit_packing_query,
         "op6_byte_bpe": op6_byte_bpe_query,
+        "op7_html_labeller": op7_html_labeller_query,
         "op8_fingerprints": op8_fingerprints_query,
         "op9_token_files": op9_token_files_query,
         "op10_ngram_join": op10_ngram_join_query,
