@@ -12,6 +12,7 @@ from wardflow.llm import (
     op1_resharding,
     op2_quality_rules,
     op3_sentence_spans,
+    op4_license_scan,
     op5_best_fit_packing,
     op6_byte_bpe,
     op7_html_labeller,
@@ -36,6 +37,10 @@ def op3_sentence_spans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_sentence_spans.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return op5_best_fit_packing.pack(table(spark, sf_dir, "documents"), path)
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_resharding": op1_resharding_query,
         "op2_quality_rules": op2_quality_rules_query,
         "op3_sentence_spans": op3_sentence_spans_query,
+        "op4_license_scan": op4_license_scan_query,
         "op5_best_fit_packing": op5_best_fit_packing_query,
         "op6_byte_bpe": op6_byte_bpe_query,
         "op7_html_labeller": op7_html_labeller_query,
