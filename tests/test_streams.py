@@ -9,7 +9,7 @@ from tests.frames import D, TS, frame, rows, table
 from wardflow.functions.clock import moment
 from wardflow.plans import pharmacy
 from wardflow.streaming import attendance, operations
-from wardflow.streaming.state import VersionedTable, to_folder
+from wardflow.streaming.state import AppendedTable, VersionedTable, to_folder
 
 
 def files(spark, folder, parts, ddl):
@@ -53,11 +53,20 @@ def test_stock_carries_over_between_batches(spark, tmp_path):
     sold = frame(spark, [], "prescription_id int, drug_id int, quantity bigint, total_price decimal(10,2)")
     alerts = pharmacy.low_stock(drugs.limit(0), moment("2024-01-01 00:00:00"))
     stock = VersionedTable(drugs, f"{tmp_path}/stock")
-    sales = VersionedTable(sold, f"{tmp_path}/sold")
-    last = operations.sell_from_stream(
-        stream, frame(spark, [(i, i) for i in range(30)], "prescription_id int, p_id int"), stock, sales,
-        VersionedTable(alerts, f"{tmp_path}/alerts"), table(spark, "invoice", []), moment("2024-01-10 00:00:00"), f"{tmp_path}/state",
-    )
+    sales = AppendedTable(sold, f"{tmp_path}/sold")
+    waiting = frame(spark, [], "request_id int, request_ts timestamp_ntz, prescription_id int, drug_name string, req_qty int")
+    invoices = AppendedTable(table(spark, "invoice", []), f"{tmp_path}/invoices")
+    details = AppendedTable(table(spark, "invoice_details", []).drop("invoice_details_id"), f"{tmp_path}/details")
+    outcomes = AppendedTable(frame(spark, [], "request_id int, accepted boolean, message string, total decimal(19,2)"), f"{tmp_path}/outcomes")
+
+    def serve(arriving):
+        return operations.sell_from_stream(
+            arriving, frame(spark, [(i, i) for i in range(30)], "prescription_id int, p_id int"), stock, sales,
+            VersionedTable(alerts, f"{tmp_path}/alerts"), VersionedTable(waiting, f"{tmp_path}/waiting"), invoices, details, outcomes,
+            moment("2024-01-10 00:00:00"), f"{tmp_path}/state",
+        )
+
+    last = serve(stream)
     assert last == 2
     asked = {}
     for p in parts:
@@ -67,6 +76,13 @@ def test_stock_carries_over_between_batches(spark, tmp_path):
     assert left == {i: max(0, 20 + i - asked.get(f"drug {i}", 0)) for i in range(3)}
     taken = sales.after(spark, last).groupBy("drug_id").agg(F.sum("quantity").alias("n"))
     assert {r.drug_id: r.n for r in taken.collect()} == {i: 20 + i - left[i] for i in left}
+    answered = outcomes.after(spark, last)
+    assert answered.count() == 24 and answered.filter("accepted").count() == 24
+    made = invoices.after(spark, last)
+    assert made.select("invoice_id").distinct().count() == made.count()
+    assert details.after(spark, last).agg(F.sum("quantity")).first()[0] == sum(20 + i - left[i] for i in left)
+    # Nothing new arrives: the last version is still found.
+    assert serve(stream) == last and dict(rows(stock.after(spark, last), "drug_id", "quantity")) == left
     # A batch that is run again starts from its predecessor's table.
     assert dict(rows(stock.before(spark, 0), "drug_id", "quantity")) == {0: 20, 1: 21, 2: 22}
 
@@ -78,7 +94,11 @@ def test_booking_cap_holds_across_batches(spark, tmp_path):
     stream = files(spark, tmp_path, parts, "request_id int, request_ts timestamp_ntz, doctor_id int")
     counts = VersionedTable(frame(spark, [], "doctor_id int, day date, booked bigint"), f"{tmp_path}/counts")
     last = operations.book_from_stream(stream, counts, f"{tmp_path}/ok", f"{tmp_path}/state", cap=20)
-    ok = [r.request_id for r in spark.read.parquet(f"{tmp_path}/ok").collect()]
+    answers = spark.read.parquet(f"{tmp_path}/ok").collect()
+    ok = [r.request_id for r in answers if r.accepted]
+    assert sorted(r.request_id for r in answers) == sorted(rid for p in parts for rid, _, _ in p)
+    assert {r.request_id: r.message for r in answers if r.late} == {902: operations.TOO_LATE}
+    assert all((r.message == operations.FULL) == (not r.accepted) for r in answers if not r.late)
     first = {1: [], 2: []}
     for p in parts[:3]:
         for rid, _, doc in p:
@@ -98,12 +118,15 @@ def test_reports_follow_new_files(spark, tmp_path):
     totals = VersionedTable(frame(spark, [], "dept_name string, total_revenue decimal(28,2)"), f"{tmp_path}/totals")
     last = operations.refresh_revenue(stream, people, departments, totals, f"{tmp_path}/state")
     assert rows(totals.after(spark, last)) == [("A", Decimal("5.50")), ("B", Decimal("2.00"))]
+    # A later run without new files still finds the report.
+    again = operations.refresh_revenue(stream, people, departments, totals, f"{tmp_path}/state")
+    assert again == last and rows(totals.after(spark, again)) == [("A", Decimal("5.50")), ("B", Decimal("2.00"))]
 
 
 def test_patient_months_count_each_patient_once(spark, tmp_path):
     parts = [[(1, TS(2024, 1, 1)), (2, TS(2024, 1, 2))], [(1, TS(2024, 1, 9)), (1, TS(2024, 2, 1))]]
     stream = files(spark, tmp_path, parts, "p_id int, date_time timestamp_ntz")
-    pairs = VersionedTable(frame(spark, [], "month string, p_id int, first_seen timestamp_ntz"), f"{tmp_path}/pairs")
+    pairs = AppendedTable(frame(spark, [], "month string, p_id int, first_seen timestamp_ntz"), f"{tmp_path}/pairs")
     last = operations.refresh_patient_months(stream, pairs, f"{tmp_path}/state")
     assert rows(pairs.after(spark, last)) == [
         ("2024-01", 1, TS(2024, 1, 1)), ("2024-01", 2, TS(2024, 1, 2)), ("2024-02", 1, TS(2024, 2, 1))

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def concat_by(df: DataFrame, keys: Sequence[str], value: Column, separator: str, order: Sequence[str], name: str) -> DataFrame:
@@ -18,15 +17,6 @@ def concat_by(df: DataFrame, keys: Sequence[str], value: Column, separator: str,
     )
 
 
-def report_lines(
-    df: DataFrame, keys: Sequence[str], line: Column, order: Sequence[str], name: str, most_lines: int
-) -> DataFrame:
-    """Multi-line report per key: every line ends with a carriage return.
-
-    ``most_lines`` is how many lines can matter to a reader of bounded length; rows
-    beyond are left out before the shuffle.
-    """
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    shown = df.withColumn("_place", place).filter(F.col("_place") <= most_lines)
-    closed = F.concat(line, F.chr(F.lit(13)))
-    return concat_by(shown, keys, closed, "", order, name)
+def report_lines(df: DataFrame, keys: Sequence[str], line: Column, order: Sequence[str], name: str) -> DataFrame:
+    """Whole multi-line report per key: every line ends with a carriage return."""
+    return concat_by(df, keys, F.concat(line, F.chr(F.lit(13))), "", order, name)

@@ -19,10 +19,7 @@ from wardflow.session import materialize
 LOW_STOCK = 10
 PHARMACY_DEPARTMENT = 12
 RESTOCK_QUANTITY = 50
-
-# Messages hold 2000 characters; a stock line has at least six.
-MESSAGE_LENGTH = 2000
-SHORTEST_LINE = 6
+DEFERRED = "Deferred to the next batch."
 
 
 def drug_lookup(drugs: DataFrame) -> DataFrame:
@@ -49,8 +46,8 @@ def prescription_sale(
     quantity asked for a drug and S its stock, a line gets least(S, R) minus
     least(S, R before it). A line of which nothing is left is skipped; a prescription
     counts as processed once it sold something. Later requests for a prescription of
-    the same batch are answered after the first. The message holds as many stock lines
-    as fit; the whole report is the ``stock_report`` table.
+    the same batch are answered after the first. The message holds the stock line of
+    every drug asked for; the ``stock_report`` table has them as rows.
     """
     lookup = drug_lookup(drugs).select("_name", "_drug.drug_id", "_drug.price")
     known = prescriptions.select("prescription_id", F.col("p_id"))
@@ -104,14 +101,7 @@ def prescription_sale(
     headers = cache(lambda: with_next_ids(billed, invoice, "invoice_id", REQUEST_ORDER))
     left = served.withColumn("left", F.col("stock") - F.least("stock", "asked_so_far"))
     stock_line = joined(F.lit("• "), "drug_name", F.lit(": "), "left")
-    stock_text = report_lines(
-        left,
-        ["request_id"],
-        stock_line,
-        ["drug_name", "drug_id"],
-        "stock_text",
-        most_lines=MESSAGE_LENGTH // SHORTEST_LINE + 1,
-    )
+    stock_text = report_lines(left, ["request_id"], stock_line, ["drug_name", "drug_id"], "stock_text")
     # The first request of a prescription is served; if it sold anything, later ones are too late.
     later = asked.join(
         serving.select("prescription_id", F.col("request_id").alias("served_by")), "prescription_id", "left"
@@ -140,8 +130,7 @@ def prescription_sale(
             )
             .when(F.col("refused").isNotNull(), F.col("refused"))
             .when(F.col("first_total") > 0, F.lit("This prescription has already been processed."))
-            .otherwise("Deferred to the next batch.")
-            .substr(1, MESSAGE_LENGTH)
+            .otherwise(DEFERRED)
             .alias("message"),
             money(F.when(F.col("served"), F.coalesce("first_total", F.lit(0).cast("decimal(19,4)"))), 19, 2).alias("total"),
         )

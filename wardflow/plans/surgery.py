@@ -25,7 +25,8 @@ OPENING = 7 * 3600
 PREPARATION_MINUTES = 60
 RECOVERY_MINUTES = 60
 DAY = 86_400
-REQUESTS_PER_ROUND = 2_000
+# Under Spark's limit (1000) for row limits that go ahead of the shuffle.
+REQUESTS_PER_ROUND = 900
 
 NO_ROOM = "? No available operating rooms for the selected date."
 NO_RECOVERY = "? No available recovery rooms for the selected date."
@@ -236,7 +237,7 @@ def _place_all(
 ) -> DataFrame:
     """Place the requests of every date in order.
 
-    Dates do not depend on each other. A date's requests are taken some thousand at a
+    Dates do not depend on each other. A date's requests are taken some hundreds at a
     time (the limit applies before the shuffle), so a crowded date never sits in one
     task as a whole: each round serves the next requests of every date against the
     busy times left by the rounds before.
