@@ -124,7 +124,7 @@ def measure_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sa
                 rows.append({"rule": rule.name, "n": len(texts), "rejected": rejected, "s": time.perf_counter() - start})
             yield pa.RecordBatch.from_pylist(rows)
 
-    measured = docs.select(F.col(text).cast("string")).where(picked).mapInArrow(
+    measured = docs.select(F.col(text).cast("string").alias(text)).where(picked).mapInArrow(
         measure, "rule string, n long, rejected long, s double"
     )
     return [tuple(x) for x in measured.groupBy("rule").agg(F.sum("n"), F.sum("rejected"), F.sum("s")).collect()]

@@ -69,11 +69,15 @@ def spans(parts: list[str]) -> list[tuple[int, int, int]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """_key, _text_hash, text and the whole row as _row."""
     text = F.col("text").cast("string")
     hashed = F.xxhash64(text)
     own = -1 - hashed.bitwiseAND(F.lit((1 << 62) - 1))
-    return docs.withColumns(
-        {"_key": F.coalesce(F.col("doc_id").cast("long"), own), "_text_hash": hashed.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")}
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), own).alias("_key"),
+        hashed.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("_text_hash"),
+        text.alias("text"),
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"),
     )
 
 
@@ -87,8 +91,7 @@ def _all_spans(keyed: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), ["_key", "_text_hash", "a", "b", "h"])
 
-    texts = keyed.select("_key", "_text_hash", F.col("text").cast("string"))
-    return texts.mapInArrow(run, "_key long, _text_hash int, a int, b int, h long")
+    return keyed.select("_key", "_text_hash", "text").mapInArrow(run, "_key long, _text_hash int, a int, b int, h long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -112,25 +115,26 @@ def _without(text: str, covered: list[dict]) -> tuple[str, int, int]:
 def remove_repeated(docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` with repeated passages removed from ``text``; with ``counts`` also n_sentences and n_removed."""
     joined = _keyed(docs).join(repeated_spans(docs), ["_key", "_text_hash"], "left")
-    joined = joined.select(*docs.columns, F.col("spans").alias("_spans"))
+    joined = joined.select("_row", "spans")
+    docs_columns = docs.columns
     at_text, at_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     schema = T.StructType(docs.schema.fields + [T.StructField(x, T.LongType()) for x in ("n_sentences", "n_removed") if counts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes, removed, number = batch.column(at_text).to_pylist(), [], [], []
-            for i, covered in enumerate(batch.column("_spans").to_pylist()):
+            columns = batch.column(0).flatten()
+            texts, sizes, removed, number = columns[at_text].to_pylist(), [], [], []
+            for i, covered in enumerate(batch.column(1).to_pylist()):
                 lost, n = 0, None
                 if covered:
                     texts[i], lost, n = _without(texts[i], covered)
                 number.append(len(sentences(texts[i] or "")) if counts and n is None else n)
                 removed.append(lost)
                 sizes.append(None if texts[i] is None else len(texts[i]))
-            columns = batch.columns[:-1]
             columns[at_text] = pa.array(texts, pa.string())
             if at_chars is not None:
                 columns[at_chars] = pa.array(sizes).cast(columns[at_chars].type)
-            names = batch.schema.names[:-1]
+            names = list(docs_columns)
             if counts:
                 columns += [pa.array(number, pa.int64()), pa.array(removed, pa.int64())]
                 names = [*names, "n_sentences", "n_removed"]
