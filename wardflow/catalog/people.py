@@ -64,13 +64,11 @@ def attendance_checkin_table(r: Roles) -> DataFrame:
     return att.check_in(calls(r), r.employee, r.signups).tables["attendance"]
 
 
-CHECK_OUT = with_roles(
-    "signup_days",
-    f"""{CALLS},
+_CHECK_OUTS = f"""{CALLS},
     flags AS (SELECT c.*, s.emp_id IS NULL AS absent, s.checkout IS NOT NULL AS closed
               FROM calls c LEFT JOIN signup_days s ON s.emp_id = c.emp_id AND s.attend_date = c.d),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY emp_id, d ORDER BY request_ts, request_id) AS place FROM flags)""",
-)
+    placed AS (SELECT *, row_number() OVER (PARTITION BY emp_id, d ORDER BY request_ts, request_id) AS place FROM flags)"""
+CHECK_OUT = with_roles("signup_days", _CHECK_OUTS)
 
 
 @registry.add(
@@ -101,9 +99,7 @@ def attendance_checkout_table(r: Roles) -> DataFrame:
 
 
 _SECONDS = "(hour({0}) * 3600 + minute({0}) * 60 + second({0}))"
-PENALTY = with_roles(
-    "att weekly dated",
-    f"""hours AS (
+_PENALTIES = f"""hours AS (
       SELECT a.*, e.type, e.cents, datediff('day', DATE '2024-01-01', a.attend_date) AS x,
              CASE WHEN lower(e.type) = 'doctor' THEN w.shift_start ELSE s.start_time END AS shift_start,
              CASE WHEN lower(e.type) = 'doctor' THEN w.shift_end ELSE s.end_time END AS shift_end
@@ -132,8 +128,8 @@ PENALTY = with_roles(
                   WHEN delay > 0 AND early > 0 THEN pay
                   WHEN delay > 0 AND delay < 60 THEN (pay + 5) // 10
                   ELSE (pay + 1) // 2 END AS cents
-      FROM judged)""",
-)
+      FROM judged)"""
+PENALTY = with_roles("att weekly dated", _PENALTIES)
 
 
 @registry.add(
@@ -169,6 +165,25 @@ SQL["attendance_deduction_table"] = SQL["attendance_deduction_table"].replace(
     "CAST(round(value * 100) AS BIGINT) AS cents FROM events WHERE event_type = 'error'),\n", 1
 )
 
+@registry.add(
+    "attendance_checkout_deductions",
+    with_roles(
+        "signup_days emp weekly dated ded",
+        f"""{_CHECK_OUTS},
+        closed_days AS (SELECT s.emp_id, s.attend_date, s.checkin, p.request_ts AS checkout FROM signup_days s
+                        JOIN placed p ON p.emp_id = s.emp_id AND p.d = s.attend_date AND NOT absent AND NOT closed AND place = 1),
+        {_PENALTIES.replace('FROM att a', 'FROM closed_days a')}
+        SELECT emp_id, type, {day('date')} AS date, {amount('cents')} AS amount FROM ded d
+        WHERE NOT EXISTS (SELECT 1 FROM charged c WHERE c.type IS NOT NULL AND c.emp_id = d.emp_id AND c.attend_date = d.date)
+        UNION ALL SELECT emp_id, type, {day('attend_date')}, {amount('cents')} FROM charged WHERE type IS NOT NULL""",
+    ),
+)
+def attendance_checkout_deductions(r: Roles) -> DataFrame:
+    """Checking out works out the day's deduction."""
+    done = att.check_out_and_deduct(calls(r), r.signups, r.employee, r.weekly, r.dated, r.deduction)
+    return done.tables["deduction"]
+
+
 SWEEP = "2024-01-21 09:00:00"
 MISSING = with_roles(
     "att weekly dated emp_shift ded",

@@ -146,6 +146,29 @@ def apply_attendance_deduction(penalties: DataFrame, deduction: DataFrame) -> Da
     return replace_keys(deduction.select("emp_id", "type", "date", "amount"), rows, ["emp_id", "date"])
 
 
+def check_out_and_deduct(
+    requests: DataFrame,
+    attendance: DataFrame,
+    employee: DataFrame,
+    weekly: DataFrame,
+    dated: DataFrame,
+    deduction: DataFrame,
+) -> JobResult:
+    """Check-outs, and with them the deductions of the days they close."""
+    result = check_out(requests, attendance)
+    closed, days = result.tables["closed_days"], result.tables["attendance"]
+    penalties = attendance_deduction(closed, days, employee, weekly, dated)
+    return JobResult(
+        result.outcomes,
+        {
+            "attendance": days,
+            "closed_days": closed,
+            "penalties": penalties,
+            "deduction": apply_attendance_deduction(penalties, deduction),
+        },
+    )
+
+
 def end_offset(start: str, end: str) -> Column:
     """Seconds from a day's midnight to the end of its shift: 00:00 means 23:59, an end
     before the start the next day."""
