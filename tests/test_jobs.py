@@ -196,7 +196,7 @@ def test_hire_matches_a_loop(spark):
     df = df.select(
         "*", F.lit("a").alias("fname"), F.lit("b").alias("lname"), F.lit("Male").alias("gender"), F.lit("1990-01-01").cast("date").alias("birth_date"),
         F.lit(5).cast("decimal(10,2)").alias("salary"), F.lit("n").alias("type"), F.lit(None).cast("date").alias("start_job"),
-        F.lit(None).cast("date").alias("end_job"), F.lit(None).cast("string").alias("status"),
+        F.lit(None).cast("date").alias("end_job"), F.expr("CASE WHEN request_id % 4 = 0 THEN 'Inactive' END").alias("status"),
     )
     result = staffing.hire(df, people, departments, moment("2024-01-10 00:00:00"))
     status = {"s1": "active", "s2": "inactive"}
@@ -217,7 +217,7 @@ def test_hire_matches_a_loop(spark):
             text = f"Employee Added Successfully {next_id}"
             next_id += 1
             if key:
-                status[key] = "active"
+                status[key] = "inactive" if rid % 4 == 0 else "active"
             if phone:
                 phones.add(phone)
             emails.add(mail)

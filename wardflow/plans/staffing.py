@@ -362,11 +362,16 @@ def hire(requests: DataFrame, employee: DataFrame, department: DataFrame, as_of:
         asked = asked.join(
             winners.filter(F.col(claim).isNotNull()).select(claim, turn().alias(f"_by{claim}")), claim, "left"
         )
+    status = asked.select("request_id", (F.lower("status") == "inactive").alias("_by_inactive"))
+    hired_as = winners.filter("_ssn is not null").join(status, "request_id").select("_ssn", "_by_inactive")
+    asked = asked.join(hired_as, "_ssn", "left")
     # The same tests again, now also against people hired earlier in the batch.
+    earlier = F.col("_by_ssn") < turn()
+    inactive = F.coalesce("_by_inactive", F.lit(False))
     final = first_failure(
         [
-            tests[0],
-            (tests[1][0] | (F.col("_by_ssn") < turn()), WORKING),
+            (F.coalesce(tests[0][0], F.lit(False)) | (earlier & inactive), rehire),
+            (F.coalesce(tests[1][0], F.lit(False)) | (earlier & ~inactive), WORKING),
             (tests[2][0] | (F.col("_by_phone") < turn()), PHONE_USED),
             (tests[3][0] | (F.col("_by_email") < turn()), EMAIL_USED),
             tests[4],
