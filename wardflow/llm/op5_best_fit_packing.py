@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.llm.tables import BLOCK_ROWS, block_of, rank_in_blocks
-from wardflow.llm.tokens import encoder
+from wardflow.llm.tokens import encoder, ended
 from wardflow.session import materialize
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), the largest first
@@ -195,21 +195,23 @@ def bin_completion(counts: dict[int, int], capacity: int, most_nodes: int = 4_00
 def _cut(tokenizer: str, end_id: int, capacity: int, keep_ids: bool):
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * keep_ids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, "blanks", 4).encode
-        end = end_id.to_bytes(4, "little")
+        encode_all = encoder(tokenizer, "blanks", 4).encode_all
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text or "") + end
-                n = len(ids) // 4
-                starts = [0, *range(n % capacity or capacity, n, capacity)]
-                for piece, (start, stop) in enumerate(zip(starts, [*starts[1:], n])):
-                    own = ids[4 * start : 4 * stop]
-                    rows.append((doc_id, piece, start, stop - start, zlib.crc32(own), *[own] * keep_ids))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * keep_ids]
-            columns = list(zip(*rows)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), names)
+            doc_ids, at = batch.column("doc_id").to_pylist(), 0
+            for part in encode_all(batch.column("text")):
+                ids, places = ended(*part, end_id)
+                rows = []
+                for begin, stop in zip(places.tolist(), places[1:].tolist()):
+                    n = stop - begin
+                    starts = [0, *range(n % capacity or capacity, n, capacity)]
+                    for piece, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
+                        own = ids[begin + a : begin + b]
+                        rows.append((doc_ids[at], piece, a, b - a, zlib.crc32(own), *[own.tobytes()] * keep_ids))
+                    at += 1
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows), kinds)), names)
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm.tokens import encoder
+from wardflow.llm.tokens import encoder, ended
 from wardflow.session import materialize, scratch_path
 
 _NULL_KEY = np.iinfo(np.int64).min
@@ -57,12 +57,9 @@ def mapped(uri: str, kind: str) -> np.ndarray:
 
 
 def _write_parts(folder: str, tokenizer: str, cut: str, width: int, end_id: int):
-    kind = f"<u{width}"
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _open(folder)
-        encode = encoder(tokenizer, cut, width).encode
-        end = np.array([end_id], kind).tobytes()
+        encode_all = encoder(tokenizer, cut, width).encode_all
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"
         n_docs = n_tokens = 0
@@ -71,16 +68,14 @@ def _write_parts(folder: str, tokenizer: str, cut: str, width: int, end_id: int)
             if not files:
                 system.create_dir(path, recursive=True)
                 files = {x: system.open_output_stream(f"{path}/{name}.{x}") for x in ("ids", "key", "len")}
-            lengths = np.empty(batch.num_rows, "<u8")
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = encode(text or "") + end
-                lengths[i] = len(ids) // width
-                files["ids"].write(ids)
+            for part in encode_all(batch.column("text")):
+                ids, places = ended(*part, end_id)
+                files["ids"].write(ids.tobytes())
+                files["len"].write(np.diff(places).astype("<u8").tobytes())
+                n_tokens += len(ids)
             keys = batch.column("doc_id").fill_null(_NULL_KEY).to_numpy(zero_copy_only=False)
             files["key"].write(keys.astype("<i8").tobytes())
-            files["len"].write(lengths.tobytes())
             n_docs += batch.num_rows
-            n_tokens += int(lengths.sum())
         for file in files.values():
             file.close()
         if n_docs:
