@@ -89,7 +89,7 @@ class _Known(dict):
 class Encoder:
     """Encodes texts to little-endian unsigned ids of ``width`` bytes each."""
 
-    def __init__(self, path: str, cut: str, width: int, most_kept: int = 250_000):
+    def __init__(self, path: str, cut: str, width: int, most_kept: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
