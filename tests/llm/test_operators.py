@@ -509,6 +509,18 @@ def test_token_files_on_disk(spark, docs, tmp_path):
         assert all(ids[int(x - r["base"]) - 1] == 2 for x in offsets[1:])
 
 
+def test_token_files_of_many_batches(spark, docs, tmp_path):
+    """A part of several batches keeps the number of its partition in the manifest."""
+    folder, kept = f"file://{tmp_path}/tokens", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        manifest = op9_token_files.write_token_files(docs, folder, WORD_BPE, "words", 49_408, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert len({r["part"] for r in manifest}) == len(manifest) and sum(r["n_docs"] for r in manifest) == docs.count()
+    assert all(r["name"].startswith(f"{r['part']:06d}-") for r in manifest)
+
+
 # 10: n-gram join
 
 

@@ -68,8 +68,8 @@ def _write_parts(folder: str, tokenizer: str, cut: str, width: int, end_id: int)
             if not files:
                 system.create_dir(path, recursive=True)
                 files = {x: system.open_output_stream(f"{path}/{name}.{x}") for x in ("ids", "key", "len")}
-            for part in encode_all(batch.column("text")):
-                ids, places = ended(*part, end_id)
+            for ids_and_places in encode_all(batch.column("text")):
+                ids, places = ended(*ids_and_places, end_id)
                 files["ids"].write(ids.tobytes())
                 files["len"].write(np.diff(places).astype("<u8").tobytes())
                 n_tokens += len(ids)
