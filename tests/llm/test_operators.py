@@ -218,6 +218,56 @@ def test_passage_stays_once(docs):
     assert got[16]["n_removed"] == 0
 
 
+def plain_words(seed, n):
+    return re.sub(r"[.!?\n ]+", " ", prose(seed, n)).lower().split()
+
+
+def test_borders_are_the_lowest_hash_of_every_window():
+    draw, width = random.Random(5), op3_sentence_spans.WINDOW
+    for _ in range(500):
+        hashes = [draw.randrange(draw.choice([1, 3, 1000])) for _ in range(draw.randint(0, 60))]
+        windows = (range(s, s + width) for s in range(len(hashes) - width + 1))
+        assert op3_sentence_spans.borders(hashes) == sorted({max(w, key=lambda i: (-hashes[i], i)) for w in windows})
+
+
+@pytest.mark.parametrize("around", ["sentence", "unpunctuated", "inside", "commas", "unspaced"])
+def test_long_passages_without_two_sentences(spark, around):
+    """Of a repeat of 50 to 60 words at most WINDOW - 1 at either end stay, wherever its sentences end."""
+    made, passages = [], {}
+    for i in range(20):
+        words = plain_words(500 + i, 50 + i % 11)
+        before, after = plain_words(600 + i, 7 + i), plain_words(700 + i, 30 - i)
+        other_before, other_after = plain_words(800 + i, 31 - i), plain_words(900 + i, 5 + i)
+        whole = " ".join(words)
+        if around == "commas":
+            whole = ", ".join(" ".join(words[k : k + 6]) for k in range(0, len(words), 6))
+        if around == "unspaced":
+            draw = random.Random(i)
+            words = [chr(draw.randint(0x4E00, 0x9FFF)) for _ in range(150)]
+            whole = "".join(words[:70]) + "\u3002" + "".join(words[70:])
+        if around == "inside":  # its sentence ends once, the fragments are merged with other text
+            words[25 + i % 5] += "."
+            whole = " ".join(words)
+        start, end = (". ", ".") if around == "sentence" else (" ", " ")
+        made.append((2 * i, " ".join(before) + start + whole + end + " ".join(after)))
+        made.append((2 * i + 1, " ".join(other_before) + start + whole + end + " ".join(other_after)))
+        passages[2 * i], passages[2 * i + 1] = whole, whole
+    got = dict(op3_sentence_spans.deduplicated(spark.createDataFrame(made, "doc_id long, text string")).select("doc_id", "text").collect())
+    least = op3_sentence_spans.WINDOW
+    for i, (doc_id, text) in enumerate(made):
+        if doc_id % 2 == 0:
+            assert got[doc_id] == text
+            continue
+        units = list(passages[doc_id]) if around == "unspaced" else passages[doc_id].split(" ")
+        glue = "" if around == "unspaced" else " "
+        middle = [glue.join(units[k : k + 3]) for k in range(least, len(units) - least - 2)]
+        assert not [x for x in middle if x in got[doc_id]], doc_id
+        if around == "sentence":
+            assert units[0] + glue + units[1] not in got[doc_id]
+        outside_before, outside_after = text.split(passages[doc_id])
+        assert got[doc_id].startswith(outside_before.strip()) and got[doc_id].endswith(outside_after.lstrip(". "))
+
+
 # 4: licenses
 
 
