@@ -444,6 +444,32 @@ def test_blocks():
     assert [b.text for b in op7_html_labeller.blocks("a<p>b<p>c")] == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<SCRIPT type='a'>if (a<b && c>d) s = \"<p>no\";</Script >",
+        "<script><!-- hidden\nf(1)</script>",
+        "<style>a:after{content:'<!--'}</style>",
+        "<select><option>one<option selected>two</select>",
+        "<form><select><option>one<option>two</form>",
+        "<datalist><option>one<option>two</datalist>",
+        "<svg><path d='M0 0'>",
+    ],
+)
+def test_what_stands_before_an_article_does_not_eat_it(before):
+    page = f"<body>{before}<article><p>First text.</p><p>Second text.</p></article><script>g()</script></body>"
+    assert [b.text for b in op7_html_labeller.blocks(page)] == ["First text.", "Second text."]
+
+
+def test_formulas_are_text():
+    page = (
+        "<p>So <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup>"
+        "<annotation encoding='x'>E=mc^2</annotation></math> holds.</p>"
+    )
+    assert [b.text for b in op7_html_labeller.blocks(page)] == ["So E=mc2 holds."]
+
+
 def test_main_text(labeller):
     assert op7_html_labeller.main_texts([PAGE, None, "", "<p></p>"], labeller) == [
         "Über & unter\nFirst paragraph of bold text goes on.\nSecond one <here> €5.\nThird.", "", "", "",

@@ -10,10 +10,12 @@ are dealt anew into layouts whose labels are known by construction: the page's o
 menus, headers, sidebars, notices, adverts, forms, related links and reader comments around the
 article, under common names of tags, classes and ids. So it knows more layouts than the sample has.
 
-Whole pages are read: nothing is dropped or capped. Character references are decoded, white space in a
-block becomes one blank. Defined results: NULL or empty html gives an empty text; a page without main
-text too; unclosed and stray tags are tolerated; repeated rows each give a row; an empty table gives no
-rows (and trains nothing); columns other than page_id, url and html are not looked at.
+Whole pages are read: nothing is dropped or capped. Scripts, styles and the like end at their own end
+tag, whatever they hold; formulas are text, the choices of forms are not. Character references are
+decoded, white space in a block becomes one blank. Defined results: NULL or empty html gives an empty
+text; a page without main text too; unclosed and stray tags are tolerated; repeated rows each give a
+row; an empty table gives no rows (and trains nothing); columns other than page_id, url and html are
+not looked at.
 """
 
 from __future__ import annotations
@@ -49,10 +51,17 @@ _WORD = re.compile(r"\w+")
 
 # HTML's elements without content, with raw content, and those that do not end a block.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript template iframe svg math select option".split())
+_RAW = frozenset("script style title textarea noscript template iframe svg annotation annotation-xml".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in _RAW}
+# Of these an end tag is looked for, but a page that lacks it goes on after the start tag.
+_RAW_IF_ENDED = frozenset("noscript template svg annotation annotation-xml".split())
+# Choices of forms: their text, up to the next tag of a block, is not page text.
+_CHOICES = frozenset("select option optgroup datalist".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small"
-    " span strike strong sub sup time tt u var wbr".split()
+    " span strike strong sub sup time tt u var wbr"
+    " annotation annotation-xml math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms"
+    " mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main"
@@ -72,8 +81,10 @@ def blocks(page: str | None) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     run: list[str] = []
-    links = link_chars = 0
-    tokens = _TOKEN.finditer(page or "")
+    links = link_chars = place = 0
+    in_choice = False
+    page = page or ""
+    unended: set[str] = set()
 
     def end_block() -> None:
         nonlocal link_chars
@@ -84,9 +95,12 @@ def blocks(page: str | None) -> list[Block]:
         run.clear()
         link_chars = 0
 
-    for match in tokens:
-        token = match[0]
+    while place < len(page):
+        match = _TOKEN.match(page, place)
+        token, place = match[0], match.end()
         if token[0] != "<" or token == "<":
+            if in_choice:
+                continue
             text = entities.unescape(token)
             run.append(text)
             if links:
@@ -96,6 +110,8 @@ def blocks(page: str | None) -> list[Block]:
         if tag is None:
             continue
         name = tag[1].lower()
+        if name not in _INLINE:
+            in_choice = token[1] != "/" and name in _CHOICES
         if token[1] == "/":
             if name not in _INLINE:
                 end_block()
@@ -113,14 +129,23 @@ def blocks(page: str | None) -> list[Block]:
                 run.append(" ")
             continue
         if name in _RAW:
-            if not token.endswith("/>"):
-                _skip(tokens, name)
+            if not token.endswith("/>") and name not in unended:
+                # What lies between is no markup: only the element's own end tag counts.
+                end = _RAW_END[name].search(page, place)
+                if end is not None:
+                    place = end.end()
+                elif name in _RAW_IF_ENDED:
+                    unended.add(name)
+                else:
+                    break
+            continue
+        if name in _CHOICES:
             continue
         if name in _CLOSES_P:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
             if at is not None:
                 del stack[at:]
-        elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
+        elif name in ("li", "dt", "dd", "tr", "td", "th"):
             if stack and stack[-1][0] == name:
                 stack.pop()
         names = [name]
@@ -134,14 +159,6 @@ def blocks(page: str | None) -> list[Block]:
     return found
 
 
-def _skip(tokens: Iterator[re.Match], name: str) -> None:
-    """Go past the end tag of an element whose content is not page text."""
-    close = f"</{name}"
-    for match in tokens:
-        if match[0][: len(close)].lower() == close:
-            return
-
-
 def _bucket(text: str, buckets: int) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) % buckets
 
