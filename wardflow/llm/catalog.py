@@ -19,6 +19,7 @@ from wardflow.llm import (
     op8_fingerprints,
     op9_token_files,
     op10_ngram_join,
+    op13_decontamination,
 )
 from wardflow.llm.tables import table
 
@@ -70,6 +71,11 @@ def op10_ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_ngram_join.jaccard_components(table(spark, sf_dir, "documents"), similarity)
 
 
+def op13_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return op13_decontamination.contamination(documents, benchmark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_resharding": op1_resharding_query,
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints_query,
         "op9_token_files": op9_token_files_query,
         "op10_ngram_join": op10_ngram_join_query,
+        "op13_decontamination": op13_decontamination_query,
     }
 
 
@@ -89,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": op2_quality_rules.JUDGE_SQL,
         "op10_ngram_join": op10_ngram_join.COMPONENTS_SQL,
+        "op13_decontamination": op13_decontamination.CONTAMINATION_SQL,
     }
