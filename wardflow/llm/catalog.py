@@ -19,6 +19,7 @@ from wardflow.llm import (
     op8_fingerprints,
     op9_token_files,
     op10_ngram_join,
+    op11_prefix_trie,
     op12_ranked_search,
     op13_decontamination,
 )
@@ -72,6 +73,10 @@ def op10_ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_ngram_join.jaccard_components(table(spark, sf_dir, "documents"), similarity)
 
 
+def op11_prefix_trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_ranked_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return op12_ranked_search.ranked_documents(documents, benchmark, k=50)
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints_query,
         "op9_token_files": op9_token_files_query,
         "op10_ngram_join": op10_ngram_join_query,
+        "op11_prefix_trie": op11_prefix_trie_query,
         "op12_ranked_search": op12_ranked_search_query,
         "op13_decontamination": op13_decontamination_query,
     }
@@ -103,6 +109,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": op2_quality_rules.JUDGE_SQL,
         "op10_ngram_join": op10_ngram_join.COMPONENTS_SQL,
+        "op11_prefix_trie": op11_prefix_trie.TRIE_SQL,
         "op12_ranked_search": op12_ranked_search.SEARCH_SQL,
         "op13_decontamination": op13_decontamination.CONTAMINATION_SQL,
     }
