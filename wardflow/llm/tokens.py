@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x85\xa0  -     　]")
 # Texts that Arrow may not cut at every blank and line feed: other white space, or several in a row.
 _ODD_SPACE = r"[\t\r\x0b\x0c\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]"
-_BYTES_AT_ONCE = 8 << 20
+_BYTES_AT_ONCE = 4 << 20
 _ASCII_SPACE = "\t\r\x0b\x0c"
 _LONGEST_KEPT = 100
 _PIECE = re.compile(r"[ \n]?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
@@ -89,7 +89,7 @@ class _Known(dict):
 class Encoder:
     """Encodes texts to little-endian unsigned ids of ``width`` bytes each."""
 
-    def __init__(self, path: str, cut: str, width: int, most_kept: int = 400_000):
+    def __init__(self, path: str, cut: str, width: int, most_kept: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -155,6 +155,8 @@ class Encoder:
             last = max(first + 1, int(np.searchsorted(sizes, begin + _BYTES_AT_ONCE, "right")))
             yield self._encode_part_of(texts.slice(first, last - first))
             first = last
+            # The worker serves other stages too: give back what the part needed.
+            pa.default_memory_pool().release_unused()
 
     def _encode_part_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = {}
