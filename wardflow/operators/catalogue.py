@@ -1,9 +1,4 @@
-"""Batches of INSERT, UPDATE and DELETE on small master tables with a unique name.
-
-Within a batch inserts come first, then updates, then deletes; each kind is served in
-(request_ts, request_id) order. An update may not take a name that another key holds
-at that point or that an earlier update of the batch asked for.
-"""
+"""Batches of INSERT, UPDATE and DELETE on master tables with a unique name, in request order."""
 
 from __future__ import annotations
 
@@ -14,9 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.text import folded
-from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure, first_per, turn
-from wardflow.operators.scan import with_next_ids
-from wardflow.operators.snapshots import append, delete_keys
+from wardflow.operators.guards import JobResult, first_failure
+from wardflow.operators.replay import Answer, Book, Rules, replay
 
 
 @dataclass(frozen=True)
@@ -35,91 +29,44 @@ class Messages:
     invalid: str | None = None
 
 
-def insert_named(
-    requests: DataFrame, state: DataFrame, key: str, name: str, texts: Messages, rules: Sequence[tuple[Column, str]] = ()
-) -> tuple[DataFrame, DataFrame]:
-    """Outcomes and next state for inserts; the first request per free name wins."""
-    taken = state.select(folded(name).alias("_name")).distinct().withColumn("_taken", F.lit(True))
-    asked = requests.withColumn("_name", folded(name)).join(taken, "_name", "left")
-    asked = asked.withColumn("refused", first_failure([(F.col("_taken"), texts.name_exists), *rules]))
-    free = asked.filter("refused is null")
-    named = first_per(free.filter("_name is not null"), ["_name"]).select("request_id")
-    winners = free.join(named.withColumn("_won", F.lit(True)), "request_id", "left").filter(
-        F.coalesce("_won", F.lit(False)) | F.col("_name").isNull()
-    )
-    rows = with_next_ids(winners.drop(key), state, key, REQUEST_ORDER)
-    outcomes = asked.join(rows.select("request_id", F.col(key).alias("_id")), "request_id", "left").select(
-        "request_id",
-        F.col("_id").isNotNull().alias("accepted"),
-        F.when(F.col("_id").isNotNull(), texts.inserted)
-        .otherwise(F.coalesce("refused", F.lit(texts.name_exists)))
-        .alias("message"),
-        F.col("_id").alias(key),
-    )
-    return outcomes, append(state, rows)
-
-
-def update_named(
-    requests: DataFrame, state: DataFrame, key: str, name: str, sets: Sequence[str], texts: Messages
-) -> tuple[DataFrame, DataFrame]:
-    """Outcomes and next state for updates; NULL fields keep what is stored."""
-    known = state.select(key).withColumn("_known", F.lit(True))
-    holders = state.select(folded(name).alias("_name"), F.col(key).alias("_holder"))
-    asked = requests.withColumn("_name", folded(name)).join(known, key, "left").join(holders, "_name", "left")
-    held = F.col("_holder").isNotNull() & (F.col("_holder") != F.col(key))
-    missing = (F.col("_known").isNull(), texts.missing)
-    tests = [missing, (held, texts.name_taken)] if texts.missing_first else [(held, texts.name_taken), missing]
-    if texts.id_required:
-        tests.insert(0, (F.col(key).isNull(), texts.id_required))
-    asked = asked.withColumn("refused", first_failure(tests))
-    claims = first_per(asked.filter("refused is null and _name is not null"), ["_name"], key).select(
-        "_name", F.col(key).alias("_claimant")
-    )
-    asked = asked.join(claims, "_name", "left").withColumn(
-        "refused", F.coalesce("refused", F.when(F.col("_claimant") != F.col(key), texts.name_taken))
-    )
-    latest = asked.filter("refused is null").groupBy(key).agg(
-        *[F.max(F.when(F.col(c).isNotNull(), F.struct(*REQUEST_ORDER, c))).alias(f"_last_{c}") for c in sets]
-    )
-    merged = state.join(latest, key, "left")
-    next_state = merged.select(
-        *[
-            F.coalesce(F.col(f"_last_{f.name}.{f.name}").cast(f.dataType), F.col(f.name)).alias(f.name)
-            if f.name in sets
-            else F.col(f.name)
-            for f in state.schema
-        ]
-    )
-    outcomes = asked.select(
-        "request_id",
-        F.col("refused").isNull().alias("accepted"),
-        F.coalesce("refused", F.lit(texts.updated)).alias("message"),
-        F.col(key).cast("long").alias(key),
-    )
-    return outcomes, next_state
-
-
-def delete_by_id(
-    requests: DataFrame, state: DataFrame, key: str, texts: Messages, used: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Outcomes and next state for deletes; only the first request per key finds the row."""
-    asked = requests.join(state.select(key).withColumn("_known", F.lit(True)), key, "left")
-    tests = [(F.col("_known").isNull(), texts.missing)]
-    if used is not None:
-        asked = asked.join(used.select(key).distinct().withColumn("_used", F.lit(True)), key, "left")
-        tests.append((F.col("_used"), texts.in_use))
-    asked = asked.withColumn("refused", first_failure(tests))
-    gone = first_per(asked.filter("refused is null"), [key])
-    outcomes = asked.join(gone.select(key, F.struct(*REQUEST_ORDER).alias("_first")), key, "left").select(
-        "request_id",
-        (F.col("refused").isNull() & (F.col("_first") == turn())).alias("accepted"),
-        F.when(F.col("refused").isNotNull(), F.col("refused"))
-        .when(F.col("_first") == turn(), texts.deleted)
-        .otherwise(texts.missing)
-        .alias("message"),
-        F.col(key).cast("long").alias(key),
-    )
-    return outcomes, delete_keys(state, gone, [key])
+def _rules(key: str, columns: list[str], sets: Sequence[str], texts: Messages) -> Rules:
+    def insert(request: dict, book: Book) -> Answer:
+        if book.held("_name", request["_name"]):
+            return False, texts.name_exists, None
+        if request["_refused"]:
+            return False, request["_refused"], None
+        new = {c: request.get(c) for c in columns} | {"_name": request["_name"]}
+        return True, texts.inserted, book.insert(new)
+
+    def update(request: dict, book: Book) -> Answer:
+        at, row = request[key], book.row(request[key])
+        if texts.id_required and at is None:
+            return False, texts.id_required, at
+        held = at is not None and book.held("_name", request["_name"], but=row)
+        if row is None and (texts.missing_first or not held):
+            return False, texts.missing, at
+        if held:
+            return False, texts.name_taken, at
+        # NULL fields keep what is stored.
+        book.update(row, {c: request[c] for c in (*sets, "_name") if request[c] is not None})
+        return True, texts.updated, at
+
+    def delete(request: dict, book: Book) -> Answer:
+        at, row = request[key], book.row(request[key])
+        if row is None:
+            return False, texts.missing, at
+        if request["_used"]:
+            return False, texts.in_use, at
+        book.delete(row)
+        return True, texts.deleted, at
+
+    def answer(request: dict, book: Book) -> Answer:
+        act = {"insert": insert, "update": update, "delete": delete}.get(request["_action"])
+        if act:
+            return act(request, book)
+        return (False, texts.invalid, request[key]) if texts.invalid else None
+
+    return answer
 
 
 def catalogue_changes(
@@ -133,21 +80,13 @@ def catalogue_changes(
     used: DataFrame | None = None,
     table: str = "catalogue",
 ) -> JobResult:
-    """Apply a mixed batch; ``changes.action`` is compared without regard to case."""
-    action = folded("action")
-    inserts = changes.filter(action == "insert")
-    updates = changes.filter(action == "update")
-    deletes = changes.filter(action == "delete")
-    added, state = insert_named(inserts, state, key, name, texts, insert_rules)
-    changed, state = update_named(updates, state, key, name, sets, texts)
-    removed, state = delete_by_id(deletes, state, key, texts, used)
-    outcomes = added.unionByName(changed).unionByName(removed)
-    if texts.invalid:
-        other = changes.filter(~F.coalesce(action.isin("insert", "update", "delete"), F.lit(False))).select(
-            "request_id",
-            F.lit(False).alias("accepted"),
-            F.lit(texts.invalid).alias("message"),
-            F.col(key).cast("long").alias(key),
-        )
-        outcomes = outcomes.unionByName(other)
-    return JobResult(outcomes, {table: state})
+    """Apply a mixed batch as a loop would; ``changes.action`` is compared without regard to case."""
+    asked = changes.withColumns(
+        {"_action": folded("action"), "_name": folded(name), "_refused": first_failure(list(insert_rules)), "_used": F.lit(False)}
+    )
+    if used is not None:
+        held = used.select(key).distinct().withColumn("_used", F.lit(True))
+        asked = asked.drop("_used").join(held, key, "left")
+    rules = _rules(key, state.columns, sets, texts)
+    outcomes, rows = replay(asked, state.withColumn("_name", folded(name)), key, ["_name"], rules)
+    return JobResult(outcomes, {table: rows})

@@ -9,6 +9,7 @@ from wardflow.functions.money import money
 from wardflow.functions.text import folded, same_text
 from wardflow.operators.catalogue import Messages, catalogue_changes
 from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure, first_per, turn
+from wardflow.operators.replay import Answer, Book, Rules, replay
 from wardflow.operators.scan import running, with_next_ids
 from wardflow.operators.snapshots import append, delete_keys
 from wardflow.operators.unique import accept_in_order
@@ -171,6 +172,9 @@ def unassign_shift(requests: DataFrame, emp_shift: DataFrame) -> JobResult:
 
 
 MANAGER_BUSY = "This manager is already assigned to another department"
+NO_MANAGER = "Manager ID not found in Employee table"
+INACTIVE_MANAGER = "This manager is inactive can not be a manager"
+STAFFED = "Cannot delete department with assigned employees"
 
 
 def _managers(employee: DataFrame) -> DataFrame:
@@ -184,8 +188,8 @@ def _manager_rules(compat: bool) -> list[tuple[Column, str]]:
     given = F.col("manager_id").isNotNull()
     inactive = ~F.coalesce("active", F.lit(False))
     return [
-        (given & F.col("known").isNull(), "Manager ID not found in Employee table"),
-        (inactive if compat else given & inactive, "This manager is inactive can not be a manager"),
+        (given & F.col("known").isNull(), NO_MANAGER),
+        (inactive if compat else given & inactive, INACTIVE_MANAGER),
         (given & F.col("manages").isNotNull(), MANAGER_BUSY),
     ]
 
@@ -224,71 +228,67 @@ def add_departments(requests: DataFrame, department: DataFrame, employee: DataFr
     return JobResult(outcomes, {"department": append(department, rows)})
 
 
-def update_departments(requests: DataFrame, department: DataFrame, employee: DataFrame, compat: bool = True) -> JobResult:
-    """Rename departments and give them a manager.
-
-    In the compatible form a department's own manager counts as already assigned, so
-    saving it again is refused. Names and managers that an earlier request of the
-    batch asked for are not available to later requests for other departments.
+NAME_USED = "This department name is already used by another department"
+NAME_EXISTS = "This department name already exists"
+NO_SUCH_DEPARTMENT = "Department not found"
+
+
+def _department_rules(compat: bool) -> Rules:
+    def manager_refused(request: dict, book: Book, row: dict | None) -> str | None:
+        given = request["manager_id"] is not None
+        if given and not request["_known"]:
+            return NO_MANAGER
+        if not request["_active"] and (given or compat):
+            return INACTIVE_MANAGER
+        # In the compatible form a department's own manager counts as taken too.
+        if book.held("_boss", request["_boss"], but=None if compat else row):
+            return MANAGER_BUSY
+        return None
+
+    def answer(request: dict, book: Book) -> Answer:
+        at, action = request["dept_id"], request["_action"]
+        row = book.row(at)
+        written = {c: request[c] for c in ("dept_name", "manager_id", "_name", "_boss")}
+        if action == "insert":
+            refused = NAME_EXISTS if book.held("_name", request["_name"]) else manager_refused(request, book, None)
+            return (False, refused, None) if refused else (True, "Department added successfully", book.insert(written))
+        if action == "update":
+            refused = NO_SUCH_DEPARTMENT if row is None else None
+            if not refused and book.held("_name", request["_name"], but=row):
+                refused = NAME_USED
+            refused = refused or manager_refused(request, book, row)
+            if not refused:
+                book.update(row, written)
+            return not refused, refused or "Department updated successfully", at
+        if action == "delete":
+            refused = NO_SUCH_DEPARTMENT if row is None else STAFFED if request["_staffed"] else None
+            if not refused:
+                book.delete(row)
+            return not refused, refused or "Department deleted successfully", at
+        return None
+
+    return answer
+
+
+def department_changes(changes: DataFrame, department: DataFrame, employee: DataFrame, compat: bool = True) -> JobResult:
+    """Add, change and delete departments in request order (``action``: insert, update or delete).
+
+    A change overwrites name and manager. In the compatible form a department's own manager counts as
+    already assigned, so saving it again is refused. A department somebody belongs to stays.
     """
-    known = department.select("dept_id", F.lit(True).alias("dept_known"), F.col("manager_id").alias("own"))
-    names = department.select(folded("dept_name").alias("_name"), F.col("dept_id").alias("_holder"))
-    manages = department.filter("manager_id is not null").select("manager_id", F.lit(True).alias("manages")).distinct()
-    name_used = "This department name is already used by another department"
-    rules = [
-        (F.col("dept_known").isNull(), "Department not found"),
-        (F.col("_holder") != F.col("dept_id"), name_used),
-        *_manager_rules(compat),
-    ]
-    if not compat:
-        own = F.coalesce(F.col("own") == F.col("manager_id"), F.lit(False))
-        rules[-1] = (~own & F.col("manages").isNotNull(), MANAGER_BUSY)
-    asked = (
-        requests.withColumn("_name", folded("dept_name"))
-        .join(known, "dept_id", "left")
-        .join(names, "_name", "left")
-        .join(_managers(employee), "manager_id", "left")
-        .join(manages, "manager_id", "left")
-        .withColumn("refused", first_failure(rules))
-    )
-    free = asked.filter("refused is null")
-    name_claims = first_per(free, ["_name"], "dept_id").select("_name", F.col("dept_id").alias("_claimant"))
-    boss_claims = first_per(free.filter("manager_id is not null"), ["manager_id"]).select(
-        "manager_id", turn().alias("_boss_turn")
-    )
-    asked = (
-        asked.join(name_claims, "_name", "left")
-        .join(boss_claims, "manager_id", "left")
-        .withColumn(
-            "refused",
-            F.coalesce(
-                "refused",
-                F.when(F.col("_claimant") != F.col("dept_id"), name_used).when(
-                    F.col("_boss_turn") < turn(), MANAGER_BUSY
-                ),
-            ),
-        )
-    )
-    latest = (
-        asked.filter("refused is null")
-        .groupBy("dept_id")
-        .agg(F.max(F.struct(*REQUEST_ORDER, "dept_name", "manager_id")).alias("_new"))
-    )
-    next_state = department.join(latest, "dept_id", "left").select(
-        *[
-            F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
-            if c in ("dept_name", "manager_id")
-            else F.col(c)
-            for c in department.columns
-        ]
-    )
-    outcomes = asked.select(
-        "request_id",
-        F.col("refused").isNull().alias("accepted"),
-        F.coalesce("refused", F.lit("Department updated successfully")).alias("message"),
-        "dept_id",
-    )
-    return JobResult(outcomes, {"department": next_state})
+    staffed = employee.select("dept_id").distinct().withColumn("_staffed", F.lit(True))
+    boss = F.col("manager_id").cast("string")
+    managers = _managers(employee).withColumnsRenamed({"known": "_known", "active": "_active"})
+    asked = changes.withColumns({"_action": folded("action"), "_name": folded("dept_name"), "_boss": boss})
+    asked = asked.join(managers, "manager_id", "left").join(staffed, "dept_id", "left")
+    state = department.withColumns({"_name": folded("dept_name"), "_boss": boss})
+    outcomes, rows = replay(asked, state, "dept_id", ["_name", "_boss"], _department_rules(compat))
+    return JobResult(outcomes, {"department": rows})
+
+
+def update_departments(requests: DataFrame, department: DataFrame, employee: DataFrame, compat: bool = True) -> JobResult:
+    """Rename departments and give them a manager, in request order."""
+    return department_changes(requests.withColumn("action", F.lit("update")), department, employee, compat)
 
 
 def delete_departments(requests: DataFrame, department: DataFrame, employee: DataFrame) -> JobResult:
@@ -303,7 +303,7 @@ def delete_departments(requests: DataFrame, department: DataFrame, employee: Dat
             first_failure(
                 [
                     (F.col("known").isNull(), missing),
-                    (F.col("staffed"), "Cannot delete department with assigned employees"),
+                    (F.col("staffed"), STAFFED),
                 ]
             ),
         )
@@ -395,74 +395,99 @@ def hire(requests: DataFrame, employee: DataFrame, department: DataFrame, as_of:
     return JobResult(outcomes, {"employee": append(employee, rows)})
 
 
-def update_employees(requests: DataFrame, employee: DataFrame, department: DataFrame) -> JobResult:
-    """Overwrite contact, pay, type, department, end date and status.
+REHIRE = "This Employee cannot be re-hired because he/she is inactive"
+UNKNOWN = "This employee does not exist"
+ALREADY_INACTIVE = "This employee is already inactive"
+_WRITTEN = ("phone", "email", "salary", "type", "dept_id", "end_job", "status")
 
-    A missing status becomes Active and a missing end date is cleared, which brings a
-    former employee back. A phone or email may not belong to another employee, nor be
-    asked for earlier in the batch for another one.
-    """
-    known = employee.select("emp_id").withColumn("known", F.lit(True))
 
-    def owners(column: str) -> DataFrame:
-        # Lowest and highest owner are enough to tell whether somebody else owns it.
-        return employee.groupBy(folded(column).alias(f"_{column}")).agg(
-            F.min("emp_id").alias(f"_{column}_lo"), F.max("emp_id").alias(f"_{column}_hi")
-        )
+def _held_by_people(df: DataFrame, status: Column) -> DataFrame:
+    """The values that people hold: ssn by status, phone, email."""
+    ssn = folded("ssn")
+    return df.withColumns(
+        {
+            "_ssn": ssn,
+            "_working": F.when(folded(status) == "active", ssn),
+            "_left": F.when(folded(status) == "inactive", ssn),
+            "_phone": folded("phone"),
+            "_email": folded("email"),
+        }
+    )
 
-    def owned_by_other(column: str) -> Column:
-        return (F.col(f"_{column}_lo") != F.col("emp_id")) | (F.col(f"_{column}_hi") != F.col("emp_id"))
 
-    asked = (
-        requests.withColumns({"_phone": folded("phone"), "_email": folded("email")})
-        .join(known, "emp_id", "left")
-        .join(department.select("dept_id").withColumn("_dept", F.lit(True)), "dept_id", "left")
-        .join(owners("phone"), "_phone", "left")
-        .join(owners("email"), "_email", "left")
-        .withColumn(
-            "refused",
-            first_failure(
-                [
-                    (F.col("known").isNull(), "This employee does not exist"),
-                    (F.col("_dept").isNull(), NO_DEPARTMENT),
-                    (owned_by_other("phone"), PHONE_USED),
-                    (owned_by_other("email"), EMAIL_USED),
-                ]
-            ),
-        )
-    )
-    free = asked.filter("refused is null")
-    for column, text in (("_phone", PHONE_USED), ("_email", EMAIL_USED)):
-        claims = first_per(free.filter(F.col(column).isNotNull()), [column], "emp_id").select(
-            column, F.col("emp_id").alias("_claimant")
-        )
-        asked = (
-            asked.join(claims, column, "left")
-            .withColumn("refused", F.coalesce("refused", F.when(F.col("_claimant") != F.col("emp_id"), text)))
-            .drop("_claimant")
-        )
-    written = ["phone", "email", "salary", "type", "dept_id", "end_job", "status"]
-    latest = (
-        asked.filter("refused is null")
-        .withColumn("status", F.coalesce("status", F.lit("Active")))
-        .groupBy("emp_id")
-        .agg(F.max(F.struct(*REQUEST_ORDER, *written)).alias("_new"))
-    )
-    next_state = employee.join(latest, "emp_id", "left").select(
-        *[
-            F.when(F.col("_new").isNotNull(), F.col(f"_new.{f.name}").cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name)
-            if f.name in written
-            else F.col(f.name)
-            for f in employee.schema
-        ]
-    )
-    outcomes = asked.select(
-        "request_id",
-        F.col("refused").isNull().alias("accepted"),
-        F.coalesce("refused", F.lit("Employee Updated Successfully")).alias("message"),
-        "emp_id",
-    )
-    return JobResult(outcomes, {"employee": next_state})
+def _employee_rules(columns: list[str], today: object) -> Rules:
+    def contact_refused(request: dict, book: Book, row: dict | None) -> str | None:
+        if book.held("_phone", request["_phone"], but=row):
+            return PHONE_USED
+        return EMAIL_USED if book.held("_email", request["_email"], but=row) else None
+
+    def with_status(row: dict, status: str) -> dict:
+        """The change of a row that gives it another status."""
+        kind, ssn = status.rstrip(" ").lower(), row["_ssn"]
+        return {"status": status, "_working": ssn if kind == "active" else None, "_left": ssn if kind == "inactive" else None}
+
+    def hire_one(request: dict, book: Book) -> Answer:
+        if book.held("_working", request["_ssn"]):
+            refused = WORKING
+        elif book.held("_left", request["_ssn"]):
+            refused = REHIRE
+        else:
+            refused = contact_refused(request, book, None) or (None if request["_dept"] else NO_DEPARTMENT)
+        if refused:
+            return False, refused, None
+        row = {c: request.get(c) for c in columns} | {c: request[c] for c in ("_ssn", "_phone", "_email")}
+        row |= with_status(row, request["status"] or "Active") | {"start_job": request.get("start_job") or today}
+        return True, "Employee Added Successfully", book.insert(row)
+
+    def change_one(request: dict, book: Book) -> Answer:
+        row = book.row(request["emp_id"])
+        refused = UNKNOWN if row is None else None if request["_dept"] else NO_DEPARTMENT
+        refused = refused or contact_refused(request, book, row)
+        if not refused:
+            values = {c: request[c] for c in (*_WRITTEN, "_phone", "_email")}
+            book.update(row, values | with_status(row, request["status"] or "Active"))
+        return not refused, refused or "Employee Updated Successfully", request["emp_id"]
+
+    def end_one(request: dict, book: Book) -> Answer:
+        row = book.row(request["emp_id"])
+        if row is None:
+            return False, UNKNOWN, request["emp_id"]
+        if (row["status"] or "").rstrip(" ").lower() == "inactive":
+            return False, ALREADY_INACTIVE, request["emp_id"]
+        book.update(row, {**with_status(row, "Inactive"), "end_job": today})
+        return True, "Employee deleted (status set to Inactive) successfully", request["emp_id"]
+
+    acts = {"insert": hire_one, "update": change_one, "delete": end_one}
+
+    def answer(request: dict, book: Book) -> Answer:
+        act = acts.get(request["_action"])
+        return act(request, book) if act else None
+
+    return answer
+
+
+def employee_changes(changes: DataFrame, employee: DataFrame, department: DataFrame, as_of: Column) -> JobResult:
+    """Hire, change and end employees in request order (``action``: insert, update or delete).
+
+    A change overwrites contact, pay, type, department, end date and status: a missing status becomes
+    Active and a missing end date is cleared, which brings a former employee back. Ending sets the row
+    inactive; it stays. Phone and email belong to one employee at a time.
+    """
+    today = employee.sparkSession.range(1).select(as_of.cast("date")).first()[0]
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in employee.schema if f.name not in changes.columns]
+    asked = _held_by_people(changes.select("*", *missing), F.col("status")).withColumn("_action", folded("action"))
+    # Whether somebody works, or worked, under a number is asked for whatever the request's own status.
+    asked = asked.withColumns({"_working": F.col("_ssn"), "_left": F.col("_ssn")})
+    asked = asked.join(department.select("dept_id").withColumn("_dept", F.lit(True)), "dept_id", "left")
+    state = _held_by_people(employee, F.col("status"))
+    claims = ["_ssn", "_working", "_left", "_phone", "_email"]
+    outcomes, rows = replay(asked, state, "emp_id", claims, _employee_rules(employee.columns, today))
+    return JobResult(outcomes, {"employee": rows})
+
+
+def update_employees(requests: DataFrame, employee: DataFrame, department: DataFrame) -> JobResult:
+    """Overwrite contact, pay, type, department, end date and status, in request order."""
+    return employee_changes(requests.withColumn("action", F.lit("update")), employee, department, F.lit(None))
 
 
 def terminate(requests: DataFrame, employee: DataFrame, as_of: Column) -> JobResult:
