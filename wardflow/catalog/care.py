@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.catalog.common import Registry, amount, amount_text, day, or_minus_one
-from wardflow.catalog.people import catalogue_sql, texts_of
+from wardflow.catalog.people import BATCH_ACTION, batch_action, catalogue_sql
 from wardflow.functions.clock import moment
 from wardflow.plans import clinic, diagnostics, duty
 from wardflow.sources.roles import Roles, with_roles
@@ -279,16 +279,16 @@ def add_prescription(r: Roles) -> DataFrame:
 
 
 def exam_requests(r: Roles, key: str, name: str) -> DataFrame:
-    """Signups add, clicks change, errors delete examinations."""
-    kind = F.col("event_type")
+    """Every event adds, changes or deletes an examination."""
+    kind = F.lower("action")
     number = (F.col("emp_id") / 12).cast("int")
-    return r.events.filter(kind.isin("signup", "click", "error")).select(
+    return r.events.withColumn("action", batch_action(r)).select(
         "request_id",
         "request_ts",
-        F.when(kind == "signup", "insert").when(kind == "click", "Update").otherwise("DELETE").alias("action"),
-        F.when(kind != "signup", F.col("request_id") * 7 % 2500).alias(key),
-        F.when(kind == "signup", F.concat(F.lit("exam "), (number * 29).cast("string")))
-        .when((kind == "click") & (F.col("amount") > 3), F.concat(F.lit("Exam "), (number * 17).cast("string")))
+        "action",
+        F.when(kind != "insert", F.col("request_id") * 7 % 2500).alias(key),
+        F.when(kind == "insert", F.concat(F.lit("exam "), (number * 29).cast("string")))
+        .when((kind == "update") & (F.col("amount") > 3), F.concat(F.lit("Exam "), (number * 17).cast("string")))
         .alias(name),
         (F.col("request_id") % 48).cast("int").alias("delivery_duration"),
         (F.col("amount") - 1).cast("decimal(10,2)").alias("price"),
@@ -296,39 +296,42 @@ def exam_requests(r: Roles, key: str, name: str) -> DataFrame:
 
 
 _EXAM_STATE = "SELECT p_partkey AS id, 'Exam ' || p_partkey AS name FROM part"
-_EXAM_ASKED = """SELECT request_id, request_ts, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'click' THEN 'update' ELSE 'delete' END AS action,
-     CASE WHEN event_type <> 'signup' THEN request_id * 7 % 2500 END AS id,
-     CASE WHEN event_type = 'signup' THEN 'exam ' || (emp_id // 12 * 29) WHEN event_type = 'click' AND cents > 300 THEN 'Exam ' || (emp_id // 12 * 17) END AS name,
-     cents - 100 AS price
-     FROM ev WHERE event_type IN ('signup', 'click', 'error')"""
+_EXAM_ASKED = f"""SELECT request_id, request_ts, action, CASE WHEN action <> 'insert' THEN request_id * 7 % 2500 END AS id,
+     CASE WHEN action = 'insert' THEN 'exam ' || (emp_id // 12 * 29) WHEN action = 'update' AND cents > 300 THEN 'Exam ' || (emp_id // 12 * 17) END AS name,
+     cents - 100 AS price, false AS used
+     FROM (SELECT *, {BATCH_ACTION} FROM ev)"""
 
 
 def exam_sql(messages) -> str:
-    return with_roles("ev", catalogue_sql(_EXAM_STATE, _EXAM_ASKED, texts_of(messages), price_rule=True))
+    return with_roles("ev", catalogue_sql(_EXAM_STATE, _EXAM_ASKED, messages, price_rule=True))
 
 
 def exam_state(r: Roles, key: str, name: str) -> DataFrame:
     return r.exams.withColumnsRenamed({"item_id": key, "name": name})
 
 
+def lab_batch(r: Roles):
+    return diagnostics.lab_test_changes(exam_requests(r, "test_id", "test_name"), exam_state(r, "test_id", "test_name"))
+
+
+def radiology_batch(r: Roles):
+    return diagnostics.radiology_changes(exam_requests(r, "rad_id", "rad_name"), exam_state(r, "rad_id", "rad_name"))
+
+
 @registry.add(
     "lab_test_changes",
     exam_sql(diagnostics.LAB_TEXTS) + "\nSELECT request_id, accepted, message, coalesce(id, -1) AS test_id FROM outcomes",
 )
 def lab_test_changes(r: Roles) -> DataFrame:
-    state = exam_state(r, "test_id", "test_name")
-    result = diagnostics.lab_test_changes(exam_requests(r, "test_id", "test_name"), state)
-    return result.outcomes.withColumns(or_minus_one("test_id"))
+    return lab_batch(r).outcomes.withColumns(or_minus_one("test_id"))
 
 
 @registry.add(
     "lab_test_table",
-    exam_sql(diagnostics.LAB_TEXTS) + "\nSELECT id AS test_id, name AS test_name FROM state4",
+    exam_sql(diagnostics.LAB_TEXTS) + "\nSELECT id AS test_id, name AS test_name FROM final",
 )
 def lab_test_table(r: Roles) -> DataFrame:
-    state = exam_state(r, "test_id", "test_name")
-    result = diagnostics.lab_test_changes(exam_requests(r, "test_id", "test_name"), state)
-    return result.tables["lab_tests"].select("test_id", "test_name")
+    return lab_batch(r).tables["lab_tests"].select("test_id", "test_name")
 
 
 @registry.add(
@@ -336,9 +339,15 @@ def lab_test_table(r: Roles) -> DataFrame:
     exam_sql(diagnostics.RADIOLOGY_TEXTS) + "\nSELECT request_id, accepted, message, coalesce(id, -1) AS rad_id FROM outcomes",
 )
 def radiology_changes(r: Roles) -> DataFrame:
-    state = exam_state(r, "rad_id", "rad_name")
-    result = diagnostics.radiology_changes(exam_requests(r, "rad_id", "rad_name"), state)
-    return result.outcomes.withColumns(or_minus_one("rad_id"))
+    return radiology_batch(r).outcomes.withColumns(or_minus_one("rad_id"))
+
+
+@registry.add(
+    "radiology_table",
+    exam_sql(diagnostics.RADIOLOGY_TEXTS) + "\nSELECT id AS rad_id, name AS rad_name FROM final",
+)
+def radiology_table(r: Roles) -> DataFrame:
+    return radiology_batch(r).tables["radiology"].select("rad_id", "rad_name")
 
 
 def lab_orders(r: Roles) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.catalog.common import Registry, amount, amount_text, clock, day, or_minus_one
+from wardflow.catalog.common import Registry, amount, amount_text, clock, day, or_minus_one, replay_sql
 from wardflow.functions.clock import moment
+from wardflow.operators.catalogue import Messages
 from wardflow.plans import attendance as att
 from wardflow.plans import payroll, staffing
+from wardflow.plans.diagnostics import NEGATIVE_PRICE
 from wardflow.sources.roles import Roles, with_roles
 
 registry = Registry()
@@ -484,77 +486,51 @@ def repeat_schedule_longer_month(r: Roles) -> DataFrame:
     return staffing.repeat_schedule(r.dated.withColumn("date", F.date_add("date", 30)))
 
 
-def catalogue_sql(state: str, asked: str, texts: dict[str, str], used: str | None = None, price_rule: bool = False) -> str:
-    """SQL for a mixed batch on a master table.
+def catalogue_sql(state: str, asked: str, texts: Messages, price_rule: bool = False) -> str:
+    """SQL for a mixed batch on a master table, request after request.
 
-    ``state``: (id, name); ``asked``: (request_id, request_ts, action, id, name[, price]).
+    ``state``: (id, name); ``asked``: (request_id, request_ts, action, id, name, price, used).
     """
-    missing_first = texts.get("missing_first")
-    missing = f"WHEN u.known IS NULL THEN '{texts['missing']}'"
-    held = f"WHEN u.holder <> u.id THEN '{texts['name_taken']}'"
-    update_case = f"{missing} {held}" if missing_first else f"{held} {missing}"
-    price = "WHEN price < 0 THEN 'Price cannot be negative.'" if price_rule else ""
-    free = "AND NOT (price < 0)" if price_rule else ""
-    in_use = f"WHEN t.used IS NOT NULL THEN '{texts['in_use']}'" if used else ""
-    used_join = f"LEFT JOIN (SELECT DISTINCT id AS used FROM ({used})) t ON t.used = a.id" if used else ""
-    used_free = "AND t.used IS NULL" if used else ""
-    return f"""
-    state AS ({state}),
-    asked AS ({asked}),
-    ins AS (SELECT a.*, s.id IS NOT NULL AS taken FROM asked a
-            LEFT JOIN state s ON lower(s.name) = lower(a.name) WHERE a.action = 'insert'),
-    ins_won AS (SELECT request_id, (SELECT max(id) FROM state) + row_number() OVER (ORDER BY request_ts, request_id) AS id, name
-                FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY request_ts, request_id) AS place
-                      FROM ins WHERE NOT taken {free}) WHERE place = 1),
-    ins_out AS (SELECT i.request_id, w.id IS NOT NULL AS accepted,
-                CASE WHEN w.id IS NOT NULL THEN '{texts['inserted']}' WHEN taken THEN '{texts['name_exists']}' {price}
-                     ELSE '{texts['name_exists']}' END AS message, w.id
-                FROM ins i LEFT JOIN ins_won w ON w.request_id = i.request_id),
-    state2 AS (SELECT id, name FROM state UNION ALL SELECT id, name FROM ins_won),
-    upd AS (SELECT a.*, k.id AS known, h.id AS holder FROM asked a LEFT JOIN state2 k ON k.id = a.id
-            LEFT JOIN state2 h ON lower(h.name) = lower(a.name) WHERE a.action = 'update'),
-    upd1 AS (SELECT u.*, CASE {update_case} END AS refused FROM upd u),
-    claim AS (SELECT lower(name) AS n, arg_min(id, (request_ts, request_id)) AS claimant FROM upd1
-              WHERE refused IS NULL AND name IS NOT NULL GROUP BY 1),
-    upd2 AS (SELECT u.*, coalesce(refused, CASE WHEN c.claimant <> u.id THEN '{texts['name_taken']}' END) AS why
-             FROM upd1 u LEFT JOIN claim c ON c.n = lower(u.name)),
-    upd_out AS (SELECT request_id, why IS NULL AS accepted, coalesce(why, '{texts['updated']}') AS message, id FROM upd2),
-    last_name AS (SELECT id, arg_max(name, (request_ts, request_id)) AS name FROM upd2 WHERE why IS NULL AND name IS NOT NULL GROUP BY 1),
-    state3 AS (SELECT s.id, coalesce(l.name, s.name) AS name FROM state2 s LEFT JOIN last_name l ON l.id = s.id),
-    del AS (SELECT a.*, k.id AS known, CASE WHEN k.id IS NULL THEN '{texts['missing']}' {in_use} END AS refused,
-            row_number() OVER (PARTITION BY a.id ORDER BY a.request_ts, a.request_id) AS place
-            FROM asked a LEFT JOIN state3 k ON k.id = a.id {used_join} WHERE a.action = 'delete'),
-    del_out AS (SELECT request_id, refused IS NULL AND place = 1 AS accepted,
-                CASE WHEN refused IS NOT NULL THEN refused WHEN place = 1 THEN '{texts['deleted']}' ELSE '{texts['missing']}' END AS message, id
-                FROM del),
-    state4 AS (SELECT * FROM state3 WHERE id NOT IN (SELECT id FROM del WHERE refused IS NULL)),
-    outcomes AS (SELECT * FROM ins_out UNION ALL SELECT * FROM upd_out UNION ALL SELECT * FROM del_out)"""
-
-
-def texts_of(messages) -> dict:
-    return {
-        "inserted": messages.inserted,
-        "name_exists": messages.name_exists,
-        "updated": messages.updated,
-        "name_taken": messages.name_taken,
-        "deleted": messages.deleted,
-        "missing": messages.missing,
-        "missing_first": messages.missing_first,
-        "in_use": messages.in_use,
-    }
+    missing = f"WHEN me IS NULL THEN '{texts.missing}'"
+    held = f"WHEN q.id IS NOT NULL AND f.others > 0 THEN '{texts.name_taken}'"
+    tests = f"{missing} {held}" if texts.missing_first else f"{held} {missing}"
+    no_id = f"WHEN q.id IS NULL THEN '{texts.id_required}'" if texts.id_required else ""
+    price = f"WHEN q.price < 0 THEN '{NEGATIVE_PRICE}'" if price_rule else ""
+    in_use = f"WHEN q.used THEN '{texts.in_use}'" if texts.in_use else ""
+    return replay_sql(
+        state,
+        {"id": "BIGINT", "name": "VARCHAR"},
+        asked,
+        {"id": "BIGINT", "name": "VARCHAR", "price": "BIGINT", "used": "BOOLEAN"},
+        {"others": "len(list_filter(st, lambda x: lower(x.name) = lower(q.name) AND x.id IS DISTINCT FROM q.id))"},
+        f"""CASE q.action
+          WHEN 'insert' THEN CASE WHEN f.others > 0 THEN '{texts.name_exists}' {price} END
+          WHEN 'update' THEN CASE {no_id} {tests} END
+          ELSE CASE {missing} {in_use} END END""",
+        {"name": "coalesce(q.name, me.name)"},
+        {"insert": texts.inserted, "update": texts.updated, "delete": texts.deleted},
+    )
 
 
-def shift_requests(r: Roles) -> DataFrame:
-    """Signups add shifts, clicks rename them, errors delete them."""
+def batch_action(r: Roles) -> Column:
+    """Every event changes a master table: signups and purchases add, views and clicks change, errors delete."""
     kind = F.col("event_type")
-    number = F.col("emp_id") / 12
-    return r.events.filter(kind.isin("signup", "click", "error")).select(
+    return F.when(kind.isin("signup", "purchase"), "Insert").when(kind.isin("view", "click"), "UPDATE").otherwise("delete")
+
+
+BATCH_ACTION = """CASE WHEN event_type IN ('signup', 'purchase') THEN 'insert' WHEN event_type IN ('view', 'click') THEN 'update'
+                  ELSE 'delete' END AS action"""
+
+
+def shift_requests(r: Roles) -> DataFrame:
+    kind, number = F.lower("action"), F.col("emp_id") / 12
+    return r.events.withColumn("action", batch_action(r)).select(
         "request_id",
         "request_ts",
-        F.when(kind == "signup", "Insert").when(kind == "click", "UPDATE").otherwise("delete").alias("action"),
-        F.when(kind != "signup", (F.col("request_id") % 40).cast("int")).alias("shift_id"),
-        F.when(kind == "signup", F.concat(F.lit("Nation_"), (number % 45).cast("int").cast("string")))
-        .when(kind == "click", F.concat(F.lit("Ward "), (number % 60).cast("int").cast("string")))
+        "action",
+        F.when(kind != "insert", (F.col("request_id") % 40).cast("int")).alias("shift_id"),
+        F.when(kind == "insert", F.concat(F.lit("Nation_"), (number % 45).cast("int").cast("string")))
+        .when(kind == "update", F.concat(F.lit("Ward "), (number % 60).cast("int").cast("string")))
         .alias("shift_name"),
     )
 
@@ -563,19 +539,18 @@ SHIFT_CHANGES = with_roles(
     "ev emp",
     catalogue_sql(
         "SELECT n_nationkey AS id, n_name AS name FROM nation",
-        """SELECT request_id, request_ts, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'click' THEN 'update' ELSE 'delete' END AS action,
-                  CASE WHEN event_type <> 'signup' THEN request_id % 40 END AS id,
-                  CASE event_type WHEN 'signup' THEN 'Nation_' || (emp_id // 12 % 45) WHEN 'click' THEN 'Ward ' || (emp_id // 12 % 60) END AS name
-           FROM ev WHERE event_type IN ('signup', 'click', 'error')""",
-        texts_of(staffing.SHIFT_TEXTS),
-        used="SELECT dept_id AS id FROM emp WHERE cents > 995000",
+        f"""SELECT request_id, request_ts, action, CASE WHEN action <> 'insert' THEN request_id % 40 END AS id,
+              CASE action WHEN 'insert' THEN 'Nation_' || (emp_id // 12 % 45) WHEN 'update' THEN 'Ward ' || (emp_id // 12 % 60) END AS name,
+              0 AS price, request_id % 40 IN (SELECT dept_id * 2 FROM emp) AS used
+            FROM (SELECT *, {BATCH_ACTION} FROM ev)""",
+        staffing.SHIFT_TEXTS,
     ),
 )
 
 
 def shift_batch(r: Roles):
     shifts = r.table("nation").select(F.col("n_nationkey").alias("shift_id"), F.col("n_name").alias("shift_name"))
-    used = r.employee.filter("salary > 9950").select("emp_id", F.col("dept_id").alias("shift_id"))
+    used = r.employee.select("emp_id", (F.col("dept_id") * 2).alias("shift_id"))
     return staffing.shift_changes(shift_requests(r), shifts, used)
 
 
@@ -587,7 +562,7 @@ def shift_changes(r: Roles) -> DataFrame:
     return shift_batch(r).outcomes.withColumns(or_minus_one("shift_id"))
 
 
-@registry.add("shift_changes_table", SHIFT_CHANGES + "\nSELECT id AS shift_id, name AS shift_name FROM state4")
+@registry.add("shift_changes_table", SHIFT_CHANGES + "\nSELECT id AS shift_id, name AS shift_name FROM final")
 def shift_changes_table(r: Roles) -> DataFrame:
     return shift_batch(r).tables["shift"]
 
@@ -711,7 +686,7 @@ def shift_unassign(r: Roles) -> DataFrame:
 
 def department_adds(r: Roles) -> DataFrame:
     number = (F.col("emp_id") / 12).cast("long")
-    return r.events.filter("event_type = 'signup'").select(
+    return r.events.select(
         "request_id",
         "request_ts",
         F.concat(F.lit("nation_"), (number % 60 + 10).cast("string")).alias("dept_name"),
@@ -741,7 +716,7 @@ def rounds_sql(source: str, claims: tuple[str, ...]) -> str:
     with_roles(
         "ev emp dept",
         f"""asked AS (SELECT request_id, (request_ts, request_id) AS k, 'nation_' || (emp_id // 12 % 60 + 10) AS n,
-                  CASE WHEN cents > 200 THEN request_id % 1700 END AS m FROM ev WHERE event_type = 'signup'),
+                  CASE WHEN cents > 200 THEN request_id % 1700 END AS m FROM ev),
         tested AS (SELECT a.*, CASE WHEN d.dept_id IS NOT NULL THEN 'This department name already exists'
                  WHEN a.m IS NOT NULL AND e.emp_id IS NULL THEN 'Manager ID not found in Employee table'
                  WHEN e.status IS NULL OR e.status <> 'active' THEN 'This manager is inactive can not be a manager'
@@ -764,45 +739,84 @@ def department_add(r: Roles) -> DataFrame:
     )
 
 
-@registry.add(
-    "department_update",
-    with_roles(
-        "ev emp dept",
-        """asked AS (SELECT request_id, request_ts, request_id % 30 AS dept_id, 'NATION_' || (emp_id // 12 % 70) AS dept_name,
-                 CASE WHEN cents > 200 THEN request_id % 1700 END AS manager_id FROM ev WHERE event_type = 'click'),
-        t AS (SELECT a.*, CASE WHEN d.dept_id IS NULL THEN 'Department not found'
-                 WHEN h.dept_id <> a.dept_id THEN 'This department name is already used by another department'
-                 WHEN a.manager_id IS NOT NULL AND e.emp_id IS NULL THEN 'Manager ID not found in Employee table'
-                 WHEN e.status IS NULL OR e.status <> 'active' THEN 'This manager is inactive can not be a manager'
-                 WHEN m.manager_id IS NOT NULL THEN 'This manager is already assigned to another department' END AS refused
-              FROM asked a LEFT JOIN dept d ON d.dept_id = a.dept_id LEFT JOIN dept h ON lower(h.dept_name) = lower(a.dept_name)
-              LEFT JOIN emp e ON e.emp_id = a.manager_id LEFT JOIN dept m ON m.manager_id = a.manager_id),
-        n AS (SELECT lower(dept_name) AS n, arg_min(dept_id, (request_ts, request_id)) AS claimant FROM t WHERE refused IS NULL GROUP BY 1),
-        b AS (SELECT manager_id, arg_min(request_id, (request_ts, request_id)) AS first FROM t WHERE refused IS NULL GROUP BY 1),
-        f AS (SELECT t.*, coalesce(refused, CASE WHEN n.claimant <> t.dept_id THEN 'This department name is already used by another department'
-                 WHEN b.first <> t.request_id THEN 'This manager is already assigned to another department' END) AS why
-              FROM t LEFT JOIN n ON n.n = lower(t.dept_name) LEFT JOIN b ON b.manager_id = t.manager_id)
-        SELECT request_id, why IS NULL AS accepted, coalesce(why, 'Department updated successfully') AS message, dept_id FROM f""",
-    ),
-)
-def department_update(r: Roles) -> DataFrame:
+def department_requests(r: Roles) -> DataFrame:
     number = (F.col("emp_id") / 12).cast("long")
-    asked = r.events.filter("event_type = 'click'").select(
+    return r.events.select(
         "request_id",
         "request_ts",
-        (F.col("request_id") % 30).cast("int").alias("dept_id"),
+        batch_action(r).alias("action"),
+        (F.col("request_id") % 60).cast("int").alias("dept_id"),
         F.concat(F.lit("NATION_"), (number % 70).cast("string")).alias("dept_name"),
         F.when(F.col("amount") > 2, F.col("request_id") % 1700).alias("manager_id"),
     )
-    return staffing.update_departments(asked, r.department, r.employee).outcomes
+
+
+def department_sql(action: str) -> str:
+    """SQL for departments, request after request; ``action`` as a column."""
+    manager = """CASE WHEN q.manager_id IS NOT NULL AND NOT q.known THEN 'Manager ID not found in Employee table'
+          WHEN NOT q.active THEN 'This manager is inactive can not be a manager'
+          WHEN f.manages > 0 THEN 'This manager is already assigned to another department' END"""
+    return with_roles(
+        "ev emp dept",
+        replay_sql(
+            "SELECT dept_id AS id, dept_name AS name, manager_id FROM dept",
+            {"id": "BIGINT", "name": "VARCHAR", "manager_id": "BIGINT"},
+            f"""SELECT a.*, e.emp_id IS NOT NULL AS known, coalesce(lower(e.status) = 'active', false) AS active,
+                  id IN (SELECT dept_id FROM emp) AS staffed
+                FROM (SELECT request_id, request_ts, {action}, request_id % 60 AS id, 'NATION_' || (emp_id // 12 % 70) AS name,
+                        CASE WHEN cents > 200 THEN request_id % 1700 END AS manager_id FROM ev) a
+                LEFT JOIN emp e ON e.emp_id = a.manager_id""",
+            {"id": "BIGINT", "name": "VARCHAR", "manager_id": "BIGINT", "known": "BOOLEAN", "active": "BOOLEAN", "staffed": "BOOLEAN"},
+            {
+                "others": "len(list_filter(st, lambda x: lower(x.name) = lower(q.name) AND (q.action = 'insert' OR x.id <> q.id)))",
+                "manages": "len(list_filter(st, lambda x: x.manager_id = q.manager_id))",
+            },
+            f"""CASE q.action
+              WHEN 'insert' THEN CASE WHEN f.others > 0 THEN 'This department name already exists' ELSE {manager} END
+              WHEN 'update' THEN CASE WHEN me IS NULL THEN 'Department not found'
+                WHEN f.others > 0 THEN 'This department name is already used by another department' ELSE {manager} END
+              ELSE CASE WHEN me IS NULL THEN 'Department not found' WHEN q.staffed THEN 'Cannot delete department with assigned employees' END END""",
+            {"name": "q.name", "manager_id": "q.manager_id"},
+            {"insert": "Department added successfully", "update": "Department updated successfully", "delete": "Department deleted successfully"},
+        ),
+    )
+
+
+@registry.add("department_changes", department_sql(BATCH_ACTION) + "\nSELECT request_id, accepted, message, coalesce(id, -1) AS dept_id FROM outcomes")
+def department_changes(r: Roles) -> DataFrame:
+    """Departments added, changed and deleted in one batch."""
+    return staffing.department_changes(department_requests(r), r.department, r.employee).outcomes.withColumns(or_minus_one("dept_id"))
+
+
+@registry.add(
+    "department_changes_table",
+    department_sql(BATCH_ACTION) + "\nSELECT id AS dept_id, name AS dept_name, coalesce(manager_id, -1) AS manager_id FROM final",
+)
+def department_changes_table(r: Roles) -> DataFrame:
+    rows = staffing.department_changes(department_requests(r), r.department, r.employee).tables["department"]
+    return rows.withColumns(or_minus_one("manager_id")).select("dept_id", "dept_name", "manager_id")
+
+
+@registry.add("department_update", department_sql("'update' AS action") + "\nSELECT request_id, accepted, message, id AS dept_id FROM outcomes")
+def department_update(r: Roles) -> DataFrame:
+    return staffing.update_departments(department_requests(r).drop("action"), r.department, r.employee).outcomes
+
+
+@registry.add(
+    "department_update_table",
+    department_sql("'update' AS action") + "\nSELECT id AS dept_id, name AS dept_name, coalesce(manager_id, -1) AS manager_id FROM final",
+)
+def department_update_table(r: Roles) -> DataFrame:
+    rows = staffing.update_departments(department_requests(r).drop("action"), r.department, r.employee).tables["department"]
+    return rows.withColumns(or_minus_one("manager_id")).select("dept_id", "dept_name", "manager_id")
 
 
 @registry.add(
     "department_delete",
     with_roles(
         "ev emp dept",
-        """asked AS (SELECT request_id, request_ts, request_id % 30 AS dept_id FROM ev WHERE event_type = 'error'),
-        used AS (SELECT DISTINCT dept_id FROM emp WHERE cents > 995000),
+        """asked AS (SELECT request_id, request_ts, request_id % 60 AS dept_id FROM ev),
+        used AS (SELECT DISTINCT dept_id * 2 AS dept_id FROM emp),
         p AS (SELECT a.*, d.dept_id IS NOT NULL AS known, u.dept_id IS NOT NULL AS used,
                      row_number() OVER (PARTITION BY a.dept_id ORDER BY request_ts, request_id) AS place
               FROM asked a LEFT JOIN dept d ON d.dept_id = a.dept_id LEFT JOIN used u ON u.dept_id = a.dept_id)
@@ -812,10 +826,9 @@ def department_update(r: Roles) -> DataFrame:
     ),
 )
 def department_delete(r: Roles) -> DataFrame:
-    asked = r.events.filter("event_type = 'error'").select(
-        "request_id", "request_ts", (F.col("request_id") % 30).cast("int").alias("dept_id")
-    )
-    return staffing.delete_departments(asked, r.department, r.employee.filter("salary > 9950")).outcomes
+    asked = r.events.select("request_id", "request_ts", (F.col("request_id") % 60).cast("int").alias("dept_id"))
+    members = r.employee.withColumn("dept_id", F.col("dept_id") * 2)
+    return staffing.delete_departments(asked, r.department, members).outcomes
 
 
 def applicants(r: Roles) -> DataFrame:
@@ -871,71 +884,110 @@ def employee_hire(r: Roles) -> DataFrame:
     )
 
 
-UPDATES = with_roles(
-    "ev emp dept",
-    """asked AS (SELECT request_id, request_ts, emp_id, '010' || (request_id % 9000) AS phone,
-             'mail' || (request_id * 3 % 9001) || '@WARD.test' AS email, cents, dept_id FROM
-             (SELECT *, request_id % 27 AS dept_id FROM ev WHERE event_type IN ('view', 'click'))),
-    t AS (SELECT a.*, CASE WHEN e.emp_id IS NULL THEN 'This employee does not exist'
-             WHEN d.dept_id IS NULL THEN 'This department does not exist'
-             WHEN p.emp_id <> a.emp_id THEN 'This phone number is already used by another employee'
-             WHEN m.emp_id <> a.emp_id THEN 'This email address is already used by another employee' END AS refused
-          FROM asked a LEFT JOIN emp e ON e.emp_id = a.emp_id LEFT JOIN dept d ON d.dept_id = a.dept_id
-          LEFT JOIN emp p ON lower(p.phone) = lower(a.phone) LEFT JOIN emp m ON lower(m.email) = lower(a.email)),
-    cp AS (SELECT phone, arg_min(emp_id, (request_ts, request_id)) AS c FROM t WHERE refused IS NULL GROUP BY 1),
-    cm AS (SELECT lower(email) AS email, arg_min(emp_id, (request_ts, request_id)) AS c FROM t WHERE refused IS NULL GROUP BY 1),
-    f AS (SELECT t.*, coalesce(refused, CASE WHEN cp.c <> t.emp_id THEN 'This phone number is already used by another employee'
-             WHEN cm.c <> t.emp_id THEN 'This email address is already used by another employee' END) AS why
-          FROM t LEFT JOIN cp ON cp.phone = t.phone LEFT JOIN cm ON cm.email = lower(t.email))""",
-)
-
-
-def employee_updates(r: Roles):
+def employee_requests(r: Roles) -> DataFrame:
     number = F.col("request_id")
-    asked = r.events.filter("event_type in ('view', 'click')").select(
+    return r.events.select(
         "request_id",
         "request_ts",
-        "emp_id",
-        F.concat(F.lit("010"), (number % 9000).cast("string")).alias("phone"),
-        F.concat(F.lit("mail"), (number * 3 % 9001).cast("string"), F.lit("@WARD.test")).alias("email"),
+        batch_action(r).alias("action"),
+        (F.col("emp_id") % 1800).alias("emp_id"),
+        F.lit("New").alias("fname"),
+        F.lit("Hire").alias("lname"),
+        F.lit("Male").alias("gender"),
+        F.lit("1990-01-01").cast("date").alias("birth_date"),
+        F.concat(F.lit("s"), (number % 4000).cast("string")).alias("ssn"),
+        F.concat(F.lit("010"), (number % 2003).cast("string")).alias("phone"),
+        F.concat(F.lit("mail"), (number * 3 % 3001).cast("string"), F.lit("@WARD.test")).alias("email"),
         F.col("amount").alias("salary"),
         F.lit("nurse").alias("type"),
         (number % 27).cast("int").alias("dept_id"),
+        F.lit(None).cast("date").alias("start_job"),
         F.lit(None).cast("date").alias("end_job"),
-        F.lit(None).cast("string").alias("status"),
+        F.when(number % 5 == 0, F.lit("Inactive")).alias("status"),
     )
-    return staffing.update_employees(asked, r.employee, r.department)
 
 
-@registry.add(
-    "employee_update",
-    UPDATES + "\nSELECT request_id, emp_id, why IS NULL AS accepted, coalesce(why, 'Employee Updated Successfully') AS message FROM f",
-)
+def employee_sql(action: str) -> str:
+    """SQL for employees, request after request; ``action`` as a column."""
+    contact = """WHEN f.phones > 0 THEN 'This phone number is already used by another employee'
+          WHEN f.emails > 0 THEN 'This email address is already used by another employee'"""
+    no_dept = "WHEN q.no_dept THEN 'This department does not exist'"
+    other = "(q.action = 'insert' OR x.id <> q.id)"
+    fields = {"id": "BIGINT", "ssn": "VARCHAR", "phone": "VARCHAR", "email": "VARCHAR", "cents": "BIGINT", "type": "VARCHAR", "dept_id": "BIGINT", "status": "VARCHAR", "end_job": "VARCHAR"}
+    return with_roles(
+        "ev emp dept",
+        replay_sql(
+            "SELECT emp_id AS id, ssn, phone, email, cents, type, dept_id, status, NULL AS end_job FROM emp",
+            fields,
+            f"""SELECT a.*, d.dept_id IS NULL AS no_dept FROM (
+                  SELECT request_id, request_ts, {action}, emp_id % 1800 AS id, 's' || (request_id % 4000) AS ssn, '010' || (request_id % 2003) AS phone,
+                    'mail' || (request_id * 3 % 3001) || '@WARD.test' AS email, cents, request_id % 27 AS dept_id,
+                    CASE WHEN request_id % 5 = 0 THEN 'Inactive' ELSE 'Active' END AS status FROM ev) a
+                LEFT JOIN dept d ON d.dept_id = a.dept_id""",
+            {"id": "BIGINT", "ssn": "VARCHAR", "phone": "VARCHAR", "email": "VARCHAR", "cents": "BIGINT", "dept_id": "BIGINT", "status": "VARCHAR", "no_dept": "BOOLEAN"},
+            {
+                "same": "list_transform(list_filter(st, lambda x: lower(x.ssn) = lower(q.ssn)), lambda x: lower(x.status))",
+                "phones": f"len(list_filter(st, lambda x: lower(x.phone) = lower(q.phone) AND {other}))",
+                "emails": f"len(list_filter(st, lambda x: lower(x.email) = lower(q.email) AND {other}))",
+            },
+            f"""CASE q.action
+              WHEN 'insert' THEN CASE WHEN list_contains(f.same, 'active') THEN 'This Employee is already working with us'
+                WHEN list_contains(f.same, 'inactive') THEN 'This Employee cannot be re-hired because he/she is inactive' {contact} {no_dept} END
+              WHEN 'update' THEN CASE WHEN me IS NULL THEN 'This employee does not exist' {no_dept} {contact} END
+              ELSE CASE WHEN me IS NULL THEN 'This employee does not exist' WHEN lower(me.status) = 'inactive' THEN 'This employee is already inactive' END END""",
+            {"ssn": "CASE WHEN q.action = 'insert' THEN q.ssn ELSE me.ssn END", "phone": "q.phone", "email": "q.email", "cents": "q.cents",
+             "type": "'nurse'", "dept_id": "q.dept_id", "status": "q.status", "end_job": "NULL"},
+            {"insert": "Employee Added Successfully", "update": "Employee Updated Successfully",
+             "delete": "Employee deleted (status set to Inactive) successfully"},
+            {"status": "'Inactive'", "end_job": "'2024-02-01'"},
+        ),
+    )
+
+
+_EMPLOYEE_OUT = "\nSELECT request_id, coalesce(id, -1) AS emp_id, accepted, message FROM outcomes"
+_EMPLOYEE_ROWS = f"""
+    SELECT id AS emp_id, ssn, phone, email, {amount('cents')} AS salary, type, dept_id, status, coalesce(end_job, '') AS end_job FROM final"""
+
+
+def employee_rows(result) -> DataFrame:
+    end = F.coalesce(F.date_format("end_job", "yyyy-MM-dd"), F.lit("")).alias("end_job")
+    return result.tables["employee"].select("emp_id", "ssn", "phone", "email", "salary", "type", "dept_id", "status", end)
+
+
+def employee_batch(r: Roles):
+    return staffing.employee_changes(employee_requests(r), r.employee, r.department, moment(TODAY))
+
+
+@registry.add("employee_changes", employee_sql(BATCH_ACTION) + _EMPLOYEE_OUT)
+def employee_changes(r: Roles) -> DataFrame:
+    """People hired, changed and ended in one batch."""
+    return employee_batch(r).outcomes.withColumns(or_minus_one("emp_id"))
+
+
+@registry.add("employee_changes_table", employee_sql(BATCH_ACTION) + _EMPLOYEE_ROWS)
+def employee_changes_table(r: Roles) -> DataFrame:
+    return employee_rows(employee_batch(r))
+
+
+def employee_updates(r: Roles):
+    return staffing.update_employees(employee_requests(r).drop("action"), r.employee, r.department)
+
+
+@registry.add("employee_update", employee_sql("'update' AS action") + _EMPLOYEE_OUT)
 def employee_update(r: Roles) -> DataFrame:
     return employee_updates(r).outcomes
 
 
-@registry.add(
-    "employee_update_table",
-    UPDATES
-    + f"""
-    SELECT e.emp_id, coalesce(l.v.phone, e.phone) AS phone, coalesce(l.v.email, e.email) AS email,
-           {amount('coalesce(l.v.cents, e.cents)')} AS salary, CASE WHEN l.v IS NULL THEN e.type ELSE 'nurse' END AS type,
-           coalesce(l.v.dept_id, e.dept_id) AS dept_id, CASE WHEN l.v IS NULL THEN e.status ELSE 'Active' END AS status
-    FROM emp e LEFT JOIN (SELECT emp_id, arg_max({{'phone': phone, 'email': email, 'cents': cents, 'dept_id': dept_id}},
-                                 (request_ts, request_id)) AS v FROM f WHERE why IS NULL GROUP BY 1) l ON l.emp_id = e.emp_id""",
-)
+@registry.add("employee_update_table", employee_sql("'update' AS action") + _EMPLOYEE_ROWS)
 def employee_update_table(r: Roles) -> DataFrame:
-    return employee_updates(r).tables["employee"].select(
-        "emp_id", "phone", "email", "salary", "type", "dept_id", "status"
-    )
+    return employee_rows(employee_updates(r))
 
 
 TERMINATE = with_roles(
     "ev emp",
     """p AS (SELECT v.request_id, v.emp_id, e.emp_id IS NULL AS unknown, coalesce(e.status = 'Inactive', false) AS inactive,
             row_number() OVER (PARTITION BY v.emp_id ORDER BY v.request_ts, v.request_id) AS place
-          FROM ev v LEFT JOIN emp e ON e.emp_id = v.emp_id WHERE v.event_type = 'error')""",
+          FROM ev v LEFT JOIN emp e ON e.emp_id = v.emp_id)""",
 )
 
 
@@ -948,7 +1000,7 @@ TERMINATE = with_roles(
                 ELSE 'Employee deleted (status set to Inactive) successfully' END AS message FROM p""",
 )
 def employee_terminate(r: Roles) -> DataFrame:
-    asked = r.events.filter("event_type = 'error'").select("request_id", "request_ts", "emp_id")
+    asked = r.events.select("request_id", "request_ts", "emp_id")
     return staffing.terminate(asked, r.employee, moment(TODAY)).outcomes
 
 
@@ -961,5 +1013,5 @@ def employee_terminate(r: Roles) -> DataFrame:
     FROM emp e LEFT JOIN (SELECT emp_id FROM p WHERE NOT unknown AND NOT inactive AND place = 1) t ON t.emp_id = e.emp_id""",
 )
 def employee_terminate_table(r: Roles) -> DataFrame:
-    asked = r.events.filter("event_type = 'error'").select("request_id", "request_ts", "emp_id")
+    asked = r.events.select("request_id", "request_ts", "emp_id")
     return staffing.terminate(asked, r.employee, moment(TODAY)).tables["employee"].select("emp_id", "status", "end_job")
