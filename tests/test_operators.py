@@ -249,3 +249,28 @@ def test_a_cluster_without_shared_folder_is_refused():
         scratch_dir(session)
     session.conf.get = lambda key, default: "hdfs://shared/folder/"
     assert scratch_dir(session) == "hdfs://shared/folder"
+
+
+@pytest.mark.parametrize("wrap", [False, True])
+def test_lowest_on_duty_matches_a_loop(spark, wrap):
+    """Slots of every shape, also over midnight, of equal ends and of one second."""
+    from wardflow.operators.intervals import lowest_on_duty
+
+    draw = random.Random(4)
+    times = [0, 1, 2, 63, 64, 43_200, 65_535, 65_536, 86_398, 86_399, *(draw.randrange(86_400) for _ in range(30))]
+    slots = [(draw.randrange(3), draw.choice(times), draw.choice(times), draw.randrange(50)) for _ in range(120)]
+    slots += [(0, None, 5, 1), (1, 5, None, 1)]
+    asked = [(i, draw.choice([0, 1, 2, 7, None]), t) for i, t in enumerate(times * 2)]
+    got = lowest_on_duty(
+        frame(spark, asked, "id int, k int, clock int"), frame(spark, slots, "k int, a int, b int, who int"), ["k"], "clock", "a", "b", ["who"], "pick", wrap
+    )
+
+    def covers(a, b, t):
+        if a is None or b is None:
+            return False
+        if not wrap or a < b:
+            return a <= t <= b
+        return a > b and (t >= a or t <= b)
+
+    want = {i: min((who for kk, a, b, who in slots if kk == k and covers(a, b, t)), default=None) for i, k, t in asked}
+    assert {r["id"]: r["pick"]["who"] if r["pick"] else None for r in got.collect()} == want

@@ -78,23 +78,60 @@ def overlapping(requests: DataFrame, slots: DataFrame, keys: Sequence[str], star
     return scanned.filter((F.col("_kind") == 1) & (F.col("_reach") >= F.col("_from"))).select(id_column)
 
 
-def slot_menu(slots: DataFrame, keys: Sequence[str], start: str, end: str, pick: Sequence[str], name: str) -> DataFrame:
-    """Per keys, the distinct (start, end) shapes with the lowest ``pick`` each.
+# A day has fewer seconds than 2 to this power.
+_DAY_BITS = 17
+_DAY_END = 86_399
 
-    Schedules repeat a handful of shapes, so the array stays short however many
-    people share them, and a request joins one row instead of every person on duty.
-    """
-    shapes = slots.groupBy(*keys, start, end).agg(F.min(F.struct(*pick)).alias("_pick"))
-    entry = F.struct(F.col(start).alias("start"), F.col(end).alias("end"), F.col("_pick").alias("pick"))
-    return shapes.groupBy(*keys).agg(F.collect_list(entry).alias(name))
 
+def _day_blocks(start: Column, end: Column) -> Column:
+    """The seconds from start to end as blocks (level, number): block n of level k has the seconds from n * 2^k.
 
-def pick_on_duty(menu: str, clock: str, wrap: bool = False) -> Column:
-    """Lowest pick among the menu's shapes that cover the time of day.
-
-    Both are column names: the clock is looked at once per shape, so it must not be
-    an expression that is worked out again each time.
+    At most two blocks of each level are needed, and a second lies in one block of each level.
     """
-    return F.array_min(
-        F.transform(menu, lambda s: F.when(on_duty(clock, s["start"], s["end"], wrap), s["pick"]))
-    )
+    blocks = []
+    for level in range(_DAY_BITS + 1):
+        size = F.lit(1 << level)
+        # First block not before the start, first block that reaches beyond the end.
+        low, high = F.ceil(start / size).cast("long"), F.floor((end + 1) / size).cast("long")
+        for taken, number in (((low % 2) == 1, low), ((high % 2) == 1, high - 1)):
+            block = F.struct(F.lit(level).alias("_level"), number.alias("_block"))
+            blocks.append(F.when((low < high) & taken, block))
+    return F.array_compact(F.array(*blocks))
+
+
+def lowest_on_duty(
+    requests: DataFrame,
+    slots: DataFrame,
+    keys: Sequence[str],
+    clock: str,
+    start: str,
+    end: str,
+    pick: Sequence[str],
+    name: str,
+    wrap: bool = False,
+) -> DataFrame:
+    """Add ``name``: the lowest ``pick`` (a struct) among the slots of the keys that cover the second ``clock``.
+
+    Every slot is cut into blocks of the day whose sizes are powers of two, and the lowest pick is
+    kept for each block, so what is stored grows neither with the people nor with the pairs of slots. A
+    second lies in one block of each size: each distinct (keys, clock) asked for looks up those
+    blocks, and requests join the answers. All joins are on equal values.
+    """
+    keys = list(keys)
+    begin, finish = F.col(start).cast("long"), F.col(end).cast("long")
+    shapes = slots.groupBy(*keys, start, end).agg(F.min(F.struct(*pick)).alias("_pick"))
+    if wrap:
+        # A slot that passes midnight is two spans of the day.
+        whole = F.array(F.struct(begin.alias("_from"), finish.alias("_to")))
+        evening = F.struct(begin.alias("_from"), F.lit(_DAY_END).cast("long").alias("_to"))
+        morning = F.struct(F.lit(0).cast("long").alias("_from"), finish.alias("_to"))
+        span = F.when(begin < finish, whole).when(begin > finish, F.array(evening, morning))
+        spans = shapes.select(*keys, "_pick", F.explode(span).alias("_span")).select(*keys, "_pick", "_span.*")
+    else:
+        spans = shapes.where(begin <= finish).select(*keys, begin.alias("_from"), finish.alias("_to"), "_pick")
+    covered = spans.select(*keys, "_pick", F.explode(_day_blocks(F.col("_from"), F.col("_to"))).alias("_at"))
+    best = covered.groupBy(*keys, "_at._level", "_at._block").agg(F.min("_pick").alias("_pick"))
+    asked = requests.select(*keys, clock).distinct().withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(_DAY_BITS))))
+    asked = asked.withColumn("_block", F.expr(f"shiftright(cast({clock} as long), _level)"))
+    found = asked.join(best, [*keys, "_level", "_block"]).groupBy(*keys, clock).agg(F.min("_pick").alias(name))
+    return requests.join(found, [*keys, clock], "left").select(*requests.columns, name)

@@ -7,27 +7,18 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.clock import seconds_of_day, weekday
 from wardflow.functions.text import same_text
-from wardflow.operators.intervals import pick_on_duty, slot_menu
+from wardflow.operators.intervals import lowest_on_duty, on_duty
 
 
 def with_doctor(
     requests: DataFrame, weekly: DataFrame, price: str = "examination_price", wrap: bool = False
 ) -> DataFrame:
     """Add ``duty_doctor`` (emp_id, price): lowest doctor of the department on duty at ``request_ts``."""
-    menu = slot_menu(
-        weekly.withColumnRenamed("day", "_weekday"),
-        ["dept_id", "_weekday"],
-        "shift_start",
-        "shift_end",
-        ["emp_id", price],
-        "_doctors",
-    )
-    return (
-        requests.withColumns({"_weekday": weekday("request_ts"), "_clock": seconds_of_day("request_ts")})
-        .join(menu, ["dept_id", "_weekday"], "left")
-        .withColumn("duty_doctor", pick_on_duty("_doctors", "_clock", wrap))
-        .drop("_weekday", "_doctors", "_clock")
-    )
+    slots = weekly.withColumnRenamed("day", "_weekday")
+    asked = requests.withColumns({"_weekday": weekday("request_ts"), "_clock": seconds_of_day("request_ts")})
+    keys, pick = ["dept_id", "_weekday"], ["emp_id", price]
+    found = lowest_on_duty(asked, slots, keys, "_clock", "shift_start", "shift_end", pick, "duty_doctor", wrap)
+    return found.drop("_weekday", "_clock")
 
 
 def receptionist_slots(employee: DataFrame, emp_shift: DataFrame, dated: DataFrame) -> DataFrame:
@@ -56,15 +47,10 @@ def with_receptionist(
     clock alone, whatever the date.
     """
     slots = receptionist_slots(employee, emp_shift, dated)
-    requests = requests.withColumn("_clock", seconds_of_day("request_ts"))
-    if today_only:
-        menu = slot_menu(slots, ["_date"], "start_time", "end_time", ["emp_id"], "_desk")
-        joined = requests.withColumn("_date", F.to_date("request_ts")).join(menu, "_date", "left").drop("_date")
-    else:
-        menu = slot_menu(slots, [], "start_time", "end_time", ["emp_id"], "_desk")
-        joined = requests.withColumn("_desk", menu.scalar())
-    found = pick_on_duty("_desk", "_clock", wrap)["emp_id"]
-    return joined.withColumn("receptionist_id", found).drop("_desk", "_clock")
+    keys = ["_date"] if today_only else []
+    asked = requests.withColumns({"_clock": seconds_of_day("request_ts"), "_date": F.to_date("request_ts")})
+    found = lowest_on_duty(asked, slots, keys, "_clock", "start_time", "end_time", ["emp_id"], "_desk", wrap)
+    return found.withColumn("receptionist_id", F.col("_desk.emp_id")).drop("_desk", "_clock", "_date")
 
 
 def department_doctor(requests: DataFrame, employee: DataFrame, weekly: DataFrame, dept_id: int, name: str) -> DataFrame:
@@ -84,8 +70,6 @@ def department_doctor(requests: DataFrame, employee: DataFrame, weekly: DataFram
 
 def duty_roster(weekly: DataFrame, at: Column, wrap: bool = False) -> DataFrame:
     """Weekly slots that cover one moment."""
-    from wardflow.operators.intervals import on_duty
-
     return weekly.filter(
         (F.col("day") == weekday(at)) & on_duty(seconds_of_day(at), "shift_start", "shift_end", wrap)
     )
