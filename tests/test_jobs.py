@@ -138,8 +138,7 @@ def raise_loop(requests, salaries):
     return out, refused
 
 
-def test_raises_compound_in_rounds_and_stop_at_the_column_limit(spark, monkeypatch):
-    monkeypatch.setattr(payroll, "RAISES_PER_ROUND", 4)
+def test_raises_compound_and_stop_at_the_column_limit(spark):
     rng = random.Random(3)
     requests = [(i, rng.randrange(60), rng.choice([1, 1, 1, 2, 3, 4, 9]), Decimal(rng.choice(["0", "0.01", "3.33", "250", "999.99", "1"]))) for i in range(90)]
     salaries = {1: Decimal("9000.55"), 2: Decimal("0.01"), 3: Decimal("50.00"), 4: Decimal("0.00")}
@@ -150,6 +149,18 @@ def test_raises_compound_in_rounds_and_stop_at_the_column_limit(spark, monkeypat
     assert {r.request_id for r in result.outcomes.filter("not accepted").collect()} == refused
 
 
+def test_many_raises_of_one_person(spark):
+    """A hundred thousand raises pass in one go; those that do not fit fail, smaller ones after them still count."""
+    rng = random.Random(8)
+    requests = [(i, i, 1, Decimal(rng.choice(["0.01", "0.02", "0.05", "3.00"]))) for i in range(100_000)]
+    people = staff(spark, (1, "nurse", "active", "9000.55", 1), (2, "nurse", "active", "1", 1))
+    asked = spark.createDataFrame(requests, "request_id int, request_ts int, emp_id int, increase_percent decimal(5,2)")
+    result = payroll.raise_by_employee(asked, people)
+    expected, refused = raise_loop(requests, {1: Decimal("9000.55")})
+    assert dict(rows(result.tables["employee"], "emp_id", "salary")) == {**expected, 2: Decimal("1.00")}
+    assert {r.request_id for r in result.outcomes.filter("not accepted").collect()} == refused and len(refused) > 1000
+
+
 def test_department_raise_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(payroll, "RAISES_PER_ROUND", 3)
     people = staff(spark, (1, "n", "active", "100.10", 1), (2, "n", "Inactive", "100.10", 1), (3, "n", "active", "7.77", 1), (4, "n", "active", "5", 2))

@@ -9,10 +9,13 @@ the table of carried values never has more rows than there are shuffle partition
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from wardflow.session import materialize
@@ -120,6 +123,50 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "rn", keys: Seq
     )
 
 
+def fold(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    start: Callable[[dict], object],
+    step: Callable[[object, dict], tuple[object, dict | None]],
+    finish: Callable[[dict, object], dict | None],
+    schema: str,
+) -> DataFrame:
+    """Fold the rows of each key in order with a function whose steps do not compose (each rounds, say).
+
+    ``start`` gives the state before a key's first row, ``step`` the next state and a result row or None,
+    ``finish`` a last result from the first row and the final state. Rows pass through a task sorted and one
+    by one, so a task holds a single state however many rows a key has; one pass, no driver rounds.
+    """
+    keys = list(keys)
+    kinds = T._parse_datatype_string(schema)
+    arrow, names = to_arrow_schema(kinds), [f.name for f in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = first = state = None
+        out: list[dict] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{**dict.fromkeys(names), **row} for row in out], arrow)
+
+        for part in batches:
+            out = []
+            for row in part.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if key != at:
+                    if first is not None and (last := finish(first, state)):
+                        out.append(last)
+                    at, first, state = key, row, start(row)
+                state, told = step(state, row)
+                if told:
+                    out.append(told)
+            yield batch()
+        out = [last] if first is not None and (last := finish(first, state)) else []
+        yield batch()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kinds)
+
+
 def highest_id(state: DataFrame, id_column: str) -> Column:
     """Highest id in use, 0 for an empty table, as a scalar subquery."""
     return state.agg(F.coalesce(F.max(F.col(id_column).cast("long")), F.lit(0).cast("long"))).scalar()

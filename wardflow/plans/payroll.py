@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from wardflow.functions.clock import within_month
 from wardflow.functions.money import money, raised
 from wardflow.functions.text import same_text
 from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure
+from wardflow.operators.scan import fold
 from wardflow.operators.snapshots import update_from
 from wardflow.session import materialize
 
@@ -71,10 +74,8 @@ def monthly_salary(
 def raise_by_employee(requests: DataFrame, employee: DataFrame) -> JobResult:
     """Percentage raises per employee, each rounded before the next is applied.
 
-    Raises of one employee depend on each other, so they are taken some hundred at a
-    time per employee (the window limit is applied before the shuffle) and the batch
-    goes in rounds until none is left. A raise the salary column cannot hold fails,
-    and so do all later raises that are at least as high.
+    Raises of one employee depend on each other, so they pass through a task in order
+    (``scan.fold``). A raise the salary column cannot hold fails.
     """
     staff = employee.select(
         "emp_id", F.lit(True).alias("known"), same_text("status", "active").alias("active"), F.col("salary").alias("start")
@@ -110,66 +111,36 @@ def raise_by_employee(requests: DataFrame, employee: DataFrame) -> JobResult:
     return JobResult(outcomes, {"employee": update_from(employee, final, ["emp_id"], {"salary": "salary"})})
 
 
-def _step(salary: Column, percent: Column) -> Column:
-    """One raise; NULL when the result does not fit the column."""
-    grown = (salary + salary * percent / F.lit(100).cast("decimal(3,0)")).cast("decimal(20,2)")
-    return F.when(grown < F.lit("100000000").cast("decimal(20,2)"), grown.cast("decimal(10,2)"))
+# Cents a salary column cannot hold.
+_TOO_MUCH = 10**10
+
+
+def _grown(cents: int | None, percent: Decimal | None) -> int | None:
+    """One raise in cents, rounded half away from zero; None when the result does not fit the column."""
+    if cents is None or percent is None:
+        return None
+    exact = cents * (10_000 + int(percent.scaleb(2)))
+    rounded = (abs(exact) + 5_000) // 10_000 * (1 if exact >= 0 else -1)
+    return rounded if rounded < _TOO_MUCH else None
 
 
 def _compound(raises: DataFrame, salaries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Final salary per employee and the ids of raises that overflowed."""
-    order = Window.partitionBy("emp_id").orderBy(*REQUEST_ORDER)
-    lost = None
-    while True:
-        batch = raises.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= RAISES_PER_ROUND)
-        lists = batch.groupBy("emp_id").agg(
-            F.array_sort(F.collect_list(F.struct(*REQUEST_ORDER, "percent"))).alias("steps"),
-            F.max(F.struct(*REQUEST_ORDER)).alias("last"),
-            F.max("_n").alias("taken"),
-        )
-        # The fold carries the salary and the ids of the raises that did not fit.
-        start = F.struct(
-            F.col("start").cast("decimal(10,2)").alias("salary"),
-            F.array().cast("array<bigint>").alias("failed"),
-        )
 
-        def apply(acc: Column, step: Column) -> Column:
-            grown = _step(acc["salary"], step["percent"])
-            return F.struct(
-                F.coalesce(grown, acc["salary"]).alias("salary"),
-                F.when(grown.isNull(), F.array_append(acc["failed"], step["request_id"].cast("bigint")))
-                .otherwise(acc["failed"])
-                .alias("failed"),
-            )
+    def start(row: dict) -> int | None:
+        return None if row["start"] is None else int(row["start"].scaleb(2))
 
-        folded = salaries.join(lists, "emp_id", "left").select(
-            "emp_id",
-            F.when(F.col("steps").isNotNull(), F.aggregate("steps", start, apply)).otherwise(start).alias("run"),
-            "last",
-            F.coalesce("taken", F.lit(0)).alias("taken"),
-        )
-        folded = materialize(folded, "raises")
-        failed = folded.select(F.explode("run.failed").alias("request_id"))
-        lost = failed if lost is None else lost.unionByName(failed)
-        salaries = folded.select("emp_id", F.col("run.salary").alias("start"))
-        more = folded.filter(F.col("taken") == RAISES_PER_ROUND).select(
-            "emp_id", F.col("last").alias("_last"), F.col("run.salary").alias("_salary")
-        )
-        if more.isEmpty():
-            return salaries.withColumnRenamed("start", "salary"), lost
-        rest = raises.join(more, "emp_id").filter(F.struct(*REQUEST_ORDER) > F.col("_last"))
-        # Salaries only grow: what overflows now overflows in its turn as well.
-        fits = _step(F.col("_salary"), F.col("percent")).isNotNull()
-        rest = materialize(rest.withColumn("_fits", fits), "raises")
-        lost = lost.unionByName(rest.filter("not _fits").select(F.col("request_id").cast("bigint").alias("request_id")))
-        # Where even the highest raise left rounds to nothing, all of them do.
-        moving = (
-            rest.filter("_fits")
-            .groupBy("emp_id", "_salary")
-            .agg(F.max("percent").alias("_top"))
-            .filter(_step(F.col("_salary"), F.col("_top")) > F.col("_salary"))
-        )
-        raises = rest.filter("_fits").join(moving, "emp_id", "left_semi").drop("_fits", "_last", "_salary")
+    def step(cents: int | None, row: dict) -> tuple[int | None, dict | None]:
+        grown = _grown(cents, row["percent"])
+        return (cents, {"request_id": row["request_id"]}) if grown is None else (grown, None)
+
+    def finish(first: dict, cents: int | None) -> dict:
+        return {"emp_id": first["emp_id"], "salary": None if cents is None else Decimal(cents).scaleb(-2)}
+
+    exact = salaries.select("emp_id", F.col("start").cast("decimal(10,2)").alias("start"))
+    schema = "request_id long, emp_id long, salary decimal(10,2)"
+    told = materialize(fold(raises.join(exact, "emp_id"), ["emp_id"], REQUEST_ORDER, start, step, finish, schema), "raises")
+    return told.filter("emp_id is not null").select("emp_id", "salary"), told.filter("request_id is not null").select("request_id")
 
 
 def raise_by_department(requests: DataFrame, employee: DataFrame, department: DataFrame) -> JobResult:
