@@ -509,9 +509,7 @@ def surgery_loop(requests, kinds, ors, recovery, teams, slots, loads, mode):
 
 
 @pytest.mark.parametrize("mode", ["auto", "manual"])
-@pytest.mark.parametrize("per_round", [3, 2000])
-def test_surgeries_match_a_loop(spark, monkeypatch, mode, per_round):
-    monkeypatch.setattr(surgery, "REQUESTS_PER_ROUND", per_round)
+def test_surgeries_match_a_loop(spark, mode):
     rng = random.Random(51)
     people, emp_shift, dated = desk(spark)
     people = people.unionByName(staff(spark, *[(i, "Consultant_Doctor", "active", 1, 1) for i in range(1, 8)]))

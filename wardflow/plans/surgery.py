@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from heapq import heappop, heappush
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +14,7 @@ from wardflow.functions.money import money
 from wardflow.functions.text import folded, joined, same_text
 from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure, flagged
 from wardflow.operators.intervals import self_conflicts
-from wardflow.operators.scan import highest_id, running, with_next_ids
+from wardflow.operators.scan import fold, highest_id, with_next_ids
 from wardflow.plans.duty import with_receptionist
 from wardflow.session import materialize
 
@@ -25,8 +24,6 @@ OPENING = 7 * 3600
 PREPARATION_MINUTES = 60
 RECOVERY_MINUTES = 60
 DAY = 86_400
-# Under Spark's limit (1000) for row limits that go ahead of the shuffle.
-REQUESTS_PER_ROUND = 900
 
 NO_ROOM = "? No available operating rooms for the selected date."
 NO_RECOVERY = "? No available recovery rooms for the selected date."
@@ -68,14 +65,17 @@ def or_next_available(room: DataFrame, surgeries: DataFrame, date: Column) -> Da
     )
 
 
+def _days_around(checkin: str, checkout: str) -> tuple[Column, Column]:
+    """First and last date on which a stay counts: begun at most an hour after its midnight, not over before it."""
+    soon = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(RECOVERY_MINUTES))
+    instant = F.col(checkin).cast("timestamp_ntz") - soon - F.expr("INTERVAL '0.000001' SECOND")
+    return F.date_add(instant.cast("date"), 1), F.col(checkout).cast("date")
+
+
 def recovery_load(room: DataFrame, stays: DataFrame, date: Column) -> DataFrame:
     """Stays per recovery room around one date; the least loaded first."""
-    latest = date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(RECOVERY_MINUTES))
-    around = (
-        stays.filter((F.col("checkin") <= latest) & (F.col("checkout") >= date))
-        .groupBy("room_id")
-        .agg(F.count("*").alias("n"))
-    )
+    first, last = _days_around("checkin", "checkout")
+    around = stays.filter(date.cast("date").between(first, last)).groupBy("room_id").agg(F.count("*").alias("n"))
     return (
         room.filter(same_text("room_type", "recovery"))
         .select("room_id")
@@ -86,26 +86,25 @@ def recovery_load(room: DataFrame, stays: DataFrame, date: Column) -> DataFrame:
 
 
 def recovery_loads(dates: DataFrame, room: DataFrame, stays: DataFrame) -> DataFrame:
-    """Stays per (date, recovery room) for many dates at once.
+    """Stays per (date, recovery room) for many dates at once; rooms without any on a date are left out.
 
-    Arrivals and departures are summed per room and day first; the load of a day is
-    the running sum up to it.
+    A stay becomes a row for each of its days between the first and the last date asked for, and only
+    days asked for are counted.
     """
-    recovery = room.filter(same_text("room_type", "recovery")).select("room_id")
-    inside = stays.filter("checkin is not null and checkout is not null").join(recovery, "room_id", "left_semi")
-    changes = (
-        inside.select("room_id", F.col("checkin").cast("date").alias("day"), F.lit(1).alias("delta"))
-        .union(inside.select("room_id", F.date_add(F.col("checkout").cast("date"), 1), F.lit(-1)))
-        .groupBy("room_id", "day")
-        .agg(F.sum("delta").alias("delta"))
-    )
-    room_list = recovery.agg(F.collect_list("room_id")).scalar()
-    asked = dates.select(F.explode(room_list).alias("room_id"), F.col("surgery_date").alias("day"))
-    line = changes.select("room_id", "day", "delta", F.lit(0).alias("kind")).union(
-        asked.select("room_id", "day", F.lit(0), F.lit(1))
+    asked = dates.select("surgery_date").distinct()
+    first, last = _days_around("checkin", "checkout")
+    spans = (
+        stays.filter("checkin is not null and checkout is not null")
+        .join(room.filter(same_text("room_type", "recovery")).select("room_id"), "room_id", "left_semi")
+        .select(
+            "room_id",
+            F.greatest(first, asked.agg(F.min("surgery_date")).scalar()).alias("_from"),
+            F.least(last, asked.agg(F.max("surgery_date")).scalar()).alias("_to"),
+        )
+        .filter("_from <= _to")
     )
-    loads = running(line, ["room_id"], ["day", "kind"], {"load": ("sum", F.col("delta"))})
-    return loads.filter("kind = 1").select(F.col("day").alias("surgery_date"), "room_id", F.col("load").cast("long"))
+    days = spans.select("room_id", F.explode(F.sequence("_from", "_to")).alias("surgery_date"))
+    return days.join(asked, "surgery_date", "left_semi").groupBy("surgery_date", "room_id").agg(F.count("*").alias("load"))
 
 
 def _touches(start: int, end: int, other_start: int, other_end: int) -> bool:
@@ -115,94 +114,89 @@ def _touches(start: int, end: int, other_start: int, other_end: int) -> bool:
     )
 
 
-def _placer(mode: str, rooms: list[int], teams: list[int], wrap: bool) -> Callable:
-    """Function that serves one date's requests in order against its busy times."""
-
-    def place(requests: pd.DataFrame, busy: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[str, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        load: dict[int, int] = {}
-        for kind, key, start, end in busy[["kind", "key", "start_s", "end_s"]].itertuples(index=False):
-            if kind == "recovery":
-                load[int(key)] = load.get(int(key), 0) + int(start)
-            else:
-                taken[kind][int(key)].append((int(start), int(end)))
-        candidates = sorted(set(rooms) | set(taken["room"]))
-
-        def is_busy(kind: str, key: int, start: int, end: int) -> bool:
-            return any(_touches(start, end, *slot) for slot in taken[kind].get(key, ()))
-
-        def free_at(room: int) -> int:
-            slots = taken["room"].get(room)
-            if not slots:
-                return OPENING
-            at = max(end for _, end in slots) + PREPARATION_MINUTES * 60
-            return at % DAY if wrap else at
-
-        free = {c: free_at(c) for c in candidates}
-
-        rows = []
-        for r in requests.sort_values(list(REQUEST_ORDER)).itertuples(index=False):
-            refused, room, team, start, end, recovery = None, None, None, None, None, None
-            if not candidates:
-                refused = NO_ROOM
-            elif pd.isna(r.start_time):
-                room = min(free, key=lambda c: (free[c], c))
-                start = free[room]
-            else:
-                # The end of the new surgery is not known yet at this point, so only a
-                # start inside an existing slot rules a room out.
-                start = int(r.start_time)
-                room = next(
-                    (c for c in candidates if not any(s <= start <= e for s, e in taken["room"].get(c, ()))), None
-                )
-                refused = NO_ROOM if room is None else None
-            if refused is None:
-                end = start + int(r.duration) * 60
-                if wrap:
-                    end %= DAY
-                elif end > DAY:
-                    refused = NO_ROOM
-            if refused is None and (
-                is_busy("doctor", int(r.doc_id), start, end) or is_busy("patient", int(r.p_id), start, end)
-            ):
-                refused = BUSY[mode]
-            if refused is None:
-                if not pd.isna(r.stuff_id):
-                    team = int(r.stuff_id)
-                    if mode == "manual" and is_busy("team", team, start, end):
-                        refused = TEAM_BUSY
-                else:
-                    # A manual request has to name its team.
-                    if mode == "auto":
-                        team = next((t for t in teams if not is_busy("team", t, start, end)), None)
-                    refused = NO_TEAM if team is None else None
-            if refused is None:
-                if load:
-                    recovery = min(load, key=lambda k: (load[k], k))
-                else:
-                    refused = NO_RECOVERY
-            if refused is None:
-                load[recovery] += 1
-                taken["room"][room].append((start, end))
-                free[room] = free_at(room)
-                taken["doctor"][int(r.doc_id)].append((start, end))
-                taken["patient"][int(r.p_id)].append((start, end))
-                taken["team"][team].append((start, end))
-                rows.append((r.request_id, r.surgery_date, None, room, recovery, team, start, end))
-            else:
-                rows.append((r.request_id, r.surgery_date, refused, None, None, None, None, None))
-        columns = [part.split()[0] for part in PLACED.split(", ")]
-        out = pd.DataFrame(rows, columns=columns)
-        ids = [c for c in columns if c not in ("surgery_date", "refused")]
-        return out.astype({c: "Int64" for c in ids})
-
-    return place
+class _Day:
+    """What is taken on one date, while its requests are served in order."""
+
+    def __init__(self, mode: str, rooms: list[int], recovery: list[int], teams: list[int], wrap: bool):
+        self.mode, self.teams, self.wrap = mode, teams, wrap
+        self.taken: dict[tuple[str, int], list[tuple[int, int]]] = defaultdict(list)
+        self.rooms = rooms
+        # Rooms by the time they are free, and recovery rooms by their load; entries that changed are outdated.
+        self.free = dict.fromkeys(rooms, OPENING)
+        self.by_free = [(OPENING, room) for room in rooms]
+        self.load = dict.fromkeys(recovery, 0)
+        self.by_load = [(0, room) for room in recovery]
+
+    def take(self, kind: str, key: int, start: int, end: int) -> None:
+        if kind == "recovery":
+            self.load[key] = self.load.get(key, 0) + start
+            heappush(self.by_load, (self.load[key], key))
+            return
+        self.taken[kind, key].append((start, end))
+        if kind == "room":
+            at = max(e for _, e in self.taken[kind, key]) + PREPARATION_MINUTES * 60
+            self.free[key] = at % DAY if self.wrap else at
+            heappush(self.by_free, (self.free[key], key))
+
+    def is_busy(self, kind: str, key: int, start: int, end: int) -> bool:
+        return any(_touches(start, end, *slot) for slot in self.taken.get((kind, key), ()))
+
+    def first_free(self) -> tuple[int, int]:
+        while self.by_free[0][0] != self.free[self.by_free[0][1]]:
+            heappop(self.by_free)
+        return self.by_free[0]
+
+    def least_loaded(self) -> int | None:
+        while self.by_load and self.by_load[0][0] != self.load[self.by_load[0][1]]:
+            heappop(self.by_load)
+        return self.by_load[0][1] if self.by_load else None
+
+    def serve(self, request: dict) -> dict:
+        """The answer to a request; an accepted one takes its room, people and recovery room."""
+        doctor, patient, team = request["doc_id"], request["p_id"], request["stuff_id"]
+        out = {"request_id": request["request_id"], "surgery_date": request["surgery_date"]}
+        room, start = None, request["start_time"]
+        if not self.rooms:
+            return out | {"refused": NO_ROOM}
+        if start is None:
+            start, room = self.first_free()
+        else:
+            # The end of the new surgery is not known yet at this point, so only a
+            # start inside an existing slot rules a room out.
+            held = (r for r in self.rooms if not any(s <= start <= e for s, e in self.taken.get(("room", r), ())))
+            room = next(held, None)
+            if room is None:
+                return out | {"refused": NO_ROOM}
+        end = start + request["duration"] * 60
+        if self.wrap:
+            end %= DAY
+        elif end > DAY:
+            return out | {"refused": NO_ROOM}
+        if self.is_busy("doctor", doctor, start, end) or self.is_busy("patient", patient, start, end):
+            return out | {"refused": BUSY[self.mode]}
+        if team is not None:
+            if self.mode == "manual" and self.is_busy("team", team, start, end):
+                return out | {"refused": TEAM_BUSY}
+        elif self.mode == "auto":
+            team = next((t for t in self.teams if not self.is_busy("team", t, start, end)), None)
+        if team is None:
+            # A manual request has to name its team.
+            return out | {"refused": NO_TEAM}
+        recovery = self.least_loaded()
+        if recovery is None:
+            return out | {"refused": NO_RECOVERY}
+        for kind, key in (("room", room), ("doctor", doctor), ("patient", patient), ("team", team)):
+            self.take(kind, key, start, end)
+        self.take("recovery", recovery, 1, 0)
+        return out | {"room_id": room, "recovery_room_id": recovery, "team_id": team, "start_s": start, "end_s": end}
 
 
 def _busy_times(surgeries: DataFrame, requests: DataFrame, rooms: DataFrame) -> DataFrame:
-    """Busy slots of the requested dates by room, team, doctor and patient, without duplicates.
+    """Busy time of the requested dates by room, team, doctor and patient, as disjoint intervals.
 
-    Of doctors and patients only those in the requests are kept, of rooms only operating rooms.
+    Of doctors and patients only those in the requests are kept, of rooms only operating rooms. Slots
+    of one start are combined first, so what a window sorts is at most the seconds of a day; slots
+    that touch become one. Slots over midnight stay as they are.
     """
     slots = surgeries.join(requests.select("surgery_date").distinct(), "surgery_date", "left_semi")
 
@@ -214,16 +208,25 @@ def _busy_times(surgeries: DataFrame, requests: DataFrame, rooms: DataFrame) ->
             F.col(column).cast("long").alias("key"),
             F.col("start_time").cast("long").alias("start_s"),
             F.col("end_time").cast("long").alias("end_s"),
-        ).distinct()
+        )
 
     doctors = requests.select("surgery_date", F.col("doc_id").alias("doctor_id")).distinct()
     patients = requests.select("surgery_date", "p_id").distinct()
-    return (
+    taken = (
         kind("room", "room_id", rooms.select("room_id"))
         .unionByName(kind("team", "stuff_id", None))
         .unionByName(kind("doctor", "doctor_id", doctors))
         .unionByName(kind("patient", "p_id", patients))
     )
+    of = ["surgery_date", "kind", "key"]
+    over = taken.filter("end_s < start_s").distinct()
+    longest = taken.filter("start_s <= end_s").groupBy(*of, "start_s").agg(F.max("end_s").alias("end_s"))
+    line = Window.partitionBy(*of).orderBy("start_s")
+    reach = F.max("end_s").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.sum(F.when(reach >= F.col("start_s"), 0).otherwise(1)).over(line)
+    merged = longest.withColumn("_reach", reach).withColumn("_island", apart)
+    joined_up = merged.groupBy(*of, "_island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
+    return joined_up.drop("_island").unionByName(over)
 
 
 def _place_all(
@@ -237,76 +240,44 @@ def _place_all(
 ) -> DataFrame:
     """Place the requests of every date in order.
 
-    Dates do not depend on each other. A date's requests are taken some hundreds at a
-    time (the limit applies before the shuffle), so a crowded date never sits in one
-    task as a whole: each round serves the next requests of every date against the
-    busy times left by the rounds before.
+    Dates do not depend on each other, but a date's requests do: each takes what those before it left.
+    They pass through a task in order (``scan.fold``), behind the busy times of their date. The task
+    holds what is taken on the date, which the rooms and the people asked for bound, not the requests.
     """
-    slot_columns = ["surgery_date", "room_id", "doctor_id", "p_id", "stuff_id", "start_time", "end_time"]
-    surgeries = surgeries.select(*slot_columns)
     operating = room.filter(same_text("room_type", "surgery"))
-    loads = materialize(recovery_loads(requests.select("surgery_date").distinct(), room, stays), "loads")
-    waiting = requests
-    tasks = requests.sparkSession.sparkContext.defaultParallelism
-    line = Window.partitionBy("surgery_date").orderBy(*REQUEST_ORDER)
-    done = None
-    while True:
-        turn_rows = waiting.withColumn("_n", F.row_number().over(line)).filter(F.col("_n") <= REQUESTS_PER_ROUND)
-        turn_rows = materialize(turn_rows, "round")
-        busy = _busy_times(surgeries, turn_rows, operating).unionByName(
-            loads.select(
-                "surgery_date",
-                F.lit("recovery").alias("kind"),
-                F.col("room_id").cast("long").alias("key"),
-                F.col("load").alias("start_s"),
-                F.lit(0).cast("long").alias("end_s"),
-            ).join(turn_rows.select("surgery_date").distinct(), "surgery_date", "left_semi")
-        )
-        busy = materialize(busy, "busy")
-        # No date can need more than the rooms it uses already plus one per request.
-        used = busy.filter("kind in ('room', 'team')").groupBy("surgery_date").agg(F.count_distinct("kind", "key").alias("n"))
-        most = (used.agg(F.max("n")).first()[0] or 0) + REQUESTS_PER_ROUND
-        room_ids = _lowest(operating, "room_id", most)
-        team_ids = _lowest(teams, "stuff_id", most)
-        # Placing costs time, not bytes: spread the dates over all cores, however small the rows.
-        placed = (
-            turn_rows.repartition(tasks, "surgery_date")
-            .groupBy("surgery_date")
-            .cogroup(busy.repartition(tasks, "surgery_date").groupBy("surgery_date"))
-            .applyInPandas(_placer(mode, room_ids, team_ids, wrap), PLACED)
-        )
-        placed = materialize(placed, "placed")
-        done = placed if done is None else done.unionByName(placed)
-        served = turn_rows.groupBy("surgery_date").agg(
-            F.max("_n").alias("_served"), F.max(F.struct(*REQUEST_ORDER)).alias("_last")
-        )
-        crowded = served.filter(F.col("_served") == REQUESTS_PER_ROUND).select("surgery_date", "_last")
-        if crowded.isEmpty():
-            return done
-        waiting = materialize(
-            waiting.join(crowded, "surgery_date").filter(F.struct(*REQUEST_ORDER) > F.col("_last")).drop("_last"),
-            "requests",
-        )
-        if waiting.isEmpty():
-            return done
-        accepted = placed.filter("refused is null")
-        surgeries = surgeries.unionByName(
-            accepted.join(turn_rows.select("request_id", "doc_id", "p_id"), "request_id").select(
-                "surgery_date",
-                F.col("room_id").cast(surgeries.schema["room_id"].dataType),
-                F.col("doc_id").alias("doctor_id"),
-                "p_id",
-                F.col("team_id").cast(surgeries.schema["stuff_id"].dataType).alias("stuff_id"),
-                F.col("start_s").cast(surgeries.schema["start_time"].dataType).alias("start_time"),
-                F.col("end_s").cast(surgeries.schema["end_time"].dataType).alias("end_time"),
-            )
-        )
-        added = accepted.groupBy("surgery_date", F.col("recovery_room_id").alias("room_id")).agg(
-            F.count("*").alias("_added")
-        )
-        loads = loads.join(added, ["surgery_date", "room_id"], "left").select(
-            "surgery_date", "room_id", (F.col("load") + F.coalesce("_added", F.lit(0))).alias("load")
+    recovering = room.filter(same_text("room_type", "recovery"))
+    loads = recovery_loads(requests, room, stays)
+    busy = _busy_times(surgeries, requests, operating).unionByName(
+        loads.select(
+            "surgery_date",
+            F.lit("recovery").alias("kind"),
+            F.col("room_id").cast("long").alias("key"),
+            F.col("load").alias("start_s"),
+            F.lit(0).cast("long").alias("end_s"),
         )
+    )
+    ahead = materialize(busy, "busy")
+    # No date can need more rooms or teams than those it uses already plus one for each request.
+    used = ahead.groupBy("surgery_date", "kind").agg(F.count_distinct("key").alias("n")).groupBy("surgery_date").agg(F.max("n").alias("n"))
+    counts = requests.groupBy("surgery_date").agg(F.count("*").alias("_asked")).join(used, "surgery_date", "left")
+    most = counts.agg(F.max(F.col("_asked") + F.coalesce("n", F.lit(0)))).first()[0] or 0
+    lists = [_lowest(df, c, most) for df, c in ((operating, "room_id"), (recovering, "room_id"), (teams, "stuff_id"))]
+    shared = requests.sparkSession.sparkContext.broadcast(lists)
+
+    def start(row: dict) -> _Day:
+        return _Day(mode, *shared.value, wrap)
+
+    def step(day: _Day, row: dict) -> tuple[_Day, dict | None]:
+        if row["kind"] is None:
+            return day, day.serve(row)
+        day.take(row["kind"], row["key"], row["start_s"], row["end_s"])
+        return day, None
+
+    asked = requests.select(
+        F.lit(1).alias("_turn"), *REQUEST_ORDER, "surgery_date", *[F.col(c).cast("long").alias(c) for c in ("p_id", "doc_id")], "stuff_id", "start_time", "duration"
+    )
+    line = asked.unionByName(ahead.withColumn("_turn", F.lit(0)), allowMissingColumns=True)
+    return materialize(fold(line, ["surgery_date"], ["_turn", *REQUEST_ORDER], start, step, lambda *_: None, PLACED), "placed")
 
 
 def _lowest(df: DataFrame, column: str, n: int) -> list[int]:
