@@ -133,10 +133,11 @@ def schedule(r: Roles, mode: str):
         r.order_shifts,
         r.invoice,
         mode=mode,
+        room_status=r.theatre.select("room_id", F.lit("available").alias("status")),
     )
 
 
-def schedule_sql(mode: str) -> str:
+def schedule_sql(mode: str, select: str) -> str:
     """SQL that serves the n-th open request of every date in the n-th round.
 
     ``slots`` and ``loads`` carry what is taken on the date so far.
@@ -155,9 +156,9 @@ def schedule_sql(mode: str) -> str:
         team_pick = "team"
     return with_roles(
         "ord emp emp_shift order_shifts theatre surgeries stays",
-        f"""desk AS (SELECT DISTINCT s.start_time AS b, s.end_time AS e FROM order_shifts s JOIN emp_shift x ON x.shift_id = s.shift_id
-                JOIN emp m ON m.emp_id = x.emp_id AND m.type = 'Receptionist'),
-        asked AS (SELECT o.request_id, o.request_ts + CASE WHEN order_status = 'P' THEN INTERVAL 400 DAY ELSE INTERVAL (-400) DAY END AS request_ts,
+        f"""desk AS (SELECT s.start_time AS b, s.end_time AS e, min(m.emp_id) AS clerk FROM order_shifts s JOIN emp_shift x ON x.shift_id = s.shift_id
+                JOIN emp m ON m.emp_id = x.emp_id AND m.type = 'Receptionist' GROUP BY 1, 2),
+        asked AS (SELECT o.payment_method, o.request_id, o.request_ts + CASE WHEN order_status = 'P' THEN INTERVAL 400 DAY ELSE INTERVAL (-400) DAY END AS request_ts,
                   o.p_id, CAST(date_trunc('month', order_date) AS DATE) + CAST(o.request_id % 5 * 3 AS INTEGER) AS surgery_date,
                   {team} AS team, {start} AS start, n.n_nationkey AS kind, n.n_nationkey * 10 + 30 AS minutes, d.emp_id IS NOT NULL AS consultant
                 FROM ord o LEFT JOIN nation n ON n.n_nationkey = o.request_id % 26 LEFT JOIN emp d ON d.emp_id = o.p_id AND d.type = 'consultant_doctor'),
@@ -175,12 +176,12 @@ def schedule_sql(mode: str) -> str:
                   FROM days d LEFT JOIN surgeries s ON s.surgery_date = d.surgery_date GROUP BY 1),
         served AS (
           SELECT surgery_date, CAST(0 AS BIGINT) AS n, coalesce(slots, []) AS slots, loads, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS refused,
-                 CAST(NULL AS BIGINT) AS room, CAST(NULL AS BIGINT) AS rest, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e
+                 CAST(NULL AS BIGINT) AS room, CAST(NULL AS BIGINT) AS rest, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e, CAST(NULL AS BIGINT) AS picked
           FROM slots JOIN loads USING (surgery_date)
           UNION ALL
           SELECT surgery_date, n, CASE WHEN refused IS NULL THEN list_append(slots, {{'room': room, 'doc': p_id, 'pat': p_id, 'team': picked, 's': s, 'e': e}}) ELSE slots END,
                  CASE WHEN refused IS NULL THEN list_transform(loads, lambda x: CASE WHEN x.room = rest THEN {{'n': x.n + 1, 'room': x.room}} ELSE x END) ELSE loads END,
-                 request_id, refused, room, rest, s, e
+                 request_id, refused, room, rest, s, e, picked
           FROM (
             SELECT *, CASE WHEN room IS NULL OR e > 86400 THEN '{surgery.NO_ROOM}'
                       WHEN len(list_filter(slots, lambda x: (x.doc = p_id OR x.pat = p_id) AND {touching})) > 0 THEN '{surgery.BUSY[mode]}'
@@ -194,25 +195,101 @@ def schedule_sql(mode: str) -> str:
                   FROM (SELECT *, list_min(list_transform(range(0, 8), lambda r: {{'t': coalesce(list_max(list_transform(list_filter(slots, lambda x: x.room = r), lambda x: x.e)) + 3600, 25200), 'r': r}})) AS pick
                         FROM served) v
                   JOIN open o ON o.surgery_date = v.surgery_date AND o.n = v.n + 1))))),
-        made AS (SELECT v.*, row_number() OVER (ORDER BY o.request_ts, o.request_id) + (SELECT max(reservation_id) FROM surgeries) AS reservation_id
+        made AS (SELECT v.*, o.p_id, o.kind, o.minutes, o.payment_method, o.request_ts AS asked_at,
+                   (SELECT min(clerk) FROM desk WHERE hour(o.request_ts) * 3600 + minute(o.request_ts) * 60 + second(o.request_ts) BETWEEN b AND e) AS clerk,
+                   row_number() OVER (ORDER BY o.request_ts, o.request_id) AS place,
+                   row_number() OVER (ORDER BY o.request_ts, o.request_id) + (SELECT max(reservation_id) FROM surgeries) AS reservation_id
                  FROM served v JOIN open o ON o.request_id = v.request_id WHERE v.refused IS NULL)
-        SELECT t.request_id, m.reservation_id IS NOT NULL AS accepted, coalesce(m.reservation_id, -1) AS reservation_id,
+        {select}""",
+        recursive=True,
+    )
+
+
+SCHEDULED = """SELECT t.request_id, m.reservation_id IS NOT NULL AS accepted, coalesce(m.reservation_id, -1) AS reservation_id,
                coalesce(t.guard, v.refused, '? Surgery scheduled: ' || strftime(t.surgery_date, '%Y-%m-%d') || ' from ' || lpad(CAST(m.s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(m.s // 60 % 60 AS VARCHAR), 2, '0')
                  || ' to ' || lpad(CAST(m.e // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(m.e // 60 % 60 AS VARCHAR), 2, '0') || '. OR Room: ' || m.room || ', Recovery Room: ' || m.rest
                  || '. Reservation ID: ' || m.reservation_id) AS message
-        FROM tested t LEFT JOIN served v ON v.request_id = t.request_id LEFT JOIN made m ON m.request_id = t.request_id""",
-        recursive=True,
-    )
+        FROM tested t LEFT JOIN served v ON v.request_id = t.request_id LEFT JOIN made m ON m.request_id = t.request_id"""
 
 
-@registry.add("surgery_schedule_auto", schedule_sql("auto"))
+@registry.add("surgery_schedule_auto", schedule_sql("auto", SCHEDULED))
 def surgery_schedule_auto(r: Roles) -> DataFrame:
     """Served one after the other per date; the tests compare it with a plain loop as well."""
     out = schedule(r, "auto").outcomes
     return out.withColumn("reservation_id", F.coalesce("reservation_id", F.lit(-1)))
 
 
-@registry.add("surgery_schedule_manual", schedule_sql("manual"))
+def at_minutes(minutes: str) -> str:
+    return f"strftime(CAST(surgery_date AS TIMESTAMP) + to_minutes(CAST({minutes} AS BIGINT)), '%Y-%m-%d %H:%M:%S')"
+
+
+@registry.add(
+    "surgery_reservations",
+    schedule_sql(
+        "auto",
+        f"""SELECT reservation_id, {day('surgery_date')} AS surgery_date, s AS start_time, e AS end_time, {amount('kind * 100000 + 100000')} AS paid_money,
+          p_id, p_id AS doctor_id, clerk AS receptionist_id, CAST(kind AS BIGINT) AS surgery_id, room AS room_id, picked AS stuff_id, 'scheduled' AS status FROM made""",
+    ),
+)
+def surgery_reservations(r: Roles) -> DataFrame:
+    return schedule(r, "auto").tables["surgery_reservation"]
+
+
+@registry.add(
+    "surgery_stays",
+    schedule_sql(
+        "auto",
+        f"""SELECT {amount('room * 10000 + 50000')} AS paid_money, {at_minutes('0')} AS checkin, {at_minutes('minutes + 60')} AS checkout,
+            room AS room_id, p_id, clerk AS emp_id, 'reserved_for_surgery' AS status FROM made
+          UNION ALL SELECT {amount('rest * 10000 + 50000')}, {at_minutes('minutes + 60')}, {at_minutes('minutes + 120')},
+            rest, p_id, clerk, 'reserved_for_recovery' FROM made""",
+    ),
+)
+def surgery_stays(r: Roles) -> DataFrame:
+    return schedule(r, "auto").tables["room_reservation"]
+
+
+@registry.add(
+    "surgery_invoices",
+    schedule_sql(
+        "auto",
+        f"""SELECT place + (SELECT max(o_orderkey) FROM orders) AS invoice_id, {day('asked_at')} AS date, payment_method,
+            {amount('kind * 100000 + 100000 + (room + rest) * 10000 + 100000')} AS paid_money, p_id, clerk AS emp_id FROM made""",
+    ),
+)
+def surgery_invoices(r: Roles) -> DataFrame:
+    return schedule(r, "auto").tables["invoice"]
+
+
+@registry.add(
+    "surgery_invoice_lines",
+    schedule_sql(
+        "auto",
+        f"""SELECT place + (SELECT max(o_orderkey) FROM orders) AS invoice_id, reservation_id, l.name AS reservation_type, l.process AS process_id,
+            {amount('l.cents')} AS unit_price, CAST(1 AS BIGINT) AS quantity, {amount('l.cents')} AS total, CAST(l.dept AS BIGINT) AS dept_id
+          FROM (SELECT *, unnest([
+              {{'name': 'Surgery', 'process': CAST(kind AS BIGINT), 'cents': CAST(kind * 100000 + 100000 AS BIGINT), 'dept': 11}},
+              {{'name': 'Operating Room', 'process': room, 'cents': room * 10000 + 50000, 'dept': 17}},
+              {{'name': 'Recovery Room', 'process': rest, 'cents': rest * 10000 + 50000, 'dept': 17}}]) AS l FROM made)""",
+    ),
+)
+def surgery_invoice_lines(r: Roles) -> DataFrame:
+    return schedule(r, "auto").tables["invoice_details"]
+
+
+@registry.add(
+    "surgery_room_status",
+    schedule_sql(
+        "auto",
+        """SELECT CAST(room_id AS BIGINT) AS room_id,
+            CASE WHEN room_id IN (SELECT room FROM made UNION ALL SELECT rest FROM made) THEN 'reserved' ELSE 'available' END AS status FROM theatre""",
+    ),
+)
+def surgery_room_status(r: Roles) -> DataFrame:
+    return schedule(r, "auto").tables["room_status"]
+
+
+@registry.add("surgery_schedule_manual", schedule_sql("manual", SCHEDULED))
 def surgery_schedule_manual(r: Roles) -> DataFrame:
     """Served one after the other per date; the tests compare it with a plain loop as well."""
     out = schedule(r, "manual").outcomes

@@ -222,10 +222,13 @@ def restock_low(
             "total",
         ).alias("line"),
     )
-    outcome = purchases.agg(F.count("*").alias("purchases")).select(
+    # One line for each purchase, in the order of the drugs.
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("drug_id", "line"))), lambda x: x["line"]), "\r")
+    heading = F.lit("Purchase completed successfully:\r\r")
+    outcome = report.agg(F.count("*").alias("purchases"), whole.alias("_lines")).select(
         "purchases",
         F.when(F.col("purchases") == 0, "No low-stock drugs found. Nothing to purchase.")
-        .otherwise("Purchase completed successfully:")
+        .otherwise(F.concat(heading, F.col("_lines"), F.lit("\r")))
         .alias("message"),
     )
     return JobResult(

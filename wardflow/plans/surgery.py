@@ -297,9 +297,12 @@ def schedule_surgery(
     invoice: DataFrame,
     mode: str = "auto",
     wrap_midnight: bool = False,
+    room_status: DataFrame | None = None,
 ) -> JobResult:
     """Schedule surgeries with operating room, team and recovery room, and bill them.
 
+    With ``room_status`` its next state is returned too: rooms given are reserved.
+
     ``auto`` finds the room that is free first and refuses today and Fridays;
     ``manual`` takes start time and team from the request. Canceled surgeries still
     block their slot. A surgery that would end after midnight is refused unless
@@ -396,7 +399,12 @@ def schedule_surgery(
             "reservation_id",
         )
     )
-    return JobResult(outcomes, _surgery_tables(made))
+    tables = _surgery_tables(made)
+    if room_status is not None:
+        given = tables["reserved_rooms"].withColumn("_given", F.lit(True))
+        status = F.when(F.col("_given"), F.lit("reserved")).otherwise(F.col("status"))
+        tables["room_status"] = room_status.join(given, "room_id", "left").withColumn("status", status).drop("_given")
+    return JobResult(outcomes, tables)
 
 
 def _surgery_tables(made: DataFrame) -> dict[str, DataFrame]:
