@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.catalog.common import Registry, amount, amount_text, day, or_minus_one
+from wardflow.catalog.common import amount, amount_text, clock, day, or_minus_one, Registry
 from wardflow.catalog.people import BATCH_ACTION, batch_action, catalogue_sql
-from wardflow.functions.clock import moment
+from wardflow.functions.clock import at_time, moment, seconds_of_day
 from wardflow.plans import clinic, diagnostics, duty
 from wardflow.sources.roles import Roles, with_roles
 
@@ -169,9 +169,16 @@ def stored_bookings(r: Roles) -> DataFrame:
     )
 
 
-BOOKING = with_roles(
-    "ev weekly emp_shift dated",
-    f"""{_CALLS},
+# All calls on one day, so that doctors reach their limit.
+_CROWDED_CALLS = _CALLS.replace(" FROM ev)", " FROM crowd)")
+_CROWD = """crowd AS (SELECT * REPLACE ((SELECT max(date) FROM dated) + (date_trunc('second', request_ts) - date_trunc('day', request_ts)) AS request_ts) FROM ev),
+    """
+
+
+def booking_sql(calls: str) -> str:
+    return with_roles(
+        "ev weekly emp_shift dated",
+        f"""{calls},
     stored AS (SELECT emp_id // 12 * 2 AS doctor_id, CAST(request_ts AS DATE) AS d, count(*) AS n FROM ev WHERE event_type = 'click' GROUP BY 1, 2),
     docs AS (SELECT a.request_id, min((w.emp_id, w.examination_price)) AS pick
              FROM asked a JOIN weekly w ON w.dept_id = a.dept_id AND w.day = a.wd AND a.t BETWEEN w.shift_start AND w.shift_end GROUP BY 1),
@@ -187,25 +194,37 @@ BOOKING = with_roles(
             WHERE place <= 20 - coalesce(s.n, 0)),
     made AS (SELECT *, k + (SELECT max(request_id) FROM ev WHERE event_type = 'click') AS reservation_id,
                     k + (SELECT max(o_orderkey) FROM orders) AS invoice_id FROM won)""",
-)
+    )
+
+
+BOOKING, CROWDED_BOOKING = booking_sql(_CALLS), booking_sql(_CROWD + _CROWDED_CALLS)
 
 
-def bookings(r: Roles):
-    """Events as requests, with the usual daily limit of 20 a doctor."""
+def bookings(r: Roles, crowded: bool = False):
+    """Events as requests, with the usual daily limit of 20 a doctor; ``crowded``: all on the last day of the schedule."""
+    calls = department_events(r)
+    if crowded:
+        latest = r.dated.agg(F.max("date")).scalar()
+        calls = calls.withColumn("request_ts", at_time(latest, seconds_of_day("request_ts")))
     return clinic.book_doctor(
-        department_events(r), r.weekly, r.employee, r.emp_shift, r.dated, stored_bookings(r), r.invoice
+        calls, r.weekly, r.employee, r.emp_shift, r.dated, stored_bookings(r), r.invoice
     )
 
 
-@registry.add(
-    "book_doctor",
-    BOOKING
-    + """
+_BOOKED = """
     SELECT t.request_id, m.k IS NOT NULL AS accepted, coalesce(m.reservation_id, -1) AS reservation_id, coalesce(m.invoice_id, -1) AS invoice_id,
            CASE WHEN m.k IS NOT NULL THEN '✔ Reservation completed successfully. Reservation ID = ' || m.reservation_id || ', Assigned Doctor ID = ' || m.doctor_id
                 WHEN refused_t IS NOT NULL THEN refused_t ELSE '❌ Maximum daily reservations reached for this doctor.' END AS message
-    FROM (SELECT request_id, refused AS refused_t FROM t) t LEFT JOIN made m ON m.request_id = t.request_id""",
-)
+    FROM (SELECT request_id, refused AS refused_t FROM t) t LEFT JOIN made m ON m.request_id = t.request_id"""
+
+
+@registry.add("book_doctor_limit", CROWDED_BOOKING + _BOOKED)
+def book_doctor_limit(r: Roles) -> DataFrame:
+    """Calls of one day: most doctors reach their limit."""
+    return bookings(r, crowded=True).outcomes.withColumns(or_minus_one("reservation_id", "invoice_id"))
+
+
+@registry.add("book_doctor", BOOKING + _BOOKED)
 def book_doctor(r: Roles) -> DataFrame:
     return bookings(r).outcomes.withColumns(or_minus_one("reservation_id", "invoice_id"))
 
@@ -221,6 +240,26 @@ def book_doctor_lines(r: Roles) -> DataFrame:
     return bookings(r).tables["invoice_details"]
 
 
+@registry.add(
+    "book_doctor_reservations",
+    BOOKING
+    + f"""
+    SELECT reservation_id, {clock('request_ts')} AS date_time, CAST(price AS DOUBLE) AS paid_money, p_id, dept_id, doctor_id, rec AS receptionist_id FROM made""",
+)
+def book_doctor_reservations(r: Roles) -> DataFrame:
+    return bookings(r).tables["reservations"]
+
+
+@registry.add(
+    "book_doctor_invoices",
+    BOOKING
+    + f"""
+    SELECT invoice_id, {day('request_ts')} AS date, payment_method, CAST(price AS DOUBLE) AS paid_money, p_id, rec AS emp_id FROM made""",
+)
+def book_doctor_invoices(r: Roles) -> DataFrame:
+    return bookings(r).tables["invoice"]
+
+
 @registry.add(
     "add_diagnosis",
     with_roles(

@@ -190,6 +190,18 @@ def restock_low_report(r: Roles) -> DataFrame:
     return restock(r).tables["report"]
 
 
+@registry.add(
+    "restock_low_message",
+    RESTOCK
+    + f"""
+    SELECT count(*) AS purchases, CASE WHEN count(*) = 0 THEN 'No low-stock drugs found. Nothing to purchase.'
+      ELSE 'Purchase completed successfully:' || chr(13) || chr(13) || string_agg('• ' || drug_name || ' | Purchased: 50 | Unit Cost: '
+        || {amount_text('cost')} || ' | Total: ' || {amount_text('cost * 50')} || chr(13), '' ORDER BY drug_id) END AS message FROM bought""",
+)
+def restock_low_message(r: Roles) -> DataFrame:
+    return restock(r).outcomes.select("purchases", "message")
+
+
 ADD_DRUG = with_roles(
     "ev drugs",
     """asked AS (SELECT request_id, request_ts, 'DRUG ' || (emp_id // 12 * 37) AS drug_name, request_id % 90 AS quantity, cents FROM ev),

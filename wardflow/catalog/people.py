@@ -466,6 +466,18 @@ def repeat_schedule(r: Roles) -> DataFrame:
     return staffing.repeat_schedule(r.order_shifts)
 
 
+@registry.add(
+    "repeat_schedule_message",
+    with_roles(
+        "order_shifts",
+        """SELECT count(*) > 0 AS accepted, CASE WHEN count(*) = 0 THEN 'No previous shifts found to copy.'
+             ELSE 'Shift appointments have been repeated successfully for the next month.' END AS message FROM order_shifts""",
+    ),
+)
+def repeat_schedule_message(r: Roles) -> DataFrame:
+    return staffing.repeat_schedule_outcome(r.order_shifts)
+
+
 @registry.add(
     "repeat_schedule_longer_month",
     with_roles(

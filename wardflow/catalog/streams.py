@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.catalog.common import Registry, amount, day
+from wardflow.catalog.common import Registry, amount, clock, day
 from wardflow.functions.clock import moment
 from wardflow.functions.money import money
 from wardflow.plans import pharmacy
@@ -47,6 +47,61 @@ def stream_first_checkin(r: Roles) -> DataFrame:
     return r.spark.read.schema(found.schema).parquet(f"{out}/rows")
 
 
+PARTS = 3
+# Days that a check-in may be behind the newest one.
+BEHIND = 7
+
+
+def in_parts(r: Roles, *jobs) -> list[DataFrame]:
+    """Run streaming jobs over the events in several deliveries, each a micro-batch; gives the tables written.
+
+    Event n comes with delivery n % 3. A run takes all new files as one batch and goes on from its checkpoint.
+    """
+    base = scratch_path(r.spark, "deliveries")
+    columns = [F.col("request_id"), F.col("request_ts").cast("timestamp").alias("ts"), F.col("emp_id")]
+    rows = r.events.select(*columns)
+    found = []
+    for part in range(PARTS):
+        rows.where(F.col("request_id") % PARTS == part).write.parquet(f"{base}/in/part={part}")
+        events = r.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
+        found = [job(events) for job in jobs]
+        for number, out in enumerate(found):
+            to_folder(out, f"{base}/out{number}", f"{base}/state{number}")
+    return [r.spark.read.schema(out.schema).parquet(f"{base}/out{number}") for number, out in enumerate(found)]
+
+
+def late(events: DataFrame) -> DataFrame:
+    return attendance.late_rows(events, f"{BEHIND} days")
+
+
+def in_time(events: DataFrame) -> DataFrame:
+    return attendance.first_check_ins(events, f"{BEHIND} days").select("emp_id", "attend_date", "ts")
+
+
+@registry.add(
+    "stream_late_rows",
+    with_roles(
+        "ev",
+        f"""newest AS (SELECT request_id % {PARTS} AS part, max(request_ts) AS ts FROM ev GROUP BY 1),
+        marks AS (SELECT p.part, max(n.ts) - INTERVAL {BEHIND} DAY AS mark FROM newest p JOIN newest n ON n.part < p.part GROUP BY 1)
+        SELECT request_id, emp_id, {clock('request_ts')} AS ts FROM ev JOIN marks ON marks.part = request_id % {PARTS} WHERE request_ts <= mark""",
+    ),
+)
+def stream_late_rows(r: Roles) -> DataFrame:
+    """Events of later deliveries that are more than a week behind the newest one before."""
+    return in_parts(r, late)[0].select("request_id", "emp_id", "ts")
+
+
+@registry.add(
+    "stream_checkins_with_late",
+    with_roles("ev", f"SELECT DISTINCT emp_id, {day('request_ts')} AS attend_date FROM ev"),
+)
+def stream_checkins_with_late(r: Roles) -> DataFrame:
+    """The stream over several deliveries and its late rows together miss no day."""
+    behind, found = in_parts(r, late, in_time)
+    return attendance.with_late_check_ins(found, behind).select("emp_id", "attend_date")
+
+
 # A check-in is given out as unmatched two days after it; with the delay of an hour, days
 # three days before the watermark have all their rows.
 SETTLED_AFTER = 3

@@ -54,6 +54,16 @@ def repeat_schedule(dated: DataFrame) -> DataFrame:
     return kept.unionByName(copies)
 
 
+def repeat_schedule_outcome(dated: DataFrame) -> DataFrame:
+    """What the roll-over of a schedule answers."""
+    return dated.agg(F.max("date").alias("_latest")).select(
+        F.col("_latest").isNotNull().alias("accepted"),
+        F.when(F.col("_latest").isNull(), "No previous shifts found to copy.")
+        .otherwise("Shift appointments have been repeated successfully for the next month.")
+        .alias("message"),
+    )
+
+
 def _people(employee: DataFrame) -> DataFrame:
     return employee.select(
         "emp_id", F.lit(True).alias("known"), same_text("status", "inactive").alias("inactive")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardflow.functions.clock import at_time, weekday
 from wardflow.functions.text import same_text
@@ -30,6 +34,30 @@ def first_check_ins(events: DataFrame, delay: str = "24 hours") -> DataFrame:
     )
 
 
+def late_rows(events: DataFrame, delay: str = "24 hours") -> DataFrame:
+    """Rows that arrive behind the stream's watermark, which the stateful jobs leave out.
+
+    ``events`` as for ``first_check_ins``, whose watermark this follows: both read the same files with
+    the same delay. Rows are dealt by a hash of their id, so none is held and no key is crowded.
+    """
+
+    def behind(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        for frame in frames:
+            yield frame.loc[frame["ts"] <= mark].drop(columns="_salt")
+
+    salted = events.withWatermark("ts", delay).withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(SALTS)))
+    return salted.groupBy("_salt").applyInPandasWithState(
+        behind, events.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def with_late_check_ins(found: DataFrame, late: DataFrame) -> DataFrame:
+    """The stream's check-ins (emp_id, attend_date, ts) and those of its late rows: the first per employee and day."""
+    kept = late.select("emp_id", F.to_date("ts").alias("attend_date"), "ts")
+    return found.select(*kept.columns).unionByName(kept).groupBy("emp_id", "attend_date").agg(F.min("ts").alias("ts"))
+
+
 def with_shift_end(
     arrivals: DataFrame, employee: DataFrame, weekly: DataFrame, dated: DataFrame, emp_shift: DataFrame
 ) -> DataFrame:
