@@ -131,3 +131,28 @@ def test_patient_months_count_each_patient_once(spark, tmp_path):
     assert rows(pairs.after(spark, last)) == [
         ("2024-01", 1, TS(2024, 1, 1)), ("2024-01", 2, TS(2024, 1, 2)), ("2024-02", 1, TS(2024, 2, 1))
     ]
+
+
+def test_late_rows_are_kept_beside_the_stream(spark, tmp_path):
+    """Several deliveries: what the stream leaves out is in the late rows, and together no day is missing."""
+    rng = random.Random(6)
+    ddl = "request_id int, emp_id int, ts timestamp"
+    parts = [[(b * 100 + i, rng.choice([1, 1, 1, 2, 3]), TS(2024, 1, rng.randrange(1, 10 + 6 * b), 8, i)) for i in range(40)] for b in range(3)]
+    late, found = [], []
+    for b, part in enumerate(parts):
+        frame(spark, part, ddl).write.parquet(f"{tmp_path}/in/p{b}")
+        stream = spark.readStream.schema(frame(spark, part, ddl).schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        late = attendance.late_rows(stream, "2 days")
+        found = attendance.first_check_ins(stream, "2 days").select("emp_id", "attend_date", "ts")
+        to_folder(late, f"{tmp_path}/late", f"{tmp_path}/late_state")
+        to_folder(found, f"{tmp_path}/found", f"{tmp_path}/found_state")
+    late = spark.read.schema(late.schema).parquet(f"{tmp_path}/late")
+    found = spark.read.schema(found.schema).parquet(f"{tmp_path}/found")
+    mark, want = None, set()
+    for part in parts:
+        if mark:
+            want |= {r[0] for r in part if (mark - r[2]).total_seconds() >= 2 * 86400}
+        mark = max([r[2] for r in part] + ([mark] if mark else []))
+    assert want and {r["request_id"] for r in late.collect()} == want
+    whole = rows(attendance.with_late_check_ins(found, late), "emp_id", "attend_date")
+    assert whole == sorted({(e, ts.date()) for p in parts for _, e, ts in p})
