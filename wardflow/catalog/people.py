@@ -332,9 +332,7 @@ def salaries(r: Roles) -> DataFrame:
     ).toDF("emp_id", "date", "salary", "total_reward", "total_deduction")
 
 
-@registry.add(
-    "monthly_salary",
-    with_roles(
+MONTHLY_SALARY = with_roles(
         "emp rew ded",
         f"""paid AS (SELECT emp_id, cents FROM emp WHERE lname = 'HOUSEHOLD' OR lower(status) = 'active'),
         r AS (SELECT emp_id, sum(cents) AS c FROM rew WHERE date >= DATE '{MONTH}' AND date < DATE '2024-02-01' GROUP BY 1),
@@ -342,12 +340,22 @@ def salaries(r: Roles) -> DataFrame:
         SELECT p.emp_id, '{MONTH}' AS date, {amount('p.cents + coalesce(r.c, 0) - coalesce(d.c, 0)')} AS salary,
                {amount('coalesce(r.c, 0)')} AS total_reward, {amount('coalesce(d.c, 0)')} AS total_deduction
         FROM paid p LEFT JOIN r ON p.emp_id = r.emp_id LEFT JOIN d ON p.emp_id = d.emp_id""",
-    ),
-)
+    )
+
+
+@registry.add("monthly_salary", MONTHLY_SALARY)
 def monthly_salary(r: Roles) -> DataFrame:
     return payroll.monthly_salary(r.employee, salaries(r), r.reward, r.deduction, F.lit(MONTH))
 
 
+@registry.add("payroll_corrections", MONTHLY_SALARY)
+def payroll_corrections(r: Roles) -> DataFrame:
+    """The month paid without a fifth of rewards and deductions, which then come in late."""
+    late = F.pmod(F.xxhash64("emp_id", "date", "amount"), F.lit(5)) == 0
+    paid = payroll.monthly_salary(r.employee, salaries(r), r.reward.filter(~late), r.deduction.filter(~late), F.lit(MONTH))
+    return payroll.salary_corrections(paid, r.reward.filter(late), r.deduction.filter(late))
+
+
 def raise_requests(r: Roles) -> DataFrame:
     """Events as raises between -0.03 % and +0.36 %."""
     percent = ((F.col("request_id") % 40 - 3).cast("decimal(5,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(5,2)")

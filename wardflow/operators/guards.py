@@ -37,6 +37,13 @@ class JobResult:
         self.tables = Tables(tables or {})
 
 
+def within_batch(history: DataFrame, day: str | Column, requests: DataFrame, at: Column) -> DataFrame:
+    """``history`` from the first to the last day of ``requests``, as bounds the scan can use."""
+    day = F.col(day) if isinstance(day, str) else day
+    bounds = requests.agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    return history.filter(day.between(bounds.select("first").scalar(), bounds.select("last").scalar()))
+
+
 def first_failure(rules: Sequence[tuple[Column, str | Column]]) -> Column:
     """Message of the first rule whose test is true; NULL when all pass."""
     chain = None

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.text import ColumnLike, col
 from wardflow.operators.scan import running
+from wardflow.session import materialize
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -78,25 +79,37 @@ def overlapping(requests: DataFrame, slots: DataFrame, keys: Sequence[str], star
     return scanned.filter((F.col("_kind") == 1) & (F.col("_reach") >= F.col("_from"))).select(id_column)
 
 
-# A day has fewer seconds than 2 to this power.
-_DAY_BITS = 17
+# Blocks of the day: one second, 64 seconds, 64 times 64 seconds.
+_BLOCK_BITS = 6
+_BLOCK_LEVELS = 3
 _DAY_END = 86_399
 
 
 def _day_blocks(start: Column, end: Column) -> Column:
-    """The seconds from start to end as blocks (level, number): block n of level k has the seconds from n * 2^k.
+    """The seconds from start to end as the fewest blocks (level, number), large ones inside, small ones at the ends.
 
-    At most two blocks of each level are needed, and a second lies in one block of each level.
+    At most 63 blocks of a size are needed at either end, and a second lies in one block of each size.
     """
-    blocks = []
-    for level in range(_DAY_BITS + 1):
-        size = F.lit(1 << level)
-        # First block not before the start, first block that reaches beyond the end.
-        low, high = F.ceil(start / size).cast("long"), F.floor((end + 1) / size).cast("long")
-        for taken, number in (((low % 2) == 1, low), ((high % 2) == 1, high - 1)):
-            block = F.struct(F.lit(level).alias("_level"), number.alias("_block"))
-            blocks.append(F.when((low < high) & taken, block))
-    return F.array_compact(F.array(*blocks))
+
+    def bounds(level: int) -> tuple[Column, Column]:
+        size = F.lit(1 << _BLOCK_BITS * level)
+        return F.ceil(start / size).cast("long"), F.floor((end + 1) / size).cast("long")
+
+    def run(level: int, low: Column, high: Column) -> Column:
+        numbers = F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(numbers, lambda n: F.struct(F.lit(level).alias("_level"), n.alias("_block")))
+
+    parts = []
+    for level in range(_BLOCK_LEVELS):
+        low, high = bounds(level)
+        if level + 1 == _BLOCK_LEVELS:
+            parts.append(run(level, low, high))
+            continue
+        inner_low, inner_high = bounds(level + 1)
+        inside = inner_low < inner_high
+        parts.append(run(level, low, F.when(inside, inner_low * (1 << _BLOCK_BITS)).otherwise(high)))
+        parts.append(run(level, F.when(inside, inner_high * (1 << _BLOCK_BITS)).otherwise(high), high))
+    return F.concat(*parts)
 
 
 def lowest_on_duty(
@@ -112,26 +125,28 @@ def lowest_on_duty(
 ) -> DataFrame:
     """Add ``name``: the lowest ``pick`` (a struct) among the slots of the keys that cover the second ``clock``.
 
-    Every slot is cut into blocks of the day whose sizes are powers of two, and the lowest pick is
-    kept for each block, so what is stored grows neither with the people nor with the pairs of slots. A
-    second lies in one block of each size: each distinct (keys, clock) asked for looks up those
-    blocks, and requests join the answers. All joins are on equal values.
+    Every slot is cut into blocks of the day of three sizes, and the lowest pick is kept for each
+    block, so what is stored grows neither with the people nor with the pairs of slots. A request joins the
+    block of each size that its second lies in, on equal values, and takes the lowest of the three picks.
     """
     keys = list(keys)
     begin, finish = F.col(start).cast("long"), F.col(end).cast("long")
     shapes = slots.groupBy(*keys, start, end).agg(F.min(F.struct(*pick)).alias("_pick"))
+    whole = F.array(F.struct(begin.alias("_from"), finish.alias("_to")))
     if wrap:
         # A slot that passes midnight is two spans of the day.
-        whole = F.array(F.struct(begin.alias("_from"), finish.alias("_to")))
         evening = F.struct(begin.alias("_from"), F.lit(_DAY_END).cast("long").alias("_to"))
         morning = F.struct(F.lit(0).cast("long").alias("_from"), finish.alias("_to"))
         span = F.when(begin < finish, whole).when(begin > finish, F.array(evening, morning))
-        spans = shapes.select(*keys, "_pick", F.explode(span).alias("_span")).select(*keys, "_pick", "_span.*")
     else:
-        spans = shapes.where(begin <= finish).select(*keys, begin.alias("_from"), finish.alias("_to"), "_pick")
+        span = F.when(begin <= finish, whole)
+    spans = shapes.select(*keys, "_pick", F.explode(span).alias("_span")).select(*keys, "_pick", "_span.*")
     covered = spans.select(*keys, "_pick", F.explode(_day_blocks(F.col("_from"), F.col("_to"))).alias("_at"))
-    best = covered.groupBy(*keys, "_at._level", "_at._block").agg(F.min("_pick").alias("_pick"))
-    asked = requests.select(*keys, clock).distinct().withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(_DAY_BITS))))
-    asked = asked.withColumn("_block", F.expr(f"shiftright(cast({clock} as long), _level)"))
-    found = asked.join(best, [*keys, "_level", "_block"]).groupBy(*keys, clock).agg(F.min("_pick").alias(name))
-    return requests.join(found, [*keys, clock], "left").select(*requests.columns, name)
+    best = materialize(covered.groupBy(*keys, "_at._level", "_at._block").agg(F.min("_pick").alias("_pick")), "duty")
+    found = requests
+    for level in range(_BLOCK_LEVELS):
+        blocks = best.filter(F.col("_level") == level).select(*keys, "_block", F.col("_pick").alias(f"_pick{level}"))
+        block = F.expr(f"shiftright(cast(`{clock}` as bigint), {_BLOCK_BITS * level})")
+        found = found.withColumn("_block", block).join(blocks, [*keys, "_block"], "left").drop("_block")
+    lowest = F.least(*[F.col(f"_pick{level}") for level in range(_BLOCK_LEVELS)])
+    return found.select(*requests.columns, lowest.alias(name))

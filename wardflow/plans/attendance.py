@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardflow.functions.clock import at_least, at_time, minutes_between_clocks, seconds_of_day, weekday
 from wardflow.functions.money import daily_pay, money, penalty_amount, penalty_label
 from wardflow.functions.text import joined, same_text
-from wardflow.operators.guards import JobResult, first_failure, first_per, flagged
+from wardflow.operators.guards import JobResult, first_failure, first_per, flagged, within_batch
 from wardflow.operators.snapshots import append, replace_keys, update_from
 
 
@@ -20,7 +20,7 @@ def _status(employee: DataFrame) -> DataFrame:
 
 def check_in(requests: DataFrame, employee: DataFrame, attendance: DataFrame) -> JobResult:
     """One check-in per active employee and day; the earliest in the batch wins."""
-    days = attendance.select("emp_id", "attend_date").distinct()
+    days = within_batch(attendance, "attend_date", requests, F.to_date("request_ts")).select("emp_id", "attend_date").distinct()
     state = flagged(
         requests.withColumn("attend_date", F.to_date("request_ts")).join(_status(employee), "emp_id", "left"),
         days,
@@ -56,7 +56,8 @@ def check_in(requests: DataFrame, employee: DataFrame, attendance: DataFrame) ->
 
 def check_out(requests: DataFrame, attendance: DataFrame) -> JobResult:
     """Close the day's open check-in; the earliest check-out in the batch wins."""
-    days = attendance.groupBy("emp_id", "attend_date").agg(
+    today = within_batch(attendance, "attend_date", requests, F.to_date("request_ts"))
+    days = today.join(requests.select("emp_id").distinct(), "emp_id", "left_semi").groupBy("emp_id", "attend_date").agg(
         F.count("checkout").alias("closed"), F.lit(True).alias("present")
     )
     state = requests.withColumn("attend_date", F.to_date("request_ts")).join(

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from wardflow.functions.money import money
 from wardflow.functions.text import folded, joined
-from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure, first_per, flagged
+from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure, first_per, flagged, within_batch
 from wardflow.operators.scan import with_next_ids
 from wardflow.operators.snapshots import append
 from wardflow.plans.duty import with_doctor, with_receptionist
@@ -89,8 +89,10 @@ def book_doctor(
     request is refused; no other doctor is tried.
     """
     with_doctors = weekly.select("dept_id").distinct().withColumn("staffed", F.lit(True))
+    # Stored bookings of the batch's days only: the bounds reach the scan.
+    near = within_batch(reservations, F.to_date("date_time"), requests, F.to_date("request_ts"))
     booked = (
-        reservations.groupBy("doctor_id", F.to_date("date_time").alias("day"))
+        near.groupBy("doctor_id", F.to_date("date_time").alias("day"))
         .agg(F.count("*").alias("booked"))
     )
     asked = with_receptionist(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardflow.functions.money import money
 from wardflow.functions.text import folded, joined
 from wardflow.operators.catalogue import Messages, catalogue_changes
-from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure, first_per, flagged
+from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure, first_per, flagged, within_batch
 from wardflow.operators.scan import highest_id, with_next_ids
 from wardflow.operators.text import concat_by
 from wardflow.plans.duty import department_doctor, with_receptionist
@@ -219,7 +219,8 @@ def book_radiology(
     asked = flagged(asked, patient.select("p_id").distinct(), ["p_id"], "patient_known")
     asked = department_doctor(asked, employee, weekly, RADIOLOGY_DEPARTMENT, "radio_doctor_id")
     asked = with_receptionist(asked, employee, emp_shift, dated, today_only=False, wrap=True)
-    stored = radio_reservation.select("p_id", F.to_date("date").alias("day"), F.col("rad_name").alias("stored"))
+    today = within_batch(radio_reservation, F.to_date("date"), requests, F.to_date("request_ts"))
+    stored = today.select("p_id", F.to_date("date").alias("day"), F.col("rad_name").alias("stored"))
     if not compat:
         stored = stored.withColumn("stored", F.explode(F.split("stored", ", ")))
     stored = stored.select("p_id", "day", folded("stored").alias("_name")).distinct()

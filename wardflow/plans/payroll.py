@@ -71,6 +71,33 @@ def monthly_salary(
     return others.unionByName(paid)
 
 
+def salary_corrections(salary: DataFrame, reward: DataFrame, deduction: DataFrame) -> DataFrame:
+    """Salary table after rewards and deductions that came in late for months already paid.
+
+    Only the new rows are read: they are summed up per employee and month, and every salary row of that month
+    changes by the sums. Months that are not paid yet have no row; their payroll run takes all rows.
+    """
+    zero = F.lit(0).cast("decimal(18,2)")
+
+    def part(df: DataFrame, plus: Column, minus: Column) -> DataFrame:
+        return df.select("emp_id", F.trunc("date", "MM").alias("_month"), plus.alias("_plus"), minus.alias("_minus"))
+
+    amount = money("amount", 18)
+    late = part(reward, amount, zero).unionByName(part(deduction, zero, amount))
+    sums = late.groupBy("emp_id", "_month").agg(F.sum("_plus").alias("plus"), F.sum("_minus").alias("minus"))
+    corrected = update_from(
+        salary.withColumn("_month", F.trunc("date", "MM")),
+        sums,
+        ["emp_id", "_month"],
+        {
+            "salary": F.col("salary") + F.col("new_plus") - F.col("new_minus"),
+            "total_reward": F.coalesce("total_reward", zero) + F.col("new_plus"),
+            "total_deduction": F.coalesce("total_deduction", zero) + F.col("new_minus"),
+        },
+    )
+    return corrected.select(*salary.columns)
+
+
 def raise_by_employee(requests: DataFrame, employee: DataFrame) -> JobResult:
     """Percentage raises per employee, each rounded before the next is applied.
 

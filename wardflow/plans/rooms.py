@@ -170,7 +170,7 @@ def reserve_room(
         if full.isEmpty():
             break
         if closed is not None:
-            full = full.unionByName(closed).groupBy("_type").agg(F.min("last").alias("last"))
+            full = materialize(full.unionByName(closed).groupBy("_type").agg(F.min("last").alias("last")), "closed")
         closed = full
 
     won = placed.join(free, ["_type", "place"]).select("request_id", "request_ts", "p_id", "room_id")
