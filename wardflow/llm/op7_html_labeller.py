@@ -24,8 +24,10 @@ import html as entities
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,9 @@ INPUT = 16
 HIDDEN = 16
 _ENTRIES_AT_ONCE = 1 << 18
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
-_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_TAG = re.compile(r"</?([a-zA-Z][^\s/><]*+)")
+_TO_TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+_QUOTED = re.compile(r"""\"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)""")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -63,6 +66,7 @@ _INLINE = frozenset(
     " annotation annotation-xml math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms"
     " mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
+_MAIN_TAGS = frozenset({"article", "main"})
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main"
     " nav ol p pre section table ul".split()
@@ -71,65 +75,130 @@ _CLOSES_P = frozenset(
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: int  # bit b: an open element's tag or name falls in bucket b
     text: str
     link_chars: int
+    in_article: bool  # an article or main element is open
+
+
+class _TagEnds:
+    """Where tags end: at the first ``>`` outside quotes, found in time linear in the page.
+
+    A way from a place outside quotes is outside, in double or in single quotes at any later place,
+    and a quote only swaps two of these. So ways that never end do not meet, there are three at
+    most, and a tag that begins outside the quotes of one of them does not end either.
+    """
+
+    def __init__(self, page: str):
+        self._page = page
+        self._endless: list[tuple[int, list[int], list[int]]] = []  # from where, and its quoted stretches
+
+    def find(self, place: int) -> int:
+        """The place after the ``>``, or -1."""
+        for first, starts, ends in self._endless:
+            at = bisect_left(starts, place) - 1
+            if place >= first and (at < 0 or ends[at] <= place):
+                return -1
+        end = _TO_TAG_END.match(self._page, place).end()
+        if self._page.startswith(">", end):
+            return end + 1
+        quoted = [match.span() for match in _QUOTED.finditer(self._page, place)]
+        self._endless.append((place, [a for a, _ in quoted], [b for _, b in quoted]))
+        return -1
+
+
+class _Open:
+    """The open elements; every step takes the same time, or that of the elements it closes."""
+
+    def __init__(self) -> None:
+        self._stack: list[tuple[str, int, bool]] = []
+        self._places: dict[str, list[int]] = {}
+        self._blocks: list[int] = []  # places of elements that are not inline
+
+    def path(self) -> tuple[int, bool]:
+        return self._stack[-1][1:] if self._stack else (0, False)
+
+    def last(self) -> str | None:
+        return self._stack[-1][0] if self._stack else None
+
+    def push(self, name: str, own: int) -> None:
+        path, in_article = self.path()
+        at = len(self._stack)
+        # Elements that add nothing share the number of the one around them.
+        self._stack.append((name, path if path | own == path else path | own, in_article or name in _MAIN_TAGS))
+        self._places.setdefault(name, []).append(at)
+        if name not in _INLINE:
+            self._blocks.append(at)
+
+    def close(self, name: str) -> None:
+        """Close the innermost ``name`` and all in it; an inline end tag never closes blocks in it."""
+        places = self._places.get(name)
+        if not places or name in _INLINE and self._blocks and self._blocks[-1] > places[-1]:
+            return
+        at = places[-1]
+        while len(self._stack) > at:
+            closed = self._stack.pop()[0]
+            self._places[closed].pop()
+            if closed not in _INLINE:
+                self._blocks.pop()
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's blocks with visible text, in order."""
+    """The page's blocks with visible text, in order; takes time linear in the page, whatever it holds."""
+    page = page or ""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    elements, tag_ends = _Open(), _TagEnds(page)
     run: list[str] = []
     links = link_chars = place = 0
     in_choice = False
-    page = page or ""
     unended: set[str] = set()
 
     def end_block() -> None:
         nonlocal link_chars
         text = _SPACE.sub(" ", "".join(run)).strip()
         if text:
-            path = tuple(name for _, names in stack for name in names)
-            found.append(Block(path, text, link_chars))
+            path, in_article = elements.path()
+            found.append(Block(path, text, link_chars, in_article))
         run.clear()
         link_chars = 0
 
     while place < len(page):
-        match = _TOKEN.match(page, place)
-        token, place = match[0], match.end()
-        if token[0] != "<" or token == "<":
-            if in_choice:
+        begin = place
+        if page[begin] == "<":
+            if page.startswith(("<!", "<?"), begin):
+                mark = "-->" if page.startswith("<!--", begin) else ">"
+                end = page.find(mark, begin + (4 if mark == "-->" else 2))
+                place = end + len(mark) if end >= 0 else len(page)
                 continue
-            text = entities.unescape(token)
-            run.append(text)
-            if links:
-                link_chars += len(text.strip())
-            continue
-        tag = _TAG.match(token)
-        if tag is None:
+            tag = _TAG.match(page, begin)
+            place = tag_ends.find(tag.end()) if tag else -1
+        else:
+            tag, place = None, page.find("<", begin)
+            place = len(page) if place < 0 else place
+        if tag is None or place < 0:  # text, or a "<" that begins no tag
+            place = begin + 1 if place < 0 else place
+            if not in_choice:
+                text = entities.unescape(page[begin:place])
+                run.append(text)
+                if links:
+                    link_chars += len(text.strip())
             continue
         name = tag[1].lower()
+        closing = page[begin + 1] == "/"
         if name not in _INLINE:
-            in_choice = token[1] != "/" and name in _CHOICES
-        if token[1] == "/":
-            if name not in _INLINE:
-                end_block()
+            in_choice = not closing and name in _CHOICES
+            end_block()
+        if closing:
             if name == "a" and links:
                 links -= 1
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            # A stray inline end tag never closes the blocks around it.
-            if at is not None and (name not in _INLINE or all(x in _INLINE for x, _ in stack[at:])):
-                del stack[at:]
+            elements.close(name)
             continue
-        if name not in _INLINE:
-            end_block()
         if name in _VOID:
             if name == "br":
                 run.append(" ")
             continue
         if name in _RAW:
-            if not token.endswith("/>") and name not in unended:
+            if page[place - 2] != "/" and name not in unended:
                 # What lies between is no markup: only the element's own end tag counts.
                 end = _RAW_END[name].search(page, place)
                 if end is not None:
@@ -142,19 +211,17 @@ def blocks(page: str | None) -> list[Block]:
         if name in _CHOICES:
             continue
         if name in _CLOSES_P:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if at is not None:
-                del stack[at:]
-        elif name in ("li", "dt", "dd", "tr", "td", "th"):
-            if stack and stack[-1][0] == name:
-                stack.pop()
-        names = [name]
-        if len(token) > len(name) + 2:
-            for kind, *values in _NAMES.findall(token):
-                names.extend(f"{kind[0].lower()}:{part}" for part in _NAME_PART.findall("".join(values).lower()))
+            elements.close("p")
+        elif name in ("li", "dt", "dd", "tr", "td", "th") and elements.last() == name:
+            elements.close(name)
+        own = _bit(name)
+        if place - begin > len(name) + 2:
+            for kind, *values in _NAMES.findall(page[begin:place]):
+                for part in _NAME_PART.findall("".join(values).lower()):
+                    own |= _bit(f"{kind[0].lower()}:{part}")
         if name == "a":
             links += 1
-        stack.append((name, tuple(names)))
+        elements.push(name, own)
     end_block()
     return found
 
@@ -163,21 +230,27 @@ def _bucket(text: str, buckets: int) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) % buckets
 
 
+@lru_cache(maxsize=1 << 14)
+def _bit(name: str) -> int:
+    return 1 << _bucket(name, PATH_BUCKETS)
+
+
+def _bits(path: int) -> np.ndarray:
+    packed = np.frombuffer(path.to_bytes(PATH_BUCKETS // 8, "little"), np.uint8)
+    return np.flatnonzero(np.unpackbits(packed, bitorder="little")).astype(np.uint16)
+
+
 class Features:
     """Hash buckets and measures of the blocks of some pages, as flat arrays."""
 
     def __init__(self, pages: Sequence[Sequence[Block]]):
-        paths, words, measures = [], [], []
-        n_paths, n_words = [], []
-        path_buckets: dict[tuple[str, ...], list[int]] = {}
+        which_path, words, measures = [], [], []
+        n_words = []
+        paths: dict[int, int] = {}
         word_buckets: dict[str, int] = {}
         for page in pages:
             for block in page:
-                own = path_buckets.get(block.path)
-                if own is None:
-                    own = path_buckets[block.path] = [_bucket(x, PATH_BUCKETS) for x in {*block.path, *block.path[-1:]}]
-                paths.extend(own)
-                n_paths.append(len(own))
+                which_path.append(paths.setdefault(block.path, len(paths)))
                 found = _WORD.findall(block.text)
                 for word in found:
                     at = word_buckets.get(word)
@@ -188,7 +261,11 @@ class Features:
                 size = len(block.text)
                 ends = block.text[-1] in ".!?:;\"'”’»"
                 measures.append((np.log1p(size) / 8, np.log1p(len(found)) / 6, min(1.0, block.link_chars / size), ends))
-        self.paths, self.n_paths = np.array(paths, np.int64), np.array(n_paths, np.int64)
+        # Buckets of each distinct path, and which of them a block has.
+        buckets = [_bits(path) for path in paths]
+        self.paths = np.concatenate(buckets) if buckets else np.zeros(0, np.uint16)
+        self.n_paths = np.array([len(own) for own in buckets], np.int64)
+        self.which_path = np.array(which_path, np.int64)
         self.words, self.n_words = np.array(words, np.int64), np.array(n_words, np.int64)
         self.measures = np.array(measures, np.float32).reshape(-1, MEASURES)
         self.sizes = np.array([len(page) for page in pages], np.int64)
@@ -237,7 +314,7 @@ class Labeller:
 
     def _inputs(self, features: Features) -> np.ndarray:
         w = self.weights
-        path = _sums(w["path"], features.paths, features.n_paths) * np.sqrt(features.n_paths)[:, None]
+        path = (_sums(w["path"], features.paths, features.n_paths) * np.sqrt(features.n_paths)[:, None])[features.which_path]
         # A few words say little: their mean counts in full only where there are many.
         words = _sums(w["word"], features.words, features.n_words) * _trust(features.n_words)[:, None]
         return np.tanh(path + words + features.measures @ w["measure"])
@@ -252,8 +329,8 @@ class Labeller:
             at += size
         return out
 
-    def _read(self, x: np.ndarray, mask: np.ndarray, way: str) -> tuple[np.ndarray, list]:
-        """Hidden states of one direction, and what the way back needs."""
+    def _read(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool = False) -> tuple[np.ndarray, list]:
+        """Hidden states of one direction, and (``keep``) what the way back needs."""
         w = self.weights
         steps, pages = x.shape[:2]
         hidden = np.zeros((steps, pages, HIDDEN), np.float32)
@@ -268,7 +345,8 @@ class Labeller:
             m = mask[t][:, None]
             new_c = f * c + i * g
             tanh_c = np.tanh(new_c)
-            trace.append((t, h, c, i, f, o, g, tanh_c, m))
+            if keep:
+                trace.append((t, h, c, i, f, o, g, tanh_c, m))
             c = m * new_c + (1 - m) * c
             h = m * (o * tanh_c) + (1 - m) * h
             hidden[t] = h
@@ -306,7 +384,7 @@ class Labeller:
         x = self._padded(flat, features.sizes)
         mask = (np.arange(x.shape[0])[:, None] < features.sizes).astype(np.float32)
         y = self._padded(labels[:, None].astype(np.float32), features.sizes)[:, :, 0]
-        reads = {way: self._read(x, mask, way) for way in ("f", "b")}
+        reads = {way: self._read(x, mask, way, keep=True) for way in ("f", "b")}
         both = np.concatenate([reads["f"][0], reads["b"][0]], axis=2)
         p = _sigmoid(both @ w["out"][:, 0] + w["out_bias"][0])
         n = mask.sum()
@@ -337,12 +415,14 @@ class Labeller:
             grads |= {f"x{way}": g_x, f"h{way}": g_h, f"c{way}": g_b}
         d_flat = d_x.transpose(1, 0, 2)[mask.T > 0] * (1 - flat**2)
         grads["measure"] = features.measures.T @ d_flat
-        for name, index, counts, scale in (
-            ("path", features.paths, features.n_paths, 1 / np.sqrt(np.maximum(features.n_paths, 1))),
-            ("word", features.words, features.n_words, _trust(features.n_words) / np.maximum(features.n_words, 1)),
+        d_path = np.zeros((len(features.n_paths), INPUT), np.float32)
+        np.add.at(d_path, features.which_path, d_flat)
+        for name, index, counts, scale, change in (
+            ("path", features.paths, features.n_paths, 1 / np.sqrt(np.maximum(features.n_paths, 1)), d_path),
+            ("word", features.words, features.n_words, _trust(features.n_words) / np.maximum(features.n_words, 1), d_flat),
         ):
             grads[name] = np.zeros_like(w[name])
-            np.add.at(grads[name], index, np.repeat(d_flat * scale[:, None], counts, axis=0))
+            np.add.at(grads[name], index, np.repeat(change * scale[:, None], counts, axis=0))
         return loss, grads
 
 
@@ -362,7 +442,6 @@ _AROUND = {
     "form": ('<form>', '<form class="search">', '<form id="login">', '<form class="signup">'),
     "comments": ('<section class="comments">', '<div id="comments">', '<div class="comment">', '<ol class="commentlist">', '<div class="discussion replies">', '<div class="responses">'),
 }
-_MAIN_TAGS = frozenset({"article", "main"})
 
 
 def _end(opening: str) -> str:
@@ -415,14 +494,13 @@ def training_set(pages: Sequence[str], seed: int = 11) -> tuple[list[list[Block]
     draw = random.Random(seed)
     read = [blocks(page) for page in pages]
     sequences, labels = [], []
-    is_main = lambda block: bool(_MAIN_TAGS & set(block.path))
-    short = [b.text for page in read for b in page if not is_main(b) and len(b.text) < 80] or ["menu"]
+    short = [b.text for page in read for b in page if not b.in_article and len(b.text) < 80] or ["menu"]
     for page in read:
-        main = [block.text for block in page if is_main(block)]
+        main = [block.text for block in page if block.in_article]
         if not main:
             continue
         sequences.append(page)
-        labels.append([is_main(block) for block in page])
+        labels.append([block.in_article for block in page])
         for _ in range(LAYOUTS_A_PAGE):
             first = draw.randrange(len(main))
             some = main[first : first + draw.randint(1, 12)]
