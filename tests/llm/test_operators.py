@@ -517,6 +517,18 @@ def test_labeller_on_held_out_layouts(spark, labeller):
     assert (scores == np.concatenate(labels)).mean() > 0.99
 
 
+def test_links_in_the_text_stay_and_boundaries_go_whatever_their_name(labeller):
+    text = ["Rivers of the north", "There are many rivers in the north, and these are the longest ones of them."]
+    links, last = ["The Great River", "The Long River", "Another river of note"], "They all flow to the sea in the end."
+    page = f"""<body><nav><a href=/>Home</a></nav><article><h1>{text[0]}</h1><p>{text[1]}</p><ul>
+        {"".join(f"<li><a href=/x>{link}</a></li>" for link in links)}</ul><p>{last}</p></article><div class="bottom">Copyright 2020</div></body>"""
+    unknown = f"""<body><div class="top"><a href=/>Home</a><a href=/n>News</a></div><div class="content"><h1>{text[0]}</h1>
+        <p>{text[1]}</p><p>{last}</p></div><div class="zz"><p>Copyright 2020</p></div></body>"""
+    assert op7_html_labeller.main_texts([page, unknown], labeller) == [
+        "\n".join([*text, *links, last]), "\n".join([*text, last]),
+    ]
+
+
 def test_gradients():
     sequences, labels = op7_html_labeller.training_set([PAGE] * 2, seed=3)
     features, labels = op7_html_labeller.Features(sequences), np.concatenate(labels)

@@ -8,7 +8,8 @@ every block is labelled as main text or not in the light of the whole page.
 The labeller is trained here, on a bounded sample of the table's pages (``train_pages``). Their blocks
 are dealt anew into layouts whose labels are known by construction: the page's own, and others with
 menus, headers, sidebars, notices, adverts, forms, related links and reader comments around the
-article, under common names of tags, classes and ids. So it knows more layouts than the sample has.
+article, under common names of tags, classes and ids, or names that tell nothing, and with lists of
+links inside the article. So it knows more layouts than the sample has.
 
 Whole pages are read: nothing is dropped or capped. Scripts, styles and the like end at their own end
 tag, whatever they hold; formulas are text, the choices of forms are not. Character references are
@@ -443,21 +444,41 @@ _AROUND = {
     "comments": ('<section class="comments">', '<div id="comments">', '<div class="comment">', '<ol class="commentlist">', '<div class="discussion replies">', '<div class="responses">'),
 }
 
+# What menus and the ends of pages commonly say.
+_BOUNDARY = {
+    "menu": ("Home", "About us", "Contact", "News", "Archive", "Search", "Log in", "Sign up", "Help", "Products", "Services", "Blog"),
+    "footer": (
+        "Copyright YEAR", "© YEAR All rights reserved.", "Copyright © YEAR", "Terms of use", "Privacy policy", "Imprint", "Contact",
+        "Follow us", "Back to top", "Sitemap", "All rights reserved",
+    ),
+}
+_UNNAMED = frozenset({"<div>", "<section>"})
+
 
 def _end(opening: str) -> str:
     return "".join(f"</{name}>" for name in reversed(re.findall(r"<([a-z0-9]+)", opening)))
 
 
+def _untold(draw: random.Random) -> str:
+    """An opening tag whose name tells nothing."""
+    name = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 7)))
+    return draw.choice((f'<div class="{name}">', f'<div id="{name}">', f'<section class="{name}">', "<div>"))
+
+
 def _layout(main: list[str], short: list[str], draw: random.Random) -> tuple[str, list[bool]]:
     """A page around the paragraphs ``main``, with the label of each block in order."""
     parts: list[str] = []
     labels: list[bool] = []
 
     def around(kind: str) -> None:
-        opening = draw.choice(_AROUND[kind])
+        # Menus and footers are known by their words and place, too: some have names that tell nothing.
+        untold = kind in _BOUNDARY and draw.random() < 0.25
+        opening = _untold(draw) if untold else draw.choice(_AROUND[kind])
+        own = _BOUNDARY[kind] if untold or kind in _BOUNDARY and draw.random() < 0.3 else short
         inside = []
         for _ in range(draw.randint(1, 5)):
-            text = entities.escape(draw.choice(main if kind == "comments" else short if draw.random() < 0.8 else main))
+            text = entities.escape(draw.choice(main if kind == "comments" else own if untold or draw.random() < 0.8 else main))
+            text = text.replace("YEAR", str(draw.randint(1995, 2030)))
             tag = draw.choice(("li", "p", "div", "h3") if kind != "form" else ("label", "p", "button", "div"))
             text = f'<a href="/x">{text}</a>' if draw.random() < (0.8 if kind in ("menu", "sidebar") else 0.15) else text
             inside.append(f"<{tag}>{text}</{tag}>")
@@ -467,9 +488,15 @@ def _layout(main: list[str], short: list[str], draw: random.Random) -> tuple[str
 
     for kind in draw.sample(("header", "menu", "notice", "advert", "form", "sidebar"), draw.randint(1, 4)):
         around(kind)
-    opening = draw.choice(_MAIN_NAMES)
+    opening = _untold(draw) if draw.random() < 0.1 else draw.choice(_MAIN_NAMES)
     inside = []
     for at, text in enumerate(main):
+        if at and opening not in _UNNAMED and draw.random() < 0.1:  # a list of links that belongs to the text
+            words = text.split(" ")
+            items = [" ".join(words[i : i + draw.randint(1, 8)]) for i in range(0, min(len(words), 24), 8)]
+            items = [item for item in items if item.strip()]
+            inside.append("<ul>" + "".join(f'<li><a href="/x">{entities.escape(item)}</a></li>' for item in items) + "</ul>")
+            labels.extend([True] * len(items))
         if at and draw.random() < 0.12:
             kind = draw.choice(("advert", "sidebar", "notice", "form"))
             ad = draw.choice(_AROUND[kind])
@@ -489,8 +516,10 @@ def _layout(main: list[str], short: list[str], draw: random.Random) -> tuple[str
     return "<html><body>" + "".join(parts) + "</body></html>", labels
 
 
-def training_set(pages: Sequence[str], seed: int = 11) -> tuple[list[list[Block]], list[list[bool]]]:
-    """Blocks and labels: each page as it is where it names its article, and dealt into other layouts."""
+def training_set(
+    pages: Sequence[str], seed: int = 11, layouts: int = LAYOUTS_A_PAGE
+) -> tuple[list[list[Block]], list[list[bool]]]:
+    """Blocks and labels: each page as it is where it names its article, and dealt into ``layouts`` others."""
     draw = random.Random(seed)
     read = [blocks(page) for page in pages]
     sequences, labels = [], []
@@ -501,7 +530,7 @@ def training_set(pages: Sequence[str], seed: int = 11) -> tuple[list[list[Block]
             continue
         sequences.append(page)
         labels.append([block.in_article for block in page])
-        for _ in range(LAYOUTS_A_PAGE):
+        for _ in range(layouts):
             first = draw.randrange(len(main))
             some = main[first : first + draw.randint(1, 12)]
             made, own = _layout(some, short, draw)
@@ -515,7 +544,8 @@ def training_set(pages: Sequence[str], seed: int = 11) -> tuple[list[list[Block]
 def train(pages: Sequence[str], epochs: int = EPOCHS, seed: int = 7) -> Labeller:
     """A labeller fitted by Adam on ``training_set(pages)``; the same pages give the same labeller."""
     model = Labeller(seed)
-    sequences, labels = training_set(pages)
+    # Few pages are dealt into more layouts each, so that every labeller sees about as many.
+    sequences, labels = training_set(pages, layouts=max(LAYOUTS_A_PAGE, -(-LAYOUTS_A_PAGE * TRAIN_PAGES // max(1, len(pages)))))
     if not sequences:
         return model
     draw = np.random.default_rng(seed)
