@@ -45,7 +45,8 @@ def _category(initial: str) -> str:
 
 
 _L, _N, _S = _category("L"), _category("N"), "\t-\r \x85\xa0"
-# The split patterns of the two public vocabularies.
+# The split patterns of the two public vocabularies, the first also as it is published.
+BLANKS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN_PARTS = {
     "blanks": re.compile(
         rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
