@@ -1,6 +1,7 @@
 """Winnowing fingerprints in DataFrame functions alone.
 
-A text is read as a list of tokens: runs of up to 16 characters without white space. Every ``K``
+A text is read as a list of tokens: runs of up to 16 characters without white space, and the single
+characters of longer runs, so that passages without blanks match wherever they begin. Every ``K``
 tokens in a row are hashed by a cyclic (rolling) polynomial: the sum of the tokens' hashes, each
 rotated by its distance from the end. Of every ``W`` neighbouring hashes the smallest is kept, of
 equal ones the rightmost, together with its place. Two texts that share ``W + K - 1`` tokens in a
@@ -28,7 +29,8 @@ from wardflow.llm.tables import BLOCK_ROWS
 
 K = 3
 W = 6
-_TOKEN = r"[^\x20\x09-\x0D]{1,16}"
+_INK = r"[^\x20\x09-\x0D]"
+_TOKEN = rf"(?<!{_INK}){_INK}{{1,16}}+(?!{_INK})|{_INK}"
 _PLACES = (1 << 32) - 1
 
 
