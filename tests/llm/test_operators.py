@@ -1,5 +1,6 @@
 """The ten operators against plain loops, on rows with every odd case and on the smallest table."""
 
+import base64
 import hashlib
 import itertools
 import os
@@ -13,6 +14,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import FOLDER, PASSAGE, edge_rows, prose
@@ -30,7 +32,7 @@ from wardflow.llm import (
 )
 from wardflow.llm.components import components
 from wardflow.llm.tables import rank_in_blocks
-from wardflow.llm.tokens import Encoder
+from wardflow.llm.tokens import BLANKS_PATTERN, Encoder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -299,6 +301,55 @@ def test_license_scan_containment(docs, no_docs):
     assert op4_license_scan.scan(no_docs).count() == 0
 
 
+def test_the_version_of_a_license_counts():
+    prepared = op4_license_scan.prepare(op4_license_scan.TEMPLATES)
+    names = lambda text: {x[0] for x in op4_license_scan.find(text, prepared)}
+    templates = op4_license_scan.TEMPLATES
+    for name in ("gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0"):
+        assert names(f"One. {templates[name]} Two.") == {name}
+    assert names("licensed under the GNU General Public License, version 2.") == {"gpl-2.0-short"}
+    assert names("licensed under the GNU General Public License, version 1.") == set()
+    assert names("x // SPDX-License-Identifier: GPL-3.0-or-later") == {"spdx-gpl-3.0"}
+    assert names("# SPDX-License-Identifier: MIT") == {"spdx-mit"}
+    assert names(templates["apache-2.0"].replace("http:", "https:")) == {"apache-2.0", "apache-2.0-short"}
+    assert names(templates["apache-2.0"].replace("2.0", "1.1")) == set()
+
+
+@pytest.mark.parametrize("name", ["docs", "corpus", "no_docs"])
+def test_license_scan_against_a_loop(request, name):
+    """Every window of every template, compared word by word."""
+    df, want = request.getfixturevalue(name), Counter()
+    templates = {x: re.findall(r"\w+", text.lower()) for x, text in op4_license_scan.TEMPLATES.items()}
+    for doc_id, text in pairs_of(df):
+        words = re.findall(r"\w+", text.lower())
+        matches = []
+        for license, own in templates.items():
+            k = min(5, len(own))
+            grams = [tuple(own[i : i + k]) for i in range(len(own) - k + 1)]
+            there = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+            if not set(grams) & set(there):
+                continue
+            half = next(2**i for i in range(20) if 2**i >= len(grams))
+            versions = [set(grams[max(0, i - k + 1) : i + 1]) for i, w in enumerate(own) if any(c.isdigit() for c in w)]
+            stretches = []
+            for begin in range(0, len(there), half):
+                at = [i for i in range(begin, min(begin + 2 * half, len(there))) if there[i] in grams]
+                inside = {there[i] for i in at}
+                share = len(inside) / len(set(grams))
+                if share >= (0.8 if len(set(grams)) >= 10 else 1) and all(v & inside for v in versions):
+                    if stretches and at[0] <= stretches[-1][1]:
+                        a, b, before = stretches[-1]
+                        stretches[-1] = (a, max(b, at[-1] + k - 1), max(before, share))
+                    else:
+                        stretches.append((at[0], at[-1] + k - 1, share))
+            matches.extend((license, *stretch) for stretch in stretches)
+        for match in matches:
+            if not any(x[1] <= match[1] and x[2] >= match[2] and x[3] > match[3] for x in matches):
+                want[doc_id, *match] += 1
+    assert Counter(rows(op4_license_scan.scan(df))) == want
+    assert want or name != "corpus"
+
+
 def test_long_texts_are_scanned_whole(monkeypatch):
     prepared = op4_license_scan.prepare(op4_license_scan.TEMPLATES)
     monkeypatch.setattr(op4_license_scan, "_PIECE", 256)
@@ -405,6 +456,24 @@ def test_byte_bpe_is_exact():
         assert own.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize(
+    "pattern",
+    [r"\p{N}{1,3}|[^\s\p{N}]+|\s+", r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s+(?!\S)|\s+"],
+)
+def test_byte_bpe_takes_any_pattern(pattern):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    reference = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own = op6_byte_bpe.ByteBPE(RANKS, pattern)
+    for text in ["year 123456 DON'T", "It's 2024, isn't it?\n\n  über 1234567", *odd_texts(300)]:
+        assert array("I", own.encode(text)).tolist() == reference.encode_ordinary(text)
+
+
+def test_the_shortcut_of_the_encoder_is_for_the_registered_pattern():
+    assert public_tokenizers.PATTERN == BLANKS_PATTERN
+
+
 @pytest.mark.parametrize("name", ["docs", "corpus", "no_docs"])
 def test_byte_bpe_digests(request, name):
     df, reference = request.getfixturevalue(name), reference_bpe()
@@ -561,7 +630,31 @@ def test_extract(spark, labeller):
 
 
 def plain_tokens(text):
-    return re.findall(r"[^\x20\x09-\x0D]{1,16}", text)
+    runs = re.findall(r"[^ \t-\r]+", text)
+    return [token for run in runs for token in ([run] if len(run) <= 16 else run)]
+
+
+def plain_fingerprint(text):
+    """(hash, place) of the rightmost least hash of every window, by a plain loop."""
+    hashed = [xxhash.xxh64_intdigest(token.encode(), 42) for token in plain_tokens(text)]
+    if len(hashed) < op8_fingerprints.K:
+        whole = 42
+        for value in hashed:
+            whole = xxhash.xxh64_intdigest(value.to_bytes(8, "little"), whole)
+        return [(whole >> 33, 0)] if hashed else []
+    grams = []
+    for at in range(len(hashed) - op8_fingerprints.K + 1):
+        gram = 0
+        for value in hashed[at : at + op8_fingerprints.K]:
+            gram = ((gram << 1 | gram >> 63) & (1 << 64) - 1) ^ value
+        grams.append((gram >> 33, at))
+    windows = [grams[i : i + op8_fingerprints.W] for i in range(max(1, len(grams) - op8_fingerprints.W + 1))]
+    return sorted({min(window, key=lambda x: (x[0], -x[1])) for window in windows}, key=lambda x: x[1])
+
+
+def plain_likeness(one, other):
+    one, other = {x for x, _ in plain_fingerprint(one)}, {x for x, _ in plain_fingerprint(other)}
+    return len(one & other) / len(one | other) if one | other else 1.0
 
 
 @pytest.mark.parametrize("name", ["docs", "corpus", "no_docs"])
@@ -586,6 +679,36 @@ def test_fingerprints(request, name):
             assert bool(r["fingerprint"]) == bool(plain_tokens(texts[r["doc_id"]]))
 
 
+@pytest.mark.parametrize("name", ["docs", "corpus"])
+def test_fingerprints_against_a_loop(request, name):
+    """Minima, places and likeness of every text, its edited text and the next one, by plain loops."""
+    df = request.getfixturevalue(name)
+    got = op8_fingerprints.compare_edited(df).collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    # Rows of equal doc_id go by the hash of their text.
+    key = lambda x: (x[0] is not None, x[0] or 0, signed(xxhash.xxh64_intdigest(x[1].encode(), 42)))
+    whole = sorted(pairs_of(df), key=key, reverse=True)
+    written = lambda text: " ".join(f"{x:X}@{place}" for x, place in plain_fingerprint(text))
+    want = []
+    for at, (doc_id, text) in enumerate(whole):
+        cut, following = len(text) // 3, whole[(at + 1) % len(whole)][1]
+        edited = text[: len(text) - cut] + following[:cut]
+        want.append((doc_id, written(text), written(edited), plain_likeness(text, edited), plain_likeness(text, following)))
+    names = ("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert Counter(tuple(r[x] for x in names) for r in got) == Counter(want)
+
+
+@pytest.mark.parametrize("offset", [0, 1, 7])
+def test_unspaced_passages_match_at_any_offset(spark, offset):
+    draw = random.Random(offset)
+    signs = lambda n: "".join(chr(draw.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    shared = signs(60)
+    pair = [(1, signs(40) + shared + signs(30)), (2, signs(40 + offset) + shared + signs(50))]
+    made = spark.createDataFrame(pair, "doc_id long, text string")
+    found = op8_fingerprints.fingerprints(made).select(op8_fingerprints.hashes(F.col("fingerprint")).alias("h")).collect()
+    assert len(set(found[0]["h"]) & set(found[1]["h"])) >= (60 - 2) // op8_fingerprints.W - 1
+
+
 def test_winnowing_keeps_the_rightmost_minimum_of_every_window(spark, docs):
     got = docs.select("text", op8_fingerprints.winnow(F.col("text")).alias("f")).collect()
     mask = (1 << 32) - 1
