@@ -271,6 +271,22 @@ class Features:
         self.measures = np.array(measures, np.float32).reshape(-1, MEASURES)
         self.sizes = np.array([len(page) for page in pages], np.int64)
 
+    @classmethod
+    def joined(cls, parts: Sequence[Features]) -> Features:
+        """The features of the pages of all ``parts``, in order."""
+        whole = cls([])
+        for name in ("paths", "n_paths", "words", "n_words", "measures", "sizes"):
+            setattr(whole, name, np.concatenate([getattr(part, name) for part in parts]))
+        before = np.cumsum([0] + [len(part.n_paths) for part in parts[:-1]])
+        whole.which_path = np.concatenate([part.which_path + first for part, first in zip(parts, before)])
+        return whole
+
+
+def _added(rows: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the ``rows`` of each of ``n`` indices."""
+    columns = [np.bincount(index, weights=column, minlength=n) for column in rows.T]
+    return np.stack(columns, axis=1).astype(np.float32)
+
 
 def _sums(table: np.ndarray, index: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Mean of the table's rows ``index`` for each run of ``counts`` entries."""
@@ -416,14 +432,12 @@ class Labeller:
             grads |= {f"x{way}": g_x, f"h{way}": g_h, f"c{way}": g_b}
         d_flat = d_x.transpose(1, 0, 2)[mask.T > 0] * (1 - flat**2)
         grads["measure"] = features.measures.T @ d_flat
-        d_path = np.zeros((len(features.n_paths), INPUT), np.float32)
-        np.add.at(d_path, features.which_path, d_flat)
+        d_path = _added(d_flat, features.which_path, len(features.n_paths))
         for name, index, counts, scale, change in (
             ("path", features.paths, features.n_paths, 1 / np.sqrt(np.maximum(features.n_paths, 1)), d_path),
             ("word", features.words, features.n_words, _trust(features.n_words) / np.maximum(features.n_words, 1), d_flat),
         ):
-            grads[name] = np.zeros_like(w[name])
-            np.add.at(grads[name], index, np.repeat(change * scale[:, None], counts, axis=0))
+            grads[name] = _added(np.repeat(change * scale[:, None], counts, axis=0), index, len(w[name]))
         return loss, grads
 
 
@@ -548,6 +562,7 @@ def train(pages: Sequence[str], epochs: int = EPOCHS, seed: int = 7) -> Labeller
     sequences, labels = training_set(pages, layouts=max(LAYOUTS_A_PAGE, -(-LAYOUTS_A_PAGE * TRAIN_PAGES // max(1, len(pages)))))
     if not sequences:
         return model
+    read = [Features([sequence]) for sequence in sequences]
     draw = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
     second = {k: np.zeros_like(v) for k, v in model.weights.items()}
@@ -558,7 +573,7 @@ def train(pages: Sequence[str], epochs: int = EPOCHS, seed: int = 7) -> Labeller
         batches = [by_size[i : i + 32] for i in range(0, len(by_size), 32)]
         for at in draw.permutation(len(batches)):
             some = batches[at]
-            features = Features([sequences[i] for i in some])
+            features = Features.joined([read[i] for i in some])
             _, grads = model.gradients(features, np.concatenate([labels[i] for i in some]))
             step += 1
             size = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
