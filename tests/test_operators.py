@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tests.frames import D, TS, frame, many_ranges, rows
 from wardflow.functions import clock, money
 from wardflow.functions.text import folded, full_name, joined
-from wardflow.operators import intervals, quality, snapshots
+from wardflow.operators import intervals, layout, quality, snapshots
 from wardflow.operators.scan import number_rows, running, with_next_ids
 from wardflow.operators.text import concat_by, report_lines
 from wardflow.operators.unique import accept_in_order
+from wardflow.plans import reports
 
 
 def one(spark, **columns):
@@ -200,6 +201,67 @@ def test_snapshots(spark):
     assert rows(snapshots.tagged_union({"n": state, "o": source.limit(0)}, "tag"), "tag", "id")[0] == ("n", 1)
 
 
+def files_of(folder):
+    return {str(f): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def test_only_touched_ranges_are_written_anew(spark, tmp_path):
+    path = str(tmp_path / "t")
+    state = frame(spark, [(n, f"v{n}") for n in range(-10, 90)] + [(None, "none")], "id long, v string")
+    layout.create(state, path, "id", 10)
+    assert len(list((tmp_path / "t").glob("key_range=*"))) == 11
+    before = files_of(tmp_path / "t")
+    source = frame(spark, [(12, "A"), (-3, "B"), (205, "C")], "id long, v string")
+    changed = layout.rewrite(path, state, source, "id", 10, lambda old, new: snapshots.upsert(old, new, ["id"]))
+    assert changed == 3
+    want = sorted([r for r in rows(snapshots.upsert(state, source, ["id"]))], key=str)
+    assert sorted(rows(layout.read(state, path)), key=str) == want and layout.read(state, path).schema == state.schema
+    after = files_of(tmp_path / "t")
+    touched = ("key_range=1/", "key_range=-1/", "key_range=20/")
+    untouched = {f: at for f, at in before.items() if not any(x in f for x in touched)}
+    assert len(untouched) >= 9 and untouched.items() <= after.items()
+    assert not any(f in after for f in before if f not in untouched)
+    again = layout.rewrite(path, state, source, "id", 10, lambda old, new: snapshots.upsert(old, new, ["id"]))
+    assert again == 3 and sorted(rows(layout.read(state, path)), key=str) == want
+
+
+def test_emptied_ranges_lose_their_folder(spark, tmp_path):
+    path = str(tmp_path / "t")
+    state = frame(spark, [(n, f"v{n}") for n in range(30)], "id long, v string")
+    layout.create(state, path, "id", 10)
+    gone = frame(spark, [(n, "x") for n in range(10, 20)] + [(3, "x"), (77, "x")], "id long, v string")
+    assert layout.rewrite(path, state, gone, "id", 10, lambda old, new: snapshots.delete_keys(old, new, ["id"])) == 3
+    assert [r[0] for r in rows(layout.read(state, path))] == [n for n in range(30) if not 10 <= n < 20 and n != 3]
+    assert not (tmp_path / "t" / "key_range=1").exists()
+    kept = files_of(tmp_path / "t")
+    assert layout.rewrite(path, state, gone.limit(0), "id", 10, lambda old, new: new) == 0
+    with pytest.raises(ValueError):
+        layout.rewrite(path, state, gone.where("id = 3"), "id", 10, lambda old, new: new.withColumn("id", F.lit(25).cast("long")))
+    assert files_of(tmp_path / "t") == kept
+
+
+def test_ranges_of_keys(spark):
+    keys = [-(1 << 63) + 20, -11, -10, -1, 0, 9, 10, (1 << 53) + 1, (1 << 63) - 1, None]
+    got = frame(spark, [(k,) for k in keys], "k long").select("k", layout.range_of("k", 10).alias("r"))
+    assert {r["k"]: r["r"] for r in got.collect()} == {k: layout.NO_KEY if k is None else k // 10 for k in keys}
+    some = frame(spark, [(k,) for k in (-7, 0, 92)], "k long")
+    assert layout.width_for(some, "k", 4) == 25 and layout.width_for(some.limit(0), "k", 4) == 1
+
+
+def test_month_sketches_merge(spark):
+    ddl = "reservation_id long, p_id long, date_time timestamp"
+    visits = [(n, n * 7919 % 6000, TS(2024, 1 + n % 2, 1 + n % 28)) for n in range(20000)] + [(1, None, TS(2024, 5, 1))]
+    older, newer = frame(spark, visits[:12000], ddl), frame(spark, visits[8000:], ddl)
+    parts = [reports.patient_month_sketches(df) for df in (older, newer)]
+    got = {r["month"]: r["new_patients"] for r in reports.monthly_new_patients_estimate(reports.merge_month_sketches(*parts), n=None).collect()}
+    exact = {}
+    for _, p, at in visits:
+        exact.setdefault(at.strftime("%Y-%m"), set()).update({p} - {None})
+    assert got.keys() == exact.keys() and got["2024-05"] == 0
+    assert all(abs(got[m] - len(own)) <= 0.065 * len(own) for m, own in exact.items())
+    assert [r["month"] for r in reports.monthly_new_patients_estimate(parts[0], n=1).collect()][0] in got
+
+
 def test_text_lists(spark):
     df = frame(spark, [(1, 2, "b"), (1, 1, "a"), (2, 1, None)], "k int, o int, v string")
     assert rows(concat_by(df, ["k"], F.col("v"), " , ", ["o"], "x")) == [(1, "a , b"), (2, "")]

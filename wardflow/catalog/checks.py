@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardflow.catalog.common import Registry, amount, day
 from wardflow.functions.clock import clock_text, day_first_text
 from wardflow.functions.money import money
-from wardflow.operators import quality
+from wardflow.operators import layout, quality
 from wardflow.operators.snapshots import append, replace_keys, update_from, upsert
 from wardflow.session import scratch_path
 from wardflow.sources import loaders
@@ -177,13 +177,57 @@ def snapshot_update_from(r: Roles) -> DataFrame:
     FROM a FULL JOIN b ON a.id = b.id""",
 )
 def snapshot_upsert(r: Roles) -> DataFrame:
+    state, source = accounts(r)
+    return upsert(state, source, ["id"], keep=["name"])
+
+
+def accounts(r: Roles) -> tuple[DataFrame, DataFrame]:
+    """Accounts of customers, and the changes that their orders ask for."""
     state = r.table("customer").filter("c_acctbal >= 0").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), money("c_acctbal", 12).alias("amount")
     )
     source = r.table("orders").groupBy((F.col("o_custkey") + 700).alias("id")).agg(
         F.max("o_orderpriority").alias("name"), F.max(money("o_totalprice", 12)).alias("amount")
     )
-    return upsert(state, source, ["id"], keep=["name"])
+    return state, source
+
+
+# The same next states, for tables of which only the ranges of keys that a batch touches are written anew.
+RANGES = 16
+
+
+@registry.add("snapshot_replace_ranges", registry.sql["snapshot_replace_keys"])
+def snapshot_replace_ranges(r: Roles) -> DataFrame:
+    columns = ["emp_id", "date", "amount"]
+    state, path = r.deduction.select(*columns), scratch_path(r.spark, "deduction")
+    width = layout.width_for(state, "emp_id", RANGES)
+    layout.create(state, path, "emp_id", width)
+    layout.rewrite(
+        path, state, r.reward.select(*columns), "emp_id", width, lambda old, new: replace_keys(old, new, ["emp_id", "date"])
+    )
+    return layout.read(state, path)
+
+
+@registry.add("snapshot_update_ranges", registry.sql["snapshot_update_from"])
+def snapshot_update_ranges(r: Roles) -> DataFrame:
+    state = r.table("part").select("p_partkey", "p_name", money("p_retailprice", 12).alias("price"))
+    path = scratch_path(r.spark, "part")
+    width = layout.width_for(state, "p_partkey", RANGES)
+    layout.create(state, path, "p_partkey", width)
+    layout.rewrite(
+        path, state, prices(r), "p_partkey", width, lambda old, new: update_from(old, new, ["p_partkey"], {"price": "price"})
+    )
+    return layout.read(state, path)
+
+
+@registry.add("snapshot_upsert_ranges", registry.sql["snapshot_upsert"])
+def snapshot_upsert_ranges(r: Roles) -> DataFrame:
+    state, source = accounts(r)
+    path = scratch_path(r.spark, "accounts")
+    width = layout.width_for(state, "id", RANGES)
+    layout.create(state, path, "id", width)
+    layout.rewrite(path, state, source, "id", width, lambda old, new: upsert(old, new, ["id"], keep=["name"]))
+    return layout.read(state, path)
 
 
 # ---------------------------------------------------------------- seed files

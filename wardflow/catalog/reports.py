@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.catalog.common import Registry, amount, clock, day
-from wardflow.functions.clock import moment
+from wardflow.functions.clock import moment, month_key
 from wardflow.functions.money import money
 from wardflow.operators.scan import number_rows, spread_dates
 from wardflow.operators.snapshots import set_by_keys
@@ -132,6 +132,28 @@ def monthly_new_patients(r: Roles) -> DataFrame:
     return reports.monthly_new_patients(r.reservation)
 
 
+@registry.add(
+    "monthly_patient_sketches",
+    with_roles(
+        "resv",
+        """SELECT strftime(date_time, '%Y-%m') AS month, count(DISTINCT p_id) AS new_patients, TRUE AS within_error
+        FROM resv GROUP BY 1""",
+    ),
+)
+def monthly_patient_sketches(r: Roles) -> DataFrame:
+    """Sketches of two deliveries merged, held against the exact counts: four standard errors, or one patient."""
+    first = F.col("reservation_id") % 2 == 0
+    halves = [reports.patient_month_sketches(r.reservation.where(half)) for half in (first, ~first)]
+    estimate = reports.monthly_new_patients_estimate(reports.merge_month_sketches(*halves), n=None)
+    exact = r.reservation.groupBy(month_key("date_time").alias("month")).agg(F.countDistinct("p_id").alias("exact"))
+    error = F.greatest(F.lit(1.0), F.col("exact") * (4 * 1.04 / 2 ** (reports.SKETCH_LG_K / 2)))
+    return exact.join(estimate, "month", "left").select(
+        "month",
+        F.col("exact").alias("new_patients"),
+        F.coalesce(F.abs(F.col("new_patients") - F.col("exact")) <= error, F.lit(False)).alias("within_error"),
+    )
+
+
 EXPIRY_AS_OF = "1998-11-30 08:00:00"
 
 
