@@ -604,3 +604,23 @@ def test_cancel_hits_other_kinds_only_with_compat(spark):
     assert rows(result.tables["room_status"]) == [(1, "available"), (2, "available"), (3, "reserved"), (4, "reserved")]
     untouched = surgery.cancel_surgery(asked.filter("request_id = 2"), surgeries, stays, status, invoice, details)
     assert untouched.tables["invoice"].count() == 3
+
+
+@pytest.mark.parametrize("refuse", [False, True])
+def test_rewards_of_inactive_employees(spark, refuse):
+    people = staff(spark, (1, "doctor", "Active", 100, 1), (2, "doctor", "Inactive", 100, 1))
+    asked = frame(
+        spark,
+        [(1, 1, "bonus", None, Decimal(5)), (2, 2, "bonus", None, Decimal(5)), (3, 9, "bonus", None, Decimal(5)), (4, 2, "bonus", None, Decimal(0)), (5, 1, "bonus", None, Decimal(0))],
+        "request_id long, emp_id int, type string, date date, amount decimal(10,2)",
+    )
+    done = attendance.add_reward(asked, people, table(spark, "reward", []), moment(NOON), refuse_inactive=refuse)
+    inactive, zero = "Employee is inactive and cannot add reward", "Reward amount must be greater than zero"
+    assert messages(done) == {
+        1: "Reward added successfully",
+        2: inactive if refuse else "Reward added successfully",
+        3: "Employee not found",
+        4: inactive if refuse else zero,
+        5: zero,
+    }
+    assert rows(done.tables["inserted"], "emp_id") == ([(1,)] if refuse else [(1,), (2,)])

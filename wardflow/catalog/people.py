@@ -319,6 +319,39 @@ def reward_table(r: Roles) -> DataFrame:
     return att.add_reward(amount_requests(r), r.employee, r.reward, moment(TODAY)).tables["reward"]
 
 
+# The older form of the rule, by which inactive employees get no reward.
+
+
+@registry.add(
+    "reward_refuse_inactive",
+    with_roles(
+        "ev emp",
+        f"""{AMOUNTS}
+        SELECT request_id, emp_id, NOT unknown AND NOT inactive AND cents > 0 AS accepted,
+               CASE WHEN unknown THEN 'Employee not found' WHEN inactive THEN 'Employee is inactive and cannot add reward'
+                    WHEN cents <= 0 THEN 'Reward amount must be greater than zero'
+                    ELSE 'Reward added successfully' END AS message FROM asked""",
+    ),
+)
+def reward_refuse_inactive(r: Roles) -> DataFrame:
+    return att.add_reward(amount_requests(r), r.employee, r.reward, moment(TODAY), refuse_inactive=True).outcomes
+
+
+@registry.add(
+    "reward_refuse_inactive_table",
+    with_roles(
+        "ev emp rew",
+        f"""{AMOUNTS}
+        SELECT emp_id, type, {day('date')} AS date, {amount('cents')} AS amount FROM rew
+        UNION ALL SELECT emp_id, type, {day('date')}, {amount('cents')} FROM asked
+        WHERE NOT unknown AND NOT inactive AND cents > 0""",
+    ),
+)
+def reward_refuse_inactive_table(r: Roles) -> DataFrame:
+    done = att.add_reward(amount_requests(r), r.employee, r.reward, moment(TODAY), refuse_inactive=True)
+    return done.tables["reward"]
+
+
 # ------------------------------------------------------------------- payroll
 
 MONTH = "2024-01-01"
