@@ -589,6 +589,25 @@ def test_surgery_guards(spark):
     ) == {1: surgery.NO_TEAM}
 
 
+@pytest.mark.parametrize("wrap", [False, True])
+def test_surgeries_over_midnight(spark, wrap):
+    people, emp_shift, dated = desk(spark)
+    people = people.unionByName(staff(spark, (1, "consultant_doctor", "active", 1, 1)))
+    result = surgery.schedule_surgery(
+        frame(spark, [(1, NOON, 7, 1, "op", D(2024, 1, 15), "cash", 1, 84600), (2, NOON, 8, 1, "op", D(2024, 1, 16), "cash", 1, 82800)], "request_id int, request_ts timestamp_ntz, p_id int, doc_id int, surgery_name string, surgery_date date, payment_method string, stuff_id int, start_time int"),
+        people, frame(spark, [(1, "OP", 60, Decimal(1))], "surgery_id int, surgery_name string, duration int, price decimal(10,2)"),
+        frame(spark, [(1, "surgery", Decimal(7)), (2, "recovery", Decimal(7))], "room_id int, room_type string, price_per_day decimal(10,2)"),
+        frame(spark, [(1,)], "stuff_id int"), table(spark, "surgery_reservation", []),
+        frame(spark, [], "reservation_id int, checkin date, checkout date, room_id int"), emp_shift, dated, table(spark, "invoice", []),
+        mode="manual", wrap_midnight=wrap,
+    )
+    placed = {r.surgery_date: (r.start_time, r.end_time) for r in result.tables["surgery_reservation"].collect()}
+    if wrap:
+        assert placed == {D(2024, 1, 15): (84600, 1800), D(2024, 1, 16): (82800, 0)}
+    else:
+        assert D(2024, 1, 15) not in placed and messages(result)[1] == surgery.NO_ROOM
+
+
 def test_cancel_hits_other_kinds_only_with_compat(spark):
     surgeries = table(spark, "surgery_reservation", [dict(reservation_id=5, surgery_date=D(2024, 1, 15), start_time=25200, end_time=30000, paid_money=Decimal(9), p_id=1, surgery_id=1, room_id=1, stuff_id=1, status="scheduled")])
     stays = table(spark, "room_reservation", [dict(reservation_id=i, paid_money=Decimal(3), checkin=d, p_id=1, room_id=i, emp_id=1, status=s) for i, d, s in ((1, D(2024, 1, 15), "reserved_for_surgery"), (2, D(2024, 1, 15), "reserved_for_recovery"), (3, D(2024, 1, 14), "reserved_for_surgery"), (4, D(2024, 1, 16), "other"))])
