@@ -201,3 +201,27 @@ def test_employee_changes_match_a_loop(spark, ranges):
     assert answers(result, "emp_id") == want
     got = {r["emp_id"]: {c: r[c] for c in ("ssn", "phone", "email", "status")} for r in result.tables["employee"].collect()}
     assert got == rows
+
+
+def test_dependent_ranges_are_replayed_in_proportion(spark, monkeypatch):
+    """Each range renames what the range before it named; the ranges replayed must not grow with the square."""
+    monkeypatch.setattr(replay, "RANGE_REQUESTS", 2)
+    monkeypatch.setattr(replay, "RANGES_AT_ONCE", 3)
+    replays, write = [], replay.materialize
+
+    def counted(df, label, *folders):
+        done = write(df, label, *folders)
+        if label == "replayed":
+            replays.append(done.where("_kind = 'answer'").select("_range").distinct().count())
+        return done
+
+    monkeypatch.setattr(replay, "materialize", counted)
+    asked = [(i, i, "update", 1 + i % 2, f"n{i // 2 % 3}") for i in range(36)]
+    state = {1: "n0", 2: "n1"}
+    changes = frame(spark, asked, "request_id int, request_ts int, action string, shift_id int, shift_name string")
+    shift = frame(spark, list(state.items()), "shift_id int, shift_name string")
+    result = staffing.shift_changes(changes, shift, frame(spark, [(1, 9)], "emp_id int, shift_id int"))
+    want, rows = plain_catalogue([(*r, 0) for r in asked], state, staffing.SHIFT_TEXTS)
+    assert answers(result, "shift_id") == want
+    assert {r["shift_id"]: r["shift_name"] for r in result.tables["shift"].collect()} == rows
+    assert max(replays) <= 3 and sum(replays) <= 3 * 18

@@ -5,10 +5,12 @@ hold a value it wants for itself. Both are changes of state that compose. Of a r
 has to know is how it leaves each row it touched, by how much it changed the number of holders of each
 value, and how many rows it added. So requests are cut, in their order, into ranges of bounded size; a
 task replays a range, starting from the rows and numbers of holders its requests ask for, and
-summarises it. Summaries are chained with windows over (row, range) and (value, range), and ranges are
-replayed with what the ranges before them leave, until summaries stay the same. Range n is right after n
-rounds at the latest, as it depends on earlier ones only; in practice few changes reach beyond the next
-range. A batch of at most ``RANGE_REQUESTS`` requests takes one round.
+summarises it. As many ranges as there are cores are replayed at once: summaries are chained with windows
+over (row, range) and (value, range), and ranges are replayed with what the ranges before them leave.
+Ranges up to the first whose summary changed have their final answers and are not replayed again; then
+the next ranges follow, from the rows and numbers of holders these leave. Every round settles one range
+at least, so rounds, each no longer than a range, grow with the batch and not with its square, even if
+every range depends on the one before it; fewer ranges are tried at once where few turn out right. A batch of at most ``RANGE_REQUESTS`` requests takes one round.
 
 A hot row or value spreads over ranges like any other; no task holds more than a range and the rows and
 values its requests name.
@@ -17,7 +19,7 @@ values its requests name.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +30,13 @@ from pyspark.sql.window import Window
 
 from wardflow.operators.guards import REQUEST_ORDER
 from wardflow.operators.scan import highest_id, number_rows
-from wardflow.session import materialize
+from wardflow.session import materialize, scratch_path
 
 # Requests a task replays at once.
-RANGE_REQUESTS = 20_000
+RANGE_REQUESTS = 200_000
+
+# Ranges replayed at once; None: as many as Spark has cores.
+RANGES_AT_ONCE: int | None = None
 
 
 class Book:
@@ -86,10 +91,23 @@ Answer = tuple[bool, str, int | None] | None
 Rules = Callable[[dict, Book], Answer]
 
 
+def _values(column: pa.ChunkedArray) -> list:
+    """Python values; by way of objects, as Arrow makes them one by one."""
+    if pa.types.is_integer(column.type) or pa.types.is_boolean(column.type) or pa.types.is_string(column.type):
+        return column.to_pandas(integer_object_nulls=True).tolist()
+    return column.to_pylist()
+
+
+def _dicts(table: pa.Table) -> Iterator[dict]:
+    names = table.column_names
+    for entry in zip(*map(_values, table.columns)):
+        yield dict(zip(names, entry))
+
+
 def _replayer(key: str, claims: Sequence[str], columns: list[str], rules: Rules, schema: pa.Schema) -> Callable:
     def run(requests: pa.Table, known: pa.Table) -> pa.Table:
         rows, holders, base = {}, {}, 0
-        for entry in known.to_pylist():
+        for entry in _dicts(known):
             if entry["_kind"] == "row":
                 rows[entry[key]] = {c: entry[c] for c in (*columns, *claims)}
             elif entry["_kind"] == "count":
@@ -97,14 +115,14 @@ def _replayer(key: str, claims: Sequence[str], columns: list[str], rules: Rules,
             else:
                 base = entry["_n"]
         book = Book(key, claims, rows, holders, base + 1)
-        out = []
+        answers = []
         number = None
-        for request in requests.sort_by("_place").to_pylist():
+        for request in _dicts(requests.sort_by("_place")):
             number = request["_range"]
             answer = rules(request, book)
             if answer is not None:
-                accepted, message, named = answer
-                out.append({"_kind": "answer", "request_id": request["request_id"], "accepted": accepted, "message": message, "_n": named})
+                answers.append((request["request_id"], *answer))
+        out = []
         for touched in sorted(book.touched):
             row = book.rows.get(touched)
             out.append({"_kind": "row", **(row or {}), key: touched, "accepted": row is not None})
@@ -114,7 +132,11 @@ def _replayer(key: str, claims: Sequence[str], columns: list[str], rules: Rules,
         if book.added:
             out.append({"_kind": "base", "_n": book.added})
         names = schema.names
-        return pa.Table.from_pylist([{**dict.fromkeys(names), **entry, "_range": number} for entry in out], schema)
+        left = pa.Table.from_pylist([{**dict.fromkeys(names), **entry, "_range": number} for entry in out], schema)
+        told = dict(zip(("request_id", "accepted", "message", "_n"), zip(*answers))) if answers else {}
+        fixed = {"_kind": "answer", "_range": number}
+        filled = [told.get(name) or [fixed.get(name)] * len(answers) for name in names]
+        return pa.concat_tables([left, pa.table([pa.array(v, f.type) for v, f in zip(filled, schema)], schema)])
 
     return run
 
@@ -128,25 +150,35 @@ def replay(
     ``requests`` have, under the same names, the values they may ask about, and what ``rules`` needs. New
     rows get the ids after the highest in use when the batch begins.
     """
+    spark = state.sparkSession
     size = range_requests or RANGE_REQUESTS
     columns = [c for c in state.columns if c not in claims]
     typed = requests.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in state.schema if f.name in requests.columns})
     placed = number_rows(typed, REQUEST_ORDER, "_place")
-    asked = materialize(placed.withColumn("_range", F.floor((F.col("_place") - 1) / size).cast("long")), "asked")
+    # One folder a range, so that a round reads its ranges only.
+    asked = materialize(placed.withColumn("_range", F.floor((F.col("_place") - 1) / size).cast("long")), "asked", "_range")
     n_ranges = (asked.agg(F.max("_range")).first()[0] or 0) + 1
+    at_once = RANGES_AT_ONCE or max(2, spark.sparkContext.defaultParallelism)
 
     def value_rows(df: DataFrame, *carry: str) -> DataFrame:
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("_claim"), F.col(c).alias("_value")) for c in claims]))
         return df.select(*carry, each.alias("_each")).select(*carry, "_each.*").where("_value IS NOT NULL")
 
+    value = ["_claim", "_value"]
     wanted_rows = asked.where(F.col(key).isNotNull()).select("_range", key).distinct()
     wanted_values = value_rows(asked, "_range").distinct()
-    first_rows = state.join(wanted_rows.select(key).distinct(), key, "left_semi")
-    first_counts = value_rows(state).groupBy("_claim", "_value").agg(F.count("*").alias("_n"))
-    first_counts = first_counts.join(wanted_values.select("_claim", "_value").distinct(), ["_claim", "_value"], "left_semi")
     if n_ranges > 1:
-        first_rows, first_counts = materialize(first_rows, "first_rows"), materialize(first_counts, "first_counts")
-    base = asked.select("_range").distinct().withColumn("_n", highest_id(state, key))
+        wanted_rows, wanted_values = materialize(wanted_rows, "wanted", "_range"), materialize(wanted_values, "wanted", "_range")
+    # Up to which range a row or value is asked for.
+    row_until = wanted_rows.groupBy(key).agg(F.max("_range").alias("_until"))
+    value_until = wanted_values.groupBy(*value).agg(F.max("_range").alias("_until"))
+    first_counts = value_rows(state).groupBy(*value).agg(F.count("*").alias("_n"))
+    rows, counts = state.join(row_until, key, "left_semi"), first_counts.join(value_until, value, "left_semi")
+    top = highest_id(state, key)
+    if n_ranges > 1:
+        rows, counts = materialize(rows, "first_rows"), materialize(counts, "first_counts")
+        row_until, value_until = materialize(row_until, "until"), materialize(value_until, "until")
+        top = F.lit(spark.range(1).select(top).first()[0])
 
     fields = [*columns, *claims]
     kinds = "_range long, _kind string, request_id long, accepted boolean, message string, _claim string, _value string, _n long"
@@ -154,41 +186,72 @@ def replay(
     schema = T.StructType([*schema.fields, *(T.StructField(f.name, f.dataType) for f in state.select(*fields).schema)])
     run = _replayer(key, list(claims), columns, rules, to_arrow_schema(schema))
 
-    def known(summary: DataFrame | None) -> DataFrame:
-        """What every range starts from, given the summaries of all ranges."""
-        rows, counts, bases = wanted_rows.join(first_rows, key), wanted_values.join(first_counts, ["_claim", "_value"]), base
-        if summary is not None:
-            rows = _last_before(wanted_rows, first_rows, summary.where("_kind = 'row'"), key, fields)
-            counts = _sum_before(wanted_values, first_counts, summary.where("_kind = 'count'"), ["_claim", "_value"])
-            added = summary.where("_kind = 'base'").select("_range", "_n")
-            bases = _sum_before(base.select("_range"), base.select("_n").limit(1), added, [])
-        parts = [(rows, "row"), (counts, "count"), (bases, "base")]
+    def replayed(first: int, last: int, summary: DataFrame | None, added: dict[int, int]) -> DataFrame:
+        """Ranges ``first`` to ``last``, given the summaries of ranges the rows and counts do not hold yet."""
+        here = F.col("_range").between(first, last)
+        asked_rows, asked_values = wanted_rows.where(here), wanted_values.where(here)
+        if summary is None:
+            known_rows, known_counts = asked_rows.join(rows, key), asked_values.join(counts, value)
+        else:
+            known_rows = _last_before(asked_rows, rows, summary.where("_kind = 'row'"), key, fields)
+            known_counts = _sum_before(asked_values, counts, summary.where("_kind = 'count'"), value)
+        before = [(r, sum(n for a, n in added.items() if a < r)) for r in range(first, last + 1)]
+        bases = spark.createDataFrame(before, "_range long, _n long").withColumn("_n", F.col("_n") + top)
         whole = None
-        for part, kind in parts:
+        for part, kind in ((known_rows, "row"), (known_counts, "count"), (bases, "base")):
             part = part.withColumn("_kind", F.lit(kind))
             whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
         # Columns of their own, as the requests are grouped beside them.
-        return whole.toDF(*whole.columns)
-
-    summary, mark = None, None
-    for _ in range(n_ranges):
-        groups = asked.groupBy("_range").cogroup(known(summary).groupBy("_range"))
-        done = materialize(groups.applyInArrow(run, schema), "replayed")
+        groups = asked.where(here).groupBy("_range").cogroup(whole.toDF(*whole.columns).groupBy("_range"))
+        return materialize(groups.applyInArrow(run, schema), "replayed")
+
+    path = scratch_path(spark, "settled")
+    width = at_once
+    for begin in range(0, n_ranges, at_once):
+        last = min(begin + at_once, n_ranges) - 1
+        first, summary, marks, added, settled = begin, None, {}, {}, None
+        while first <= last:
+            upto = to = min(first + width - 1, last)
+            done = replayed(first, to, summary, added)
+            if first < last:
+                digest = F.sum(F.xxhash64(*done.columns).cast("decimal(38,0)")).alias("_digest")
+                new = F.sum(F.when(F.col("_kind") == "base", F.col("_n"))).alias("_new")
+                told = done.where("_kind <> 'answer'").groupBy("_range").agg(F.count("*").alias("_size"), digest, new).collect()
+                before, marks = marks, {row["_range"]: tuple(row)[1:3] for row in told}
+                added = {**{r: n for r, n in added.items() if r < first}, **{row["_range"]: row["_new"] or 0 for row in told}}
+                # A range is right if the ranges before it did what it was told they do.
+                upto = next((r for r in range(first, to) if marks.get(r) != before.get(r)), to)
+                width = min(at_once, max(2, 2 * (upto - first + 1)))
+            right = done.where(F.col("_range") <= upto)
+            settled = right if settled is None else settled.unionByName(right)
+            summary = settled.unionByName(done.where(F.col("_range") > upto)).where("_kind <> 'answer'")
+            first = upto + 1
         if n_ranges == 1:
             break
-        summary = done.where("_kind <> 'answer'")
-        digest = F.sum(F.xxhash64(*[c for c in done.columns]).cast("decimal(38,0)"))
-        before, mark = mark, summary.agg(F.count("*"), digest).first()
-        if before == mark:
-            break
+        settled.write.mode("append").parquet(path)
+        if last < n_ranges - 1:
+            left = settled.where("_kind <> 'answer'")
+            changed = _last_rows(left, key, fields).join(row_until.where(F.col("_until") > last), key, "left_semi")
+            kept = rows.join(left.where("_kind = 'row'").select(key).distinct(), key, "left_anti")
+            rows = materialize(kept.select(*fields).unionByName(changed.where("accepted").select(*fields)), "rows")
+            grown = counts.select(*value, "_n").unionByName(left.where("_kind = 'count'").select(*value, "_n"))
+            grown = grown.join(value_until.where(F.col("_until") > last), value, "left_semi")
+            counts = materialize(grown.groupBy(*value).agg(F.sum("_n").alias("_n")), "counts")
+            top = F.lit(spark.range(1).select(top).first()[0] + (left.agg(F.sum(F.when(F.col("_kind") == "base", F.col("_n")))).first()[0] or 0))
 
-    outcomes = done.where("_kind = 'answer'").select("request_id", "accepted", "message", F.col("_n").alias(key))
-    last = done.where("_kind = 'row'").groupBy(key).agg(
-        F.max_by(F.struct("accepted", *[c for c in columns if c != key]), "_range").alias("_last")
-    )
-    kept = state.select(*columns).join(last.select(key), key, "left_anti")
-    changed = last.where("_last.accepted").select(*[F.col(c) if c == key else F.col(f"_last.{c}") for c in columns])
-    return outcomes, kept.select(*columns).unionByName(changed)
+    if n_ranges > 1:
+        settled = spark.read.schema(schema).parquet(path)
+    outcomes = settled.where("_kind = 'answer'").select("request_id", "accepted", "message", F.col("_n").alias(key))
+    final = _last_rows(settled, key, columns)
+    kept = state.select(*columns).join(final.select(key), key, "left_anti")
+    return outcomes, kept.select(*columns).unionByName(final.where("accepted").select(*columns))
+
+
+def _last_rows(summary: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The rows touched, as the last range left them; those deleted are not ``accepted``."""
+    row = F.struct("accepted", *[c for c in fields if c != key])
+    last = summary.where("_kind = 'row'").groupBy(key).agg(F.max_by(row, "_range").alias("_last"))
+    return last.select(key, "_last.*")
 
 
 def _last_before(wanted: DataFrame, first: DataFrame, summary: DataFrame, key: str, fields: list[str]) -> DataFrame:
