@@ -174,6 +174,22 @@ def test_department_raise_in_rounds(spark, monkeypatch):
     assert said[20] == "Department does not exist." and said[21].startswith("No active employees") and said[22].startswith("Increase percent")
 
 
+def test_department_raise_of_many_steps_takes_one_round(spark, monkeypatch):
+    written, write = [], payroll.materialize
+    monkeypatch.setattr(payroll, "materialize", lambda df, label: written.append(label) or write(df, label))
+    rng = random.Random(5)
+    steps = [(i, i, 1, Decimal(rng.choice(["0.01", "0.03", "0.40"]))) for i in range(1_600)]
+    people = staff(spark, *[(i, "n", "active", str(i * 7 + Decimal("0.33")), 1) for i in range(1, 40)], (90, "n", "active", "-8.01", 1), (91, "n", "active", "12.5", 2))
+    departments = table(spark, "department", [dict(dept_id=1, dept_name="a"), dict(dept_id=2, dept_name="b")])
+    asked = frame(spark, steps, "request_id int, request_ts int, dept_id int, increase_percent decimal(5,2)")
+    result = payroll.raise_by_department(asked, people, departments)
+    got = dict(rows(result.tables["employee"], "emp_id", "salary"))
+    for person in people.collect():
+        want, _ = raise_loop([(i, t, person.emp_id, p) for i, t, _, p in steps], {person.emp_id: person.salary})
+        assert got[person.emp_id] == (want[person.emp_id] if person.dept_id == 1 else person.salary)
+    assert len(written) <= 3
+
+
 # ------------------------------------------------------------------ schedule
 
 

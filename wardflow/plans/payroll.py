@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +18,8 @@ from wardflow.operators.scan import fold
 from wardflow.operators.snapshots import update_from
 from wardflow.session import materialize
 
-RAISES_PER_ROUND = 500
+# Raises of a department in one list.
+RAISES_PER_ROUND = 100_000
 
 
 def monthly_salary(
@@ -215,28 +218,51 @@ def raise_by_department(requests: DataFrame, employee: DataFrame, department: Da
     return JobResult(outcomes, {"employee": grown})
 
 
+# Parts of a department's staff, each grown in a task of its own.
+_STAFF_PARTS = 8
+
+
+def _grow(staff: pa.Table, lists: pa.Table) -> pa.Table:
+    """One part of a department's staff after the department's raises; ``_cents`` NULL where nothing is due."""
+    at = staff.column_names.index("_cents")
+    if not lists.num_rows:
+        return staff.set_column(at, "_cents", pa.nulls(staff.num_rows, pa.int64()))
+    due = staff["_cents"].is_valid().to_numpy()
+    start = staff["_cents"].drop_null().to_numpy()
+    cents, most = np.abs(start), int(np.abs(start).max(initial=0))
+    for factor in (10_000 + lists["_steps"][0].values.to_numpy()).tolist() if most else ():
+        cents = (cents * factor + 5_000) // 10_000
+        most = (most * factor + 5_000) // 10_000
+        if most >= _TOO_MUCH:
+            raise ArithmeticError("salary out of range")
+    grown = np.zeros(staff.num_rows, "int64")
+    grown[due] = cents * np.sign(start)
+    return staff.set_column(at, "_cents", pa.array(grown, mask=~due))
+
+
 def _compound_many(raises: DataFrame, employee: DataFrame) -> DataFrame:
-    """Fold each department's raises over the salaries of its active employees."""
+    """Fold each department's raises over the salaries of its active employees.
+
+    A raise is one step on all salaries of a part of the staff, in whole cents.
+    """
     order = Window.partitionBy("dept_id").orderBy(*REQUEST_ORDER)
+    columns, kind = employee.columns, employee.schema["salary"].dataType
+    parts = F.array(*[F.lit(n) for n in range(_STAFF_PARTS)])
     while True:
         batch = raises.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= RAISES_PER_ROUND)
         lists = batch.groupBy("dept_id").agg(
-            F.array_sort(F.collect_list(F.struct(*REQUEST_ORDER, "percent"))).alias("_steps"),
+            F.array_sort(F.collect_list(F.struct(*REQUEST_ORDER, (F.col("percent") * 100).cast("long").alias("step")))).alias("_steps"),
             F.max(F.struct(*REQUEST_ORDER)).alias("_last"),
             F.max("_n").alias("_taken"),
         )
-        lists = materialize(lists, "raises")
-        fold = F.aggregate(
-            "_steps", F.col("salary").cast("decimal(10,2)"), lambda acc, step: raised(acc, step["percent"])
-        )
-        due = same_text("status", "active") & F.col("_steps").isNotNull()
-        kind = employee.schema["salary"].dataType
-        columns = employee.columns
-        employee = (
-            employee.join(lists.select("dept_id", "_steps"), "dept_id", "left")
-            .withColumn("salary", F.when(due, fold).otherwise(F.col("salary")).cast(kind))
-            .select(*columns)
-        )
+        lists = materialize(lists.withColumn("_steps", F.col("_steps.step")), "raises")
+        cents = F.when(same_text("status", "active"), (F.col("salary").cast("decimal(10,2)") * 100).cast("long"))
+        part = F.pmod(F.xxhash64("emp_id"), F.lit(_STAFF_PARTS)).cast("int")
+        staff = employee.withColumns({"_cents": cents, "_part": part})
+        told = lists.select("dept_id", "_steps", F.explode(parts).alias("_part"))
+        grown = staff.groupBy("dept_id", "_part").cogroup(told.groupBy("dept_id", "_part")).applyInArrow(_grow, staff.schema)
+        stored = (F.col("_cents").cast("decimal(20,0)") / 100).cast("decimal(10,2)").cast(kind)
+        employee = grown.withColumn("salary", F.coalesce(stored, "salary")).select(*columns)
         more = lists.filter(F.col("_taken") == RAISES_PER_ROUND).select("dept_id", "_last")
         if more.isEmpty():
             return employee
