@@ -659,3 +659,11 @@ def test_rewards_of_inactive_employees(spark, refuse):
         5: zero,
     }
     assert rows(done.tables["inserted"], "emp_id") == ([(1,)] if refuse else [(1,), (2,)])
+
+
+def test_recovery_loads_name_every_room_on_every_date(spark):
+    room = frame(spark, [(1, "recovery"), (2, "Recovery"), (3, "surgery")], "room_id long, room_type string")
+    stays = frame(spark, [(1, D(2024, 1, 1), D(2024, 1, 2)), (3, D(2024, 1, 1), D(2024, 1, 9))], "room_id long, checkin date, checkout date")
+    dates = frame(spark, [(D(2024, 1, 2),), (D(2024, 1, 5),), (D(2024, 1, 5),)], "surgery_date date")
+    got = surgery.recovery_loads_everywhere(dates, room, stays).collect()
+    assert sorted(tuple(r) for r in got) == [(D(2024, 1, 2), 1, 1), (D(2024, 1, 2), 2, 0), (D(2024, 1, 5), 1, 0), (D(2024, 1, 5), 2, 0)]

@@ -84,14 +84,16 @@ def recovery_load(r: Roles) -> DataFrame:
     with_roles(
         "theatre stays",
         f"""dates AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS surgery_date FROM orders),
-        around AS (SELECT y.room_id, y.checkin, y.checkout FROM stays y JOIN theatre t ON t.room_id = y.room_id WHERE lower(t.room_type) = 'recovery')
-        SELECT {day('q.surgery_date')} AS surgery_date, a.room_id, count(*) AS load
-        FROM dates q JOIN around a ON a.checkin <= q.surgery_date AND a.checkout >= q.surgery_date GROUP BY 1, 2""",
+        moves AS (SELECT room_id, checkin AS d, 1 AS k FROM stays UNION ALL SELECT room_id, checkout + 1, -1 FROM stays),
+        per_day AS (SELECT room_id, d, sum(k) AS k FROM moves GROUP BY 1, 2)
+        SELECT {day('q.surgery_date')} AS surgery_date, t.room_id, CAST(coalesce(sum(p.k), 0) AS BIGINT) AS load
+        FROM dates q CROSS JOIN (SELECT room_id FROM theatre WHERE lower(room_type) = 'recovery') t
+        LEFT JOIN per_day p ON p.room_id = t.room_id AND p.d <= q.surgery_date GROUP BY 1, 2""",
     ),
 )
 def recovery_load_by_date(r: Roles) -> DataFrame:
     dates = r.table("orders").select(F.to_date("o_orderdate").alias("surgery_date")).distinct()
-    return surgery.recovery_loads(dates, r.theatre, r.stays)
+    return surgery.recovery_loads_everywhere(dates, r.theatre, r.stays)
 
 
 def surgery_requests(r: Roles, manual: bool = False) -> DataFrame:

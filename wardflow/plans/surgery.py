@@ -107,6 +107,14 @@ def recovery_loads(dates: DataFrame, room: DataFrame, stays: DataFrame) -> DataF
     return days.join(asked, "surgery_date", "left_semi").groupBy("surgery_date", "room_id").agg(F.count("*").alias("load"))
 
 
+def recovery_loads_everywhere(dates: DataFrame, room: DataFrame, stays: DataFrame) -> DataFrame:
+    """Stays for every date and every recovery room, 0 where there are none."""
+    rooms = room.filter(same_text("room_type", "recovery")).select("room_id")
+    asked = dates.select("surgery_date").distinct().crossJoin(rooms)
+    loads = recovery_loads(dates, room, stays)
+    return asked.join(loads, ["surgery_date", "room_id"], "left").withColumn("load", F.coalesce("load", F.lit(0).cast("long")))
+
+
 def _touches(start: int, end: int, other_start: int, other_end: int) -> bool:
     """Inclusive overlap; also defined for an end that passed midnight."""
     return (
