@@ -130,6 +130,15 @@ def test_resharding(spark, request, name, n_shards):
         assert max(sizes.values()) - min(sizes.get(s, 0) for s in range(n_shards)) <= 2 * largest
 
 
+def test_resharding_writes_rows_that_stay_too(spark, docs, tmp_path, monkeypatch):
+    path = str(tmp_path / "shards")
+    monkeypatch.setattr(op1_resharding, "scratch_path", lambda *_: path)
+    got = op1_resharding.shard_documents(spark, docs, F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(3)), 3).collect()
+    files = spark.read.parquet(path).select("doc_id", "shard", "slot").collect()
+    assert any(r["shard"] == r["old_shard"] for r in got)
+    assert Counter(tuple(r) for r in files) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in got)
+
+
 # 2: quality rules
 
 

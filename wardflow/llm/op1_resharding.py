@@ -9,7 +9,7 @@ A flow is carried out on blocks. The rows of a shard lie in a fixed order, in wh
 bytes are worked out block by block (a shard may hold most of the table, a block may not); each
 transfer takes the next stretch of that order, and a row goes where its middle byte lies. Shards are
 then off by parts of rows. A second flow evens this out with the smallest rows of the shards that
-got too much. Rows that move are written to new files of their shard; rows that stay are not touched.
+got too much. Every new shard is then written whole, with the rows that stay in it, and read back.
 
 Law: ``bytes`` (sizes near equal). Defined results: NULL text has size 8 and checksum 0; repeated
 rows are placed each on their own; NULL doc_id is a value like others; an old shard that is NULL
@@ -155,18 +155,20 @@ def reshard(rows: DataFrame, capacity: dict[int, int]) -> DataFrame:
     return rank_in_blocks(placed, ["shard"], ["_block"], order, "slot").drop("_block")
 
 
-def write_transfers(docs: DataFrame, moved: DataFrame, path: str) -> DataFrame:
-    """Write the rows that change their shard to files of the new shard (``path``/shard=…); returns them.
+def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> DataFrame:
+    """Write every row, moved or not, to the files of its new shard (``path``/shard=…); returns them.
 
-    ``moved`` has doc_id, text_hash, old, shard and slot; texts come from ``docs`` by id and hash, each
+    ``placed`` has doc_id, text_hash, old, shard and slot; texts come from ``docs`` by id and hash, each
     once, so that repeated rows neither multiply nor meet in one task.
     """
     # Texts of one hash are equal, so the id only spreads them; any number may stand for NULL.
     key = F.coalesce("doc_id", F.lit(0).cast("long")).alias("_key")
     texts = docs.select(key, "text_hash", "text").groupBy("_key", "text_hash").agg(F.first("text").alias("text"))
-    rows = moved.withColumn("_key", key).join(texts, ["_key", "text_hash"]).select("doc_id", "text", "old", "shard", "slot")
+    rows = placed.withColumn("_key", key).join(texts, ["_key", "text_hash"]).select("doc_id", "text", "old", "shard", "slot")
     schema = "doc_id long, text string, old int, slot long, shard int"
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    laid = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    # The files are the largest thing written; zstd keeps them well below the shuffles.
+    laid.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -181,7 +183,7 @@ def _checksum(text: Column) -> Column:
 def shard_documents(spark: SparkSession, docs: DataFrame, old: Column, n_shards: int) -> DataFrame:
     """Digest of all documents in ``n_shards`` shards of equal bytes, from shards ``old``.
 
-    Rows that stay are described from where they are, rows that move from their new files.
+    All shards are written anew, and every row is described from the files of its shard.
     """
     text = F.col("text").cast("string")
     texts = docs.select(
@@ -192,12 +194,8 @@ def shard_documents(spark: SparkSession, docs: DataFrame, old: Column, n_shards:
     sizes = materialize(sizes, "sizes")
     total = sizes.agg(F.sum("size")).head()[0] or 0
     placed = materialize(reshard(sizes, equal_capacities(total, n_shards)), "placed")
-    moved = placed.where("old != shard")
-    files = write_transfers(texts, moved.select("doc_id", "text_hash", "old", "shard", "slot"), scratch_path(spark, "shards"))
-    columns = ["doc_id", "size", "text_crc32", "shard", "slot", "old"]
-    stayed = placed.where("old = shard").select(*columns)
-    received = files.withColumns({"size": _size(F.col("text")), "text_crc32": _checksum(F.col("text"))}).select(*columns)
-    return stayed.unionByName(received).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+    files = write_shards(texts, placed.select("doc_id", "text_hash", "old", "shard", "slot"), scratch_path(spark, "shards"))
+    return files.select(
+        "doc_id", _size(F.col("text")).alias("size"), _checksum(F.col("text")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"),
     )
