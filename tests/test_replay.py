@@ -225,3 +225,28 @@ def test_dependent_ranges_are_replayed_in_proportion(spark, monkeypatch):
     assert answers(result, "shift_id") == want
     assert {r["shift_id"]: r["shift_name"] for r in result.tables["shift"].collect()} == rows
     assert max(replays) <= 3 and sum(replays) <= 3 * 18
+
+
+def test_ranges_that_pass_rows_on_are_settled_by_the_window(spark, monkeypatch):
+    """Ranges that rename a row, touch it only, or find it deleted agree on it after a few rounds, not one after the other."""
+    monkeypatch.setattr(replay, "RANGE_REQUESTS", 4)
+    monkeypatch.setattr(replay, "RANGES_AT_ONCE", 8)
+    rounds, write = [], replay.materialize
+
+    def counted(df, label, *folders):
+        rounds.extend([label] * (label == "replayed"))
+        return write(df, label, *folders)
+
+    monkeypatch.setattr(replay, "materialize", counted)
+    steps = [s for k in range(31) for s in (("update", 1, None), ("update", 2, f"n{k % 7}"), ("delete", 3, None), ("insert", None, f"x{k // 3}"))]
+    asked = [(i, i, *step, 5) for i, step in enumerate(steps)]
+    state = {1: "a", 2: "b", 3: "c"}
+    rows_in = [(*r[:5], Decimal(r[5])) for r in asked]
+    changes = frame(spark, rows_in, "request_id int, request_ts int, action string, test_id int, test_name string, price decimal(10,2)")
+    changes = changes.withColumn("delivery_duration", F.lit(None).cast("int"))
+    held = frame(spark, [(i, n, 3, Decimal(4)) for i, n in state.items()], "test_id int, test_name string, delivery_duration int, price decimal(10,2)")
+    result = diagnostics.lab_test_changes(changes, held)
+    want, rows = plain_catalogue(asked, state, diagnostics.LAB_TEXTS, priced=True)
+    assert answers(result, "test_id") == want
+    assert {r["test_id"]: r["test_name"] for r in result.tables["lab_tests"].collect()} == rows
+    assert len(rounds) <= 20

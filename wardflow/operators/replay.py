@@ -2,15 +2,18 @@
 
 What a request may do depends on the requests before it: whether its row is there, and whether other rows
 hold a value it wants for itself. Both are changes of state that compose. Of a range of requests all one
-has to know is how it leaves each row it touched, by how much it changed the number of holders of each
-value, and how many rows it added. So requests are cut, in their order, into ranges of bounded size; a
-task replays a range, starting from the rows and numbers of holders its requests ask for, and
-summarises it. As many ranges as there are cores are replayed at once: summaries are chained with windows
-over (row, range) and (value, range), and ranges are replayed with what the ranges before them leave.
-Ranges up to the first whose summary changed have their final answers and are not replayed again; then
-the next ranges follow, from the rows and numbers of holders these leave. Every round settles one range
-at least, so rounds, each no longer than a range, grow with the batch and not with its square, even if
-every range depends on the one before it; fewer ranges are tried at once where few turn out right. A batch of at most ``RANGE_REQUESTS`` requests takes one round.
+has to know is how it leaves each row it touched, and how many rows it added; who holds which value follows
+from the rows. So requests are cut, in their order, into ranges of bounded size; a task replays a range,
+starting from the rows and numbers of holders its requests ask for, and summarises it. A window of up to as
+many ranges as there are cores is replayed at once, first from what the ranges before the window leave, then
+again with what the ranges before each are now known to leave: summaries are chained with windows over (row,
+range) and (value, range). Ranges up to the first whose summary changed have their final answers and are not
+replayed again. A summary tells the columns a range wrote from those it passes on, and a row once deleted stays
+so, whatever ranges replayed too early made of it. Then most ranges tell the same wherever they began, and a
+few rounds settle a window.
+Every round settles one range at least, so rounds, each no longer than a range, grow with the batch and not
+with its square, even if every range depends on the one before it; windows begin with one range, grow while
+few rounds settle them and shrink otherwise. A batch of at most ``RANGE_REQUESTS`` requests takes one round.
 
 A hot row or value spreads over ranges like any other; no task holds more than a range and the rows and
 values its requests name.
@@ -18,10 +21,10 @@ values its requests name.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +38,12 @@ from wardflow.session import materialize, scratch_path
 # Requests a task replays at once.
 RANGE_REQUESTS = 200_000
 
-# Ranges replayed at once; None: as many as Spark has cores.
+# Ranges replayed at once, at most; None: as many as Spark has cores.
 RANGES_AT_ONCE: int | None = None
 
+# A window that takes more rounds, and more than half as many as it has ranges, is followed by a smaller one.
+FEW_ROUNDS = 4
+
 
 class Book:
     """A range's view of the table: rows by key, and how many rows hold a value."""
@@ -45,9 +51,9 @@ class Book:
     def __init__(self, key: str, claims: Sequence[str], rows: dict, holders: dict, next_id: int):
         self.key, self.claims = key, claims
         self.rows, self.next_id, self.added = rows, next_id, 0
-        self.holders = Counter(holders)
-        self.changed: Counter = Counter()
-        self.touched: set = set()
+        self.holders = dict(holders)
+        # Columns written, by row touched.
+        self.written: dict = {}
 
     def row(self, key) -> dict | None:
         return self.rows.get(key)
@@ -56,13 +62,12 @@ class Book:
         """Whether a row other than ``but`` holds ``value``; NULL is never held."""
         if value is None:
             return False
-        return self.holders[claim, value] > (but is not None and but[claim] == value)
+        return self.holders.get((claim, value), 0) > (but is not None and but[claim] == value)
 
     def _count(self, row: dict, n: int) -> None:
         for claim in self.claims:
             if row[claim] is not None:
-                self.holders[claim, row[claim]] += n
-                self.changed[claim, row[claim]] += n
+                self.holders[claim, row[claim]] = self.holders.get((claim, row[claim]), 0) + n
 
     def insert(self, row: dict):
         """Add a row under the next id, which is returned."""
@@ -70,7 +75,7 @@ class Book:
         self.next_id += 1
         self.added += 1
         self.rows[row[self.key]] = row
-        self.touched.add(row[self.key])
+        self.written[row[self.key]] = set(row)
         self._count(row, 1)
         return row[self.key]
 
@@ -78,12 +83,12 @@ class Book:
         self._count(row, -1)
         row.update(values)
         self._count(row, 1)
-        self.touched.add(row[self.key])
+        self.written.setdefault(row[self.key], set()).update(values)
 
     def delete(self, row: dict) -> None:
         self._count(row, -1)
         del self.rows[row[self.key]]
-        self.touched.add(row[self.key])
+        self.written.setdefault(row[self.key], set())
 
 
 # (accepted, message, key the answer names); None for a request without an answer.
@@ -93,7 +98,8 @@ Rules = Callable[[dict, Book], Answer]
 
 def _values(column: pa.ChunkedArray) -> list:
     """Python values; by way of objects, as Arrow makes them one by one."""
-    if pa.types.is_integer(column.type) or pa.types.is_boolean(column.type) or pa.types.is_string(column.type):
+    kind = column.type
+    if any(test(kind) for test in (pa.types.is_integer, pa.types.is_boolean, pa.types.is_string, pa.types.is_decimal, pa.types.is_date32)):
         return column.to_pandas(integer_object_nulls=True).tolist()
     return column.to_pylist()
 
@@ -104,10 +110,17 @@ def _dicts(table: pa.Table) -> Iterator[dict]:
         yield dict(zip(names, entry))
 
 
-def _replayer(key: str, claims: Sequence[str], columns: list[str], rules: Rules, schema: pa.Schema) -> Callable:
-    def run(requests: pa.Table, known: pa.Table) -> pa.Table:
+def _replayer(key: str, claims: Sequence[str], columns: list[str], asks: list[str], rules: Rules, schema: pa.Schema) -> Callable:
+    """Replays the range that a task is given: its requests, and what is known when it begins."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        given = pa.Table.from_batches(batches) if batches else None
+        is_request = pc.equal(given["_kind"], "request") if batches else None
+        if not (batches and pc.any(is_request).as_py()):
+            return
         rows, holders, base = {}, {}, 0
-        for entry in _dicts(known):
+        for entry in _dicts(given.filter(pc.invert(is_request)).select(["_kind", *columns, *claims, "_claim", "_value", "_n"])):
             if entry["_kind"] == "row":
                 rows[entry[key]] = {c: entry[c] for c in (*columns, *claims)}
             elif entry["_kind"] == "count":
@@ -116,19 +129,17 @@ def _replayer(key: str, claims: Sequence[str], columns: list[str], rules: Rules,
                 base = entry["_n"]
         book = Book(key, claims, rows, holders, base + 1)
         answers = []
-        number = None
-        for request in _dicts(requests.sort_by("_place")):
-            number = request["_range"]
+        requests = given.filter(is_request).sort_by("_place")
+        number = requests["_range"][0].as_py()
+        for request in _dicts(requests.select(asks)):
             answer = rules(request, book)
             if answer is not None:
                 answers.append((request["request_id"], *answer))
         out = []
-        for touched in sorted(book.touched):
+        for touched in sorted(book.written):
             row = book.rows.get(touched)
-            out.append({"_kind": "row", **(row or {}), key: touched, "accepted": row is not None})
-        for (claim, value), n in sorted(book.changed.items()):
-            if n:
-                out.append({"_kind": "count", "_claim": claim, "_value": value, "_n": n})
+            told = sorted(book.written[touched]) if row else []
+            out.append({"_kind": "row", **(row or {}), key: touched, "accepted": row is not None, "_written": told})
         if book.added:
             out.append({"_kind": "base", "_n": book.added})
         names = schema.names
@@ -136,7 +147,8 @@ def _replayer(key: str, claims: Sequence[str], columns: list[str], rules: Rules,
         told = dict(zip(("request_id", "accepted", "message", "_n"), zip(*answers))) if answers else {}
         fixed = {"_kind": "answer", "_range": number}
         filled = [told.get(name) or [fixed.get(name)] * len(answers) for name in names]
-        return pa.concat_tables([left, pa.table([pa.array(v, f.type) for v, f in zip(filled, schema)], schema)])
+        yield from left.to_batches()
+        yield from pa.table([pa.array(v, f.type) for v, f in zip(filled, schema)], schema).to_batches()
 
     return run
 
@@ -155,6 +167,7 @@ def replay(
     columns = [c for c in state.columns if c not in claims]
     typed = requests.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in state.schema if f.name in requests.columns})
     placed = number_rows(typed, REQUEST_ORDER, "_place")
+    asks = [c for c in typed.columns if c != "request_ts" or c in columns]
     # One folder a range, so that a round reads its ranges only.
     asked = materialize(placed.withColumn("_range", F.floor((F.col("_place") - 1) / size).cast("long")), "asked", "_range")
     n_ranges = (asked.agg(F.max("_range")).first()[0] or 0) + 1
@@ -181,10 +194,11 @@ def replay(
         top = F.lit(spark.range(1).select(top).first()[0])
 
     fields = [*columns, *claims]
-    kinds = "_range long, _kind string, request_id long, accepted boolean, message string, _claim string, _value string, _n long"
+    others = [c for c in fields if c != key]
+    kinds = "_range long, _kind string, request_id long, accepted boolean, message string, _claim string, _value string, _n long, _written array<string>"
     schema = T._parse_datatype_string(kinds)
     schema = T.StructType([*schema.fields, *(T.StructField(f.name, f.dataType) for f in state.select(*fields).schema)])
-    run = _replayer(key, list(claims), columns, rules, to_arrow_schema(schema))
+    run = _replayer(key, list(claims), columns, asks, rules, to_arrow_schema(schema))
 
     def replayed(first: int, last: int, summary: DataFrame | None, added: dict[int, int]) -> DataFrame:
         """Ranges ``first`` to ``last``, given the summaries of ranges the rows and counts do not hold yet."""
@@ -193,35 +207,38 @@ def replay(
         if summary is None:
             known_rows, known_counts = asked_rows.join(rows, key), asked_values.join(counts, value)
         else:
-            known_rows = _last_before(asked_rows, rows, summary.where("_kind = 'row'"), key, fields)
-            known_counts = _sum_before(asked_values, counts, summary.where("_kind = 'count'"), value)
+            chained = _chained(asked_rows, rows, summary.where("_kind = 'row'"), key, fields)
+            known_rows = chained.where("accepted IS NULL AND _there").select("_range", key, *[F.col(f"_before.{c}.{c}") for c in others])
+            known_counts = _sum_before(asked_values, counts, _moved(chained, claims), value)
         before = [(r, sum(n for a, n in added.items() if a < r)) for r in range(first, last + 1)]
         bases = spark.createDataFrame(before, "_range long, _n long").withColumn("_n", F.col("_n") + top)
-        whole = None
+        whole = asked.where(here).select("_range", "_place", *asks).withColumn("_kind", F.lit("request"))
         for part, kind in ((known_rows, "row"), (known_counts, "count"), (bases, "base")):
-            part = part.withColumn("_kind", F.lit(kind))
-            whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
-        # Columns of their own, as the requests are grouped beside them.
-        groups = asked.where(here).groupBy("_range").cogroup(whole.toDF(*whole.columns).groupBy("_range"))
-        return materialize(groups.applyInArrow(run, schema), "replayed")
+            whole = whole.unionByName(part.withColumn("_kind", F.lit(kind)), allowMissingColumns=True)
+        # A range is a task.
+        placed = whole.repartitionById(last - first + 1, (F.col("_range") - first).cast("int"))
+        return materialize(placed.mapInArrow(run, schema), "replayed")
 
     path = scratch_path(spark, "settled")
-    width = at_once
-    for begin in range(0, n_ranges, at_once):
-        last = min(begin + at_once, n_ranges) - 1
-        first, summary, marks, added, settled = begin, None, {}, {}, None
+    width, begin, guess = 1, 0, 0
+    while begin < n_ranges:
+        last = min(begin + width, n_ranges) - 1
+        first, summary, settled, rounds = begin, None, None, 0
+        # Before they are replayed, ranges are taken to leave the rows as they are and to add as many as the range before them.
+        added = dict.fromkeys(range(begin, last + 1), guess)
+        marks = dict.fromkeys(added, (0, None, guess) if guess else None)
         while first <= last:
-            upto = to = min(first + width - 1, last)
-            done = replayed(first, to, summary, added)
-            if first < last:
-                digest = F.sum(F.xxhash64(*done.columns).cast("decimal(38,0)")).alias("_digest")
+            done, upto = replayed(first, last, summary, added), last
+            rounds += 1
+            if n_ranges > 1:
+                wrote = [F.when(F.array_contains("_written", c), F.col(c)) for c in others]
+                digest = F.sum(F.xxhash64(key, "accepted", "_written", *wrote).cast("decimal(38,0)")).alias("_digest")
                 new = F.sum(F.when(F.col("_kind") == "base", F.col("_n"))).alias("_new")
                 told = done.where("_kind <> 'answer'").groupBy("_range").agg(F.count("*").alias("_size"), digest, new).collect()
-                before, marks = marks, {row["_range"]: tuple(row)[1:3] for row in told}
-                added = {**{r: n for r, n in added.items() if r < first}, **{row["_range"]: row["_new"] or 0 for row in told}}
+                before, marks = marks, {row["_range"]: tuple(row)[1:] for row in told}
+                added |= {r: (marks[r][2] or 0) if r in marks else 0 for r in range(first, last + 1)}
                 # A range is right if the ranges before it did what it was told they do.
-                upto = next((r for r in range(first, to) if marks.get(r) != before.get(r)), to)
-                width = min(at_once, max(2, 2 * (upto - first + 1)))
+                upto = next((r for r in range(first, last) if marks.get(r) != before.get(r)), last)
             right = done.where(F.col("_range") <= upto)
             settled = right if settled is None else settled.unionByName(right)
             summary = settled.unionByName(done.where(F.col("_range") > upto)).where("_kind <> 'answer'")
@@ -233,11 +250,15 @@ def replay(
             left = settled.where("_kind <> 'answer'")
             changed = _last_rows(left, key, fields).join(row_until.where(F.col("_until") > last), key, "left_semi")
             kept = rows.join(left.where("_kind = 'row'").select(key).distinct(), key, "left_anti")
-            rows = materialize(kept.select(*fields).unionByName(changed.where("accepted").select(*fields)), "rows")
-            grown = counts.select(*value, "_n").unionByName(left.where("_kind = 'count'").select(*value, "_n"))
+            moved = _moved(_chained(None, rows, left.where("_kind = 'row'"), key, fields), claims)
+            grown = counts.select(*value, "_n").unionByName(moved.select(*value, "_n"))
             grown = grown.join(value_until.where(F.col("_until") > last), value, "left_semi")
             counts = materialize(grown.groupBy(*value).agg(F.sum("_n").alias("_n")), "counts")
-            top = F.lit(spark.range(1).select(top).first()[0] + (left.agg(F.sum(F.when(F.col("_kind") == "base", F.col("_n")))).first()[0] or 0))
+            rows = materialize(kept.select(*fields).unionByName(changed.where("accepted").select(*fields)), "rows")
+            top = F.lit(spark.range(1).select(top).first()[0] + sum(added.values()))
+        guess = added[last]
+        few = rounds <= max(FEW_ROUNDS, (last - begin + 1) // 2)
+        begin, width = last + 1, min(at_once, 2 * width) if few else max(1, width // 2)
 
     if n_ranges > 1:
         settled = spark.read.schema(schema).parquet(path)
@@ -254,16 +275,35 @@ def _last_rows(summary: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return last.select(key, "_last.*")
 
 
-def _last_before(wanted: DataFrame, first: DataFrame, summary: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """The rows asked for as the last range before left them."""
+def _chained(wanted: DataFrame | None, first: DataFrame, summary: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The rows ``wanted`` (``accepted`` is NULL) and those touched, each with how the ranges before left it.
+
+    ``_there`` says whether it was there (NULL: not heard of), ``_before`` holds its columns as last written.
+    Rows touched after they were deleted, by ranges replayed too early, are left out.
+    """
     others = [c for c in fields if c != key]
-    row = F.struct("accepted", *others)
-    begun = first.withColumns({"accepted": F.lit(True), "_range": F.lit(-1).cast("long")}).select("_range", key, row.alias("_row"))
-    left = summary.select("_range", key, row.alias("_row"))
-    probes = wanted.select("_range", key, F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
-    order = Window.partitionBy(key).orderBy("_range", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    told = begun.unionByName(left).unionByName(probes).withColumn("_before", F.last("_row", ignorenulls=True).over(order))
-    return told.where("_row IS NULL AND _before.accepted").select("_range", key, *[F.col(f"_before.{c}") for c in others])
+    begun = first.select(
+        F.lit(-1).cast("long").alias("_range"), key, F.lit(True).alias("accepted"), F.array(*map(F.lit, others)).alias("_written"), *others
+    )
+    told = begun.unionByName(summary.select("_range", key, "accepted", "_written", *others))
+    if wanted is not None:
+        told = told.unionByName(wanted.select("_range", key), allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy("_range", F.col("accepted").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.array_contains("_written", c), F.struct(c)), ignorenulls=True).over(order).alias(c) for c in others]
+    told = told.withColumns({"_there": F.min("accepted").over(order), "_before": F.struct(*last)})
+    return told.where("_range >= 0 AND coalesce(_there, true)")
+
+
+def _moved(chained: DataFrame, claims: Sequence[str]) -> DataFrame:
+    """By how much each range changes the number of rows that hold a value."""
+    each = []
+    for c in claims:
+        was = F.when(F.col("_there"), F.col(f"_before.{c}.{c}"))
+        now = F.when(F.col("accepted"), F.when(F.array_contains("_written", c), F.col(c)).otherwise(was))
+        each += [F.struct(F.lit(c).alias("_claim"), held.alias("_value"), F.lit(n).cast("long").alias("_n")) for held, n in ((was, -1), (now, 1))]
+    moves = chained.where("accepted IS NOT NULL").select("_range", F.explode(F.array(*each)).alias("_each")).select("_range", "_each.*")
+    moves = moves.where("_value IS NOT NULL").groupBy("_range", "_claim", "_value").agg(F.sum("_n").alias("_n"))
+    return moves.where("_n <> 0")
 
 
 def _sum_before(wanted: DataFrame, first: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
