@@ -250,3 +250,34 @@ def test_ranges_that_pass_rows_on_are_settled_by_the_window(spark, monkeypatch):
     assert answers(result, "test_id") == want
     assert {r["test_id"]: r["test_name"] for r in result.tables["lab_tests"].collect()} == rows
     assert len(rounds) <= 20
+
+
+def test_ranges_that_forget_take_two_rounds_a_window(spark, monkeypatch):
+    """A batch whose ranges leave the same whatever they begin with is replayed in full windows from the first one on."""
+    monkeypatch.setattr(replay, "RANGE_REQUESTS", 4)
+    monkeypatch.setattr(replay, "RANGES_AT_ONCE", 8)
+    rounds, write = [], replay.materialize
+
+    def counted(df, label, *folders):
+        rounds.extend([label] * (label == "replayed"))
+        return write(df, label, *folders)
+
+    monkeypatch.setattr(replay, "materialize", counted)
+    monkeypatch.setattr(replay, "ROUNDS_APART", 3)
+    people = table(spark, "employee", [dict(emp_id=i, fname="a", status="active", dept_id=9) for i in range(1, 5)])
+    department = table(spark, "department", [dict(dept_id=i, dept_name=f"d{i}", manager_id=None) for i in (1, 2)])
+    # Every range gives both departments a new name and manager, and tries to use a name twice.
+    steps = [s for k in range(30) for s in ((1, f"a{k}", 1), (2, f"b{k}", 3), (1, f"a{k}", 2), (2, f"a{k}", 4))]
+    asked = [(i, i, *step) for i, step in enumerate(steps)]
+    requests = frame(spark, asked, "request_id int, request_ts int, dept_id int, dept_name string, manager_id int")
+    result = staffing.update_departments(requests, department, people, compat=False)
+    rows, want = {1: ("d1", None), 2: ("d2", None)}, {}
+    for rid, _, key, name, boss in asked:
+        other = rows[3 - key]
+        refused = staffing.NAME_USED if other[0] == name else staffing.MANAGER_BUSY if other[1] == boss else None
+        if not refused:
+            rows[key] = (name, boss)
+        want[rid] = (not refused, refused or "Department updated successfully", key)
+    assert answers(result, "dept_id") == want
+    assert {r["dept_id"]: (r["dept_name"], r["manager_id"]) for r in result.tables["department"].collect()} == rows
+    assert len(rounds) <= 8

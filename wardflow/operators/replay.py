@@ -4,15 +4,15 @@ What a request may do depends on the requests before it: whether its row is ther
 hold a value it wants for itself. Both are changes of state that compose. Of a range of requests all one
 has to know is how it leaves each row it touched, and how many rows it added; who holds which value follows
 from the rows. So requests are cut, in their order, into ranges of bounded size; a task replays a range,
-starting from the rows and numbers of holders its requests ask for, and summarises it. A window of up to as
-many ranges as there are cores is replayed at once, first from what the ranges before the window leave, then
+starting from the rows and numbers of holders its requests ask for, and summarises it. A window of ranges,
+as many as there are cores or a few times as many, is replayed at once, first from what the ranges before the window leave, then
 again with what the ranges before each are now known to leave: summaries are chained with windows over (row,
 range) and (value, range). Ranges up to the first whose summary changed have their final answers and are not
 replayed again. A summary tells the columns a range wrote from those it passes on, and a row once deleted stays
 so, whatever ranges replayed too early made of it. Then most ranges tell the same wherever they began, and a
 few rounds settle a window.
 Every round settles one range at least, so rounds, each no longer than a range, grow with the batch and not
-with its square, even if every range depends on the one before it; windows begin with one range, grow while
+with its square, even if every range depends on the one before it; windows begin with a range a core, grow while
 few rounds settle them and shrink otherwise. A batch of at most ``RANGE_REQUESTS`` requests takes one round.
 
 A hot row or value spreads over ranges like any other; no task holds more than a range and the rows and
@@ -22,6 +22,8 @@ values its requests name.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,12 +40,16 @@ from wardflow.session import materialize, scratch_path
 # Requests a task replays at once.
 RANGE_REQUESTS = 200_000
 
-# Ranges replayed at once, at most; None: as many as Spark has cores.
+# Ranges replayed at once, at most; None: as many as Spark has cores, and up to WAVES times as many where few rounds settle them.
 RANGES_AT_ONCE: int | None = None
+WAVES = 4
 
 # A window that takes more rounds, and more than half as many as it has ranges, is followed by a smaller one.
 FEW_ROUNDS = 4
 
+# Results of so many rounds are read from where the rounds wrote them; beyond, they are put together.
+ROUNDS_APART = 40
+
 
 class Book:
     """A range's view of the table: rows by key, and how many rows hold a value."""
@@ -153,6 +159,12 @@ def _replayer(key: str, claims: Sequence[str], columns: list[str], asks: list[st
     return run
 
 
+def _materialize_all(*tables: tuple) -> list[DataFrame]:
+    """Tables that do not depend on each other, written at the same time."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(lambda table: materialize(*table), tables))
+
+
 def replay(
     requests: DataFrame, state: DataFrame, key: str, claims: Sequence[str], rules: Rules, range_requests: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -172,6 +184,7 @@ def replay(
     asked = materialize(placed.withColumn("_range", F.floor((F.col("_place") - 1) / size).cast("long")), "asked", "_range")
     n_ranges = (asked.agg(F.max("_range")).first()[0] or 0) + 1
     at_once = RANGES_AT_ONCE or max(2, spark.sparkContext.defaultParallelism)
+    most = RANGES_AT_ONCE or WAVES * at_once
 
     def value_rows(df: DataFrame, *carry: str) -> DataFrame:
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("_claim"), F.col(c).alias("_value")) for c in claims]))
@@ -181,7 +194,7 @@ def replay(
     wanted_rows = asked.where(F.col(key).isNotNull()).select("_range", key).distinct()
     wanted_values = value_rows(asked, "_range").distinct()
     if n_ranges > 1:
-        wanted_rows, wanted_values = materialize(wanted_rows, "wanted", "_range"), materialize(wanted_values, "wanted", "_range")
+        wanted_rows, wanted_values = _materialize_all((wanted_rows, "wanted", "_range"), (wanted_values, "wanted", "_range"))
     # Up to which range a row or value is asked for.
     row_until = wanted_rows.groupBy(key).agg(F.max("_range").alias("_until"))
     value_until = wanted_values.groupBy(*value).agg(F.max("_range").alias("_until"))
@@ -189,8 +202,9 @@ def replay(
     rows, counts = state.join(row_until, key, "left_semi"), first_counts.join(value_until, value, "left_semi")
     top = highest_id(state, key)
     if n_ranges > 1:
-        rows, counts = materialize(rows, "first_rows"), materialize(counts, "first_counts")
-        row_until, value_until = materialize(row_until, "until"), materialize(value_until, "until")
+        rows, counts, row_until, value_until = _materialize_all(
+            (rows, "first_rows"), (counts, "first_counts"), (row_until, "until"), (value_until, "until")
+        )
         top = F.lit(spark.range(1).select(top).first()[0])
 
     fields = [*columns, *claims]
@@ -219,8 +233,8 @@ def replay(
         placed = whole.repartitionById(last - first + 1, (F.col("_range") - first).cast("int"))
         return materialize(placed.mapInArrow(run, schema), "replayed")
 
-    path = scratch_path(spark, "settled")
-    width, begin, guess = 1, 0, 0
+    path, written, apart = scratch_path(spark, "settled"), False, []
+    width, begin, guess = at_once, 0, 0
     while begin < n_ranges:
         last = min(begin + width, n_ranges) - 1
         first, summary, settled, rounds = begin, None, None, 0
@@ -241,11 +255,14 @@ def replay(
                 upto = next((r for r in range(first, last) if marks.get(r) != before.get(r)), last)
             right = done.where(F.col("_range") <= upto)
             settled = right if settled is None else settled.unionByName(right)
+            apart.append(right)
             summary = settled.unionByName(done.where(F.col("_range") > upto)).where("_kind <> 'answer'")
             first = upto + 1
         if n_ranges == 1:
             break
-        settled.write.mode("append").parquet(path)
+        if len(apart) > ROUNDS_APART:
+            reduce(DataFrame.unionByName, apart).write.mode("append").parquet(path)
+            written, apart = True, []
         if last < n_ranges - 1:
             left = settled.where("_kind <> 'answer'")
             changed = _last_rows(left, key, fields).join(row_until.where(F.col("_until") > last), key, "left_semi")
@@ -253,15 +270,17 @@ def replay(
             moved = _moved(_chained(None, rows, left.where("_kind = 'row'"), key, fields), claims)
             grown = counts.select(*value, "_n").unionByName(moved.select(*value, "_n"))
             grown = grown.join(value_until.where(F.col("_until") > last), value, "left_semi")
-            counts = materialize(grown.groupBy(*value).agg(F.sum("_n").alias("_n")), "counts")
-            rows = materialize(kept.select(*fields).unionByName(changed.where("accepted").select(*fields)), "rows")
+            rows, counts = _materialize_all(
+                (kept.select(*fields).unionByName(changed.where("accepted").select(*fields)), "rows"),
+                (grown.groupBy(*value).agg(F.sum("_n").alias("_n")), "counts"),
+            )
             top = F.lit(spark.range(1).select(top).first()[0] + sum(added.values()))
         guess = added[last]
-        few = rounds <= max(FEW_ROUNDS, (last - begin + 1) // 2)
-        begin, width = last + 1, min(at_once, 2 * width) if few else max(1, width // 2)
+        few = rounds <= max(FEW_ROUNDS, min(at_once, last - begin + 1) // 2)
+        begin, width = last + 1, min(most, 2 * width) if few else max(1, width // 2)
 
     if n_ranges > 1:
-        settled = spark.read.schema(schema).parquet(path)
+        settled = reduce(DataFrame.unionByName, [*([spark.read.schema(schema).parquet(path)] if written else []), *apart])
     outcomes = settled.where("_kind = 'answer'").select("request_id", "accepted", "message", F.col("_n").alias(key))
     final = _last_rows(settled, key, columns)
     kept = state.select(*columns).join(final.select(key), key, "left_anti")
