@@ -332,6 +332,36 @@ def test_booking_respects_the_cap_and_the_midnight_trap(spark):
 # ------------------------------------------------------------------ pharmacy
 
 
+def test_lines_of_a_request_are_brought_together_once(spark, monkeypatch):
+    """Lines go to the task of their request as they are; sorting them before and after that would be work done twice."""
+    plans, write = {}, pharmacy.materialize
+
+    def seen(df, label, *folders):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label, *folders)
+
+    monkeypatch.setattr(pharmacy, "materialize", seen)
+    result = pharmacy.prescription_sale(
+        frame(spark, [(1, 1, 7, "cash", 5), (2, 2, 7, "cash", 5), (3, 3, 9, "cash", 5)], "request_id int, request_ts int, prescription_id int, payment_method string, emp_id int"),
+        frame(spark, [(1, "b", 2), (1, " A", 1), (1, "a", 1), (2, "a", 1), (3, "a", 9)], "request_id int, drug_name string, req_qty int"),
+        frame(spark, [(7, 1)], "prescription_id int, p_id int"),
+        frame(spark, [], "prescription_id int, drug_id int, quantity int, total_price decimal(10,2)"),
+        table(spark, "pharmacy_drugs", [dict(drug_id=i, drug_name=n, quantity=3, price=Decimal(2), exp_date=D(2030, 1, 1), prod_date=D(2020, 1, 1)) for i, n in ((1, "a"), (2, "b"))]),
+        frame(spark, [], "drug_id int, drug_name string, current_qty int, alert_date timestamp_ntz"),
+        table(spark, "invoice", []),
+        moment("2024-01-10 12:00:00"),
+    )
+    sold = "Sale completed successfully.\rTotal Invoice Amount: 8.00\rRemaining Stock:\r•  A: 1\r• b: 1\r"
+    said = {r["request_id"]: (r["accepted"], r["message"], r["total"]) for r in result.outcomes.collect()}
+    assert said == {
+        1: (True, sold, Decimal("8.00")),
+        2: (False, "This prescription has already been processed.", None),
+        3: (False, "Prescription not found.", None),
+    }
+    lines = [part for part in plans["named"].splitlines() if "hashpartitioning(request_id" in part]
+    assert len(lines) == 1 and "_name" not in lines[0].split("hashpartitioning(")[1].split(")")[0]
+
+
 def test_sales_match_a_loop(spark):
     rng = random.Random(21)
     drugs = [(i, f"Drug {i % 7}", rng.choice([0, 5, 10, 40, 100]), Decimal(rng.randrange(1, 900)) / 100) for i in range(1, 10)]

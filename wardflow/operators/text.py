@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def concat_by(df: DataFrame, keys: Sequence[str], value: Column, separator: str, order: Sequence[str], name: str) -> DataFrame:
-    """Delimited list per key, in the given order."""
+def concat_by(
+    df: DataFrame, keys: Sequence[str], value: Column, separator: str, order: Sequence[str], name: str, *others: Column
+) -> DataFrame:
+    """Delimited list per key, in the given order, and ``others`` aggregated along with it."""
     entry = F.struct(*order, value.alias("_text"))
-    ordered = F.array_sort(F.collect_list(entry))
+    ordered = F.sort_array(F.collect_list(entry))
     return df.groupBy(*keys).agg(
-        F.array_join(F.transform(ordered, lambda e: e["_text"]), separator).alias(name)
+        F.array_join(F.transform(ordered, lambda e: e["_text"]), separator).alias(name), *others
     )
 
 
-def report_lines(df: DataFrame, keys: Sequence[str], line: Column, order: Sequence[str], name: str) -> DataFrame:
+def report_lines(df: DataFrame, keys: Sequence[str], line: Column, order: Sequence[str], name: str, *others: Column) -> DataFrame:
     """Whole multi-line report per key: every line ends with a carriage return."""
-    return concat_by(df, keys, F.concat(line, F.chr(F.lit(13))), "", order, name)
+    return concat_by(df, keys, F.concat(line, F.chr(F.lit(13))), "", order, name, *others)

@@ -52,27 +52,29 @@ def prescription_sale(
     lookup = drug_lookup(drugs).select("_name", "_drug.drug_id", "_drug.price")
     known = prescriptions.select("prescription_id", F.col("p_id"))
     done = sold.select("prescription_id").distinct()
-    # One row per request and drug, so that a drug listed twice is taken as one line.
+    # One row per request and drug, so that a drug listed twice is taken as one line; lines are sorted
+    # once, after they have been brought together by request.
     named = (
-        lines.groupBy("request_id", normalised_name("drug_name").alias("_name"))
+        lines.repartition("request_id")
+        .groupBy("request_id", normalised_name("drug_name").alias("_name"))
         .agg(F.sum("req_qty").cast("long").alias("req_qty"), F.min("drug_name").alias("drug_name"))
         .join(lookup, "_name", "left")
     )
     named = materialize(named, "named")
-    unmatched = named.groupBy("request_id").agg(F.count(F.when(F.col("drug_id").isNull(), 1)).alias("unmatched"))
+    unmatched = named.filter("drug_id is null").select("request_id").distinct()
     asked = flagged(requests.join(known.withColumn("known", F.lit(True)), "prescription_id", "left"), done, ["prescription_id"], "processed")
-    asked = asked.join(unmatched, "request_id", "left").withColumn(
+    asked = flagged(asked, unmatched, ["request_id"], "unmatched").withColumn(
         "refused",
         first_failure(
             [
                 (F.col("known").isNull(), "Prescription not found."),
                 (F.col("processed"), "This prescription has already been processed."),
-                (F.col("unmatched") > 0, "One or more drugs not found in inventory."),
+                (F.col("unmatched"), "One or more drugs not found in inventory."),
             ]
         ),
     )
     asked = materialize(asked, "asked")
-    firsts = first_per(asked.filter("refused is null"), ["prescription_id"])
+    firsts = materialize(first_per(asked.filter("refused is null"), ["prescription_id"], "payment_method", "p_id", "emp_id"), "firsts")
     serving = firsts.select("request_id", "request_ts", "prescription_id")
 
     wanted = named.join(serving, "request_id").drop("_name")
@@ -92,49 +94,44 @@ def prescription_sale(
     ).select(*drugs.columns)
     next_alerts = stock_alerts(alerts, stock, served.select("drug_id").distinct(), as_of)
 
-    per_request = served.groupBy("request_id").agg(
-        F.sum(F.when(F.col("sold_qty") > 0, F.col("total_price"))).alias("total")
-    )
-    billed = asked.join(firsts.select("request_id"), "request_id", "left_semi").join(
-        per_request.filter("total > 0"), "request_id"
-    )
-    headers = cache(lambda: with_next_ids(billed, invoice, "invoice_id", REQUEST_ORDER))
+    total = F.sum(F.when(F.col("sold_qty") > 0, F.col("total_price"))).alias("total")
     left = served.withColumn("left", F.col("stock") - F.least("stock", "asked_so_far"))
     stock_line = joined(F.lit("• "), "drug_name", F.lit(": "), "left")
-    stock_text = report_lines(left, ["request_id"], stock_line, ["drug_name", "drug_id"], "stock_text")
+    reports = report_lines(left, ["request_id"], stock_line, ["drug_name", "drug_id"], "stock_text", total)
+    # Every request that is served, with its total and report, grouped once.
+    sold_to = materialize(firsts.join(reports, "request_id", "left"), "sold_to")
+    billed = sold_to.filter("total > 0").drop("stock_text")
+    headers = cache(lambda: with_next_ids(billed, invoice, "invoice_id", REQUEST_ORDER))
     # The first request of a prescription is served; if it sold anything, later ones are too late.
-    later = asked.join(
+    later = asked.join(serving.select("request_id", "prescription_id"), ["request_id", "prescription_id"], "left_anti").join(
         serving.select("prescription_id", F.col("request_id").alias("served_by")), "prescription_id", "left"
     )
-    sold_any = per_request.select(F.col("request_id").alias("served_by"), F.col("total").alias("first_total"))
+    sold_any = sold_to.select(F.col("request_id").alias("served_by"), F.col("total").alias("first_total"))
     cr = F.chr(F.lit(13))
-    outcomes = (
-        later.join(sold_any, "served_by", "left")
-        .join(stock_text, "request_id", "left")
-        .withColumn("served", F.coalesce(F.col("served_by") == F.col("request_id"), F.lit(False)))
-        .select(
-            "request_id",
-            F.col("served").alias("accepted"),
-            F.when(
-                F.col("served"),
-                F.concat(
-                    F.lit("Sale completed successfully."),
-                    cr,
-                    F.lit("Total Invoice Amount: "),
-                    money(F.coalesce("first_total", F.lit(0).cast("decimal(19,4)")), 19, 2).cast("string"),
-                    cr,
-                    F.lit("Remaining Stock:"),
-                    cr,
-                    F.coalesce("stock_text", F.lit("")),
-                ),
-            )
-            .when(F.col("refused").isNotNull(), F.col("refused"))
-            .when(F.col("first_total") > 0, F.lit("This prescription has already been processed."))
-            .otherwise(DEFERRED)
-            .alias("message"),
-            money(F.when(F.col("served"), F.coalesce("first_total", F.lit(0).cast("decimal(19,4)"))), 19, 2).alias("total"),
-        )
+    first_total = F.coalesce("total", F.lit(0).cast("decimal(19,4)"))
+    sale = F.concat(
+        F.lit("Sale completed successfully."),
+        cr,
+        F.lit("Total Invoice Amount: "),
+        money(first_total, 19, 2).cast("string"),
+        cr,
+        F.lit("Remaining Stock:"),
+        cr,
+        F.coalesce("stock_text", F.lit("")),
+    )
+    answered = sold_to.select(
+        "request_id", F.lit(True).alias("accepted"), sale.alias("message"), money(first_total, 19, 2).alias("total")
+    )
+    refused = later.join(sold_any, "served_by", "left").select(
+        "request_id",
+        F.lit(False).alias("accepted"),
+        F.when(F.col("refused").isNotNull(), F.col("refused"))
+        .when(F.col("first_total") > 0, F.lit("This prescription has already been processed."))
+        .otherwise(DEFERRED)
+        .alias("message"),
+        F.lit(None).cast("decimal(19,2)").alias("total"),
     )
+    outcomes = answered.unionByName(refused)
 
     def details() -> DataFrame:
         return sales.join(headers().select("request_id", "invoice_id"), "request_id").select(

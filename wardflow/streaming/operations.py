@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,15 +56,19 @@ def sell_from_stream(
             invoice.before(spark, batch_id),
             as_of,
         )
-        answers = materialize(result.outcomes, "answers")
-        deferred = answers.filter(F.col("message") == DEFERRED).select("request_id")
-        stock.write(batch_id, result.tables["pharmacy_drugs"])
-        alerts.write(batch_id, result.tables["low_stock_alerts"])
-        sold.write(batch_id, result.tables["prescription_drugs"])
-        invoice.write(batch_id, result.tables["invoice"])
-        invoice_details.write(batch_id, result.tables["invoice_details"])
-        outcomes.write(batch_id, answers)
-        waiting.write(batch_id, batch.join(deferred, "request_id", "left_semi").select(*queued.columns))
+        outcomes.write(batch_id, result.outcomes)
+        deferred = outcomes.of(spark, batch_id).filter(F.col("message") == DEFERRED).select("request_id")
+        written = {
+            stock: result.tables["pharmacy_drugs"],
+            alerts: result.tables["low_stock_alerts"],
+            sold: result.tables["prescription_drugs"],
+            invoice: result.tables["invoice"],
+            invoice_details: result.tables["invoice_details"],
+            waiting: batch.join(deferred, "request_id", "left_semi").select(*queued.columns),
+        }
+        # The tables do not depend on each other.
+        with ThreadPoolExecutor(len(written)) as pool:
+            list(pool.map(lambda table, rows: table.write(batch_id, rows), written, written.values()))
 
     return each_batch(lines, sell, checkpoint)
 

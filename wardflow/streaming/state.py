@@ -53,6 +53,10 @@ class AppendedTable:
         written = spark.read.schema(schema).parquet(self.folder)
         return self.initial.unionByName(written.filter(f"batch < {batch_id}").drop("batch"))
 
+    def of(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The rows a batch has written."""
+        return spark.read.schema(self.initial.schema).parquet(f"{self.folder}/batch={batch_id}")
+
     def write(self, batch_id: int, rows: DataFrame) -> None:
         rows.select(*[F.col(f.name).cast(f.dataType) for f in self.initial.schema]).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
 
