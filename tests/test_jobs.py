@@ -440,6 +440,33 @@ def test_restock_rounds_the_cost_and_clears_alerts(spark):
 # ----------------------------------------------------------------- radiology
 
 
+def test_radiology_repeats_in_the_batch_are_found_once(spark, monkeypatch):
+    """Numbers and answers read who is blocked from one table, and totals bring the lines of a request together once."""
+    plans, write = {}, diagnostics.materialize
+
+    def seen(df, label, *folders):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label, *folders)
+
+    monkeypatch.setattr(diagnostics, "materialize", seen)
+    people, emp_shift, dated = desk(spark)
+    people = people.unionByName(staff(spark, (50, "doctor", "active", 1, 14)))
+    weekly = table(spark, "doctor_appointments", [dict(id=1, examination_price=1, day="Wednesday", shift_start=0, shift_end=1, emp_id=3, dept_id=3)])
+    catalogue = table(spark, "radiology", [dict(rad_id=1, rad_name="Scan 1", delivery_duration=1, price=Decimal(10))])
+    patients = table(spark, "patient", [dict(p_id=1, fname="a", lname="b", birth_date=D(1990, 1, 1), gender="Male")])
+    result = diagnostics.book_radiology(
+        frame(spark, [(i, TS(2024, 1, 10, 10, i), 1, "cash") for i in (1, 2)], "request_id int, request_ts timestamp_ntz, p_id int, payment_method string"),
+        frame(spark, [(i, "scan 1") for i in (1, 2)], "request_id int, name string"),
+        catalogue, patients, people, weekly, emp_shift, dated,
+        frame(spark, [], "reservation_id int, date date, p_id int, rad_name string"),
+        table(spark, "invoice", []),
+    )
+    assert [r["accepted"] for r in result.outcomes.orderBy("request_id").collect()] == [True, False]
+    assert "blocked" in plans
+    assert "min(struct" not in result.outcomes._jdf.queryExecution().optimizedPlan().toString()
+    assert "hashpartitioning(request_id" in plans["asked"] and not any("item_id" in part.split("hashpartitioning(")[1].split(")")[0] for part in plans["asked"].splitlines() if "hashpartitioning(" in part)
+
+
 @pytest.mark.parametrize("compat", [True, False])
 def test_radiology_repeats_match_a_loop(spark, compat):
     rng = random.Random(31)

@@ -86,7 +86,8 @@ def _order_items(lines: DataFrame, catalogue: DataFrame, name: str, item_id: str
 
 def _order_totals(items: DataFrame) -> DataFrame:
     """Per request: lines, known lines, their price, and whether an examination is listed twice."""
-    per_item = items.groupBy("request_id", "item_id").agg(F.sum("n").alias("n"), F.max("price").alias("price"))
+    # Both groupings work on the lines of a request, so these are brought together once.
+    per_item = items.repartition("request_id").groupBy("request_id", "item_id").agg(F.sum("n").alias("n"), F.max("price").alias("price"))
     known = F.col("item_id").isNotNull()
     return per_item.groupBy("request_id").agg(
         F.sum("n").alias("line_count"),
@@ -244,8 +245,8 @@ def book_radiology(
         ),
     )
     asked = materialize(asked, "asked")
-    free = asked.filter("refused is null").select("request_id", "line_count")
-    candidates = wanted.join(free, "request_id")
+    free = asked.filter("refused is null").select(*REQUEST_ORDER, "p_id", F.to_date("request_ts").alias("day"), "line_count")
+    candidates = items.select("request_id", "_name").join(free, "request_id")
     if compat:
         # A booking can only block others if it is a single examination. The first
         # single booking per patient, day and name is accepted unless it is itself
@@ -261,6 +262,8 @@ def book_radiology(
         )
     else:
         blocked = _blocked_by_any(candidates)
+    # Numbers and answers both ask who is blocked.
+    blocked = materialize(blocked, "blocked")
     asked = flagged(asked, blocked, ["request_id"], "blocked").withColumn(
         "refused", F.coalesce("refused", F.when(F.col("blocked"), repeat_text))
     )
