@@ -281,3 +281,32 @@ def test_ranges_that_forget_take_two_rounds_a_window(spark, monkeypatch):
     assert answers(result, "dept_id") == want
     assert {r["dept_id"]: (r["dept_name"], r["manager_id"]) for r in result.tables["department"].collect()} == rows
     assert len(rounds) <= 8
+
+
+@pytest.mark.parametrize("forgetting", [True, False])
+def test_first_window_is_wide_and_cut_where_ranges_depend(spark, monkeypatch, forgetting):
+    """Ranges that forget take two rounds for all of them; those that depend on each other are soon replayed a range a core."""
+    monkeypatch.setattr(replay, "RANGE_REQUESTS", 2)
+    replays, write = [], replay.materialize
+
+    def counted(df, label, *folders):
+        done = write(df, label, *folders)
+        if label == "replayed":
+            replays.append(done.where("_kind = 'answer'").select("_range").distinct().count())
+        return done
+
+    monkeypatch.setattr(replay, "materialize", counted)
+    # New names in every range, or names that the range before has just left.
+    asked = [(i, i, "update", 1 + i % 2, f"n{i}" if forgetting else f"n{i // 2 % 3}") for i in range(2, 50)]
+    state = {1: "n0", 2: "n1"}
+    changes = frame(spark, asked, "request_id int, request_ts int, action string, shift_id int, shift_name string")
+    shift = frame(spark, list(state.items()), "shift_id int, shift_name string")
+    result = staffing.shift_changes(changes, shift, frame(spark, [(1, 9)], "emp_id int, shift_id int"))
+    want, rows = plain_catalogue([(*r, 0) for r in asked], state, staffing.SHIFT_TEXTS)
+    assert answers(result, "shift_id") == want
+    assert {r["shift_id"]: r["shift_name"] for r in result.tables["shift"].collect()} == rows
+    cores = spark.sparkContext.defaultParallelism
+    if forgetting:
+        assert replays == [24, 23]
+    else:
+        assert max(replays[replay.FEW_ROUNDS :], default=0) <= cores and sum(replays) <= replay.FEW_ROUNDS * 24 + cores * 24

@@ -5,15 +5,15 @@ hold a value it wants for itself. Both are changes of state that compose. Of a r
 has to know is how it leaves each row it touched, and how many rows it added; who holds which value follows
 from the rows. So requests are cut, in their order, into ranges of bounded size; a task replays a range,
 starting from the rows and numbers of holders its requests ask for, and summarises it. A window of ranges,
-as many as there are cores or a few times as many, is replayed at once, first from what the ranges before the window leave, then
+a few times as many as there are cores, is replayed at once, first from what the ranges before the window leave, then
 again with what the ranges before each are now known to leave: summaries are chained with windows over (row,
 range) and (value, range). Ranges up to the first whose summary changed have their final answers and are not
 replayed again. A summary tells the columns a range wrote from those it passes on, and a row once deleted stays
 so, whatever ranges replayed too early made of it. Then most ranges tell the same wherever they began, and a
 few rounds settle a window.
 Every round settles one range at least, so rounds, each no longer than a range, grow with the batch and not
-with its square, even if every range depends on the one before it; windows begin with a range a core, grow while
-few rounds settle them and shrink otherwise. A batch of at most ``RANGE_REQUESTS`` requests takes one round.
+with its square, even if every range depends on the one before it; a window that a few rounds do not settle is
+cut to a range a core, and the next ones are smaller until few rounds settle them again. A batch of at most ``RANGE_REQUESTS`` requests takes one round.
 
 A hot row or value spreads over ranges like any other; no task holds more than a range and the rows and
 values its requests name.
@@ -40,7 +40,7 @@ from wardflow.session import materialize, scratch_path
 # Requests a task replays at once.
 RANGE_REQUESTS = 200_000
 
-# Ranges replayed at once, at most; None: as many as Spark has cores, and up to WAVES times as many where few rounds settle them.
+# Ranges replayed at once, at most; None: WAVES times as many as Spark has cores where few rounds settle them, else as many as cores.
 RANGES_AT_ONCE: int | None = None
 WAVES = 4
 
@@ -234,7 +234,7 @@ def replay(
         return materialize(placed.mapInArrow(run, schema), "replayed")
 
     path, written, apart = scratch_path(spark, "settled"), False, []
-    width, begin, guess = at_once, 0, 0
+    width, begin, guess = most, 0, 0
     while begin < n_ranges:
         last = min(begin + width, n_ranges) - 1
         first, summary, settled, rounds = begin, None, None, 0
@@ -258,6 +258,10 @@ def replay(
             apart.append(right)
             summary = settled.unionByName(done.where(F.col("_range") > upto)).where("_kind <> 'answer'")
             first = upto + 1
+            if rounds >= FEW_ROUNDS:
+                # Ranges depend on those before them: replaying more than the cores take at once is in vain.
+                last = min(last, max(upto, first + at_once - 1))
+                added = {r: n for r, n in added.items() if r <= last}
         if n_ranges == 1:
             break
         if len(apart) > ROUNDS_APART:
@@ -277,7 +281,7 @@ def replay(
             top = F.lit(spark.range(1).select(top).first()[0] + sum(added.values()))
         guess = added[last]
         few = rounds <= max(FEW_ROUNDS, min(at_once, last - begin + 1) // 2)
-        begin, width = last + 1, min(most, 2 * width) if few else max(1, width // 2)
+        begin, width = last + 1, min(most, 2 * width) if few else max(1, min(width, at_once) // 2)
 
     if n_ranges > 1:
         settled = reduce(DataFrame.unionByName, [*([spark.read.schema(schema).parquet(path)] if written else []), *apart])
