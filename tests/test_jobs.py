@@ -362,6 +362,41 @@ def test_lines_of_a_request_are_brought_together_once(spark, monkeypatch):
     assert len(lines) == 1 and "_name" not in lines[0].split("hashpartitioning(")[1].split(")")[0]
 
 
+def test_reports_of_sales_are_built_where_lines_are_counted(spark, monkeypatch):
+    """Lines counted by drug are not moved back to their requests; requests without lines, and drugs without stock, are answered."""
+    plans, write = [], pharmacy.materialize
+
+    def seen(df, label, *folders):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label, *folders)
+
+    monkeypatch.setattr(pharmacy, "materialize", seen)
+    with many_ranges(spark):
+        result = pharmacy.prescription_sale(
+            frame(spark, [(i, i, i, "cash", 5) for i in range(1, 6)], "request_id int, request_ts int, prescription_id int, payment_method string, emp_id int"),
+            frame(spark, [(1, "b", 2), (1, "A ", 1), (1, "a", 1), (2, "B", 2), (2, " a", 1), (4, "b", 1), (5, None, 1)], "request_id int, drug_name string, req_qty int"),
+            frame(spark, [(i, i) for i in range(1, 6)], "prescription_id int, p_id int"),
+            frame(spark, [], "prescription_id int, drug_id int, quantity int, total_price decimal(10,2)"),
+            table(spark, "pharmacy_drugs", [dict(drug_id=i, drug_name=n, quantity=3, price=Decimal(2), exp_date=D(2030, 1, 1), prod_date=D(2020, 1, 1)) for i, n in ((1, "a"), (2, "b"))]),
+            frame(spark, [], "drug_id int, drug_name string, current_qty int, alert_date timestamp_ntz"),
+            table(spark, "invoice", []),
+            moment("2024-01-10 12:00:00"),
+        )
+        done = "Sale completed successfully.\rTotal Invoice Amount: %s\rRemaining Stock:\r%s"
+        said = {r["request_id"]: (r["message"], r["total"]) for r in result.outcomes.collect()}
+        assert said == {
+            1: (done % ("8.00", "• A : 1\r• b: 1\r"), Decimal("8.00")),
+            2: (done % ("4.00", "•  a: 0\r• B: 0\r"), Decimal("4.00")),
+            3: (done % ("0.00", ""), Decimal("0.00")),
+            4: (done % ("0.00", "• b: 0\r"), Decimal("0.00")),
+            5: ("One or more drugs not found in inventory.", None),
+        }
+        assert rows(result.tables["invoice_details"], "reservation_id", "process_id", "quantity") == [(1, 1, 2), (1, 2, 2), (2, 1, 1), (2, 2, 1)]
+        assert rows(result.tables["stock_report"], "request_id", "drug_id") == [(1, 1), (1, 2), (2, 1), (2, 2), (4, 2)]
+    reports = [plan for plan in plans if "collect_list" in plan]
+    assert len(reports) == 1 and "hashpartitioning(request_id" not in reports[0]
+
+
 def test_sales_match_a_loop(spark):
     rng = random.Random(21)
     drugs = [(i, f"Drug {i % 7}", rng.choice([0, 5, 10, 40, 100]), Decimal(rng.randrange(1, 900)) / 100) for i in range(1, 10)]

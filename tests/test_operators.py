@@ -116,6 +116,27 @@ def test_running_without_the_current_row(spark):
     assert {r.t: r.before for r in out} == {i: (sum(range(i)) if i else None) for i in range(50)}
 
 
+def test_running_in_blocks_matches_a_loop_and_leaves_rows_in_their_block(spark):
+    rng = random.Random(6)
+    data = [(at, k, rng.choice([None, 1, 2, 7])) for at in range(200) for k in rng.sample(["hot", "a", "b", f"k{at}"], 3)]
+    df = frame(spark, data, "at int, k string, v int").withColumn("block", F.floor(F.col("at") / 16))
+    with many_ranges(spark):
+        out = running(df, ["k"], ["at"], {"total": ("sum", F.col("v")), "top": ("max", F.col("v"))}, block="block")
+        found = out.collect()
+        grouped = out.groupBy("at", "block").agg(F.sum("total").alias("total"))
+        assert "hashpartitioning(at" not in grouped._jdf.queryExecution().executedPlan().toString()
+        sums = {r["at"]: r["total"] for r in grouped.collect()}
+    held, expected = {}, {}
+    for at, k, v in data:
+        held.setdefault(k, []).append(v)
+        known = [x for x in held[k] if x is not None]
+        expected[at, k] = (sum(known) if known else None, max(known, default=None))
+    assert {(r["at"], r["k"]): (r["total"], r["top"]) for r in found} == expected and len(found) == len(data)
+    for at in range(200):
+        known = [total for (place, _), (total, _) in expected.items() if place == at and total is not None]
+        assert sums[at] == (sum(known) if known else None)
+
+
 def test_numbers_are_dense_over_many_ranges(spark):
     ids = list(range(1000))
     random.Random(1).shuffle(ids)

@@ -5,6 +5,9 @@ rows are range-partitioned by (keys, order), so a hot key spreads over many rang
 each range is scanned on its own, and the few keys that cross a range border get the
 value carried over from the ranges before. At most one key crosses each border, so
 the table of carried values never has more rows than there are shuffle partitions.
+
+Rows that know their stretch of the order (``in_order``, ``block_of``) are brought together by stretch instead:
+what the stretches before add up to per key comes as one more row per key and stretch.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql.window import Window
 from wardflow.session import materialize
 
 _POSITION_BITS = 33
+# A block of the order holds up to 1 << _BLOCK_BITS numbers.
+_BLOCK_BITS = 16
 _AGGREGATE = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
@@ -43,13 +48,20 @@ def running(
     inclusive: bool = True,
     following: dict[str, tuple[str, Column]] | None = None,
     inclusive_following: bool = False,
+    block: str | None = None,
 ) -> DataFrame:
     """Add ``name -> running kind(expr)`` per ``keys`` along ``order``.
 
     ``order`` must be a total order within the keys and keys must not be NULL.
     ``values`` runs from the first row, ``following`` from the last row backwards.
     With ``inclusive=False`` the current row is left out (NULL on the first row).
+
+    ``block`` names a column of consecutive stretches of the order, none larger than a task can take. The result
+    is then partitioned by it, so that rows of one place in the order can be grouped without being moved again.
+    ``df`` is read twice and had better be written; values are sums, maxima or minima up to the current row.
     """
+    if block:
+        return _running_in_blocks(df, list(keys), list(order), values, block)
     following = following or {}
     keys, order = list(keys), list(order)
     inputs = {f"_in_{name}": expr for name, (_, expr) in {**values, **following}.items()}
@@ -79,6 +91,19 @@ def running(
     return result.select(*df.columns, *[expr.alias(name) for name, expr in merged.items()])
 
 
+def _running_in_blocks(df: DataFrame, keys: list[str], order: list[str], values: dict, block: str) -> DataFrame:
+    inputs = {f"_in_{name}": (_AGGREGATE[kind], expr) for name, (kind, expr) in values.items()}
+    rows = df.withColumns({name: expr for name, (_, expr) in inputs.items()})
+    parts = rows.groupBy(*keys, block).agg(*[merge(name).alias(name) for name, (merge, _) in inputs.items()])
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(*keys, block, *[merge(name).over(before).alias(name) for name, (merge, _) in inputs.items()])
+    # What is carried into a block goes ahead of the rows of its key.
+    whole = rows.withColumn("_own", F.lit(True)).unionByName(carried.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys, block).orderBy("_own", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = [_AGGREGATE[kind](f"_in_{name}").over(so_far).alias(name) for name, (kind, _) in values.items()]
+    return whole.repartition(block).select(*df.columns, "_own", *found).where("_own").drop("_own")
+
+
 def _carried(chunks: DataFrame, keys: list[str], values: dict, following: dict) -> DataFrame:
     """Per (key, chunk): what the earlier (or later) chunks of the key add up to."""
     source = chunks
@@ -110,8 +135,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "rn", keys: Seq
         return running(df, keys, order, {name: ("count", F.lit(1))})
     # The id of a sorted range is (range << 33) + position, so no window is needed:
     # the sizes of the ranges before, one row per range, give the rest.
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    chunks = materialize(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    chunks = in_order(df, order, "_at", "numbered")
     chunk = F.shiftright("_at", _POSITION_BITS)
     position = F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)) + 1
     sizes = chunks.groupBy(chunk.alias("_chunk")).agg(F.count("*").alias("_size"))
@@ -123,6 +147,17 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "rn", keys: Seq
     )
 
 
+def in_order(df: DataFrame, order: Sequence[str], name: str, label: str = "in_order") -> DataFrame:
+    """Numbers that grow along ``order`` but leave gaps; written, so that they stay."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(placed.withColumn(name, F.monotonically_increasing_id()), label)
+
+
+def block_of(number: str) -> Column:
+    """The stretch of the order that a number given by ``in_order`` is in."""
+    return F.shiftright(number, _BLOCK_BITS)
+
+
 def fold(
     rows: DataFrame,
     keys: Sequence[str],

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def concat_by(
@@ -19,6 +20,24 @@ def concat_by(
     )
 
 
-def report_lines(df: DataFrame, keys: Sequence[str], line: Column, order: Sequence[str], name: str, *others: Column) -> DataFrame:
-    """Whole multi-line report per key: every line ends with a carriage return."""
+def _concat_few(
+    df: DataFrame, keys: Sequence[str], value: Column, separator: str, order: Sequence[str], name: str, others: dict[str, Column]
+) -> DataFrame:
+    """``concat_by`` for very many keys of few rows: rows are sorted once, and no table of lists is kept."""
+    along = Window.partitionBy(*keys).orderBy(*order)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lists = {"_texts": F.collect_list(value), **others}
+    told = df.select(*keys, F.row_number().over(along).alias("_row"), *[kept.over(whole).alias(n) for n, kept in lists.items()])
+    return told.where("_row = 1").select(*keys, F.array_join("_texts", separator).alias(name), *others)
+
+
+def report_lines(
+    df: DataFrame, keys: Sequence[str], line: Column, order: Sequence[str], name: str, *others: Column, few: dict[str, Column] | None = None
+) -> DataFrame:
+    """Whole multi-line report per key: every line ends with a carriage return.
+
+    With ``few``, which names what is aggregated along with it, keys are taken to be very many, of few lines each.
+    """
+    if few is not None:
+        return _concat_few(df, keys, F.concat(line, F.chr(F.lit(13))), "", order, name, few)
     return concat_by(df, keys, F.concat(line, F.chr(F.lit(13))), "", order, name, *others)

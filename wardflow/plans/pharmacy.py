@@ -6,12 +6,13 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wardflow.functions.clock import day_first_text
 from wardflow.functions.money import money
 from wardflow.functions.text import folded, joined, normalised_name
 from wardflow.operators.guards import REQUEST_ORDER, JobResult, first_failure, first_per, flagged, turn
-from wardflow.operators.scan import running, with_next_ids
+from wardflow.operators.scan import block_of, in_order, running, with_next_ids
 from wardflow.operators.snapshots import append, upsert
 from wardflow.operators.text import report_lines
 from wardflow.session import materialize
@@ -49,16 +50,21 @@ def prescription_sale(
     the same batch are answered after the first. The message holds the stock line of
     every drug asked for; the ``stock_report`` table has them as rows.
     """
-    lookup = drug_lookup(drugs).select("_name", "_drug.drug_id", "_drug.price")
+    lookup = drug_lookup(drugs).select("_name", "_drug.drug_id", "_drug.price", F.col("_drug.quantity").cast("long").alias("stock"))
+    # Every way a drug is written in the batch, numbered per drug; lines carry numbers instead of names.
+    written = lines.select("drug_name").distinct().withColumn("_name", normalised_name("drug_name")).filter("_name is not null")
+    spelled = written.withColumn("_spelling", F.row_number().over(Window.partitionBy("_name").orderBy("drug_name")))
+    spelled = materialize(spelled.join(lookup, "_name", "left").drop("_name"), "spelled")
     known = prescriptions.select("prescription_id", F.col("p_id"))
     done = sold.select("prescription_id").distinct()
-    # One row per request and drug, so that a drug listed twice is taken as one line; lines are sorted
-    # once, after they have been brought together by request.
+    # One row per request and drug, so that a drug listed twice is taken as one line, after lines have been
+    # brought together by request. Unknown drugs count as one without id.
     named = (
-        lines.repartition("request_id")
-        .groupBy("request_id", normalised_name("drug_name").alias("_name"))
-        .agg(F.sum("req_qty").cast("long").alias("req_qty"), F.min("drug_name").alias("drug_name"))
-        .join(lookup, "_name", "left")
+        lines.join(spelled.select("drug_name", "drug_id", "_spelling"), "drug_name", "left")
+        .select("request_id", "drug_id", "_spelling", "req_qty")
+        .repartition("request_id")
+        .groupBy("request_id", "drug_id")
+        .agg(F.sum("req_qty").cast("long").alias("req_qty"), F.min("_spelling").alias("_spelling"))
     )
     named = materialize(named, "named")
     unmatched = named.filter("drug_id is null").select("request_id").distinct()
@@ -74,39 +80,51 @@ def prescription_sale(
         ),
     )
     asked = materialize(asked, "asked")
-    firsts = materialize(first_per(asked.filter("refused is null"), ["prescription_id"], "payment_method", "p_id", "emp_id"), "firsts")
-    serving = firsts.select("request_id", "request_ts", "prescription_id")
+    firsts = first_per(asked.filter("refused is null"), ["prescription_id"], "payment_method", "p_id", "emp_id")
+    firsts = in_order(firsts, REQUEST_ORDER, "_at", "firsts")
+    serving = firsts.select("request_id", "prescription_id")
 
-    wanted = named.join(serving, "request_id").drop("_name")
-    in_line = running(
-        wanted, ["drug_id"], list(REQUEST_ORDER), {"asked_so_far": ("sum", F.col("req_qty"))}
-    ).join(drugs.select("drug_id", F.col("quantity").cast("long").alias("stock")), "drug_id")
-    served = in_line.withColumn(
+    wanted = named.join(firsts.select("request_id", "prescription_id", "_at"), "request_id")
+    wanted = materialize(wanted.withColumn("_block", block_of("_at")), "wanted")
+    # The lines of a request stay together in its block of the order.
+    in_line = running(wanted, ["drug_id"], ["_at"], {"asked_so_far": ("sum", F.col("req_qty"))}, block="_block").join(
+        spelled, ["drug_id", "_spelling"]
+    )
+    left = in_line.withColumn(
         "sold_qty",
         F.least("stock", "asked_so_far") - F.least(F.col("stock"), F.col("asked_so_far") - F.col("req_qty")),
-    ).withColumn("total_price", money(F.col("price") * F.col("sold_qty"), 19, 4))
-    served = materialize(served, "served")
-    sales = served.filter("sold_qty > 0")
+    ).withColumns(
+        {
+            "total_price": F.when(F.col("sold_qty") > 0, money(F.col("price") * F.col("sold_qty"), 19, 4)),
+            "left": F.col("stock") - F.least("stock", "asked_so_far"),
+        }
+    )
+    stock_line = joined(F.lit("• "), "drug_name", F.lit(": "), "left")
+    # Every request that is served, with its total, its report and what it was sold, grouped once.
+    along = {
+        "total": F.sum("total_price"),
+        "given": F.collect_list(F.when(F.col("sold_qty") > 0, F.struct("drug_id", "price", "sold_qty", "total_price"))),
+    }
+    reports = report_lines(left, ["request_id", "_block", "prescription_id"], stock_line, ["drug_name", "drug_id"], "stock_text", few=along)
+    served = materialize(reports.drop("_block"), "served")
+
+    def lines_sold(of: DataFrame, *carry: str) -> DataFrame:
+        return of.select(*carry, "prescription_id", F.explode("given").alias("_line")).select(*carry, "prescription_id", "_line.*")
 
+    sales = lines_sold(served)
     taken = sales.groupBy("drug_id").agg(F.sum("sold_qty").alias("taken"))
     stock = drugs.join(taken, "drug_id", "left").withColumn(
         "quantity", (F.col("quantity") - F.coalesce("taken", F.lit(0))).cast(drugs.schema["quantity"].dataType)
     ).select(*drugs.columns)
-    next_alerts = stock_alerts(alerts, stock, served.select("drug_id").distinct(), as_of)
+    next_alerts = stock_alerts(alerts, stock, wanted.select("drug_id").distinct(), as_of)
 
-    total = F.sum(F.when(F.col("sold_qty") > 0, F.col("total_price"))).alias("total")
-    left = served.withColumn("left", F.col("stock") - F.least("stock", "asked_so_far"))
-    stock_line = joined(F.lit("• "), "drug_name", F.lit(": "), "left")
-    reports = report_lines(left, ["request_id"], stock_line, ["drug_name", "drug_id"], "stock_text", total)
-    # Every request that is served, with its total and report, grouped once.
-    sold_to = materialize(firsts.join(reports, "request_id", "left"), "sold_to")
-    billed = sold_to.filter("total > 0").drop("stock_text")
+    billed = firsts.drop("_at").join(served.filter("total > 0").select("request_id", "total"), "request_id")
     headers = cache(lambda: with_next_ids(billed, invoice, "invoice_id", REQUEST_ORDER))
     # The first request of a prescription is served; if it sold anything, later ones are too late.
     later = asked.join(serving.select("request_id", "prescription_id"), ["request_id", "prescription_id"], "left_anti").join(
         serving.select("prescription_id", F.col("request_id").alias("served_by")), "prescription_id", "left"
     )
-    sold_any = sold_to.select(F.col("request_id").alias("served_by"), F.col("total").alias("first_total"))
+    sold_any = served.select(F.col("request_id").alias("served_by"), F.col("total").alias("first_total"))
     cr = F.chr(F.lit(13))
     first_total = F.coalesce("total", F.lit(0).cast("decimal(19,4)"))
     sale = F.concat(
@@ -119,7 +137,9 @@ def prescription_sale(
         cr,
         F.coalesce("stock_text", F.lit("")),
     )
-    answered = sold_to.select(
+    # A request without lines is served, too.
+    empty = serving.select("request_id").join(served, "request_id", "left_anti")
+    answered = served.select("request_id", "total", "stock_text").unionByName(empty, allowMissingColumns=True).select(
         "request_id", F.lit(True).alias("accepted"), sale.alias("message"), money(first_total, 19, 2).alias("total")
     )
     refused = later.join(sold_any, "served_by", "left").select(
@@ -134,7 +154,8 @@ def prescription_sale(
     outcomes = answered.unionByName(refused)
 
     def details() -> DataFrame:
-        return sales.join(headers().select("request_id", "invoice_id"), "request_id").select(
+        invoiced = served.filter("total > 0").join(headers().select("request_id", "invoice_id"), "request_id")
+        return lines_sold(invoiced, "invoice_id").select(
             "invoice_id",
             F.col("prescription_id").alias("reservation_id"),
             F.lit("Pharmacy").alias("reservation_type"),
