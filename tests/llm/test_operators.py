@@ -33,6 +33,7 @@ from wardflow.llm import (
 from wardflow.llm.components import components
 from wardflow.llm.tables import rank_in_blocks
 from wardflow.llm.tokens import BLANKS_PATTERN, Encoder
+from wardflow.session import materialize
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -838,3 +839,52 @@ def test_group_of_near_copies(spark):
     for n, num in ((3, 90), (5, 80)):
         got = op10_ngram_join.jaccard_components(df, op10_ngram_join.Similarity(n, num, 100)).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(made, n, num, 100)
+
+def near_group(seed, n_rows, n_words):
+    draw = random.Random(seed)
+    base, made = prose(seed, n_words).split(" "), []
+    for i in range(n_rows):
+        words = list(base)
+        for _ in range(draw.choice([1, 2, 3, 4])):
+            words[draw.randrange(len(base))] = f"w{draw.random()}"
+        made.append((i, " ".join(words)))
+    return made
+
+
+def test_many_texts_of_one_id(spark, monkeypatch):
+    """Texts of one id are rows of their own in the product, whose columns are not multiplied with each other."""
+    texts = [text for _, text in near_group(70, 60, 120)]
+    made = [(i % 3 if i < 45 else 100 + i, text) for i, text in enumerate(texts)]
+    made += made[:20] + [(7, prose(71, 90)), (7, prose(72, 90)), (8, prose(72, 90))]
+    written = Counter()
+
+    def counted(df, label, *folders):
+        out = materialize(df, label, *folders)
+        written[label] = max(written[label], out.count())
+        return out
+
+    monkeypatch.setattr(op10_ngram_join, "materialize", counted)
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = op10_ngram_join.jaccard_components(df, op10_ngram_join.Similarity(3, 90, 100)).collect()
+    alone = plain_components(list(enumerate(text for _, text in made)), 3, 90, 100)
+    label = {doc_id: doc_id for doc_id, _ in made}
+    for _ in label:
+        for row, (_, first) in alone.items():
+            a, b = made[row][0], made[first][0]
+            label[a] = label[b] = min(label[a], label[b])
+    want = Counter((doc_id, alone[row][0], label[doc_id]) for row, (doc_id, _) in enumerate(made))
+    assert Counter(map(tuple, got)) == want
+    assert 0 < written["cells"] <= written["prefix-columns"]
+
+
+@pytest.mark.parametrize("turns, pairs_a_cell, first", [(1, 0, (1,)), (3, 0, (1, 2)), (1, 0, ())])
+def test_small_portions_of_the_product(spark, monkeypatch, turns, pairs_a_cell, first):
+    """Groups cut into parts, pairs left for later and further turns give the same links."""
+    made = near_group(80, 60, 110) + [(200 + i, text) for i, text in near_group(81, 30, 140)]
+    for name, value in (("_TURNS", turns), ("_PAIRS_A_CELL", pairs_a_cell), ("_PAIRS_FIRST", first), ("_GROUP_ROWS", 3)):
+        monkeypatch.setattr(op10_ngram_join, name, value)
+    monkeypatch.setattr(op10_ngram_join, "_ENTRIES_AT_ONCE", 700)
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = op10_ngram_join.jaccard_components(df, op10_ngram_join.Similarity(3, 90, 100)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(made, 3, 90, 100)
+
