@@ -877,6 +877,26 @@ def test_many_texts_of_one_id(spark, monkeypatch):
     assert 0 < written["cells"] <= written["prefix-columns"]
 
 
+def test_all_rows_are_counted(spark):
+    """How common an n-gram is comes from all rows, however many there are."""
+    made = [(i, f"alpha beta w{i // 2}") for i in range(24_000)]
+    df = spark.createDataFrame(made, "doc_id long, text string").withColumn("_key", F.col("doc_id"))
+    classes = op10_ngram_join._common_buckets(df, op10_ngram_join.Similarity(3, 90, 100))
+    grams = np.concatenate([op10_ngram_join.gram_hashes(text, 3) for _, text in made[::2]])
+    counted = classes[op10_ngram_join._buckets(grams)]
+    assert counted.min() > 0
+    assert np.count_nonzero(classes) == len(np.unique(op10_ngram_join._buckets(grams)))
+
+
+def test_any_order_of_columns(spark, monkeypatch):
+    made = near_group(90, 50, 120)
+    drawn = np.random.default_rng(5).integers(0, 30, 1 << op10_ngram_join._SKETCH_BITS).astype(np.uint8)
+    monkeypatch.setattr(op10_ngram_join, "_common_buckets", lambda docs, similarity: drawn)
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = op10_ngram_join.jaccard_components(df, op10_ngram_join.Similarity(3, 90, 100)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(made, 3, 90, 100)
+
+
 @pytest.mark.parametrize("turns, pairs_a_cell, first", [(1, 0, (1,)), (3, 0, (1, 2)), (1, 0, ())])
 def test_small_portions_of_the_product(spark, monkeypatch, turns, pairs_a_cell, first):
     """Groups cut into parts, pairs left for later and further turns give the same links."""
@@ -887,4 +907,3 @@ def test_small_portions_of_the_product(spark, monkeypatch, turns, pairs_a_cell,
     df = spark.createDataFrame(made, "doc_id long, text string")
     got = op10_ngram_join.jaccard_components(df, op10_ngram_join.Similarity(3, 90, 100)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(made, 3, 90, 100)
-
